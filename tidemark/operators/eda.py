@@ -152,9 +152,12 @@ def explained_variance(df: DataFrame, cols, k: int) -> DataFrame:
                                  "component int, explained_variance_ratio double")
 
 
-def numeric_stats(df: DataFrame, cols) -> DataFrame:
+def numeric_stats(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     """Count, mean, median, population std, min, max, q1, q3 per column
-    over that column's non-null rows, rounded to 2 decimals."""
+    over that column's non-null rows, rounded to ``digits`` (2 in the
+    reference).  Interpolated quartiles of cent values often end in an exact
+    half cent, where engines round ties differently; cross-engine checks
+    therefore compare at 6 digits."""
     long = to_long(df, cols)
     basic = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
@@ -162,7 +165,7 @@ def numeric_stats(df: DataFrame, cols) -> DataFrame:
         F.max("value").alias("max"))
     qs = quantile_row(long, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     j = basic.join(qs, "column")
-    return j.select("column", "count", *[F.round(c, 2).alias(c) for c in
+    return j.select("column", "count", *[F.round(c, digits).alias(c) for c in
                                          ("mean", "median", "std", "min", "max", "q1", "q3")])
 
 

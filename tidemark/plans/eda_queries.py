@@ -146,12 +146,12 @@ STAT_COLS = NUM + ["senior_citizen"]
 
 @register("e11_numeric_stats", f"""
 WITH _l AS (SELECT * FROM {long_sql('churn_base', STAT_COLS)})
-SELECT "column", count(*) AS count, round(avg(value), 2) AS mean, round(quantile_cont(value, 0.5), 2) AS median,
-       round(stddev_pop(value), 2) AS std, round(min(value), 2) AS min, round(max(value), 2) AS max,
-       round(quantile_cont(value, 0.25), 2) AS q1, round(quantile_cont(value, 0.75), 2) AS q3
+SELECT "column", count(*) AS count, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
+       round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
+       round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3
 FROM _l GROUP BY "column" """, ("churn_base",))
 def e11(spark, sf_dir):
-    return eda.numeric_stats(churn_base(spark, sf_dir), STAT_COLS)
+    return eda.numeric_stats(churn_base(spark, sf_dir), STAT_COLS, digits=6)
 
 
 CAT = list(FIXTURE.categorical)

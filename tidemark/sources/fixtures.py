@@ -58,7 +58,7 @@ def churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = (nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
     tenure = F.floor(F.datediff(snap, F.col("first_before")) / 30).cast("int")
-    total = F.col("total_before")
+    total = F.round(F.col("total_before"), 2)      # money: cents
     out = (customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
            .join(per_cust, F.col("c_custkey") == F.col("o_custkey"), "left")
            .join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
@@ -67,7 +67,8 @@ def churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                (F.coalesce(F.col("n_after"), F.lit(0)) == 0).alias("churn"),
                tenure.alias("tenure"),
                total.alias("total_charges"),
-               (total / F.greatest(tenure, F.lit(1))).alias("monthly_charges"),
+               # whole cents per month by integer division: identical in every engine
+               (F.floor(F.round(total * 100) / F.greatest(tenure, F.lit(1))) / 100.0).alias("monthly_charges"),
                (F.col("c_acctbal") < 0).cast("int").alias("senior_citizen"),
                F.when(F.col("c_custkey") % 2 == 1, F.lit("Male")).otherwise(F.lit("Female")).alias("gender"),
                _yes_no(F.col("n_urgent") * 5 > F.col("n_before")).alias("partner"),
@@ -111,8 +112,8 @@ _CHURN_BASE_SQL = f"""
   churn_base AS (SELECT c_custkey AS customer_id,
              coalesce(n_after, 0) = 0 AS churn,
              tenure,
-             total_before AS total_charges,
-             total_before / greatest(tenure, 1) AS monthly_charges,
+             round(total_before, 2) AS total_charges,
+             floor(round(round(total_before, 2) * 100) / greatest(tenure, 1)) / 100.0 AS monthly_charges,
              CAST(c_acctbal < 0 AS INTEGER) AS senior_citizen,
              CASE WHEN c_custkey % 2 = 1 THEN 'Male' ELSE 'Female' END AS gender,
              CASE WHEN n_urgent * 5 > n_before THEN 'Yes' ELSE 'No' END AS partner,
@@ -143,7 +144,7 @@ def churn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "monthly_charges": F.when(k % FAULTS["monthly_negated"] == 0, -F.col("monthly_charges"))
                             .otherwise(F.col("monthly_charges")),
         "total_charges": F.when(k % FAULTS["total_blank"] == 0, F.lit(None).cast("double"))
-                          .when(k % FAULTS["total_times_50"] == 0, F.col("total_charges") * 50)
+                          .when(k % FAULTS["total_times_50"] == 0, F.round(F.col("total_charges") * 50, 2))
                           .otherwise(F.col("total_charges")),
         "tenure": F.when(k % FAULTS["tenure_text"] == 0, F.lit(None).cast("int"))
                    .otherwise(F.col("tenure")),
@@ -156,7 +157,7 @@ _CHURN_DIRTY_SQL = f"""
            WHEN customer_id % {FAULTS['contract_outside']} = 0 THEN 'Lifetime' ELSE contract END AS contract,
       CASE WHEN customer_id % {FAULTS['monthly_negated']} = 0 THEN -monthly_charges ELSE monthly_charges END AS monthly_charges,
       CASE WHEN customer_id % {FAULTS['total_blank']} = 0 THEN NULL
-           WHEN customer_id % {FAULTS['total_times_50']} = 0 THEN total_charges * 50 ELSE total_charges END AS total_charges,
+           WHEN customer_id % {FAULTS['total_times_50']} = 0 THEN round(total_charges * 50, 2) ELSE total_charges END AS total_charges,
       CASE WHEN customer_id % {FAULTS['tenure_text']} = 0 THEN NULL ELSE tenure END AS tenure)
     FROM churn_base)"""
 
@@ -185,11 +186,13 @@ def churn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             c = (F.when(k % FAULTS["contract_null"] == 0, F.lit(""))
                  .when(k % FAULTS["contract_outside"] == 0, F.lit("Lifetime")).otherwise(src))
         elif csv_name == "MonthlyCharges":
-            c = F.when(k % FAULTS["monthly_negated"] == 0, -src).otherwise(src).cast("string")
+            m = F.when(k % FAULTS["monthly_negated"] == 0, -src).otherwise(src)
+            c = F.when(m.isNotNull(), F.format_string("%.2f", m))
         elif csv_name == "TotalCharges":
             c = (F.when(k % FAULTS["total_blank"] == 0, F.lit(" "))
-                 .when(k % FAULTS["total_times_50"] == 0, (src * 50).cast("string"))
-                 .otherwise(src.cast("string")))
+                 .when(src.isNull(), F.lit(None).cast("string"))
+                 .when(k % FAULTS["total_times_50"] == 0, F.format_string("%.2f", F.round(src * 50, 2)))
+                 .otherwise(F.format_string("%.2f", src)))
         elif csv_name == "tenure":
             c = F.when(k % FAULTS["tenure_text"] == 0, F.lit("abc")).otherwise(src.cast("string"))
         else:
@@ -218,12 +221,12 @@ def _raw_select_sql() -> str:
             e = (f"CASE WHEN customer_id % {FAULTS['contract_null']} = 0 THEN '' "
                  f"WHEN customer_id % {FAULTS['contract_outside']} = 0 THEN 'Lifetime' ELSE {src} END")
         elif csv_name == "MonthlyCharges":
-            e = (f"CAST(CASE WHEN customer_id % {FAULTS['monthly_negated']} = 0 THEN -{src} "
-                 f"ELSE {src} END AS VARCHAR)")
+            e = (f"printf('%.2f', CASE WHEN customer_id % {FAULTS['monthly_negated']} = 0 THEN -{src} "
+                 f"ELSE {src} END)")
         elif csv_name == "TotalCharges":
             e = (f"CASE WHEN customer_id % {FAULTS['total_blank']} = 0 THEN ' ' "
-                 f"WHEN customer_id % {FAULTS['total_times_50']} = 0 THEN CAST({src} * 50 AS VARCHAR) "
-                 f"ELSE CAST({src} AS VARCHAR) END")
+                 f"WHEN customer_id % {FAULTS['total_times_50']} = 0 THEN printf('%.2f', round({src} * 50, 2)) "
+                 f"ELSE printf('%.2f', {src}) END")
         elif csv_name == "tenure":
             e = f"CASE WHEN customer_id % {FAULTS['tenure_text']} = 0 THEN 'abc' ELSE CAST({src} AS VARCHAR) END"
         else:
