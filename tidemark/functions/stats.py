@@ -89,3 +89,44 @@ def mode_per_key(long: DataFrame, key: str = "column", value: str = "value") ->
 def r(c, digits: int = 6) -> Column:
     """Round for cross-engine comparison of float results."""
     return F.round(c if isinstance(c, Column) else F.col(c), digits)
+
+
+def kth_smallest(df: DataFrame, key: str, order: str, tie: str, ks: DataFrame,
+                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Per ``key``, the (order, tie) pair of the k-th smallest row, where
+    ``ks`` holds (key, _k).  Output (key, _ch, _cid).  Keys with k = 0 get
+    no row.  The rank is found bucket by bucket, so a key holding most rows
+    is still spread over many tasks."""
+    ranked = ordered_prefix(df.select(key, order, tie), order, [], key=key, tie=tie, buckets=buckets)
+    hit = ranked.join(F.broadcast(ks), key).where(F.col("_pos") == F.col("_k"))
+    return hit.select(key, F.col(order).alias("_ch"), F.col(tie).alias("_cid"))
+
+
+def ordered_prefix(df: DataFrame, order: str, sums, key: str | None = None, tie: str | None = None,
+                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Add ``_pos`` (1-based position) and inclusive running sums
+    ``cum_<c>`` over rows ordered by (order, tie) ascending, per ``key``.
+
+    No single-task window: rows are cut into buckets by approximate
+    quantiles of ``order`` (per key), bucket totals give offsets, and the
+    running sum is a window partitioned by (key, bucket)."""
+    k = key or "_key"
+    d = df if key else df.withColumn("_key", F.lit(0))
+    cuts = [i / buckets for i in range(1, buckets)]
+    meta = d.groupBy(k).agg(F.percentile_approx(order, cuts, 10 * buckets).alias("_bnds"))
+    meta = F.broadcast(meta) if key is None else meta
+    db = (d.join(meta, k)
+          .withColumn("_b", F.size(F.filter("_bnds", lambda b: b < F.col(order)))).drop("_bnds"))
+    tot = db.groupBy(k, "_b").agg(F.count(F.lit(1)).alias("_bn"), *[F.sum(c).alias(f"_bs_{c}") for c in sums])
+    wprev = Window.partitionBy(k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(k, "_b", F.coalesce(F.sum("_bn").over(wprev), F.lit(0)).alias("_on"),
+                     *[F.coalesce(F.sum(f"_bs_{c}").over(wprev), F.lit(0)).alias(f"_os_{c}") for c in sums])
+    off = F.broadcast(off) if key is None else off
+    ordc = [order] + ([tie] if tie else [])
+    w = Window.partitionBy(k, "_b").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = (db.join(off, [k, "_b"])
+           .withColumn("_pos", F.col("_on") + F.count(F.lit(1)).over(w)))
+    for c in sums:
+        out = out.withColumn(f"cum_{c}", F.col(f"_os_{c}") + F.sum(c).over(w))
+    drop = ["_b", "_on"] + [f"_os_{c}" for c in sums] + ([] if key else ["_key"])
+    return out.drop(*drop)

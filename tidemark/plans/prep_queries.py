@@ -1 +1,137 @@
-"""Queries (filled in as operators land)."""
+"""Preprocessing queries: fitted parameters, split, encoded/scaled frames."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.stats import r
+from tidemark.operators import prep
+from tidemark.operators import validate as v
+from tidemark.plans.catalog import register
+from tidemark.plans.ingest_queries import _typed_sql
+from tidemark.plans.prep_sql import CATS, FEATURES, R, apply_ctes, long_of, prep_ctes, q
+from tidemark.sources.fixtures import churn_base, churn_raw
+
+_FITTED: dict = {}
+
+
+def fitted(spark, sf_dir):
+    """Fit once per table directory in this process (parameters are small)."""
+    key = (id(spark), sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = prep.fit(churn_base(spark, sf_dir), R)
+    return _FITTED[key]
+
+
+def typed_scoring_rows(spark, sf_dir):
+    return v.typed_projection(churn_raw(spark, sf_dir))
+
+
+def _long(df, idcol):
+    cols = [c for c in df.columns if c != idcol]
+    return (df.select(idcol, *[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([idcol], cols, "feature", "value").withColumn("value", r("value")))
+
+
+@register("p1_impute_median", f"""WITH {prep_ctes()}
+SELECT "column", round(median, 6) AS median FROM _pmed""", ("churn_base",))
+def p1(spark, sf_dir):
+    return prep.fit_medians(churn_base(spark, sf_dir), R.numeric).select("column", r("median").alias("median"))
+
+
+@register("p2_impute_mode", f"""WITH {prep_ctes()}
+SELECT "column", mode FROM _pmode""", ("churn_base",))
+def p2(spark, sf_dir):
+    return prep.fit_modes(churn_base(spark, sf_dir), list(R.binary) + list(R.multi) + list(R.flag))
+
+
+@register("p3_clip_iqr", f"""WITH {prep_ctes()}
+SELECT "column", round(q1, 6) AS q1, round(q3, 6) AS q3, round(lower, 6) AS lower, round(upper, 6) AS upper FROM _bnd""",
+          ("churn_base",))
+def p3(spark, sf_dir):
+    m, _ = fitted(spark, sf_dir)
+    rows = [(c, *b) for c, b in m.bounds.items()]
+    # recomputed as a DataFrame over the imputed table (not from driver values)
+    d = prep.impute(churn_base(spark, sf_dir).where(F.col(R.label).isNotNull()), m)
+    b = prep.fit_bounds(d, R.numeric)
+    assert len(rows) == len(R.numeric)
+    return b.select("column", *[r(c).alias(c) for c in ("q1", "q3", "lower", "upper")])
+
+
+@register("p4_binary_encode", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", v AS value, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT {c} AS v FROM _imp)" for c in R.binary).join(["WITH " + prep_ctes() + "\n", ""]),
+          ("churn_base",))
+def p4(spark, sf_dir):
+    m, _ = fitted(spark, sf_dir)
+    d = prep.impute(churn_base(spark, sf_dir).where(F.col(R.label).isNotNull()), m)
+    return prep.fit_categories(d, R.binary).select("column", "value", F.col("code").cast("int").alias("code"))
+
+
+@register("p5_one_hot", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", v AS value, '{c}_' || v AS feature_name FROM (SELECT DISTINCT {c} AS v FROM _imp)"
+    for c in R.multi).join(["WITH " + prep_ctes() + "\n", ""]), ("churn_base",))
+def p5(spark, sf_dir):
+    m, _ = fitted(spark, sf_dir)
+    d = prep.impute(churn_base(spark, sf_dir).where(F.col(R.label).isNotNull()), m)
+    c = prep.fit_categories(d, R.multi)
+    return c.select("column", "value", F.concat_ws("_", "column", "value").alias("feature_name"))
+
+
+@register("p6_p7_stratified_split", f"""WITH {prep_ctes()}
+SELECT {R.id}, label, is_test FROM _enc""", ("churn_base",))
+def p7(spark, sf_dir):
+    _, enc = fitted(spark, sf_dir)
+    return enc.select(R.id, "label", "is_test")
+
+
+@register("p8_standard_scale", f"""WITH {prep_ctes()}
+SELECT feature, round(mean, 6) AS mean, round(scale, 6) AS scale FROM _sc""", ("churn_base",))
+def p8(spark, sf_dir):
+    m, enc = fitted(spark, sf_dir)
+    train = enc.where(~F.col("is_test"))
+    fs = m.feature_columns
+    # one aggregate pass over the training rows, then one row per feature
+    one = train.agg(*[F.struct(F.avg(F.col(f"`{f}`")).alias("mean"),
+                               F.stddev_pop(F.col(f"`{f}`")).alias("s")).alias(f"_{i}") for i, f in enumerate(fs)])
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_{i}.mean").alias("mean"),
+                                        F.col(f"_{i}.s").alias("s")) for i, f in enumerate(fs)]))
+    out = one.select(rows.alias("x")).select("x.*")
+    return out.select("feature", r("mean").alias("mean"),
+                      r(F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("scale"))
+
+
+@register("p8_scaled_train_frame", f"""WITH {prep_ctes()}
+{long_of('_z', R.id)}""", ("churn_base",))
+def p8z(spark, sf_dir):
+    m, enc = fitted(spark, sf_dir)
+    return _long(prep.transform(enc, m, keep=(R.id,)), R.id)
+
+
+@register("p11_apply_to_new_rows", f"""WITH {prep_ctes()}, _typed AS ({_typed_sql()}), {apply_ctes()}
+{long_of('_az', 'row_no')}""", ("churn_base", "churn_raw"))
+def p11(spark, sf_dir):
+    m, _ = fitted(spark, sf_dir)
+    z = prep.apply_to_new_rows(typed_scoring_rows(spark, sf_dir), m, keep=("row_no",))
+    return _long(z, "row_no")
+
+
+@register("p13_apply_simple")
+def p13(spark, sf_dir):
+    """Older apply path: no imputation and no unknown handling (nulls stay)."""
+    m, _ = fitted(spark, sf_dir)
+    z = prep.apply_to_new_rows(typed_scoring_rows(spark, sf_dir), m, keep=("row_no",), strict=True)
+    return _long(z, "row_no")
+
+
+@register("p10_fitted_params")
+def p10(spark, sf_dir):
+    m, _ = fitted(spark, sf_dir)
+    rows = prep.params_table(m)
+    return spark.createDataFrame(rows, "stage string, column string, key string, value double")
+
+
+@register("v13_config_complete")
+def v13(spark, sf_dir):
+    m, _ = fitted(spark, sf_dir)
+    ok = prep.config_complete(prep.params_table(m))
+    return p10(spark, sf_dir).groupBy("stage").count().withColumn("config_complete", F.lit(ok))
