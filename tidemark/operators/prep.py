@@ -173,7 +173,10 @@ def fit(df: DataFrame, roles: Roles, frac: float = TEST_FRACTION, seed: int = SE
                          + [m.one_hot_name(c, v) for c in roles.multi for v in m.categories[c]])
     dc = clip(di, m)
     enc = dc.select(roles.id, *encode(dc, m), label_int(F.col(roles.label)).alias("label"))
-    enc = split_flag(enc, roles.id, "label", frac, seed)
+    # reused by the scaler, every model and every evaluation: cut the
+    # lineage once into the shared checkpoint folder
+    from tidemark.session import cut_lineage
+    enc = cut_lineage(split_flag(enc, roles.id, "label", frac, seed))
     train = enc.where(~F.col("is_test"))
     st = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(m.feature_columns)],
                    *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(m.feature_columns)]).first()
