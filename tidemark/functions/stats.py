@@ -130,3 +130,17 @@ def ordered_prefix(df: DataFrame, order: str, sums, key: str | None = None, tie:
         out = out.withColumn(f"cum_{c}", F.col(f"_os_{c}") + F.sum(c).over(w))
     drop = ["_b", "_on"] + [f"_os_{c}" for c in sums] + ([] if key else ["_key"])
     return out.drop(*drop)
+
+
+def top_k_per_key(df: DataFrame, key: str, order, k: int, salts: int = 16) -> DataFrame:
+    """First ``k`` rows per ``key`` by ``order`` (list of columns/names),
+    exact.  Two rounds: top-k inside (key, salt) groups, then top-k over at
+    most salts*k survivors per key, so a key holding a third of all rows is
+    still spread over ``salts`` tasks.  Adds ``rank`` (1-based)."""
+    order = list(order)
+    salt = F.pmod(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in [key] + df.columns]), F.lit(salts))
+    d = df.withColumn("_salt", salt)
+    w1 = Window.partitionBy(key, "_salt").orderBy(*order)
+    stage1 = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(key).orderBy(*order)
+    return stage1.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)

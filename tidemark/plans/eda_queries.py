@@ -197,7 +197,7 @@ def e14(spark, sf_dir):
 @register("e15_bin_labels", f"""
 SELECT feature, bin, frequency,
   CAST(CAST(round(bin_lower, 0) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(round(bin_upper, 0) AS BIGINT) AS VARCHAR) AS label
-FROM ({_HIST_SQL.strip()[5:] if False else _HIST_SQL})""", ("churn_base",))
+FROM ({_HIST_SQL})""", ("churn_base",))
 def e15(spark, sf_dir):
     h = e2(spark, sf_dir)
     return h.select("feature", "bin", "frequency", eda.bin_label(F.col("bin_lower"), F.col("bin_upper")).alias("label"))

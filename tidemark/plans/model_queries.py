@@ -49,10 +49,10 @@ def _nb_ctes() -> str:
     return f"""{prep_ctes()},
 _nbs AS (SELECT label, count(*) AS n, {stats} FROM _z WHERE NOT is_test GROUP BY label),
 _eps AS (SELECT {eps} AS eps FROM _z WHERE NOT is_test),
-_jll AS (SELECT t.{R.id}, t.label, {jll(0)} AS j0, {jll(1)} AS j1
+_jll AS MATERIALIZED (SELECT t.{R.id}, t.label, {jll(0)} AS j0, {jll(1)} AS j1
          FROM _z t, (SELECT * FROM _nbs WHERE label = 0) c0, (SELECT * FROM _nbs WHERE label = 1) c1, _eps e
          WHERE t.is_test),
-_pred AS (SELECT {R.id}, label,
+_pred AS MATERIALIZED (SELECT {R.id}, label,
             CASE WHEN j0 - j1 > 0 THEN exp(-(j0 - j1)) / (1 + exp(-(j0 - j1))) ELSE 1 / (1 + exp(j0 - j1)) END AS probability,
             CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS pred FROM _jll)"""
 

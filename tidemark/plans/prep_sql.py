@@ -58,15 +58,15 @@ def prep_ctes(src: str = "churn_base") -> str:
                   f"(SELECT scale FROM _sc WHERE feature = '{f}') AS {q(f)}" for f in FEATURES)
     return f"""_pmed AS ({med}),
 _pmode AS ({mode}),
-_imp AS (SELECT {R.id}, {R.label}, {', '.join(imp_cols)} FROM {src} WHERE {R.label} IS NOT NULL),
+_imp AS MATERIALIZED (SELECT {R.id}, {R.label}, {', '.join(imp_cols)} FROM {src} WHERE {R.label} IS NOT NULL),
 _bnd AS ({bnd}),
-_clip AS (SELECT * REPLACE ({', '.join(clip_cols)}) FROM _imp),
+_clip AS MATERIALIZED (SELECT * REPLACE ({', '.join(clip_cols)}) FROM _imp),
 _enc0 AS (SELECT {R.id}, CASE WHEN {R.label} THEN 1 ELSE 0 END AS label, {h} AS _h, {', '.join(enc)} FROM _clip),
-_enc AS (SELECT * EXCLUDE (_h, _rn, _n), _rn <= floor(_n * {TEST_FRACTION} + 0.5) AS is_test FROM (
+_enc AS MATERIALIZED (SELECT * EXCLUDE (_h, _rn, _n), _rn <= floor(_n * {TEST_FRACTION} + 0.5) AS is_test FROM (
           SELECT *, row_number() OVER (PARTITION BY label ORDER BY _h, {R.id}) AS _rn,
                  count(*) OVER (PARTITION BY label) AS _n FROM _enc0)),
 _sc AS ({sc}),
-_z AS (SELECT {R.id}, label, is_test, {z} FROM _enc)"""
+_z AS MATERIALIZED (SELECT {R.id}, label, is_test, {z} FROM _enc)"""
 
 
 def apply_ctes(src: str = "_typed") -> str:
@@ -84,8 +84,8 @@ def apply_ctes(src: str = "_typed") -> str:
             enc.append(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS {q(c + '_' + v)}")
     z = ", ".join(f"({q(f)} - (SELECT mean FROM _sc WHERE feature = '{f}')) / "
                   f"(SELECT scale FROM _sc WHERE feature = '{f}') AS {q(f)}" for f in FEATURES)
-    return f"""_aenc AS (SELECT row_no, {', '.join(enc)} FROM {src}),
-_az AS (SELECT row_no, {z} FROM _aenc)"""
+    return f"""_aenc AS MATERIALIZED (SELECT row_no, {', '.join(enc)} FROM {src}),
+_az AS MATERIALIZED (SELECT row_no, {z} FROM _aenc)"""
 
 
 def long_of(src: str, idcol: str) -> str:
