@@ -41,7 +41,9 @@ class NaiveBayes:
     def probability(self) -> Column:
         """P(class 1), numerically stable two-class softmax."""
         d = self.joint_log_likelihood(0) - self.joint_log_likelihood(1)
-        return F.when(d > 0, F.exp(-d) / (1 + F.exp(-d))).otherwise(1 / (1 + F.exp(d)))
+        # exp overflows to +inf for large d, giving exactly 0.0: no branch,
+        # so the long likelihood expression appears once in the plan
+        return 1 / (1 + F.exp(d))
 
     def decision(self) -> Column:
         """Own class decision (argmax, ties to class 0)."""
