@@ -171,11 +171,17 @@ def shapley_sampling(scaled: DataFrame, nb: NaiveBayes, id_col: str, permutation
         id_col, names[F.col("i")].alias("feature"), "shapley")
 
 
+def _mag(s) -> Column:
+    """Sort magnitude: |contribution| at 9 decimals, so float noise between
+    engines cannot reorder near-equal contributions (ties go by name)."""
+    return F.abs(F.round(s["contribution"], 9))
+
+
 def top_contributors(expl: DataFrame, keep=(), k: int = TOP_CONTRIBUTORS) -> DataFrame:
     """Contributions sorted by absolute value; top ``k`` positive and
     top ``k`` negative; zero goes to neither.  Array functions per row."""
-    srt = F.array_sort("contributions", lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1)
-                       .when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1)
+    srt = F.array_sort("contributions", lambda a, b: F.when(_mag(a) > _mag(b), -1)
+                       .when(_mag(a) < _mag(b), 1)
                        .otherwise(F.when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1)
                                   .otherwise(0)))
     pos = F.slice(F.filter(srt, lambda s: s["contribution"] > 0), 1, k)
@@ -206,8 +212,8 @@ def with_fallback(top: DataFrame) -> DataFrame:
 def waterfall(expl: DataFrame, id_col: str) -> DataFrame:
     """Base bar, contributions by |value| descending with running
     totals, final bar.  Running totals are array sums within the row."""
-    srt = F.array_sort("contributions", lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1)
-                       .when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1)
+    srt = F.array_sort("contributions", lambda a, b: F.when(_mag(a) > _mag(b), -1)
+                       .when(_mag(a) < _mag(b), 1)
                        .otherwise(F.when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1)
                                   .otherwise(0)))
     d = expl.select(id_col, "base_value", "probability", srt.alias("_s"))

@@ -96,7 +96,7 @@ def x6(spark, sf_dir):
 
 _TOPK = """_rk AS (SELECT row_no, feature, contribution,
     CASE WHEN contribution > 0 THEN 'positive' WHEN contribution < 0 THEN 'negative' END AS direction,
-    row_number() OVER (PARTITION BY row_no, contribution > 0, contribution < 0 ORDER BY abs(contribution) DESC, feature) AS rank
+    row_number() OVER (PARTITION BY row_no, contribution > 0, contribution < 0 ORDER BY abs(round(contribution, 9)) DESC, feature) AS rank
   FROM _contrib)"""
 
 
@@ -138,7 +138,7 @@ def x4(spark, sf_dir):
 
 
 @register("x10_waterfall", f"""WITH {SCORE_CTES},
-_wo AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY abs(contribution) DESC, feature) AS step FROM _contrib),
+_wo AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY abs(round(contribution, 9)) DESC, feature) AS step FROM _contrib),
 _w AS (SELECT row_no, step, feature AS label,
               base_value + coalesce(sum(contribution) OVER (PARTITION BY row_no ORDER BY step
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, contribution FROM _wo)
