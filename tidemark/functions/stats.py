@@ -144,3 +144,15 @@ def top_k_per_key(df: DataFrame, key: str, order, k: int, salts: int = 16) -> Da
     stage1 = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(key).orderBy(*order)
     return stage1.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+
+
+def round_half_up(c, digits: int) -> Column:
+    """Round through DECIMAL(38,10): binary noise is absorbed first, so a
+    value printed as x.xx5 rounds up in every engine (plain double rounding
+    differs between engines on such ties)."""
+    col = c if isinstance(c, Column) else F.col(c)
+    return F.round(col.cast("decimal(38,10)"), digits).cast("double")
+
+
+def round_half_up_sql(expr: str, digits: int) -> str:
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"

@@ -1 +1,237 @@
-"""Queries (filled in as operators land)."""
+"""Job, registry, notification, request-log and table-count queries."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.stats import r
+from tidemark.operators import ops as O
+from tidemark.plans.catalog import register
+from tidemark.sources import fixtures as X
+from tidemark.sources.tables import TABLES, table
+
+TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("j1_stale_jobs", """
+WITH _asof AS (SELECT max(created_at) AS t FROM jobs),
+_l AS (SELECT owner_id, dataset_id, model_type, max(trained_at) AS lt,
+              arg_max(version_id, (trained_at, version_id)) AS lv FROM versions GROUP BY ALL),
+_s AS (SELECT j.* FROM jobs j, _asof a
+       WHERE (status = 'queued' AND date_diff('second', created_at, a.t) / 60 >= 15)
+          OR (status = 'running' AND date_diff('second', created_at, a.t) / 60 >= 60))
+SELECT job_id, owner_id, dataset_id, model_type, status,
+       CASE WHEN lt >= created_at THEN 'completed' ELSE 'failed' END AS new_status,
+       CASE WHEN lt >= created_at THEN lv END AS resolved_version
+FROM _s LEFT JOIN _l USING (owner_id, dataset_id, model_type)""", ("versions",))
+def j1(spark, sf_dir):
+    jobs = X.jobs(spark, sf_dir)
+    as_of = jobs.select(F.max("created_at")).scalar()
+    return O.stale_jobs(jobs, X.versions(spark, sf_dir), as_of)
+
+
+@register("j2_list_jobs", """
+SELECT owner_id, job_id, status, created_at, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, job_id DESC) AS rank
+  FROM jobs WHERE status IN ('queued', 'running')) WHERE rank <= 10""", ("jobs",))
+def j2(spark, sf_dir):
+    out = O.list_jobs(X.jobs(spark, sf_dir), ["queued", "running"])
+    return out.withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("j3_latest_metrics", """
+SELECT job_id, metric_name, arg_max(metric_value, (recorded_at, event_id)) AS metric_value,
+       max(recorded_at) AS recorded_at FROM metric_events GROUP BY ALL""", ("metric_events",))
+def j3(spark, sf_dir):
+    return O.latest_metrics(X.metric_events(spark, sf_dir))
+
+
+@register("j4_progress_history", """
+SELECT job_id, metric_name, row_number() OVER (PARTITION BY job_id, metric_name ORDER BY recorded_at, event_id) AS iteration,
+       metric_value FROM metric_events""", ("metric_events",))
+def j4(spark, sf_dir):
+    return O.progress_history(X.metric_events(spark, sf_dir))
+
+
+@register("j5_newest_unread", """
+SELECT notification_id, user_id, type, created_at, is_read, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT event_id AS notification_id, user_id, event_type AS type, ts AS created_at,
+         event_type IN ('view', 'click') AS is_read,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank
+  FROM events WHERE event_type NOT IN ('view', 'click')) WHERE rank <= 50""")
+def j5(spark, sf_dir):
+    n = O.notifications(table(spark, sf_dir, "events"))
+    return O.newest_unread(n).withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("j5_unread_counts", """
+SELECT user_id, CAST(count_if(event_type NOT IN ('view', 'click')) AS BIGINT) AS unread_count FROM events GROUP BY user_id""")
+def j5c(spark, sf_dir):
+    return O.unread_counts(O.notifications(table(spark, sf_dir, "events")))
+
+
+@register("j6_table_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES))
+def j6(spark, sf_dir):
+    return O.table_counts(spark, sf_dir, TABLES)
+
+
+@register("j7_text_search", """
+SELECT user_id, name, team, role, created_at, user_id = 0 AS is_current FROM users
+WHERE coalesce(contains(lower(name), '00001'), false) OR coalesce(contains(lower(team), 'build'), false)
+   OR coalesce(contains(lower(role), 'admin'), false)""", ("users",))
+def j7(spark, sf_dir):
+    # three search terms or-ed as the UI does over name, team and role
+    u = X.users(spark, sf_dir)
+    cond = (F.coalesce(F.lower("name").contains("00001"), F.lit(False))
+            | F.coalesce(F.lower("team").contains("build"), F.lit(False))
+            | F.coalesce(F.lower("role").contains("admin"), F.lit(False)))
+    return u.where(cond).withColumn("is_current", F.col("user_id") == 0)
+
+
+@register("j8_pick_by_status", """
+SELECT owner_id, arg_min(job_id, (CASE status WHEN 'running' THEN 1 WHEN 'completed' THEN 2 WHEN 'failed' THEN 3 ELSE 9 END, job_id)) AS job_id
+FROM jobs GROUP BY owner_id""", ("jobs",))
+def j8(spark, sf_dir):
+    return O.pick_by_status(X.jobs(spark, sf_dir))
+
+
+@register("j9_model_dataset_lookup", """
+SELECT v.dataset_id, d.filename FROM (SELECT DISTINCT dataset_id FROM versions) v
+LEFT JOIN datasets d USING (dataset_id)""", ("versions", "datasets"))
+def j9(spark, sf_dir):
+    return O.model_dataset_lookup(X.versions(spark, sf_dir), X.datasets(spark, sf_dir))
+
+
+@register("j10_progress_percent", """
+SELECT owner_id, CAST(least(greatest(CASE WHEN count(*) > 0 THEN floor(count_if(status = 'completed') * 100.0 / count(*)) ELSE 0 END, 0), 100) AS INTEGER) AS progress
+FROM jobs GROUP BY owner_id""", ("jobs",))
+def j10(spark, sf_dir):
+    g = X.jobs(spark, sf_dir).groupBy("owner_id").agg(F.count_if(F.col("status") == "completed").alias("d"),
+                                                      F.count(F.lit(1)).alias("t"))
+    return g.select("owner_id", O.progress_percent(F.col("d"), F.col("t")).alias("progress"))
+
+
+@register("j11_path_normalise", f"""
+SELECT regexp_replace(regexp_replace(coalesce(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1), ''),
+         '{O.UUID_SEGMENT}', '/{{id}}', 'g'), '{O.NUMERIC_SEGMENT}', '/{{id}}', 'g') AS path,
+       count(*) AS requests FROM pages GROUP BY 1""")
+def j11(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    path = F.coalesce(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)?", 1), F.lit(""))
+    return p.groupBy(O.normalise_path(path).alias("path")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@register("j12_request_class", """
+SELECT response_ms / 1000 > 1.0 AS slow,
+       CASE WHEN status_code >= 500 THEN 'error' WHEN status_code >= 400 THEN 'warning' ELSE 'ok' END AS level,
+       count(*) AS requests FROM request_log GROUP BY ALL""", ("request_log",))
+def j12(spark, sf_dir):
+    log = X.request_log(spark, sf_dir)
+    slow, level = O.request_class(F.col("status_code"), F.col("response_ms"))
+    return log.groupBy(slow.alias("slow"), level.alias("level")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@register("j13_client_ip", """
+SELECT event_id, coalesce(CASE WHEN coalesce(x_forwarded_for, '') <> '' THEN trim(split_part(x_forwarded_for, ',', 1)) END,
+                          host, 'unknown') AS client_ip FROM request_log""", ("request_log",))
+def j13(spark, sf_dir):
+    log = X.request_log(spark, sf_dir)
+    return log.select("event_id", O.client_ip(F.col("x_forwarded_for"), F.col("host")).alias("client_ip"))
+
+
+@register("j14_over_limit", """
+SELECT client, time_bucket(INTERVAL 1 MINUTE, ts) AS minute, count(*) AS requests, count(*) > 1 AS over_limit
+FROM requests GROUP BY ALL""", ("requests",))
+def j14(spark, sf_dir):
+    # fixture limit: at most 2 events per user and minute, so the limit is 1
+    return O.over_limit(X.requests(spark, sf_dir), limit=1)
+
+
+@register("j15_list_datasets", """
+SELECT dataset_id, filename, status, uploaded_at, (SELECT count(*) FROM datasets) AS total FROM datasets""",
+          ("datasets",))
+def j15(spark, sf_dir):
+    d = X.datasets(spark, sf_dir)
+    return d.select("dataset_id", "filename", "status", "uploaded_at",
+                    d.select(F.count(F.lit(1))).scalar().alias("total"))
+
+
+@register("j16_status_mapping", """
+SELECT dataset_id, status, CASE status WHEN 'ready' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'processing' END AS display_status,
+       CAST(CASE WHEN status IN ('ready', 'failed') THEN 100 ELSE 50 END AS INTEGER) AS progress,
+       CASE WHEN status = 'failed' THEN coalesce(json_extract_string(validation_errors, '$.error'), 'Processing failed') END AS error
+FROM datasets""", ("datasets",))
+def j16(spark, sf_dir):
+    return O.status_mapping(X.datasets(spark, sf_dir))
+
+
+@register("j17_last_of_role", """
+SELECT user_id, role, created_at, count(*) OVER (PARTITION BY role) = 1 AS removal_refused FROM users""",
+          ("users",))
+def j17(spark, sf_dir):
+    return O.last_of_role(X.users(spark, sf_dir))
+
+
+@register("m12_version_string", """
+SELECT version_id, lower(regexp_replace(model_type, '[^A-Za-z0-9]', '', 'g')) || '_' || substr(CAST(dataset_id AS VARCHAR), 1, 8)
+       || '_' || strftime(trained_at, '%Y%m%d_%H%M%S') AS version FROM versions""", ("versions",))
+def m12(spark, sf_dir):
+    v = X.versions(spark, sf_dir)
+    return v.select("version_id", O.version_string(F.col("model_type"), F.col("dataset_id"),
+                                                   F.col("trained_at")).alias("version"))
+
+
+@register("m13_list_versions", """
+SELECT version_id, model_type, f1, row_number() OVER (PARTITION BY model_type ORDER BY -f1, version_id) AS position
+FROM versions WHERE status = 'active'""", ("versions",))
+def m13(spark, sf_dir):
+    return O.list_versions(X.versions(spark, sf_dir)).select("version_id", "model_type", "f1", "position")
+
+
+@register("m15_archive", """
+WITH _c AS (SELECT max(trained_at) - INTERVAL 730 DAY AS cut FROM versions)
+SELECT version_id, CASE WHEN trained_at < cut AND status = 'active' THEN 'archived' ELSE status END AS status,
+       CASE WHEN trained_at < cut AND status = 'active' THEN cut END AS archived_at FROM versions, _c""",
+          ("versions",))
+def m15(spark, sf_dir):
+    v = X.versions(spark, sf_dir)
+    cut = v.select(F.max("trained_at")).scalar() - F.expr("INTERVAL 730 DAYS")
+    return O.archive(v, cut, cut).select("version_id", "status", "archived_at")
+
+
+@register("m16_best_model", """
+SELECT model_type, arg_max(version_id, (f1, -version_id)) AS version_id, max(f1) AS f1 FROM versions GROUP BY model_type""",
+          ("versions",))
+def m16(spark, sf_dir):
+    return O.best_model(X.versions(spark, sf_dir))
+
+
+@register("m17_untrained_types", f"""
+WITH _req AS (SELECT c_custkey AS owner_id, t.model_type FROM customer, (SELECT unnest({TYPES!r}) AS model_type) t),
+_act AS (SELECT DISTINCT owner_id, model_type FROM versions WHERE status = 'active'),
+_pen AS (SELECT DISTINCT owner_id, model_type FROM jobs WHERE status IN ('queued', 'running'))
+SELECT r.owner_id, r.model_type, CASE WHEN p.owner_id IS NOT NULL THEN 'training in progress' ELSE 'not trained' END AS reason
+FROM _req r LEFT JOIN _pen p USING (owner_id, model_type)
+WHERE NOT EXISTS (SELECT 1 FROM _act a WHERE a.owner_id = r.owner_id AND a.model_type = r.model_type)""",
+          ("versions",))
+def m17(spark, sf_dir):
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner_id"))
+    return O.untrained_types(owners, TYPES, X.versions(spark, sf_dir), X.jobs(spark, sf_dir))
+
+
+@register("m19_comparison_table", """
+SELECT version_id, model_type, model_type || '_' || version_id AS version,
+       CAST(round(CAST(f1 * 100 AS DECIMAL(38,10)), 2) AS DOUBLE) AS f1_percent,
+       CAST(round(CAST(training_time_seconds AS DECIMAL(38,10)), 2) AS DOUBLE) AS training_time_seconds FROM versions
+WHERE contains(lower(model_type), 'high') OR contains(lower(model_type || '_' || version_id), 'high')""",
+          ("versions",))
+def m19(spark, sf_dir):
+    return O.comparison_table(X.versions(spark, sf_dir), search="high")
+
+
+@register("s10_dataset_cascade", """
+SELECT j.* FROM jobs j WHERE dataset_id NOT IN (SELECT dataset_id FROM datasets WHERE status = 'failed')""",
+          ("jobs", "datasets"))
+def s10(spark, sf_dir):
+    d = X.datasets(spark, sf_dir).where(F.col("status") == "failed")
+    return O.cascade_delete(d, X.jobs(spark, sf_dir), "dataset_id")

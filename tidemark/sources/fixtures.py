@@ -250,7 +250,7 @@ def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id"), F.col("user_id").alias("job_id"),
                      F.col("event_type").alias("metric_name"),
                      F.col("value").alias("metric_value"),
-                     F.col("ts").cast("timestamp").alias("recorded_at"))
+                     F.col("ts").alias("recorded_at"))
 
 
 _METRIC_EVENTS_SQL = """
@@ -260,8 +260,7 @@ _METRIC_EVENTS_SQL = """
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.select("event_id", F.col("user_id").alias("client"),
-                     F.col("ts").cast("timestamp").alias("ts"), "props")
+    return ev.select("event_id", F.col("user_id").alias("client"), F.col("ts"), "props")
 
 
 _REQUESTS_SQL = """
@@ -277,15 +276,15 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(st == "O", "queued").when(st == "P", "running").when(st == "F", "completed")
     return o.select(F.col("o_orderkey").alias("job_id"),
                     F.col("o_custkey").alias("owner_id"),
-                    (F.col("o_custkey") % 7).alias("dataset_id"),
+                    (F.col("o_custkey") % 25).alias("dataset_id"),
                     F.col("o_orderpriority").alias("model_type"),
                     status.alias("status"),
-                    F.col("o_orderdate").cast("timestamp").alias("created_at"),
+                    F.col("o_orderdate").alias("created_at"),
                     F.col("o_totalprice").alias("score"))
 
 
 _JOBS_SQL = """
-  jobs AS (SELECT o_orderkey AS job_id, o_custkey AS owner_id, o_custkey % 7 AS dataset_id,
+  jobs AS (SELECT o_orderkey AS job_id, o_custkey AS owner_id, o_custkey % 25 AS dataset_id,
                   o_orderpriority AS model_type,
                   CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running'
                        WHEN 'F' THEN 'completed' END AS status,
@@ -318,3 +317,107 @@ def with_fixtures(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# ---- operational tables derived from orders / nation / events / customer ----
+
+def _rhu(c, d):
+    from tidemark.functions.stats import round_half_up
+    return round_half_up(c, d)
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model versions: one per completed job; metrics derived from the order."""
+    j = jobs(spark, sf_dir).where(F.col("status") == "completed")
+    s = F.col("score")
+    return j.select(
+        F.col("job_id").alias("version_id"), "owner_id", "dataset_id", "model_type",
+        (F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("job_id") % 97).cast("int"))).alias("trained_at"),
+        _rhu((s % 1000) / 1000, 4).alias("f1"), _rhu((s % 997) / 997, 4).alias("accuracy"),
+        _rhu((s % 991) / 991, 4).alias("precision"), _rhu((s % 983) / 983, 4).alias("recall"),
+        _rhu(s / 1000, 2).alias("training_time_seconds"),
+        F.when(F.col("job_id") % 5 == 0, "archived").otherwise("active").alias("status"))
+
+
+_VERSIONS_SQL = """
+  versions AS (SELECT job_id AS version_id, owner_id, dataset_id, model_type,
+                 created_at + to_minutes(CAST(job_id % 97 AS BIGINT)) AS trained_at,
+                 CAST(round(CAST((score % 1000) / 1000 AS DECIMAL(38,10)), 4) AS DOUBLE) AS f1,
+                 CAST(round(CAST((score % 997) / 997 AS DECIMAL(38,10)), 4) AS DOUBLE) AS accuracy,
+                 CAST(round(CAST((score % 991) / 991 AS DECIMAL(38,10)), 4) AS DOUBLE) AS precision,
+                 CAST(round(CAST((score % 983) / 983 AS DECIMAL(38,10)), 4) AS DOUBLE) AS recall,
+                 CAST(round(CAST(score / 1000 AS DECIMAL(38,10)), 2) AS DOUBLE) AS training_time_seconds,
+                 CASE WHEN job_id % 5 = 0 THEN 'archived' ELSE 'active' END AS status
+               FROM jobs WHERE status = 'completed')"""
+
+
+def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded datasets: one per nation."""
+    n = table(spark, sf_dir, "nation")
+    st = F.when(F.col("n_regionkey") == 0, "processing").when(F.col("n_regionkey") == 1, "failed").otherwise("ready")
+    return n.select(F.col("n_nationkey").cast("long").alias("dataset_id"),
+                    F.concat(F.lower("n_name"), F.lit(".csv")).alias("filename"),
+                    F.col("n_regionkey").cast("long").alias("owner_id"), st.alias("status"),
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+                     + F.make_dt_interval(F.col("n_nationkey").cast("int"))).alias("uploaded_at"),
+                    F.when(st == "failed", F.concat(F.lit('{"error": "Row '), F.col("n_nationkey").cast("string"),
+                                                     F.lit(': bad value"}'))).alias("validation_errors"))
+
+
+_DATASETS_SQL = """
+  datasets AS (SELECT CAST(n_nationkey AS BIGINT) AS dataset_id, lower(n_name) || '.csv' AS filename,
+                 CAST(n_regionkey AS BIGINT) AS owner_id,
+                 CASE WHEN n_regionkey = 0 THEN 'processing' WHEN n_regionkey = 1 THEN 'failed' ELSE 'ready' END AS status,
+                 TIMESTAMP '2024-01-01 00:00:00' + to_days(n_nationkey) AS uploaded_at,
+                 CASE WHEN n_regionkey = 1 THEN '{"error": "Row ' || n_nationkey || ': bad value"}' END AS validation_errors
+               FROM nation)"""
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP request log from events (path, status, latency, headers)."""
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    status = (F.when(F.col("event_type") == "error", 500 + k % 4)
+              .when(F.col("event_type") == "signup", 400 + k % 5).otherwise(200))
+    path = F.concat(F.lit("/api/"), F.col("event_type"), F.lit("/"), F.col("user_id").cast("string"))
+    xff = F.when(k % 3 == 0, F.concat(F.lit(" 10.0."), F.col("user_id").cast("string"), F.lit("."),
+                                      k.cast("string"), F.lit(" , 172.16.0.1")))
+    host = F.when(k % 2 == 0, F.concat(F.lit("192.168."), F.col("user_id").cast("string"), F.lit(".1")))
+    return ev.select("event_id", F.col("user_id").alias("client"), F.col("ts"),
+                     path.alias("path"), status.cast("int").alias("status_code"),
+                     (F.col("value") * 100).alias("response_ms"), xff.alias("x_forwarded_for"), host.alias("host"))
+
+
+_REQUEST_LOG_SQL = """
+  request_log AS (SELECT event_id, user_id AS client, ts,
+      '/api/' || event_type || '/' || user_id AS path,
+      CAST(CASE WHEN event_type = 'error' THEN 500 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 4
+                WHEN event_type = 'signup' THEN 400 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 5
+                ELSE 200 END AS INTEGER) AS status_code,
+      value * 100 AS response_ms,
+      CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0
+           THEN ' 10.0.' || user_id || '.' || json_extract_string(props, '$.k') || ' , 172.16.0.1' END AS x_forwarded_for,
+      CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN '192.168.' || user_id || '.1' END AS host
+    FROM events)"""
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
+                    F.col("c_mktsegment").alias("team"),
+                    F.when(F.col("c_acctbal") > 9990, "Admin").otherwise("Analyst").alias("role"),
+                    (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+                     + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("c_custkey").cast("decimal(18,6)"))).alias("created_at"))
+
+
+_USERS_SQL = """
+  users AS (SELECT c_custkey AS user_id, c_name AS name, c_mktsegment AS team,
+              CASE WHEN c_acctbal > 9990 THEN 'Admin' ELSE 'Analyst' END AS role,
+              TIMESTAMP '2020-01-01 00:00:00' + to_seconds(c_custkey) AS created_at FROM customer)"""
+
+FIXTURE_SQL.update({
+    "versions": (_VERSIONS_SQL, ("jobs",)),
+    "datasets": (_DATASETS_SQL, ()),
+    "request_log": (_REQUEST_LOG_SQL, ()),
+    "users": (_USERS_SQL, ()),
+})
