@@ -1,0 +1,71 @@
+"""MLlib-backed classifiers (M3, M4, M5, M11).  Training data stays
+distributed; only model objects and small summaries reach the driver."""
+from __future__ import annotations
+
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SEED = 42
+
+
+def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol=out,
+                           handleInvalid="keep").transform(df)
+
+
+def fit_tree(train: DataFrame, max_depth: int = 10, impurity: str = "gini", min_instances: int = 1,
+             label: str = "label"):
+    """M3: depth 10, gini, seed 42 (binned splits, so not bit-equal to an
+    exact CART)."""
+    return DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, impurity=impurity,
+                                  minInstancesPerNode=min_instances, seed=SEED, maxBins=64).fit(train)
+
+
+def fit_svm(train: DataFrame, C: float = 1.0, max_iter: int = 1500, label: str = "label"):
+    """M4: linear SVM with C -> regParam = 1 / (C * n); probabilities by
+    Platt scaling, a logistic fit on the margins."""
+    n = train.count()
+    svm = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (C * n), maxIter=max_iter).fit(train)
+    margins = svm.transform(train).select(F.array(vector_to_array("rawPrediction")[1]).alias("_m"), label)
+    margins = VectorAssembler(inputCols=["_m0"], outputCol="mvec").transform(
+        margins.select(F.col("_m")[0].alias("_m0"), label))
+    platt = LogisticRegression(featuresCol="mvec", labelCol=label, maxIter=100).fit(margins)
+    return svm, platt
+
+
+def svm_probability(svm, platt, df: DataFrame, label: str = "label") -> DataFrame:
+    m = svm.transform(df).withColumn("_m0", vector_to_array("rawPrediction")[1])
+    m = VectorAssembler(inputCols=["_m0"], outputCol="mvec").transform(m.drop("probability", "prediction",
+                                                                             "rawPrediction"))
+    p = platt.transform(m)
+    return p.withColumn("probability", vector_to_array("probability")[1])
+
+
+def with_probability(model, df: DataFrame) -> DataFrame:
+    out = model.transform(df)
+    return out.withColumn("probability", vector_to_array("probability")[1]).withColumn(
+        "pred", F.col("prediction").cast("int"))
+
+
+def search_tree(train_with_folds: DataFrame, label: str = "label", fold_col: str = "fold", parallelism: int = 4):
+    """M5: grid over depth and impurity, folds given as a column, mean F1
+    of the positive class; folds run in parallel."""
+    dt = DecisionTreeClassifier(featuresCol="features", labelCol=label, seed=SEED, maxBins=64)
+    grid = (ParamGridBuilder().addGrid(dt.maxDepth, [3, 5, 10])
+            .addGrid(dt.impurity, ["gini", "entropy"]).build())
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=dt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=5,
+                        parallelism=parallelism, seed=SEED)
+    return cv.fit(train_with_folds), grid
+
+
+def importances(model, features, top: int = 15):
+    """Feature importances, largest first, top 15."""
+    imp = model.featureImportances.toArray()
+    pairs = sorted(zip(features, [float(x) for x in imp]), key=lambda t: (-t[1], t[0]))
+    return pairs[:top]
