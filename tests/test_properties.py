@@ -108,3 +108,50 @@ def test_iqr_outliers_empty_column(spark):
     df = spark.createDataFrame([(1, None, True), (2, None, False)], "id int, x double, y boolean")
     r = quality.iqr_outliers(df, roles).collect()[0]
     assert r["outlier_count"] == 0 and r["outlier_percentage"] == 0.0
+
+
+def test_shapley_samples_sum_to_p_minus_base(spark):
+    """X4 on the fixture model: per row the sampled values add up to
+    p(x) - p(baseline) (exact for every permutation)."""
+    from tests.conftest import SF_SMALL
+    from tidemark.operators import score as X
+    from tidemark.plans.model_queries import naive_bayes, scaled_split
+    m, z = scaled_split(spark, SF_SMALL)
+    nb = naive_bayes(spark, SF_SMALL)
+    test = z.where(F.col("is_test")).limit(20)
+    s = X.shapley_sampling(test, nb, "customer_id", permutations=4).groupBy("customer_id").agg(
+        F.sum("shapley").alias("s"))
+    e = X.local_contributions(test, nb, keep=("customer_id",)).select("customer_id", "probability", "base_value")
+    for r in s.join(e, "customer_id").collect():
+        assert r["s"] == pytest.approx(r["probability"] - r["base_value"], abs=1e-9)
+
+
+def test_local_contributions_sum_and_top_k(spark):
+    from tests.conftest import SF_SMALL
+    from tidemark.operators import score as X
+    from tidemark.plans.model_queries import naive_bayes, scaled_split
+    m, z = scaled_split(spark, SF_SMALL)
+    nb = naive_bayes(spark, SF_SMALL)
+    e = X.local_contributions(z.limit(30), nb, keep=("customer_id",))
+    for r in e.collect():
+        tot = sum(c["contribution"] for c in r["contributions"])
+        raw_nonzero = any(abs(c["contribution"]) > 1e-12 for c in r["contributions"])
+        if raw_nonzero:
+            assert tot == pytest.approx(r["probability"] - r["base_value"], abs=1e-9)
+    t = X.top_contributors(e, keep=("customer_id",)).collect()
+    for r in t:
+        assert len(r["top_positive"]) <= 5 and all(c["contribution"] > 0 for c in r["top_positive"])
+        assert all(c["contribution"] < 0 for c in r["top_negative"])
+
+
+def test_split_quota_and_scaler(spark):
+    from tests.conftest import SF_SMALL
+    from tidemark.plans.prep_queries import fitted
+    m, enc = fitted(spark, SF_SMALL)
+    rows = enc.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).collect()
+    for r in rows:
+        assert r["t"] == int(r["n"] * 0.2 + 0.5)
+    from tidemark.operators import prep
+    z = prep.transform(enc.where(~F.col("is_test")), m)
+    st = z.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(m.feature_columns)]).first()
+    assert all(abs(st[f"m{i}"]) < 1e-9 for i in range(len(m.feature_columns)))

@@ -281,3 +281,37 @@ def export_rows(scored: DataFrame, input_cols, order=None) -> DataFrame:
                                     F.when(F.col("prediction"), "Yes").otherwise("No").alias("Churn_Prediction")]
     cols += [fmt(c) for c in rest]
     return scored.select(*cols)
+
+
+def shapley_sampling_model(df: DataFrame, model, features, id_col: str, permutations: int = 8,
+                           seed: int = 42) -> DataFrame:
+    """The permutation sampler for any MLlib classifier with a
+    probability column (used for the decision tree).  Background is the
+    all-zero row in scaled space.  Each (row, permutation) expands to d+1
+    coalitions (a bounded explode), the model scores them in one
+    ``transform``, and steps are differenced inside (row, permutation)
+    windows of d+1 rows.  Output (id, feature, shapley)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import Window
+    fs = list(features)
+    d = len(fs)
+    x = df.select(id_col, F.array(*[qc(f) for f in fs]).alias("_x"))
+    x = x.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    order = F.transform(
+        F.array_sort(F.array(*[F.struct(F.xxhash64(F.col(id_col), F.col("_perm"), F.lit(seed), F.lit(i)).alias("h"),
+                                        F.lit(i).alias("i")) for i in range(d)])),
+        lambda s: s["i"])
+    x = x.withColumn("_ord", order).withColumn(
+        "_pos", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("_ord"), i)))
+    x = x.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    vec = F.transform("_x", lambda v, i: F.when(F.col("_pos")[i] <= F.col("_k"), v).otherwise(F.lit(0.0)))
+    scored = model.transform(x.withColumn("features", array_to_vector(vec)))
+    p = vector_to_array("probability")[1]
+    w = Window.partitionBy(id_col, "_perm").orderBy("_k")
+    steps = (scored.select(id_col, "_perm", "_k", "_ord", p.alias("_p"))
+             .withColumn("_c", F.col("_p") - F.lag("_p").over(w))
+             .where(F.col("_k") > 0)
+             .withColumn("_i", F.col("_ord")[F.col("_k") - 1]))
+    names = F.array(*[F.lit(f) for f in fs])
+    return steps.groupBy(id_col, "_i").agg(F.avg("_c").alias("shapley")).select(
+        id_col, names[F.col("_i")].alias("feature"), "shapley")

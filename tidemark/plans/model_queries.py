@@ -211,3 +211,14 @@ def m5(spark, sf_dir):
     rows = [(int(pm[[p for p in pm if p.name == "maxDepth"][0]]), str(pm[[p for p in pm if p.name == "impurity"][0]]),
              float(metric)) for pm, metric in zip(grid, cvm.avgMetrics)]
     return spark.createDataFrame(rows, "max_depth int, impurity string, mean_f1 double")
+
+
+@register("x5_tree_shapley")
+def x5(spark, sf_dir):
+    """Sampled Shapley values of the decision tree for held-out customers."""
+    from tidemark.operators import mlmodels as ML
+    from tidemark.operators import score as XS
+    m, train, test = _ml_split(spark, sf_dir)
+    model = ML.fit_tree(train)
+    s = XS.shapley_sampling_model(test, model, m.feature_columns, R.id)
+    return s.select(R.id, "feature", r("shapley").alias("shapley"))

@@ -235,3 +235,24 @@ SELECT j.* FROM jobs j WHERE dataset_id NOT IN (SELECT dataset_id FROM datasets
 def s10(spark, sf_dir):
     d = X.datasets(spark, sf_dir).where(F.col("status") == "failed")
     return O.cascade_delete(d, X.jobs(spark, sf_dir), "dataset_id")
+
+
+@register("r2_list_reports", """
+WITH _own AS (SELECT owner_id, count(*) AS n FROM versions GROUP BY owner_id)
+SELECT u.user_id, u.role, CASE WHEN u.role = 'Admin' THEN (SELECT count(*) FROM versions) ELSE coalesce(o.n, 0) END AS visible_reports,
+       (SELECT max(trained_at) FROM versions v WHERE u.role = 'Admin' OR v.owner_id = u.user_id) AS newest_report_at
+FROM users u LEFT JOIN _own o ON o.owner_id = u.user_id""", ("versions", "users"))
+def r2(spark, sf_dir):
+    """Reports (one per model version): a user sees their own, an admin all.
+    Counted per viewer from per-owner aggregates, never as viewer x report
+    pairs."""
+    rep = X.versions(spark, sf_dir)
+    own = rep.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.max("trained_at").alias("newest"))
+    total = rep.select(F.count(F.lit(1))).scalar()
+    newest = rep.select(F.max("trained_at")).scalar()
+    u = X.users(spark, sf_dir)
+    j = u.join(own, u.user_id == own.owner_id, "left")
+    admin = F.col("role") == "Admin"
+    return j.select("user_id", "role",
+                    F.when(admin, total).otherwise(F.coalesce("n", F.lit(0))).alias("visible_reports"),
+                    F.when(admin, newest).otherwise(F.col("newest")).alias("newest_report_at"))
