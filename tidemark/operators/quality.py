@@ -86,19 +86,25 @@ def negative_values(df: DataFrame, id_col: str, cols=("monthly_charges", "tenure
 
 
 def quality_score(df: DataFrame, roles: Roles) -> DataFrame:
-    """Q6..Q8: completeness, validity and their mean, 2 decimals.  Zero rows
-    raise (as the reference does)."""
-    n = df.select(F.count(F.lit(1)).alias("n"))
-    miss = missing_counts(df, roles).agg(F.sum("missing_count").alias("missing"))
-    outl = iqr_outliers(df, roles).agg(F.sum("outlier_count").alias("outliers"))
-    inv = invalid_categorical(df, roles).agg(F.sum("invalid_count").alias("invalid"))
-    nq = len(roles.quality_columns)
-    nv = len(roles.numeric) + len([c for c in roles.categorical if c in roles.domains])
-    N = n.scalar()
-    completeness = (N * nq - miss.scalar()) * 100.0 / (N * nq)
-    validity = (N * nv - outl.scalar() - inv.scalar()) * 100.0 / (N * nv)
-    return n.select(
-        F.col("n").alias("total_records"),
+    """Q6..Q8: completeness, validity and their mean, 2 decimals.
+
+    The input is read twice (one pass for row, missing and invalid counts;
+    the quartile and outlier passes), so its lineage is cut once first."""
+    from tidemark.session import cut_lineage
+    qc = list(roles.quality_columns)
+    cats = [c for c in roles.categorical if c in roles.domains]
+    d = cut_lineage(df.select(*dict.fromkeys(qc + list(roles.numeric))))
+    missing = sum((F.count_if(F.col(c).isNull()) for c in qc), F.lit(0))
+    invalid = sum((F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(list(roles.domains[c]))) for c in cats),
+                  F.lit(0))
+    one = d.agg(F.count(F.lit(1)).alias("n"), missing.alias("missing"), invalid.alias("invalid"))
+    outl = iqr_outliers(d, roles).agg(F.sum("outlier_count")).scalar()
+    nq, nv = len(qc), len(roles.numeric) + len(cats)
+    n = F.col("n")
+    completeness = (n * nq - F.col("missing")) * 100.0 / (n * nq)
+    validity = (n * nv - outl - F.col("invalid")) * 100.0 / (n * nv)
+    return one.select(
+        n.alias("total_records"),
         F.round(completeness, 2).alias("completeness_score"),
         F.round(validity, 2).alias("validity_score"),
         F.round(completeness * 0.5 + validity * 0.5, 2).alias("quality_score"))

@@ -78,7 +78,7 @@ def churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.col("c_mktsegment").alias("contract"),
                F.col("top_priority").alias("internet_service"),
                F.col("r_name").alias("online_security"),
-               F.col("first_any").cast("timestamp").alias("created_at"),
+               F.col("first_any").alias("created_at"),
            ))
     return out
 
