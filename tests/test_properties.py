@@ -155,3 +155,22 @@ def test_split_quota_and_scaler(spark):
     z = prep.transform(enc.where(~F.col("is_test")), m)
     st = z.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(m.feature_columns)]).first()
     assert all(abs(st[f"m{i}"]) < 1e-9 for i in range(len(m.feature_columns)))
+
+
+def test_count_below_matches_bisect(spark):
+    import bisect
+    from tidemark.functions.stats import count_below
+    bnds = sorted([1.0, 2.0, 2.0, 2.0, 5.0, 7.5, 7.5, 10.0])
+    vals = [-1.0, 1.0, 1.5, 2.0, 2.1, 5.0, 7.5, 9.0, 10.0, 11.0]
+    df = spark.createDataFrame([(v, bnds) for v in vals], "v double, b array<double>")
+    got = [r["n"] for r in df.select(count_below("b", "v", len(bnds)).alias("n")).collect()]
+    assert got == [bisect.bisect_left(bnds, v) for v in vals]
+
+
+def test_exact_quantiles_many_buckets(spark):
+    vals = [float((i * 7919) % 1000) / 7 for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.01, 0.33, 0.5, 0.99]
+    got = {r["p"]: r["q"] for r in exact_quantiles(to_long(df, ["x"]), probs, buckets=4096).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)

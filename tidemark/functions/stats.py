@@ -12,6 +12,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
+MAX_BUCKETS = 16384
+
+
+def default_buckets(spark, keyed: bool = False) -> int:
+    """Buckets for ordered work: about 4 per shuffle partition (so a bucket
+    stays near a partition's share of the data), at least 256.  Keyed uses
+    (one boundary set per key) keep the base value."""
+    if keyed:
+        return DEFAULT_BUCKETS
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        parts = 200
+    return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, 4 * parts))
+
+
+def count_below(bounds: str, value, n: int) -> Column:
+    """Number of entries of the sorted array column ``bounds`` (length
+    ``n``) that are < ``value``: a binary search in ceil(log2(n+1)) steps,
+    so large boundary arrays stay cheap per row."""
+    import math
+    steps = max(1, math.ceil(math.log2(n + 1)) + 1)
+    v = value if isinstance(value, Column) else F.col(value)
+    arr = F.col(bounds)
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        nxt = F.when(arr[mid] < v, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
+            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, nxt).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
 def to_long(df: DataFrame, columns, key: str = "column", value: str = "value",
@@ -23,13 +56,14 @@ def to_long(df: DataFrame, columns, key: str = "column", value: str = "value",
 
 
 def exact_quantiles(long: DataFrame, probs, key: str = "column", value: str = "value",
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """(key, p, q) for every key and every p in ``probs``; exact, linear.
 
     ``long`` has one row per observation.  ``buckets`` bounds the size of a
     window partition to about distinct_values / buckets.
     """
     probs = [float(p) for p in probs]
+    buckets = buckets or default_buckets(long.sparkSession)
     counts = long.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
     cuts = [i / buckets for i in range(1, buckets)]
     meta = counts.groupBy(key).agg(
@@ -37,7 +71,7 @@ def exact_quantiles(long: DataFrame, probs, key: str = "column", value: str = "v
         F.percentile_approx(value, cuts, 10 * buckets).alias("_bnds"))
     # one row per key: size bounded by the number of keys
     cb = (counts.join(F.broadcast(meta), key)
-          .withColumn("_b", F.size(F.filter("_bnds", lambda b: b < F.col(value)))))
+          .withColumn("_b", count_below("_bnds", value, buckets - 1)))
     per_bucket = cb.groupBy(key, "_b").agg(F.sum("_c").alias("_bc"))
     offsets = per_bucket.withColumn(
         "_off", F.coalesce(F.sum("_bc").over(
@@ -68,7 +102,7 @@ def exact_quantiles(long: DataFrame, probs, key: str = "column", value: str = "v
 
 
 def quantile_row(long: DataFrame, probs, names, key: str = "column", value: str = "value",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Pivot ``exact_quantiles`` to one row per key with columns ``names``."""
     q = exact_quantiles(long, probs, key, value, buckets)
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(n) for p, n in zip(probs, names)]
@@ -92,7 +126,7 @@ def r(c, digits: int = 6) -> Column:
 
 
 def kth_smallest(df: DataFrame, key: str, order: str, tie: str, ks: DataFrame,
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Per ``key``, the (order, tie) pair of the k-th smallest row, where
     ``ks`` holds (key, _k).  Output (key, _ch, _cid).  Keys with k = 0 get
     no row.  The rank is found bucket by bucket, so a key holding most rows
@@ -103,7 +137,7 @@ def kth_smallest(df: DataFrame, key: str, order: str, tie: str, ks: DataFrame,
 
 
 def ordered_prefix(df: DataFrame, order: str, sums, key: str | None = None, tie: str | None = None,
-                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Add ``_pos`` (1-based position) and inclusive running sums
     ``cum_<c>`` over rows ordered by (order, tie) ascending, per ``key``.
 
@@ -112,11 +146,12 @@ def ordered_prefix(df: DataFrame, order: str, sums, key: str | None = None, tie:
     running sum is a window partitioned by (key, bucket)."""
     k = key or "_key"
     d = df if key else df.withColumn("_key", F.lit(0))
+    buckets = buckets or default_buckets(df.sparkSession, keyed=key is not None)
     cuts = [i / buckets for i in range(1, buckets)]
     meta = d.groupBy(k).agg(F.percentile_approx(order, cuts, 10 * buckets).alias("_bnds"))
     meta = F.broadcast(meta) if key is None else meta
     db = (d.join(meta, k)
-          .withColumn("_b", F.size(F.filter("_bnds", lambda b: b < F.col(order)))).drop("_bnds"))
+          .withColumn("_b", count_below("_bnds", order, buckets - 1)).drop("_bnds"))
     tot = db.groupBy(k, "_b").agg(F.count(F.lit(1)).alias("_bn"), *[F.sum(c).alias(f"_bs_{c}") for c in sums])
     wprev = Window.partitionBy(k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(k, "_b", F.coalesce(F.sum("_bn").over(wprev), F.lit(0)).alias("_on"),
