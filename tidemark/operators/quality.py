@@ -117,6 +117,8 @@ def score_band(score) -> F.Column:
 
 def issue_totals(df: DataFrame, roles: Roles) -> DataFrame:
     """Q9: total per issue kind plus the band of the quality score."""
+    from tidemark.session import cut_lineage
+    df = cut_lineage(df.select(*dict.fromkeys(list(roles.quality_columns) + list(roles.numeric))))
     miss = missing_counts(df, roles).agg(F.sum("missing_count").alias("n")).select(F.lit("Missing Values").alias("category"), "n")
     outl = iqr_outliers(df, roles).agg(F.sum("outlier_count").alias("n")).select(F.lit("Outliers").alias("category"), "n")
     inv = invalid_categorical(df, roles).agg(F.sum("invalid_count").alias("n")).select(F.lit("Invalid Categorical").alias("category"), "n")
