@@ -177,13 +177,17 @@ def _mag(s) -> Column:
     return F.abs(F.round(s["contribution"], 9))
 
 
+def by_magnitude(arr: Column) -> Column:
+    """Contributions sorted by |contribution| descending, then feature name:
+    natural ordering of a (-|c|, feature) key, no comparator lambda."""
+    keyed = F.transform(arr, lambda s: F.struct((-_mag(s)).alias("k"), s["feature"].alias("f"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda t: t["s"])
+
+
 def top_contributors(expl: DataFrame, keep=(), k: int = TOP_CONTRIBUTORS) -> DataFrame:
     """Contributions sorted by absolute value; top ``k`` positive and
     top ``k`` negative; zero goes to neither.  Array functions per row."""
-    srt = F.array_sort("contributions", lambda a, b: F.when(_mag(a) > _mag(b), -1)
-                       .when(_mag(a) < _mag(b), 1)
-                       .otherwise(F.when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1)
-                                  .otherwise(0)))
+    srt = by_magnitude(F.col("contributions"))
     pos = F.slice(F.filter(srt, lambda s: s["contribution"] > 0), 1, k)
     neg = F.slice(F.filter(srt, lambda s: s["contribution"] < 0), 1, k)
     return expl.select(*keep, "probability", "base_value", pos.alias("top_positive"), neg.alias("top_negative"))
@@ -211,21 +215,16 @@ def with_fallback(top: DataFrame) -> DataFrame:
 
 def waterfall(expl: DataFrame, id_col: str) -> DataFrame:
     """Base bar, contributions by |value| descending with running
-    totals, final bar.  Running totals are array sums within the row."""
-    srt = F.array_sort("contributions", lambda a, b: F.when(_mag(a) > _mag(b), -1)
-                       .when(_mag(a) < _mag(b), 1)
-                       .otherwise(F.when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1)
-                                  .otherwise(0)))
-    d = expl.select(id_col, "base_value", "probability", srt.alias("_s"))
-    steps = F.transform("_s", lambda s, i: F.struct(
-        (i + 1).alias("step"), s["feature"].alias("label"),
-        (F.col("base_value") + F.aggregate(F.transform(
-            F.slice(F.concat(F.array(F.struct(F.lit("").alias("feature"), F.lit(0.0).alias("value"),
-                                              F.lit(0.0).alias("contribution"))), F.col("_s")), 2, i),
-            lambda t: t["contribution"]), F.lit(0.0), lambda a, b: a + b)).alias("start"),
-        s["contribution"].alias("delta")))
-    bars = d.select(id_col, "base_value", "probability", F.explode(steps).alias("b")).select(
-        id_col, "b.step", "b.label", "b.start", (F.col("b.start") + F.col("b.delta")).alias("end"))
+    totals, final bar.  The running total is a window per row id (d rows
+    per window partition)."""
+    from pyspark.sql import Window
+    d = expl.select(id_col, "base_value", "probability", by_magnitude(F.col("contributions")).alias("_s"))
+    e = d.select(id_col, "base_value", F.posexplode("_s").alias("pos", "c"))
+    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("base_value") + F.coalesce(F.sum("c.contribution").over(w), F.lit(0.0))
+    bars = e.select(id_col, (F.col("pos") + 1).alias("step"), F.col("c.feature").alias("label"),
+                    start.alias("start"), F.col("c.contribution").alias("_delta"))
+    bars = bars.select(id_col, "step", "label", "start", (F.col("start") + F.col("_delta")).alias("end"))
     first = d.select(id_col, F.lit(0).alias("step"), F.lit("Base value").alias("label"),
                      F.lit(0.0).alias("start"), F.col("base_value").alias("end"))
     last = d.select(id_col, (F.size("_s") + 1).alias("step"), F.lit("Prediction").alias("label"),
