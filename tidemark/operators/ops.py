@@ -168,9 +168,10 @@ def last_of_role(users: DataFrame) -> DataFrame:
 
 
 def version_string(model_type: Column, dataset_id: Column, ts: Column) -> Column:
-    """``type_datasetprefix_YYYYMMDD_HHMMSS``."""
-    return F.concat_ws("_", F.lower(F.regexp_replace(model_type, "[^A-Za-z0-9]", "")),
-                       F.substring(dataset_id.cast("string"), 1, 8), F.date_format(ts, "yyyyMMdd_HHmmss"))
+    """``type_datasetprefix_YYYYMMDD_HHMMSS`` (type as given, first 8
+    characters of the dataset id)."""
+    return F.concat_ws("_", model_type, F.substring(dataset_id.cast("string"), 1, 8),
+                       F.date_format(ts, "yyyyMMdd_HHmmss"))
 
 
 def list_versions(versions: DataFrame, status: str | None = "active", sort_metric: str = "f1") -> DataFrame:

@@ -220,7 +220,7 @@ def missing_cells(raw: DataFrame, cols) -> DataFrame:
     """One failure record per blank or null required cell."""
     recs = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "",
                    F.struct(F.lit(c).alias("column"),
-                            F.concat(F.lit(f"Missing required field: {c}")).alias("message")))
+                            F.lit(f"Missing value in column: {c}").alias("message")))
             for c in cols]
     return (raw.select("row_no", F.explode(F.array_compact(F.array(*recs))).alias("e"))
             .select("row_no", "e.column", "e.message"))

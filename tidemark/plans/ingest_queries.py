@@ -113,7 +113,7 @@ def v10(spark, sf_dir):
 
 
 @register("v11_scoring_missing", " UNION ALL ".join(
-    f"SELECT row_no, '{c}' AS \"column\", 'Missing required field: {c}' AS message FROM churn_raw "
+    f"SELECT row_no, '{c}' AS \"column\", 'Missing value in column: {c}' AS message FROM churn_raw "
     f"WHERE coalesce(trim(\"{c}\"), '') = ''" for c in SCORE_COLS), ("churn_raw",))
 def v11(spark, sf_dir):
     return v.missing_cells(churn_raw(spark, sf_dir), SCORE_COLS)

@@ -173,7 +173,7 @@ def j17(spark, sf_dir):
 
 
 @register("m12_version_string", """
-SELECT version_id, lower(regexp_replace(model_type, '[^A-Za-z0-9]', '', 'g')) || '_' || substr(CAST(dataset_id AS VARCHAR), 1, 8)
+SELECT version_id, model_type || '_' || substr(CAST(dataset_id AS VARCHAR), 1, 8)
        || '_' || strftime(trained_at, '%Y%m%d_%H%M%S') AS version FROM versions""", ("versions",))
 def m12(spark, sf_dir):
     v = X.versions(spark, sf_dir)

@@ -155,17 +155,20 @@ def x10(spark, sf_dir):
 @register("x11_batch_accounting", f"""
 WITH _m AS ({' UNION ALL '.join(f"SELECT row_no FROM churn_raw WHERE coalesce(trim(\"{c}\"), '') = ''" for c in SCORE_COLS)})
 SELECT (SELECT count(*) FROM churn_raw) AS total_rows, (SELECT count(*) FROM churn_raw) AS scored_rows,
-       (SELECT count(DISTINCT row_no) FROM _m) AS failed_rows, (SELECT count(*) FROM _m) AS failure_records""",
+       (SELECT count(DISTINCT row_no) FROM _m) AS failed_rows, (SELECT count(*) FROM _m) AS failure_records,
+       (SELECT count(*) FROM churn_raw) - (SELECT count(*) FROM _m) AS successful_count""",
           ("churn_raw",))
 def x11(spark, sf_dir):
     from tidemark.sources.fixtures import churn_raw
     raw = churn_raw(spark, sf_dir)
     miss = v.missing_cells(raw, SCORE_COLS)
-    # a row with a missing cell is reported as failed and still scored
+    # a row with a missing cell is reported as failed and still scored; the
+    # reference's "successful" count subtracts failure records, not rows
+    n_fail = miss.select(F.count(F.lit(1))).scalar()
     return raw.select(F.count(F.lit(1)).alias("total_rows")).select(
         "total_rows", F.col("total_rows").alias("scored_rows"),
         miss.select(F.count_distinct("row_no")).scalar().alias("failed_rows"),
-        miss.select(F.count(F.lit(1))).scalar().alias("failure_records"))
+        n_fail.alias("failure_records"), (F.col("total_rows") - n_fail).alias("successful_count"))
 
 
 PAGE_SIZE = 100
