@@ -150,14 +150,18 @@ def over_limit(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE) -> DataF
 
 
 def status_mapping(datasets: DataFrame) -> DataFrame:
-    """Stored dataset status to what the UI shows."""
+    """Stored dataset status to what the UI shows (status, progress,
+    step, error taken from the JSON ``error`` or ``duplicates`` field)."""
     st = F.col("status")
-    shown = F.when(st == "ready", "completed").when(st == "failed", "failed").otherwise("processing")
-    progress = F.when(st.isin("ready", "failed"), 100).otherwise(50)
+    shown = F.when(st == "ready", "completed").otherwise(st)
+    progress = F.when(st.isin("ready", "failed"), 100).otherwise(0)
+    step = (F.when(st == "processing", "Initializing...").when(st == "ready", "Complete")
+            .when(st == "failed", "Failed").otherwise(F.initcap(st)))
     err = F.when(st == "failed", F.coalesce(F.get_json_object("validation_errors", "$.error"),
+                                            F.get_json_object("validation_errors", "$.duplicates"),
                                             F.lit("Processing failed")))
     return datasets.select("dataset_id", "status", shown.alias("display_status"),
-                           progress.cast("int").alias("progress"), err.alias("error"))
+                           progress.cast("int").alias("progress"), step.alias("current_step"), err.alias("error"))
 
 
 def last_of_role(users: DataFrame) -> DataFrame:
@@ -203,16 +207,20 @@ def best_model(versions: DataFrame, key: str = "model_type") -> DataFrame:
         F.max("f1").alias("f1"))
 
 
-def untrained_types(owners: DataFrame, types, versions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per owner, requested types without an active version, with the
-    reason (pending job or not trained).  Types come from a literal list."""
-    req = owners.select("owner_id", F.explode(F.array(*[F.lit(t) for t in types])).alias("model_type"))
-    active = versions.where(F.col("status") == "active").select("owner_id", "model_type").distinct()
-    pending = (jobs.where(F.col("status").isin("queued", "running")).select("owner_id", "model_type")
-               .distinct().withColumn("_pending", F.lit(True)))
-    left = req.join(active, ["owner_id", "model_type"], "left_anti").join(pending, ["owner_id", "model_type"], "left")
-    return left.select("owner_id", "model_type",
-                       F.when(F.col("_pending"), "training in progress").otherwise("not trained").alias("reason"))
+def untrained_types(requests: DataFrame, types, versions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """For each (owner, dataset) training request and each requested
+    type: skipped as "already exists" (active version), skipped as
+    "training in progress" (queued/running job), else trained.  Types come
+    from a literal list; joins are on (owner, dataset, type) sets."""
+    key = ["owner_id", "dataset_id", "model_type"]
+    req = requests.select("owner_id", "dataset_id", F.explode(F.array(*[F.lit(t) for t in types])).alias("model_type"))
+    active = versions.where(F.col("status") == "active").select(*key).distinct().withColumn("_a", F.lit(True))
+    pending = (jobs.where(F.col("status").isin("queued", "running")).select(*key).distinct()
+               .withColumn("_p", F.lit(True)))
+    j = req.join(active, key, "left").join(pending, key, "left")
+    decision = (F.when(F.col("_a"), "already exists").when(F.col("_p"), "training in progress")
+                .otherwise("train"))
+    return j.select(*key, decision.alias("decision"))
 
 
 def comparison_table(versions: DataFrame, search: str | None = None) -> DataFrame:

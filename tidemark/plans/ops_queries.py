@@ -157,9 +157,12 @@ def j15(spark, sf_dir):
 
 
 @register("j16_status_mapping", """
-SELECT dataset_id, status, CASE status WHEN 'ready' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'processing' END AS display_status,
-       CAST(CASE WHEN status IN ('ready', 'failed') THEN 100 ELSE 50 END AS INTEGER) AS progress,
-       CASE WHEN status = 'failed' THEN coalesce(json_extract_string(validation_errors, '$.error'), 'Processing failed') END AS error
+SELECT dataset_id, status, CASE status WHEN 'ready' THEN 'completed' ELSE status END AS display_status,
+       CAST(CASE WHEN status IN ('ready', 'failed') THEN 100 ELSE 0 END AS INTEGER) AS progress,
+       CASE status WHEN 'processing' THEN 'Initializing...' WHEN 'ready' THEN 'Complete' WHEN 'failed' THEN 'Failed'
+            ELSE upper(substr(status, 1, 1)) || lower(substr(status, 2)) END AS current_step,
+       CASE WHEN status = 'failed' THEN coalesce(json_extract_string(validation_errors, '$.error'),
+            json_extract_string(validation_errors, '$.duplicates'), 'Processing failed') END AS error
 FROM datasets""", ("datasets",))
 def j16(spark, sf_dir):
     return O.status_mapping(X.datasets(spark, sf_dir))
@@ -207,16 +210,20 @@ def m16(spark, sf_dir):
 
 
 @register("m17_untrained_types", f"""
-WITH _req AS (SELECT c_custkey AS owner_id, t.model_type FROM customer, (SELECT unnest({TYPES!r}) AS model_type) t),
-_act AS (SELECT DISTINCT owner_id, model_type FROM versions WHERE status = 'active'),
-_pen AS (SELECT DISTINCT owner_id, model_type FROM jobs WHERE status IN ('queued', 'running'))
-SELECT r.owner_id, r.model_type, CASE WHEN p.owner_id IS NOT NULL THEN 'training in progress' ELSE 'not trained' END AS reason
-FROM _req r LEFT JOIN _pen p USING (owner_id, model_type)
-WHERE NOT EXISTS (SELECT 1 FROM _act a WHERE a.owner_id = r.owner_id AND a.model_type = r.model_type)""",
+WITH _req AS (SELECT DISTINCT owner_id, dataset_id FROM jobs),
+_r AS (SELECT owner_id, dataset_id, t.model_type FROM _req, (SELECT unnest({TYPES!r}) AS model_type) t),
+_act AS (SELECT DISTINCT owner_id, dataset_id, model_type FROM versions WHERE status = 'active'),
+_pen AS (SELECT DISTINCT owner_id, dataset_id, model_type FROM jobs WHERE status IN ('queued', 'running'))
+SELECT r.owner_id, r.dataset_id, r.model_type,
+       CASE WHEN a.owner_id IS NOT NULL THEN 'already exists'
+            WHEN p.owner_id IS NOT NULL THEN 'training in progress' ELSE 'train' END AS decision
+FROM _r r LEFT JOIN _act a USING (owner_id, dataset_id, model_type) LEFT JOIN _pen p USING (owner_id, dataset_id, model_type)""",
           ("versions",))
 def m17(spark, sf_dir):
-    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner_id"))
-    return O.untrained_types(owners, TYPES, X.versions(spark, sf_dir), X.jobs(spark, sf_dir))
+    """Every (owner, dataset) that has jobs asks for all five types."""
+    jobs = X.jobs(spark, sf_dir)
+    reqs = jobs.select("owner_id", "dataset_id").distinct()
+    return O.untrained_types(reqs, TYPES, X.versions(spark, sf_dir), jobs)
 
 
 @register("m19_comparison_table", """
