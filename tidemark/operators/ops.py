@@ -9,6 +9,7 @@ from tidemark.functions.stats import ordered_prefix, round_half_up, top_k_per_ke
 
 QUEUED_TIMEOUT_MIN = 15      # fixed values: stale-job timeouts
 RUNNING_TIMEOUT_MIN = 60
+STALE_FAILED_MESSAGE = "Training job was interrupted before completion. Please start it again."
 SLOW_REQUEST_SEC = 1.0
 RATE_LIMIT_PER_MINUTE = 100
 UUID_SEGMENT = r"(?i)/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -28,10 +29,13 @@ def stale_jobs(jobs: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame
     stale = jobs.where(((F.col("status") == "queued") & (age >= QUEUED_TIMEOUT_MIN))
                        | ((F.col("status") == "running") & (age >= RUNNING_TIMEOUT_MIN)))
     j = stale.join(latest, key, "left")
-    done = F.col("latest_trained_at") >= F.col("created_at")
+    done = F.coalesce(F.col("latest_trained_at") >= F.col("created_at"), F.lit(False))
     return j.select("job_id", *key, "status",
                     F.when(done, "completed").otherwise("failed").alias("new_status"),
-                    F.when(done, F.col("latest_version")).alias("resolved_version"))
+                    F.when(done, F.col("latest_version")).alias("resolved_version"),
+                    F.when(done, F.col("latest_trained_at")).otherwise(as_of).alias("completed_at"),
+                    F.when(done, F.lit(100)).otherwise(F.lit(0)).alias("progress_percent"),
+                    F.when(~F.coalesce(done, F.lit(False)), F.lit(STALE_FAILED_MESSAGE)).alias("error_message"))
 
 
 def list_jobs(jobs: DataFrame, statuses, page_size: int = 10) -> DataFrame:

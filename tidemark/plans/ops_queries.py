@@ -21,7 +21,10 @@ _s AS (SELECT j.* FROM jobs j, _asof a
           OR (status = 'running' AND date_diff('second', created_at, a.t) / 60 >= 60))
 SELECT job_id, owner_id, dataset_id, model_type, status,
        CASE WHEN lt >= created_at THEN 'completed' ELSE 'failed' END AS new_status,
-       CASE WHEN lt >= created_at THEN lv END AS resolved_version
+       CASE WHEN lt >= created_at THEN lv END AS resolved_version,
+       CASE WHEN lt >= created_at THEN lt ELSE (SELECT t FROM _asof) END AS completed_at,
+       CASE WHEN lt >= created_at THEN 100 ELSE 0 END AS progress_percent,
+       CASE WHEN lt >= created_at THEN NULL ELSE 'Training job was interrupted before completion. Please start it again.' END AS error_message
 FROM _s LEFT JOIN _l USING (owner_id, dataset_id, model_type)""", ("versions",))
 def j1(spark, sf_dir):
     jobs = X.jobs(spark, sf_dir)
