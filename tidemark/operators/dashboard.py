@@ -58,18 +58,21 @@ def rate_band(rate: Column) -> Column:
     return F.when(rate < 20, "Low Risk").when(rate < 30, "Medium Risk").otherwise("High Risk")
 
 
-def report_summary(customers: DataFrame, metrics: DataFrame, label: str = "churn") -> DataFrame:
-    """(metric, value) rows: dataset totals and churn rate, then model
-    metrics formatted with 4 decimals."""
+def report_summary(customers: DataFrame, metrics: DataFrame, auc: DataFrame, label: str = "churn") -> DataFrame:
+    """The report's summary and metric rows as (metric, value) text:
+    total customers with thousands separators, churn rate with 2 decimals
+    and a percent sign, model metrics with 4 decimals."""
+    from tidemark.functions.stats import round_half_up
     c = customers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("k"))
+    rate = F.coalesce(F.try_divide(F.col("k") * 100.0, F.col("n")), F.lit(0.0))
     ds = c.select(F.explode(F.array(
-        F.struct(F.lit("Total Customers").alias("metric"), F.col("n").cast("string").alias("value")),
-        F.struct(F.lit("Churned Customers").alias("metric"), F.col("k").cast("string").alias("value")),
+        F.struct(F.lit("Total Customers").alias("metric"), F.format_number(F.col("n"), 0).alias("value")),
         F.struct(F.lit("Churn Rate").alias("metric"),
-                 F.concat(F.format_string("%.2f", F.round(F.try_divide(F.col("k") * 100.0, F.col("n")), 2)),
-                          F.lit("%")).alias("value")))).alias("x")).select("x.*")
-    ms = metrics.select(F.explode(F.array(*[
-        F.struct(F.lit(name).alias("metric"), F.format_string("%.4f", F.round(F.col(col), 4)).alias("value"))
+                 F.concat(F.format_string("%.2f", round_half_up(rate, 2)), F.lit("%")).alias("value")))).alias("x")
+    ).select("x.*")
+    m = metrics.select("accuracy", "precision", "recall", "f1", auc.select("roc_auc").scalar().alias("roc_auc"))
+    ms = m.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.format_string("%.4f", round_half_up(F.col(col), 4)).alias("value"))
         for name, col in (("Accuracy", "accuracy"), ("Precision", "precision"), ("Recall", "recall"),
-                          ("F1 Score", "f1"))])).alias("x")).select("x.*")
+                          ("F1-Score", "f1"), ("ROC-AUC", "roc_auc"))])).alias("x")).select("x.*")
     return ds.unionByName(ms)

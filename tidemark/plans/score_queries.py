@@ -278,14 +278,25 @@ def d5(spark, sf_dir):
 
 
 @register("r1_report_summary", f"""WITH {NB_CTES},
-_mt AS ({__import__('tidemark.plans.model_queries', fromlist=['x'])._METRICS})
-SELECT 'Total Customers' AS metric, CAST(count(*) AS VARCHAR) AS value FROM churn_base
-UNION ALL SELECT 'Churned Customers', CAST(count_if(churn) AS VARCHAR) FROM churn_base
-UNION ALL SELECT 'Churn Rate', printf('%.2f', round(count_if(churn) * 100.0 / count(*), 2)) || '%' FROM churn_base
-UNION ALL SELECT 'Accuracy', printf('%.4f', round(accuracy, 4)) FROM _mt
-UNION ALL SELECT 'Precision', printf('%.4f', round(precision, 4)) FROM _mt
-UNION ALL SELECT 'Recall', printf('%.4f', round(recall, 4)) FROM _mt
-UNION ALL SELECT 'F1 Score', printf('%.4f', round(f1, 4)) FROM _mt""", ("churn_base",))
+_cc AS (SELECT count_if(label = 1 AND pred = 1) AS tp, count_if(label = 0 AND pred = 1) AS fp,
+               count_if(label = 1 AND pred = 0) AS fn, count_if(label = 0 AND pred = 0) AS tn FROM _pred),
+_mt AS (SELECT CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0 END AS accuracy,
+               CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+               CASE WHEN tp + fp > 0 AND tp + fn > 0 AND tp > 0
+                    THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) ELSE 0 END AS f1
+        FROM _cc),
+_scs AS (SELECT probability AS score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM _pred GROUP BY 1),
+_cn AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM _scs),
+_auc AS (SELECT sum(pos * (cum_neg - neg + 0.5 * neg)) / (sum(pos) * sum(neg)) AS roc_auc FROM _cn)
+SELECT 'Total Customers' AS metric, format('{{:,}}', count(*)) AS value FROM churn_base
+UNION ALL SELECT 'Churn Rate', printf('%.2f', CAST(round(CAST(count_if(churn) * 100.0 / count(*) AS DECIMAL(38,10)), 2) AS DOUBLE)) || '%' FROM churn_base
+UNION ALL SELECT 'Accuracy', printf('%.4f', CAST(round(CAST(accuracy AS DECIMAL(38,10)), 4) AS DOUBLE)) FROM _mt
+UNION ALL SELECT 'Precision', printf('%.4f', CAST(round(CAST(precision AS DECIMAL(38,10)), 4) AS DOUBLE)) FROM _mt
+UNION ALL SELECT 'Recall', printf('%.4f', CAST(round(CAST(recall AS DECIMAL(38,10)), 4) AS DOUBLE)) FROM _mt
+UNION ALL SELECT 'F1-Score', printf('%.4f', CAST(round(CAST(f1 AS DECIMAL(38,10)), 4) AS DOUBLE)) FROM _mt
+UNION ALL SELECT 'ROC-AUC', printf('%.4f', CAST(round(CAST(roc_auc AS DECIMAL(38,10)), 4) AS DOUBLE)) FROM _auc""",
+          ("churn_base",))
 def r1(spark, sf_dir):
-    met = M.classification_metrics(test_predictions(spark, sf_dir))
-    return D.report_summary(churn_base(spark, sf_dir), met)
+    p = test_predictions(spark, sf_dir)
+    return D.report_summary(churn_base(spark, sf_dir), M.classification_metrics(p), M.roc_auc(p))
