@@ -59,16 +59,26 @@ def mutual_information(df: DataFrame, label: str, cats, nums, bins: int = MI_BIN
     return c.groupBy("feature").agg(F.sum(term).alias("mutual_information"))
 
 
-def select_by_threshold(mi: DataFrame, threshold: float) -> DataFrame:
-    """features scoring at least ``threshold`` (0..1); an empty result
-    is an error naming the best available score."""
+def select_by_threshold(mi: DataFrame, threshold: float, on_empty: str = "raise") -> DataFrame:
+    """features scoring at least ``threshold`` (0..1).  An empty
+    selection is an error naming the best score (``on_empty='raise'``), or
+    with ``on_empty='report'`` that message comes back as one row, so no
+    driver-side check is needed.  Adds a ``message`` column."""
     if not 0 <= threshold <= 1:
-        raise ValueError("threshold must be between 0 and 1")
-    sel = mi.where(F.col("mutual_information") >= threshold)
-    if sel.isEmpty():
-        best = mi.agg(F.max("mutual_information")).first()[0]
-        raise ValueError(f"No features meet threshold {threshold}; maximum score is {best}")
-    return sel
+        raise ValueError("importanceThreshold must be between 0.0 and 1.0")
+    hit = F.col("mutual_information") >= threshold
+    sel = mi.where(hit).withColumn("message", F.lit(None).cast("string"))
+    msg = F.concat(F.lit(f"No features found with importance >= {threshold}. Maximum importance score: "),
+                   F.format_string("%.4f", F.max("mutual_information")))
+    empty = (mi.agg(F.count_if(hit).alias("_n"), msg.alias("message")).where(F.col("_n") == 0)
+             .select(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("mutual_information"),
+                     "message"))
+    if on_empty == "raise":
+        row = empty.first()
+        if row is not None:
+            raise ValueError(row["message"])
+        return sel
+    return sel.unionByName(empty)
 
 
 def select_by_names(mi: DataFrame, names) -> DataFrame:
@@ -96,5 +106,6 @@ def interaction_stats(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def selection_totals(sel: DataFrame) -> DataFrame:
     """number of selected features and their summed importance."""
+    sel = sel.where(F.col("feature").isNotNull())
     return sel.agg(F.count(F.lit(1)).alias("selected_count"),
                    F.sum("mutual_information").alias("total_importance"))

@@ -51,11 +51,15 @@ def f2(spark, sf_dir):
     return FE.category_codes(churn_base(spark, sf_dir), CATS)
 
 
-@register("f3_select_by_threshold", f"WITH {_disc_sql()}\nSELECT feature, round(mutual_information, 6) AS mutual_information FROM _mi "
-          f"WHERE mutual_information >= {THRESHOLD}", ("churn_base",))
+@register("f3_select_by_threshold", f"""WITH {_disc_sql()}
+SELECT feature, round(mutual_information, 6) AS mutual_information, CAST(NULL AS VARCHAR) AS message FROM _mi
+WHERE mutual_information >= {THRESHOLD}
+UNION ALL
+SELECT NULL, NULL, 'No features found with importance >= {THRESHOLD}. Maximum importance score: ' || printf('%.4f', max(mutual_information))
+FROM _mi HAVING count_if(mutual_information >= {THRESHOLD}) = 0""", ("churn_base",))
 def f3(spark, sf_dir):
-    return FE.select_by_threshold(mi(spark, sf_dir), THRESHOLD).select(
-        "feature", r("mutual_information").alias("mutual_information"))
+    s = FE.select_by_threshold(mi(spark, sf_dir), THRESHOLD, on_empty="report")
+    return s.select("feature", r("mutual_information").alias("mutual_information"), "message")
 
 
 @register("f4_select_by_names", f"WITH {_disc_sql()}\nSELECT feature, round(mutual_information, 6) AS mutual_information FROM _mi "
@@ -85,5 +89,5 @@ def f6(spark, sf_dir):
 @register("f7_selection_totals", f"WITH {_disc_sql()}\nSELECT count(*) AS selected_count, round(sum(mutual_information), 6) AS total_importance "
           f"FROM _mi WHERE mutual_information >= {THRESHOLD}", ("churn_base",))
 def f7(spark, sf_dir):
-    t = FE.selection_totals(FE.select_by_threshold(mi(spark, sf_dir), THRESHOLD))
+    t = FE.selection_totals(FE.select_by_threshold(mi(spark, sf_dir), THRESHOLD, on_empty="report"))
     return t.select("selected_count", r("total_importance").alias("total_importance"))
