@@ -98,3 +98,21 @@ def s9(spark, sf_dir):
     path = scratch(spark, "s9-params")
     io.save_params(p10(spark, sf_dir), path)
     return spark.read.parquet(path)
+
+
+@register("s3_dataset_scan", """
+SELECT b.customer_id, CAST(c.c_nationkey AS BIGINT) AS dataset_id, b.churn, b.contract, round(b.total_charges, 6) AS total_charges
+FROM churn_base b JOIN customer c ON c.c_custkey = b.customer_id
+WHERE CAST(c.c_nationkey AS BIGINT) IN (SELECT dataset_id FROM datasets WHERE status = 'ready')""",
+          ("churn_base", "datasets"))
+def s3(spark, sf_dir):
+    """Customer records belong to the dataset of their nation; only ready
+    datasets are readable."""
+    from tidemark.sources.fixtures import churn_base, datasets
+    from tidemark.sources.tables import table
+    recs = churn_base(spark, sf_dir).join(
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"),
+                                                F.col("c_nationkey").cast("long").alias("dataset_id")),
+        "customer_id")
+    out = io.dataset_scan(recs, datasets(spark, sf_dir))
+    return out.select("customer_id", "dataset_id", "churn", "contract", r("total_charges").alias("total_charges"))

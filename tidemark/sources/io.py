@@ -79,3 +79,15 @@ def reuse_by_hash(uploads: DataFrame, datasets: DataFrame) -> DataFrame:
 def save_params(df: DataFrame, path: str) -> None:
     """Fitted parameters as a parquet table (overwritten atomically per job)."""
     df.write.mode("overwrite").parquet(path)
+
+
+def dataset_scan(records: DataFrame, datasets: DataFrame, dataset_ids=None) -> DataFrame:
+    """S3: rows of datasets whose status is ready (semi join, so a record is
+    never duplicated), optionally restricted to some dataset ids, which a
+    ``partitionBy('dataset_id')`` layout turns into partition pruning."""
+    ready = datasets.where(F.col("status") == "ready").select("dataset_id")
+    if dataset_ids is not None:
+        ids = list(dataset_ids)
+        records = records.where(F.col("dataset_id").isin(ids))
+        ready = ready.where(F.col("dataset_id").isin(ids))
+    return records.join(ready, "dataset_id", "left_semi")
