@@ -207,3 +207,18 @@ def bin_label(lo: Column, hi: Column) -> Column:
     def whole(x):
         return F.round(x, 0).cast("long").cast("string")
     return F.concat_ws("-", whole(lo), whole(hi))
+
+
+def paginate_keyset(df: DataFrame, key: str, after, size: int) -> DataFrame:
+    """E13 for deep pages: rows with ``key`` greater than the cursor, in key
+    order.  The cursor is a filter Catalyst pushes into the scan and each
+    task keeps at most ``size`` rows, whereas an OFFSET makes every task
+    keep offset + size rows.  Adds ``next_cursor`` (null on the last page)."""
+    size = max(1, min(int(size), 1000))
+    page = df.where(F.col(key) > F.lit(after)).orderBy(key).limit(size + 1)
+    w = Window.orderBy(key)          # at most size + 1 rows after the limit
+    ranked = page.withColumn("_i", F.row_number().over(w))
+    more = ranked.select(F.max("_i")).scalar() > F.lit(size)
+    kept = ranked.where(F.col("_i") <= size)
+    last = kept.select(F.max(key)).scalar()
+    return kept.drop("_i").withColumn("next_cursor", F.when(more, last))

@@ -201,3 +201,18 @@ FROM ({_HIST_SQL})""", ("churn_base",))
 def e15(spark, sf_dir):
     h = e2(spark, sf_dir)
     return h.select("feature", "bin", "frequency", eda.bin_label(F.col("bin_lower"), F.col("bin_upper")).alias("label"))
+
+
+CURSOR = 700
+
+
+@register("e13_keyset_page", f"""
+WITH _p AS (SELECT customer_id, tenure, round(total_charges, 6) AS total_charges, churn, contract
+            FROM churn_base WHERE customer_id > {CURSOR} ORDER BY customer_id LIMIT {PAGE_SIZE + 1}),
+_k AS (SELECT * FROM _p ORDER BY customer_id LIMIT {PAGE_SIZE})
+SELECT _k.*, CASE WHEN (SELECT count(*) FROM _p) > {PAGE_SIZE} THEN (SELECT max(customer_id) FROM _k) END AS next_cursor
+FROM _k""", ("churn_base",))
+def e13k(spark, sf_dir):
+    base = churn_base(spark, sf_dir).select("customer_id", "tenure", r("total_charges").alias("total_charges"),
+                                            "churn", "contract")
+    return eda.paginate_keyset(base, "customer_id", CURSOR, PAGE_SIZE)
