@@ -206,8 +206,11 @@ def m4(spark, sf_dir):
 def m5(spark, sf_dir):
     from tidemark.operators import mlmodels as ML
     m, train, _ = _ml_split(spark, sf_dir)
+    from tidemark.session import cut_lineage
     folds = M.stratified_folds(train.select(R.id, "label"), R.id, "label")
-    cvm, grid = ML.search_tree(train.join(folds.select(R.id, "fold"), R.id))
+    # 30 fits read this frame many times: materialise it once
+    data = cut_lineage(train.join(folds.select(R.id, "fold"), R.id))
+    cvm, grid = ML.search_tree(data)
     rows = [(int(pm[[p for p in pm if p.name == "maxDepth"][0]]), str(pm[[p for p in pm if p.name == "impurity"][0]]),
              float(metric)) for pm, metric in zip(grid, cvm.avgMetrics)]
     return spark.createDataFrame(rows, "max_depth int, impurity string, mean_f1 double")
