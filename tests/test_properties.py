@@ -174,3 +174,21 @@ def test_exact_quantiles_many_buckets(spark):
     got = {r["p"]: r["q"] for r in exact_quantiles(to_long(df, ["x"]), probs, buckets=4096).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
+
+
+def test_keyset_pages_walk_the_whole_table(spark):
+    df = spark.createDataFrame([(i, i * 2) for i in range(1, 26)], "id int, v int")
+    seen, cursor = [], 0
+    while cursor is not None:
+        page = eda.paginate_keyset(df, "id", cursor, 10).collect()
+        seen += [r["id"] for r in page]
+        cursor = page[-1]["next_cursor"] if page else None
+    assert seen == list(range(1, 26))
+
+
+def test_oracle_rounds_are_sign_normalised():
+    from tidemark.plans.catalog import positive_zero_rounds
+    out = positive_zero_rounds("SELECT round(x, 6) AS a, 'round(' AS b, ground(y) FROM t")
+    assert out == "SELECT (round(x, 6) + 0.0) AS a, 'round(' AS b, ground(y) FROM t"
+    import duckdb
+    assert str(duckdb.sql(positive_zero_rounds("SELECT round(-1e-9, 6) AS z")).fetchone()[0]) == "0.0"
