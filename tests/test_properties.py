@@ -191,4 +191,4 @@ def test_oracle_rounds_are_sign_normalised():
     out = positive_zero_rounds("SELECT round(x, 6) AS a, 'round(' AS b, ground(y) FROM t")
     assert out == "SELECT (round(x, 6) + 0.0) AS a, 'round(' AS b, ground(y) FROM t"
     import duckdb
-    assert str(duckdb.sql(positive_zero_rounds("SELECT round(-1e-9, 6) AS z")).fetchone()[0]) == "0.0"
+    assert str(duckdb.sql(positive_zero_rounds("SELECT round(-1e-9, 6) AS z")).fetchall()[0][0]) == "0.0"
