@@ -32,7 +32,7 @@ from tidemark.llm.common import Cells, UnionFind, bounded_sample, components, st
 
 MIN_COSINE = 0.95
 SAMPLE_ROWS = 8_192
-LIST_ROWS = 1_024
+LIST_ROWS = 8_192
 MAX_LISTS = 1_024
 SUBSPACES, CODES = 8, 64
 CHUNK = 131_072
