@@ -209,7 +209,7 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD, control ids nothing."""
-        out = b"".join([self.pieces[i] for i in ids])
+        out = b"".join(map(self.pieces.__getitem__, ids))
         if self.prefix and out[:1] == b" ":
             out = out[1:]
         return out.decode("utf-8", "replace")
@@ -264,6 +264,11 @@ def decode(tokens: DataFrame, vocabulary, ids_col: str = "ids", text_col: str =
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         v = vocabulary.value
-        return pa.array([None if x is None else v.decode(x) for x in (s.as_py() for s in ids)], pa.string())
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        out = []
+        for null, a, b in zip(ids.is_null().to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            out.append(None if null else v.decode(flat[a:b].tolist()))
+        return pa.array(out, pa.string())
 
     return tokens.withColumn(text_col, run(F.col(ids_col)))
