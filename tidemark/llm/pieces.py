@@ -29,7 +29,7 @@ _MARK = MARKER.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Words a worker remembers, bytes of text and of new words handled at a time.
-REMEMBERED, BLOCK, SLAB = 300_000, 2_000_000, 400_000
+REMEMBERED, BLOCK, SLAB = 200_000, 2_000_000, 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -102,6 +102,7 @@ class Vocabulary:
     unknown_score: float
     prefix: bool
     words: dict[bytes, bytes] = field(default_factory=dict)
+    older: dict[bytes, bytes] = field(default_factory=dict)
 
     @classmethod
     def parse(cls, data: bytes) -> "Vocabulary":
@@ -199,13 +200,15 @@ class Vocabulary:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids (int32 bytes) of every UTF-8 text."""
         split = [_words(t, self.prefix) for t in texts]
-        known = self.words
-        fresh = {w for ws in split for w in ws if w not in known}
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = {w for ws in split for w in ws}
+        if len(self.words) > REMEMBERED:              # words seen since the last time survive
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        fresh = set().union(*split).difference(known)
+        seen = fresh.intersection(older)
+        known.update((w, older[w]) for w in seen)
+        fresh -= seen
         self._learn(fresh)
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD, control ids nothing."""
