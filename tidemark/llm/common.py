@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import stored
 from tidemark.sources.tables import table
 
-__all__ = ["stored", "table", "bounded_sample", "components", "Cells", "UnionFind"]
+__all__ = ["stored", "table", "named", "bounded_sample", "components", "Cells", "UnionFind"]
 
 #: Largest number of points that one side of a comparison cell holds.
 CELL_ROWS = 65_536
 
 
+def named(columns: list[str]) -> list:
+    """Columns by their exact names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` rows, the same ones on every run: smallest hash of ``key``."""
     return df.orderBy(F.xxhash64(F.lit(17), F.col(key)), F.col(key)).limit(n)

@@ -19,13 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_sample, stored
+from tidemark.llm.common import bounded_sample, named, stored
 
 MAX_LABELLED = 20_000
 TOP_WORDS = 128
 MIN_ROWS = 5
 LEVELS = 100
-MAX_ITER, TOLERANCE = 60, 1e-4
+#: Iterations at most, relative error that ends them, iterations without progress that end them too.
+MAX_ITER, TOLERANCE, STALL = 60, 1e-4, 25
 #: Words are cut at ASCII white space and used as they stand.
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#$%&*|<>{}\[\]~^=_\\/@]"
@@ -178,10 +179,11 @@ def fit_rates(cells: DataFrame, weights: dict[str, float], domains: list[str], b
         if error < tolerance:
             break
         if error > last:
-            momentum = 1.0
+            momentum, state = 1.0, state.withColumn("y", F.col("x"))
+            r = {**r.asDict(), **{f"y{i}": totals[i] for i in d}}
         last = error
         errors.append(error)
-        if iteration > 10 and min(errors[-10:]) > 0.99 * min(errors[:-10]):
+        if iteration > STALL and min(errors[-STALL:]) > 0.99 * min(errors[:-STALL]):
             break                                                      # the bounds keep it from the target
         slope = step * scale * (np.array([r[f"y{i}"] for i in d]) - target)
         moved = F.greatest(F.lit(float(min_rate)), F.col("y") - sum((F.lit(float(slope[i])) * F.col(f"p{i}") for i in d), F.lit(0.0)))
@@ -224,4 +226,4 @@ def emit(mixed: DataFrame, columns: list[str], id_col: str = "doc_id", seed: int
     """Rows of ``mixed`` repeated ``floor(rate + u)`` times, u a hash of the id in [0, 1)."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
     copies = F.floor(F.col("__rate") + u).cast("int")
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(columns)
+    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(named(columns))

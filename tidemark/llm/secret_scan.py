@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.common import named
+
 #: Fixed values of the base kinds: name, pattern, group and least length of what must be long enough.
 BASE_KINDS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -224,4 +226,4 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with secrets replaced in the text; rows, order of columns and other columns stay."""
     base, spans = "__secret_base", "__secret_spans"
     found = with_spans(docs, text_col, base_col=base, spans_col=spans, **options)
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col(spans))).select(docs.columns)
+    return found.withColumn(text_col, redacted(F.col(text_col), F.col(spans))).select(named(docs.columns))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import Cells, UnionFind, bounded_sample, components, stored
+from tidemark.llm.common import Cells, UnionFind, bounded_sample, components, named, stored
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -251,4 +251,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    return one.select(named(docs.columns)).union(docs.where("doc_id IS NULL"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_sample
+from tidemark.llm.common import bounded_sample, named
 
 MAX_LABELLED = 20_000
 MAX_WORDS = 2_048
@@ -200,4 +200,4 @@ def held_out(id_col: Column) -> Column:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, columns as they are."""
-    return score(docs, model, text_col, "__toxicity").where(F.col("__toxicity") < threshold).select(docs.columns)
+    return score(docs, model, text_col, "__toxicity").where(F.col("__toxicity") < threshold).select(named(docs.columns))

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.common import named
+
 #: Longest host suffixes that are looked up: whole host, then without its first labels.
 MAX_LABELS = 8
 ACTIONS = ("block", "allow", "remove")
@@ -85,4 +87,4 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", date
                     F.col("b.since").alias("listed_since")))
     return (c.join(best, ["host", "__seg", "__date"], "left")
             .withColumn("verdict", F.coalesce("__action", F.lit("none")))
-            .select(*[x for x in captures.columns if x not in out], *out))
+            .select(*named([x for x in captures.columns if x not in out]), *out))
