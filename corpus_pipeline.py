@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import mixing, pieces, secret_scan, simhash_vp, toxicity
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import named, stored, table
 
 #: Target weights of the quality domains; a document is kept once at least and twice at most.
 QUALITY = "CASE quality WHEN 1 THEN 'high' WHEN 0 THEN 'low' END"
@@ -37,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     clean = secret_scan.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return clean.select(docs.columns)
+    return clean.select(named(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
