@@ -192,3 +192,17 @@ def test_oracle_rounds_are_sign_normalised():
     assert out == "SELECT (round(x, 6) + 0.0) AS a, 'round(' AS b, ground(y) FROM t"
     import duckdb
     assert str(duckdb.sql(positive_zero_rounds("SELECT round(-1e-9, 6) AS z")).fetchall()[0][0]) == "0.0"
+
+
+def test_bad_cells_are_flagged_not_fatal(spark):
+    from tidemark.operators import validate as V
+    rows = [(2, "9" * 25, "nan", "1"), (3, "12345678901", "inf", "x"), (4, "12", "1_0.5", "0"), (5, " ", " ", "")]
+    raw = spark.createDataFrame(rows, "row_no long, tenure string, TotalCharges string, SeniorCitizen string")
+    got = V.validation_errors(raw, {}, id_col=None).collect() if hasattr(V, "validation_errors") else None
+    if got is not None:
+        assert {r.row_no for r in got if r["column"] == "tenure"} == {2, 3}
+    typed = {r.row_no: r for r in V.typed_projection(raw).collect()}
+    assert [typed[i].tenure for i in (2, 3, 4, 5)] == [None, None, 12, None]
+    assert typed[2].total_charges is None and typed[4].total_charges == 10.5
+    missing = {(r.row_no, r["column"]) for r in V.missing_cells(raw, ["tenure", "SeniorCitizen"]).collect()}
+    assert missing == {(5, "SeniorCitizen")}

@@ -25,9 +25,7 @@ def category_codes(df: DataFrame, cols) -> DataFrame:
 def discretised(df: DataFrame, label: str, cats, nums, bins: int = MI_BINS) -> DataFrame:
     """Long (feature, x, label) rows: categorical values as they are (null
     as '-1'), numerics median-filled and cut into equal-width bins."""
-    from tidemark.session import cut_lineage
-    # read several times (medians, ranges, counts): cut the lineage once
-    d = cut_lineage(df.where(F.col(label).isNotNull()).select(label, *cats, *nums))
+    d = df.where(F.col(label).isNotNull()).select(label, *cats, *nums)
     med = quantile_row(to_long(d, nums), [0.5], ["median"])
     # one row per numeric column: bounded, joined as a scalar per column
     fills = {c: F.coalesce(F.col(c).cast("double"),

@@ -39,7 +39,9 @@ def fit_svm(train: DataFrame, C: float = 1.0, max_iter: int = 1500, label: str =
 
 
 def svm_probability(svm, platt, df: DataFrame, label: str = "label") -> DataFrame:
+    """``probability`` by Platt scaling and ``pred``, the machine's own decision (they may disagree)."""
     m = svm.transform(df).withColumn("_m0", vector_to_array("rawPrediction")[1])
+    m = m.withColumn("pred", F.col("prediction").cast("int"))
     m = VectorAssembler(inputCols=["_m0"], outputCol="mvec").transform(m.drop("probability", "prediction",
                                                                              "rawPrediction"))
     p = platt.transform(m)

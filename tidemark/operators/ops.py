@@ -10,8 +10,10 @@ from tidemark.functions.stats import ordered_prefix, round_half_up, top_k_per_ke
 QUEUED_TIMEOUT_MIN = 15      # fixed values: stale-job timeouts
 RUNNING_TIMEOUT_MIN = 60
 STALE_FAILED_MESSAGE = "Training job was interrupted before completion. Please start it again."
+GUARDED_ROLE = "Admin"       # fixed value: the role that must keep a member
 SLOW_REQUEST_SEC = 1.0
 RATE_LIMIT_PER_MINUTE = 100
+# Path parts that become {id}
 UUID_SEGMENT = r"(?i)/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 NUMERIC_SEGMENT = r"/\d+"
 
@@ -20,12 +22,15 @@ def stale_jobs(jobs: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame
     """Queued >= 15 min or running >= 1 h before ``as_of``; completed
     when the same owner/dataset/type has a version trained at or after the
     job was created (its latest one), else failed.  Versions are reduced to
-    the latest per key first, so the join is many-to-one (no pair blow-up)."""
+    the latest per key first, so the join is many-to-one (no pair blow-up).
+    A running job's age counts from its start where that is known; a failed
+    job keeps its progress."""
     key = ["owner_id", "dataset_id", "model_type"]
     latest = versions.groupBy(*key).agg(
         F.max("trained_at").alias("latest_trained_at"),
         F.max_by("version_id", F.struct("trained_at", "version_id")).alias("latest_version"))
-    age = (F.unix_timestamp(as_of) - F.unix_timestamp("created_at")) / 60
+    begun = F.when(F.col("status") == "running", F.coalesce("started_at", "created_at")).otherwise(F.col("created_at"))
+    age = (F.unix_timestamp(as_of) - F.unix_timestamp(begun)) / 60
     stale = jobs.where(((F.col("status") == "queued") & (age >= QUEUED_TIMEOUT_MIN))
                        | ((F.col("status") == "running") & (age >= RUNNING_TIMEOUT_MIN)))
     j = stale.join(latest, key, "left")
@@ -34,15 +39,22 @@ def stale_jobs(jobs: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame
                     F.when(done, "completed").otherwise("failed").alias("new_status"),
                     F.when(done, F.col("latest_version")).alias("resolved_version"),
                     F.when(done, F.col("latest_trained_at")).otherwise(as_of).alias("completed_at"),
-                    F.when(done, F.lit(100)).otherwise(F.lit(0)).alias("progress_percent"),
+                    F.when(done, F.lit(100)).otherwise(F.col("progress_percent")).alias("progress_percent"),
                     F.when(~F.coalesce(done, F.lit(False)), F.lit(STALE_FAILED_MESSAGE)).alias("error_message"))
 
 
-def list_jobs(jobs: DataFrame, statuses, page_size: int = 10) -> DataFrame:
-    """Jobs with the given statuses, newest first, first page per owner."""
-    d = jobs.where(F.col("status").isin(list(statuses)))
-    return top_k_per_key(d.select("owner_id", "job_id", "status", "created_at"), "owner_id",
-                         [F.col("created_at").desc(), F.col("job_id").desc()], page_size)
+def list_jobs(jobs: DataFrame, statuses=None, owner_id: int | None = None) -> DataFrame:
+    """All jobs with the given statuses (all if none), optionally of one
+    owner, newest first within the owner (``position``)."""
+    d = jobs.select("owner_id", "job_id", "status", "created_at")
+    if statuses is not None:
+        d = d.where(F.col("status").isin(list(statuses)))
+    if owner_id is not None:
+        d = d.where(F.col("owner_id") == owner_id)
+    d = d.withColumn("_age", -F.unix_micros(F.col("created_at").cast("timestamp")))
+    d = d.withColumn("_tie", -F.col("job_id"))
+    return (ordered_prefix(d, "_age", [], key="owner_id", tie="_tie").drop("_age", "_tie")
+            .withColumnRenamed("_pos", "position"))
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
@@ -169,10 +181,10 @@ def status_mapping(datasets: DataFrame) -> DataFrame:
 
 
 def last_of_role(users: DataFrame) -> DataFrame:
-    """Users with whether removing them is refused (last of the role)."""
-    per_role = users.groupBy("role").agg(F.count(F.lit(1)).alias("role_count"))
-    return users.join(per_role, "role").select("user_id", "role", "created_at",
-                                               (F.col("role_count") == 1).alias("removal_refused"))
+    """Users with whether removing them is refused (the last Admin)."""
+    admins = users.where(F.col("role") == GUARDED_ROLE).select(F.count(F.lit(1))).scalar()
+    return users.select("user_id", "role", "created_at",
+                        ((F.col("role") == GUARDED_ROLE) & (admins <= 1)).alias("removal_refused"))
 
 
 def version_string(model_type: Column, dataset_id: Column, ts: Column) -> Column:

@@ -88,12 +88,11 @@ def negative_values(df: DataFrame, id_col: str, cols=("monthly_charges", "tenure
 def quality_score(df: DataFrame, roles: Roles) -> DataFrame:
     """Q6..Q8: completeness, validity and their mean, 2 decimals.
 
-    The input is read twice (one pass for row, missing and invalid counts;
-    the quartile and outlier passes), so its lineage is cut once first."""
-    from tidemark.session import cut_lineage
+    The input is read once for row, missing and invalid counts and again by
+    the quartile and outlier passes, each time only the columns needed."""
     qc = list(roles.quality_columns)
     cats = [c for c in roles.categorical if c in roles.domains]
-    d = cut_lineage(df.select(*dict.fromkeys(qc + list(roles.numeric))))
+    d = df.select(*dict.fromkeys(qc + list(roles.numeric)))
     missing = sum((F.count_if(F.col(c).isNull()) for c in qc), F.lit(0))
     invalid = sum((F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(list(roles.domains[c]))) for c in cats),
                   F.lit(0))
@@ -117,8 +116,6 @@ def score_band(score) -> F.Column:
 
 def issue_totals(df: DataFrame, roles: Roles) -> DataFrame:
     """Q9: total per issue kind plus the band of the quality score."""
-    from tidemark.session import cut_lineage
-    df = cut_lineage(df.select(*dict.fromkeys(list(roles.quality_columns) + list(roles.numeric))))
     miss = missing_counts(df, roles).agg(F.sum("missing_count").alias("n")).select(F.lit("Missing Values").alias("category"), "n")
     outl = iqr_outliers(df, roles).agg(F.sum("outlier_count").alias("n")).select(F.lit("Outliers").alias("category"), "n")
     inv = invalid_categorical(df, roles).agg(F.sum("invalid_count").alias("n")).select(F.lit("Invalid Categorical").alias("category"), "n")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import ordered_prefix
 from tidemark.operators import prep
 from tidemark.operators.models import NaiveBayes, qc
 from tidemark.roles import TOP_CONTRIBUTORS
@@ -259,6 +260,15 @@ def score_once(typed: DataFrame, m: prep.PrepModel, nb: NaiveBayes, id_col: str,
                     (F.col(id_col) != F.col("_first")).alias("reused")))
 
 
+def batch_pages(predictions: DataFrame, page_size: int, page: int | None = None) -> DataFrame:
+    """Predictions of each batch in creation order with ``rank``, ``page``
+    and ``batch_total``; all pages, or one."""
+    totals = predictions.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_total"))
+    ranked = ordered_prefix(predictions, "row_no", [], key="batch_id").withColumnRenamed("_pos", "rank")
+    out = ranked.withColumn("page", F.floor((F.col("rank") - 1) / page_size) + 1).join(totals, "batch_id")
+    return out if page is None else out.where(F.col("page") == page)
+
+
 def export_rows(scored: DataFrame, input_cols, order=None) -> DataFrame:
     """X13 + S6: input fields (standard order, then the probability, then
     the rest sorted), charges and probability with 2 decimals, booleans as

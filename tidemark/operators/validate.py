@@ -45,7 +45,8 @@ def _msg(row: Column, *parts) -> Column:
 
 
 def _int_value(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), "_", "").cast("long")
+    """Integer text as a number; null when it has too many digits for a long."""
+    return F.regexp_replace(F.trim(c), "_", "").try_cast("long")
 
 
 def _rule(no: int, column: str, cond: Column, message: Column) -> Column:
@@ -80,8 +81,9 @@ def row_rules(raw: DataFrame, domains: dict, id_col: str | None = "customerID",
         ok_int = v.rlike(INT_TEXT)
         iv = _int_value(v)
         n += 1
-        rules.append(_rule(n, "tenure", present & ok_int & ((iv < 0) | (iv > tenure_max)),
-                           _msg(row, F.lit(f"tenure must be between 0 and {tenure_max}, got "), iv.cast("string"))))
+        rules.append(_rule(n, "tenure", present & ok_int & (iv.isNull() | (iv < 0) | (iv > tenure_max)),
+                           _msg(row, F.lit(f"tenure must be between 0 and {tenure_max}, got "),
+                                F.coalesce(iv.cast("string"), v))))
         n += 1
         rules.append(_rule(n, "tenure", present & ~ok_int,
                            _msg(row, F.lit("tenure must be an integer, got '"), v, F.lit("'"))))
@@ -148,25 +150,26 @@ def non_empty(raw: DataFrame) -> DataFrame:
 
 def duplicate_ids(raw: DataFrame, id_col: str = "customerID") -> DataFrame:
     """Every later occurrence of a trimmed id.  First occurrence by a
-    grouped min (map-side combine, safe for a hot id), then a join back,
-    instead of a window that would put a hot id in one task."""
+    grouped min (map-side combine), only of ids that repeat, then a join back:
+    its one row per id lets AQE split the rows of a hot id."""
     k = F.trim(F.col(id_col))
     d = raw.select("row_no", k.alias("id")).where(F.col("id") != "")
-    first = d.groupBy("id").agg(F.min("row_no").alias("first_row"))
+    first = d.groupBy("id").agg(F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("n"))
+    first = first.where("n > 1").drop("n")
     return (d.join(first, "id").where(F.col("row_no") > F.col("first_row"))
             .select("row_no", "id", "first_row"))
 
 
 def parse_double(c: Column) -> Column:
-    """Blank or unparsable to null, else the number."""
+    """Blank, unparsable or not-a-number to null, else the number."""
     t = F.trim(c)
-    return F.when(t.isNull() | (t == "") | ~is_numeric_text(t), F.lit(None).cast("double")) \
-        .otherwise(F.regexp_replace(t, "_", "").cast("double"))
+    x = F.regexp_replace(t, "_", "").try_cast("double")
+    return F.when(t.isNull() | (t == "") | ~is_numeric_text(t) | F.isnan(x), F.lit(None).cast("double")).otherwise(x)
 
 
 def parse_int(c: Column) -> Column:
     t = F.trim(c)
-    return F.when(t.rlike(INT_TEXT), F.regexp_replace(t, "_", "").cast("int"))
+    return F.when(t.rlike(INT_TEXT), F.regexp_replace(t, "_", "").try_cast("int"))
 
 
 def parse_label(c: Column) -> Column:
@@ -217,8 +220,8 @@ def recode(c: Column, old: str, new: str) -> Column:
 
 
 def missing_cells(raw: DataFrame, cols) -> DataFrame:
-    """One failure record per blank or null required cell."""
-    recs = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "",
+    """One failure record per empty or null required cell; white space is a value."""
+    recs = [F.when(F.coalesce(F.col(c), F.lit("")) == "",
                    F.struct(F.lit(c).alias("column"),
                             F.lit(f"Missing value in column: {c}").alias("message")))
             for c in cols]

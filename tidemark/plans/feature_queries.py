@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import r
 from tidemark.operators import features as FE
 from tidemark.plans.catalog import register
+from tidemark.session import stored
 from tidemark.roles import FIXTURE as R
 from tidemark.sources.fixtures import churn_base
 
@@ -34,7 +35,7 @@ _mi AS MATERIALIZED (SELECT feature, sum(n / tot * ln(n * tot / (nx * ny))) AS m
 
 
 def mi(spark, sf_dir):
-    return FE.mutual_information(churn_base(spark, sf_dir), "churn", CATS, NUMS)
+    return FE.mutual_information(stored(churn_base(spark, sf_dir)), "churn", CATS, NUMS)
 
 
 @register("f1a_mutual_information", f"WITH {_disc_sql()}\nSELECT feature, round(mutual_information, 6) AS mutual_information FROM _mi",

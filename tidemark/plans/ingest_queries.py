@@ -114,7 +114,7 @@ def v10(spark, sf_dir):
 
 @register("v11_scoring_missing", " UNION ALL ".join(
     f"SELECT row_no, '{c}' AS \"column\", 'Missing value in column: {c}' AS message FROM churn_raw "
-    f"WHERE coalesce(trim(\"{c}\"), '') = ''" for c in SCORE_COLS), ("churn_raw",))
+    f"WHERE coalesce(\"{c}\", '') = ''" for c in SCORE_COLS), ("churn_raw",))
 def v11(spark, sf_dir):
     return v.missing_cells(churn_raw(spark, sf_dir), SCORE_COLS)
 
@@ -134,7 +134,7 @@ def _typed_sql():
         t = CSV_TO_TYPED[name]
         c = f"\"{name}\""
         if name in ("tenure", "SeniorCitizen"):
-            e = f"CASE WHEN regexp_matches(trim({c}), '{v.INT_TEXT}') THEN CAST(replace(trim({c}), '_', '') AS INTEGER) END"
+            e = f"CASE WHEN regexp_matches(trim({c}), '{v.INT_TEXT}') THEN TRY_CAST(replace(trim({c}), '_', '') AS INTEGER) END"
         elif name in ("MonthlyCharges", "TotalCharges"):
             e = (f"CASE WHEN trim({c}) = '' OR NOT regexp_matches(lower(trim({c})), '{NUMERIC_TEXT}') THEN NULL "
                  f"ELSE CAST(replace(trim({c}), '_', '') AS DOUBLE) END")

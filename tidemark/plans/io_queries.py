@@ -7,7 +7,7 @@ from tidemark.functions.stats import r
 from tidemark.operators import validate as v
 from tidemark.plans.catalog import register
 from tidemark.plans.ingest_queries import SCORE_COLS, _domains, _typed_sql
-from tidemark.plans.score_queries import SCORE_CTES, explanations, x13
+from tidemark.plans.score_queries import SCORE_CTES, SCORE_TYPED, explanations, export_sql, x13
 from tidemark.sources import io
 from tidemark.sources.fixtures import RAW_COLUMNS, churn_raw
 from tidemark.streaming.streams import scratch
@@ -57,9 +57,7 @@ def s5(spark, sf_dir):
 
 
 @register("s6_predictions_export", f"""WITH {SCORE_CTES}
-SELECT CAST(t.row_no AS VARCHAR) AS row_no, gender, CAST(senior_citizen AS VARCHAR) AS senior_citizen,
-  CAST(tenure AS VARCHAR) AS tenure, printf('%.2f', monthly_charges) AS monthly_charges,
-  printf('%.2f', total_charges) AS total_charges, contract,
+SELECT CAST(t.row_no AS VARCHAR) AS row_no, {', '.join(f"nullif({export_sql(c)}, '') AS {c}" for c in SCORE_TYPED)},
   printf('%.2f', s.probability) AS "Churn_Probability",
   CASE WHEN s.probability >= 0.5 THEN 'Yes' ELSE 'No' END AS "Churn_Prediction"
 FROM _typed t JOIN _spred s USING (row_no)""", ("churn_base", "churn_raw"))

@@ -198,7 +198,7 @@ def m4(spark, sf_dir):
     from tidemark.operators import mlmodels as ML
     m, train, test = _ml_split(spark, sf_dir)
     svm, platt = ML.fit_svm(train)
-    p = ML.svm_probability(svm, platt, test).withColumn("pred", (F.col("probability") >= 0.5).cast("int"))
+    p = ML.svm_probability(svm, platt, test)
     return M.classification_metrics(p)
 
 

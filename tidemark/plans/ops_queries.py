@@ -18,12 +18,12 @@ _l AS (SELECT owner_id, dataset_id, model_type, max(trained_at) AS lt,
               arg_max(version_id, (trained_at, version_id)) AS lv FROM versions GROUP BY ALL),
 _s AS (SELECT j.* FROM jobs j, _asof a
        WHERE (status = 'queued' AND date_diff('second', created_at, a.t) / 60 >= 15)
-          OR (status = 'running' AND date_diff('second', created_at, a.t) / 60 >= 60))
+          OR (status = 'running' AND date_diff('second', coalesce(started_at, created_at), a.t) / 60 >= 60))
 SELECT job_id, owner_id, dataset_id, model_type, status,
        CASE WHEN lt >= created_at THEN 'completed' ELSE 'failed' END AS new_status,
        CASE WHEN lt >= created_at THEN lv END AS resolved_version,
        CASE WHEN lt >= created_at THEN lt ELSE (SELECT t FROM _asof) END AS completed_at,
-       CASE WHEN lt >= created_at THEN 100 ELSE 0 END AS progress_percent,
+       CASE WHEN lt >= created_at THEN 100 ELSE progress_percent END AS progress_percent,
        CASE WHEN lt >= created_at THEN NULL ELSE 'Training job was interrupted before completion. Please start it again.' END AS error_message
 FROM _s LEFT JOIN _l USING (owner_id, dataset_id, model_type)""", ("versions",))
 def j1(spark, sf_dir):
@@ -33,12 +33,11 @@ def j1(spark, sf_dir):
 
 
 @register("j2_list_jobs", """
-SELECT owner_id, job_id, status, created_at, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, job_id DESC) AS rank
-  FROM jobs WHERE status IN ('queued', 'running')) WHERE rank <= 10""", ("jobs",))
+SELECT owner_id, job_id, status, created_at,
+       row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, job_id DESC) AS position
+FROM jobs WHERE status IN ('queued', 'running')""", ("jobs",))
 def j2(spark, sf_dir):
-    out = O.list_jobs(X.jobs(spark, sf_dir), ["queued", "running"])
-    return out.withColumn("rank", F.col("rank").cast("int"))
+    return O.list_jobs(X.jobs(spark, sf_dir), ["queued", "running"])
 
 
 @register("j3_latest_metrics", """
@@ -172,7 +171,8 @@ def j16(spark, sf_dir):
 
 
 @register("j17_last_of_role", """
-SELECT user_id, role, created_at, count(*) OVER (PARTITION BY role) = 1 AS removal_refused FROM users""",
+SELECT user_id, role, created_at,
+       role = 'Admin' AND (SELECT count(*) FROM users WHERE role = 'Admin') <= 1 AS removal_refused FROM users""",
           ("users",))
 def j17(spark, sf_dir):
     return O.last_of_role(X.users(spark, sf_dir))

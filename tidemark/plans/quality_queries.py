@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import quality as q
 from tidemark.plans.catalog import register
+from tidemark.session import stored
 from tidemark.plans.sqlgen import long_sql
 from tidemark.roles import FIXTURE
 from tidemark.sources.fixtures import churn_dirty, churn_raw
@@ -82,7 +83,7 @@ _s AS (SELECT n, (n * {len(QC)} - m) * 100.0 / (n * {len(QC)}) AS c,
 SELECT n AS total_records, round(c, 2) AS completeness_score, round(v, 2) AS validity_score,
        round(c * 0.5 + v * 0.5, 2) AS quality_score FROM _s""", ("churn_dirty",))
 def q8(spark, sf_dir):
-    return q.quality_score(churn_dirty(spark, sf_dir), FIXTURE)
+    return q.quality_score(stored(churn_dirty(spark, sf_dir)), FIXTURE)      # derived from joins: once
 
 
 @register("q9_issue_totals", f"""WITH {_SCORE_CTE},
@@ -92,7 +93,7 @@ SELECT 'Missing Values' AS category, CAST(m AS BIGINT) AS count, band FROM _m, _
 UNION ALL SELECT 'Outliers', CAST((SELECT sum(outlier_count) FROM _out) AS BIGINT), band FROM _b
 UNION ALL SELECT 'Invalid Categorical', CAST(i AS BIGINT), band FROM _i, _b""", ("churn_dirty",))
 def q9(spark, sf_dir):
-    return q.issue_totals(churn_dirty(spark, sf_dir), FIXTURE)
+    return q.issue_totals(stored(churn_dirty(spark, sf_dir)), FIXTURE)
 
 
 @register("q10_issue_ranking", f"""

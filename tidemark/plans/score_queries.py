@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import r, top_k_per_key
+from tidemark.functions.stats import r
 from tidemark.operators import dashboard as D
 from tidemark.operators import prep
 from tidemark.operators import score as X
@@ -153,7 +153,7 @@ def x10(spark, sf_dir):
 
 
 @register("x11_batch_accounting", f"""
-WITH _m AS ({' UNION ALL '.join(f"SELECT row_no FROM churn_raw WHERE coalesce(trim(\"{c}\"), '') = ''" for c in SCORE_COLS)})
+WITH _m AS ({' UNION ALL '.join(f"SELECT row_no FROM churn_raw WHERE coalesce(\"{c}\", '') = ''" for c in SCORE_COLS)})
 SELECT (SELECT count(*) FROM churn_raw) AS total_rows, (SELECT count(*) FROM churn_raw) AS scored_rows,
        (SELECT count(DISTINCT row_no) FROM _m) AS failed_rows, (SELECT count(*) FROM _m) AS failure_records,
        (SELECT count(*) FROM churn_raw) - (SELECT count(*) FROM _m) AS successful_count""",
@@ -174,32 +174,32 @@ def x11(spark, sf_dir):
 PAGE_SIZE = 100
 
 
+def export_sql(c: str) -> str:
+    """DuckDB text of an exported field: charges with 2 decimals."""
+    return f"printf('%.2f', t.{c})" if c in ("monthly_charges", "total_charges") else f"CAST(t.{c} AS VARCHAR)"
+
+
 @register("x12_batch_page", f"""WITH {SCORE_CTES},
 _b AS (SELECT s.row_no, s.probability, coalesce(t.contract, '') AS batch_id FROM _spred s JOIN _typed t USING (row_no)),
 _r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY row_no) AS rank,
               count(*) OVER (PARTITION BY batch_id) AS batch_total FROM _b)
-SELECT batch_id, row_no, round(probability, 6) AS probability, CAST(rank AS INTEGER) AS rank, batch_total
-FROM _r WHERE rank <= {PAGE_SIZE}""", ("churn_base", "churn_raw"))
+SELECT batch_id, row_no, round(probability, 6) AS probability, rank, (rank - 1) // {PAGE_SIZE} + 1 AS page, batch_total
+FROM _r""", ("churn_base", "churn_raw"))
 def x12(spark, sf_dir):
-    """First page of every batch (a batch = one contract segment upload),
-    by creation order, with the batch total."""
+    """Every page of every batch (a batch = one contract segment upload), by
+    creation order, with the batch total."""
     p = predictions(spark, sf_dir).withColumn("batch_id", F.coalesce("contract", F.lit("")))
-    totals = p.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_total"))
-    page = top_k_per_key(p.select("batch_id", "row_no", "probability"), "batch_id", ["row_no"], PAGE_SIZE)
-    return page.join(totals, "batch_id").select("batch_id", "row_no", r("probability").alias("probability"),
-                                                F.col("rank").cast("int").alias("rank"), "batch_total")
+    return X.batch_pages(p.select("batch_id", "row_no", r("probability").alias("probability")), PAGE_SIZE)
 
 
 @register("x13_export_rows", f"""WITH {SCORE_CTES}
-SELECT CAST(t.row_no AS VARCHAR) AS row_no, coalesce(gender, '') AS gender, coalesce(CAST(senior_citizen AS VARCHAR), '') AS senior_citizen,
-  coalesce(CAST(tenure AS VARCHAR), '') AS tenure, coalesce(printf('%.2f', monthly_charges), '') AS monthly_charges,
-  coalesce(printf('%.2f', total_charges), '') AS total_charges, coalesce(contract, '') AS contract,
+SELECT CAST(t.row_no AS VARCHAR) AS row_no, {', '.join(f"coalesce({export_sql(c)}, '') AS {c}" for c in SCORE_TYPED)},
   printf('%.2f', s.probability) AS "Churn_Probability",
   CASE WHEN s.probability >= 0.5 THEN 'Yes' ELSE 'No' END AS "Churn_Prediction"
 FROM _typed t JOIN _spred s USING (row_no)""", ("churn_base", "churn_raw"))
 def x13(spark, sf_dir):
     typed = typed_scoring_rows(spark, sf_dir)
-    cols = ["gender", "senior_citizen", "tenure", "monthly_charges", "total_charges", "contract"]
+    cols = SCORE_TYPED
     p = predictions(spark, sf_dir).select("row_no", "probability", "prediction")
     j = typed.select("row_no", *cols).join(p, "row_no")
     out = X.export_rows(j, cols)

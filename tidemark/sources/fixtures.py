@@ -280,6 +280,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderpriority").alias("model_type"),
                     status.alias("status"),
                     F.col("o_orderdate").alias("created_at"),
+                    F.when((st != "O") & (F.col("o_orderkey") % 3 > 0), F.col("o_orderdate") + F.make_dt_interval(
+                        F.lit(0), F.lit(0), (F.col("o_orderkey") % 90).cast("int"))).alias("started_at"),
+                    (F.col("o_orderkey") % 100).cast("int").alias("progress_percent"),
                     F.col("o_totalprice").alias("score"))
 
 
@@ -288,7 +291,11 @@ _JOBS_SQL = """
                   o_orderpriority AS model_type,
                   CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running'
                        WHEN 'F' THEN 'completed' END AS status,
-                  o_orderdate AS created_at, o_totalprice AS score FROM orders)"""
+                  o_orderdate AS created_at,
+                  CASE WHEN o_orderstatus <> 'O' AND o_orderkey % 3 > 0
+                       THEN o_orderdate + to_minutes(CAST(o_orderkey % 90 AS INTEGER)) END AS started_at,
+                  CAST(o_orderkey % 100 AS INTEGER) AS progress_percent,
+                  o_totalprice AS score FROM orders)"""
 
 
 FIXTURE_SQL = {

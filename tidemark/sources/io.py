@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 DATASET_REUSE_STATUSES = ("processing", "ready")   # fixed value: reusable uploads
 
 
-def csv_scan(spark: SparkSession, path: str) -> DataFrame:
+def csv_scan(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV, UTF-8, every column a string (no inference, no size
-    cap); quoted fields may span lines."""
-    return (spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8")
+    cap).  Files are split over tasks; ``multi_line`` lets quoted fields span
+    lines, at one task per file."""
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("encoding", "UTF-8")
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("mode", "FAILFAST").csv(path))
 
@@ -39,8 +40,7 @@ def all_or_nothing(df: DataFrame, errors: DataFrame, path: str, partition_col: s
     n_err = errors.select(F.count(F.lit(1))).first()[0]
     spark = df.sparkSession
     if n_err == 0:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path)
         written = spark.read.parquet(path).count()
         status = "ready"
     else:
