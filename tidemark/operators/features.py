@@ -6,10 +6,11 @@ produces; everything after that is on a table of a few hundred rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import quantile_row, to_long
+from tidemark.functions.stats import quantile_row, to_long, ordered_prefix
+from tidemark.session import stored
 
 MI_BINS = 10
 
@@ -57,6 +58,69 @@ def mutual_information(df: DataFrame, label: str, cats, nums, bins: int = MI_BIN
     return c.groupBy("feature").agg(F.sum(term).alias("mutual_information"))
 
 
+NEIGHBOURS = 3          # fixed value: neighbours of the estimator
+HALO_ROWS = 4096        # positions per slice when neighbours are looked up
+
+
+def digamma(n: Column) -> Column:
+    """Digamma of a positive number: asymptotic series after six recurrence steps."""
+    x = n.cast("double")
+    z = x + 6
+    series = F.log(z) - 1 / (2 * z) - 1 / (12 * z * z) + 1 / (120 * z * z * z * z) - 1 / (252 * z * z * z * z * z * z)
+    return series - sum((1 / (x + j) for j in range(1, 6)), 1 / x)
+
+
+def scaled_values(df: DataFrame, label: str, id_col: str, cats, nums) -> DataFrame:
+    """Long (feature, y, id, v): category codes (null -1) and median-filled
+    numbers as exact integers, hundredths above 30 bits of hash noise that
+    breaks ties as the estimator's own noise does."""
+    d = df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"), *cats, *nums)
+    med = quantile_row(to_long(d, nums), [0.5], ["median"])
+    fills = {c: F.coalesce(F.col(c).cast("double"), med.where(F.col("column") == c).select("median").scalar()) for c in nums}
+    numbers = d.select("id", "y", *[e.alias(c) for c, e in fills.items()]).unpivot(["id", "y"], list(nums), "feature", "x")
+    texts = d.select("id", "y", *[F.col(c).cast("string").alias(c) for c in cats]).unpivot(["id", "y"], list(cats), "feature", "x")
+    codes = category_codes(df.where(F.col(label).isNotNull()), cats).withColumnRenamed("column", "feature").withColumnRenamed("value", "x")
+    coded = texts.join(codes, ["feature", "x"], "left").select("id", "y", "feature", F.coalesce("code", F.lit(-1)).cast("double").alias("x"))
+    noise = F.conv(F.substring(F.md5(F.concat_ws(":", "feature", F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+    return numbers.unionByName(coded).select(
+        "feature", "y", "id", (F.round(F.col("x") * 100).cast("long") * F.lit(1 << 30) + F.shiftright(noise, 2)).alias("v"))
+
+
+def neighbour_information(df: DataFrame, label: str, id_col: str, cats, nums, k: int = NEIGHBOURS) -> DataFrame:
+    """Nearest-neighbour estimate of each feature's mutual information
+    (nats) with the label: (feature, mutual_information).
+
+    One column at a time, by sorting: the kth neighbour of the same class is
+    among the k rows on either side, and the rows of any class within that
+    distance are a difference of two running counts.  No pairs.  Classes with
+    one row take no part."""
+    d = scaled_values(df, label, id_col, cats, nums)
+    size = d.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n_y"))       # features x classes rows
+    d = d.join(F.broadcast(size), ["feature", "y"]).where("n_y > 1").withColumn("_k", F.concat_ws("|", "feature", "y"))
+    placed = ordered_prefix(d, "v", [], key="_k", tie="id")
+    at, home = F.col("_pos") % HALO_ROWS, F.floor(F.col("_pos") / HALO_ROWS)
+    halo = F.array_compact(F.array(home, F.when(at < k, home - 1), F.when(at >= HALO_ROWS - k, home + 1)))
+    w = Window.partitionBy("_k", "_slice").orderBy("_pos")
+    gaps = [F.col("v") - F.lag("v", i).over(w) for i in range(1, k + 1)] + [F.lead("v", i).over(w) - F.col("v") for i in range(1, k + 1)]
+    near = (placed.withColumn("_home", home).withColumn("_slice", F.explode(halo))
+            .withColumn("_gaps", F.array_sort(F.array_compact(F.array(*gaps)))).where("_slice = _home")
+            .withColumn("k", F.least(F.lit(k), F.size("_gaps")))
+            .select("feature", "id", "v", "n_y", "k", F.greatest(F.element_at("_gaps", F.col("k")), F.lit(1)).alias("r")))
+    near = stored(near)
+    # ends are exclusive: the upper end sorts before equal values, the lower one after them
+    marks = near.select("feature", "id", F.explode(F.array(
+        F.struct(F.col("v").alias("t"), F.lit(1).alias("kind"), F.lit(1).alias("one")),
+        F.struct((F.col("v") + F.col("r")).alias("t"), F.lit(0).alias("kind"), F.lit(0).alias("one")),
+        F.struct((F.col("v") - F.col("r")).alias("t"), F.lit(2).alias("kind"), F.lit(0).alias("one")))).alias("m")).select("feature", "id", "m.*")
+    counted = ordered_prefix(marks, "t", ["one"], key="feature", tie="kind").where("kind <> 1")
+    within = counted.groupBy("feature", "id").agg(F.sum(F.when(F.col("kind") == 0, F.col("cum_one")).otherwise(-F.col("cum_one"))).alias("m"))
+    mean = lambda df_, c: df_.groupBy("feature", c).agg(F.count(F.lit(1)).alias("n")).groupBy("feature").agg(
+        (F.sum(F.col("n") * digamma(F.col(c))) / F.sum("n")).alias(f"psi_{c}"), F.sum("n").alias(f"rows_{c}"))
+    out = mean(near, "k").join(mean(near, "n_y"), "feature").join(mean(within, "m"), "feature")
+    return out.select("feature", F.greatest(F.lit(0.0), digamma(F.col("rows_k")) + F.col("psi_k") - F.col("psi_n_y") - F.col("psi_m"))
+                      .alias("mutual_information"))
+
+
 def select_by_threshold(mi: DataFrame, threshold: float, on_empty: str = "raise") -> DataFrame:
     """features scoring at least ``threshold`` (0..1).  An empty
     selection is an error naming the best score (``on_empty='raise'``), or
