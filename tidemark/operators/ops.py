@@ -194,11 +194,19 @@ def version_string(model_type: Column, dataset_id: Column, ts: Column) -> Column
                        F.date_format(ts, "yyyyMMdd_HHmmss"))
 
 
-def list_versions(versions: DataFrame, status: str | None = "active", sort_metric: str = "f1") -> DataFrame:
-    """Filter, then position per model type by a metric descending
-    (fallback newest first), via the bucketed prefix."""
-    d = versions if status is None else versions.where(F.col("status") == status)
-    d = d.withColumn("_o", -F.col(sort_metric))
+def list_versions(versions: DataFrame, status: str | None = "active", sort_by: str = "f1", descending: bool = True,
+                  owner_id: int | None = None, dataset_id: int | None = None, model_type: str | None = None) -> DataFrame:
+    """Filter by status, owner, dataset and type, then position per model
+    type by any column (numbers, times, metrics), either direction, via the
+    bucketed prefix; nulls come last."""
+    d = versions
+    for column, value in (("status", status), ("owner_id", owner_id), ("dataset_id", dataset_id), ("model_type", model_type)):
+        if value is not None:
+            d = d.where(F.col(column) == value)
+    o = F.col(sort_by)
+    if dict(versions.dtypes)[sort_by].startswith("timestamp"):
+        o = F.unix_micros(o.cast("timestamp"))
+    d = d.withColumn("_o", F.coalesce((-o if descending else o).cast("double"), F.lit(float("inf"))))
     p = ordered_prefix(d, "_o", [], key="model_type", tie="version_id")
     return p.drop("_o").withColumnRenamed("_pos", "position")
 
@@ -216,9 +224,9 @@ def scoreable(predict_requests: DataFrame, versions: DataFrame) -> DataFrame:
                                  "version_id", "left_semi")
 
 
-def best_model(versions: DataFrame, key: str = "model_type") -> DataFrame:
-    """Highest F1 per key, earliest version wins ties."""
-    return versions.groupBy(key).agg(
+def best_model(versions: DataFrame, key: str | None = None) -> DataFrame:
+    """Highest F1 of the (filtered) versions, or per key; the earliest version wins ties."""
+    return versions.groupBy(*([key] if key else [])).agg(
         F.max_by("version_id", F.struct(F.col("f1"), -F.col("version_id"))).alias("version_id"),
         F.max("f1").alias("f1"))
 

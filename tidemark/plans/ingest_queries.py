@@ -67,11 +67,6 @@ def _rules_sql(src="churn_raw", id_col="customerID", charges_max=None, cols=RAW_
     return " UNION ALL ".join(parts)
 
 
-@register("v1_required_columns")
-def v1(spark, sf_dir):
-    return v.required_columns(churn_raw(spark, sf_dir))
-
-
 @register("v2_v7_validation_errors", _rules_sql(), ("churn_raw",))
 def v2_7(spark, sf_dir):
     raw = churn_raw(spark, sf_dir)

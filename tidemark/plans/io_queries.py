@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import r
 from tidemark.operators import validate as v
 from tidemark.plans.catalog import register
-from tidemark.plans.ingest_queries import SCORE_COLS, _domains, _typed_sql
+from tidemark.plans.ingest_queries import SCORE_COLS, _domains, _rules_sql, _typed_sql
 from tidemark.plans.score_queries import SCORE_CTES, SCORE_TYPED, explanations, export_sql, x13
+from tidemark.roles import REQUIRED_CSV_COLUMNS
+from tidemark.session import stored
 from tidemark.sources import io
 from tidemark.sources.fixtures import RAW_COLUMNS, churn_raw
 from tidemark.streaming.streams import scratch
@@ -32,6 +34,32 @@ def s2(spark, sf_dir):
     return io.score_csv_scan(spark, path, SCORE_COLS)
 
 
+#: Uploads of V1: what their files lack.
+UPLOADS = {"whole": (), "no_charges": ("MonthlyCharges", "TotalCharges"), "no_label": ("Churn",)}
+
+
+def _v1_sql() -> str:
+    parts = []
+    for name, gone in UPLOADS.items():
+        missing = sorted(set(REQUIRED_CSV_COLUMNS) - (set(RAW_COLUMNS) - set(gone)))
+        parts += [f"SELECT '{name}' AS upload, '{m}' AS missing_column, (SELECT count(*) FROM churn_raw) AS data_rows" for m in missing]
+    return " UNION ALL ".join(parts)
+
+
+@register("v1_required_columns", _v1_sql(), ("churn_raw",))
+def v1(spark, sf_dir):
+    """Required columns that the headers of uploaded files lack, with the rows each file holds."""
+    raw, out = stored(churn_raw(spark, sf_dir).select(*RAW_COLUMNS)), None
+    for name, gone in UPLOADS.items():
+        path = scratch(spark, f"v1-{name}")
+        io.write_csv(raw.drop(*gone), path)
+        upload = io.csv_scan(spark, path)
+        missing = v.required_columns(upload).select(
+            F.lit(name).alias("upload"), "missing_column", upload.select(F.count(F.lit(1))).scalar().alias("data_rows"))
+        out = missing if out is None else out.unionByName(missing)
+    return out
+
+
 @register("s4_records_sink", f"WITH _typed AS ({_typed_sql()})\nSELECT * REPLACE (round(monthly_charges, 6) AS monthly_charges, "
           f"round(total_charges, 6) AS total_charges) FROM _typed", ("churn_raw",))
 def s4(spark, sf_dir):
@@ -45,15 +73,29 @@ def s4(spark, sf_dir):
         {"monthly_charges": r("monthly_charges"), "total_charges": r("total_charges")})
 
 
-@register("s5_all_or_nothing")
+@register("s5_all_or_nothing", f"""
+WITH _d AS (SELECT row_no, trim("customerID") AS id FROM churn_raw WHERE trim("customerID") <> ''),
+_f AS (SELECT id, min(row_no) AS first_row FROM _d GROUP BY id),
+_e AS (SELECT row_no FROM ({_rules_sql()}) UNION ALL SELECT row_no FROM _d JOIN _f USING (id) WHERE row_no > first_row)
+SELECT 'as_uploaded' AS load, 'failed' AS status, (SELECT count(*) FROM _e) AS error_count, CAST(0 AS BIGINT) AS rows_written
+UNION ALL SELECT 'mended', 'ready', 0, (SELECT count(*) FROM churn_raw WHERE row_no NOT IN (SELECT row_no FROM _e))""", ("churn_raw",))
 def s5(spark, sf_dir):
-    path = scratch(spark, "s5-records")
-    raw = churn_raw(spark, sf_dir)
-    errs = v.validation_errors(raw, _domains()).unionByName(
+    """The file as uploaded fails and writes nothing; without its faulty rows it is written whole."""
+    raw = stored(churn_raw(spark, sf_dir))
+    bad = stored(_load_errors(raw))
+    mended = raw.join(bad.select("row_no").distinct(), "row_no", "left_anti")
+    out = None
+    for name, rows, errors in (("as_uploaded", raw, bad), ("mended", mended, _load_errors(mended))):
+        typed = v.typed_projection(rows).withColumn("dataset_id", F.lit(name))
+        one = io.all_or_nothing(typed, errors, scratch(spark, f"s5-{name}"), "dataset_id").select(F.lit(name).alias("load"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _load_errors(raw):
+    return v.validation_errors(raw, _domains()).unionByName(
         v.duplicate_ids(raw).select("row_no", F.lit(99).alias("rule_no"), F.lit("customerID").alias("column"),
                                     F.lit("duplicate").alias("message")))
-    typed = v.typed_projection(raw).withColumn("dataset_id", F.lit("churn_raw"))
-    return io.all_or_nothing(typed, errs, path, "dataset_id")
 
 
 @register("s6_predictions_export", f"""WITH {SCORE_CTES}

@@ -218,10 +218,11 @@ def m5(spark, sf_dir):
 
 @register("x5_tree_shapley")
 def x5(spark, sf_dir):
-    """Sampled Shapley values of the decision tree for held-out customers."""
+    """Sampled Shapley values of the decision tree for every row of the scoring batch."""
     from tidemark.operators import mlmodels as ML
     from tidemark.operators import score as XS
-    m, train, test = _ml_split(spark, sf_dir)
+    from tidemark.plans.score_queries import scaled_scoring_rows
+    m, train, _ = _ml_split(spark, sf_dir)
     model = ML.fit_tree(train)
-    s = XS.shapley_sampling_model(test, model, m.feature_columns, R.id)
-    return s.select(R.id, "feature", r("shapley").alias("shapley"))
+    s = XS.shapley_sampling_model(scaled_scoring_rows(spark, sf_dir), model, m.feature_columns, "row_no")
+    return s.select("row_no", "feature", r("shapley").alias("shapley"))

@@ -209,7 +209,33 @@ def m15(spark, sf_dir):
 SELECT model_type, arg_max(version_id, (f1, -version_id)) AS version_id, max(f1) AS f1 FROM versions GROUP BY model_type""",
           ("versions",))
 def m16(spark, sf_dir):
-    return O.best_model(X.versions(spark, sf_dir))
+    return O.best_model(X.versions(spark, sf_dir), "model_type")
+
+
+@register("m16_best_of_dataset", """
+SELECT arg_max(version_id, (f1, -version_id)) AS version_id, max(f1) AS f1 FROM versions WHERE status = 'active' AND dataset_id = 3""",
+          ("versions",))
+def m16_all(spark, sf_dir):
+    """The one best version of a filtered list."""
+    return O.best_model(X.versions(spark, sf_dir).where("status = 'active' AND dataset_id = 3"))
+
+
+@register("m13_versions_by_training", """
+SELECT version_id, model_type, trained_at, row_number() OVER (PARTITION BY model_type ORDER BY trained_at, version_id) AS position
+FROM versions WHERE dataset_id = 3""", ("versions",))
+def m13_by_time(spark, sf_dir):
+    """Versions of one dataset, any status, oldest first."""
+    v = O.list_versions(X.versions(spark, sf_dir), status=None, sort_by="trained_at", descending=False, dataset_id=3)
+    return v.select("version_id", "model_type", "trained_at", "position")
+
+
+@register("m15_scoreable_requests", """
+SELECT j.job_id AS request_id, v.version_id FROM jobs j JOIN versions v ON v.version_id = j.job_id
+WHERE v.status = 'active'""", ("jobs", "versions"))
+def m15_requests(spark, sf_dir):
+    """Prediction requests that name an archived version are refused."""
+    wanted = X.jobs(spark, sf_dir).select(F.col("job_id").alias("request_id"), F.col("job_id").alias("version_id"))
+    return O.scoreable(wanted, X.versions(spark, sf_dir)).select("request_id", "version_id")
 
 
 @register("m17_untrained_types", f"""

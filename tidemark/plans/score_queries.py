@@ -130,11 +130,9 @@ def x8(spark, sf_dir):
 
 @register("x4_shapley_sampling")
 def x4(spark, sf_dir):
-    """Rows-only: sampled Shapley values for the held-out customers."""
-    m, z = __import__("tidemark.plans.model_queries", fromlist=["x"]).scaled_split(spark, sf_dir)
-    nb = naive_bayes(spark, sf_dir)
-    s = X.shapley_sampling(z.where(F.col("is_test")), nb, R.id)
-    return s.select(R.id, "feature", r("shapley").alias("shapley"))
+    """Rows-only: sampled Shapley values of every row of the scoring batch."""
+    s = X.shapley_sampling(scaled_scoring_rows(spark, sf_dir), naive_bayes(spark, sf_dir), "row_no")
+    return s.select("row_no", "feature", r("shapley").alias("shapley"))
 
 
 @register("x10_waterfall", f"""WITH {SCORE_CTES},
