@@ -206,3 +206,29 @@ def test_bad_cells_are_flagged_not_fatal(spark):
     assert typed[2].total_charges is None and typed[4].total_charges == 10.5
     missing = {(r.row_no, r["column"]) for r in V.missing_cells(raw, ["tenure", "SeniorCitizen"]).collect()}
     assert missing == {(5, "SeniorCitizen")}
+
+
+def test_neighbour_information_equals_a_direct_count(spark):
+    import math
+    import random
+    from tidemark.operators import features as FE
+    rng = random.Random(4)
+    rows = [(i, None if i == 7 else i % 3 == 0, float(rng.randrange(40)) if i % 3 else float(rng.randrange(20, 60)), rng.choice(["a", "b", None]))
+            for i in range(90)] + [(90, None, 1.0, "a")]
+    df = spark.createDataFrame(rows, "id long, y boolean, x double, c string")
+    got = {r.feature: r.mutual_information for r in FE.neighbour_information(df, "y", "id", ["c"], ["x"]).collect()}
+
+    def psi(n):
+        return -0.5772156649015329 + sum(1 / j for j in range(1, n))
+
+    for feature in ("x", "c"):
+        pts = [(r.y, r.v) for r in FE.scaled_values(df, "y", "id", ["c"], ["x"]).where(f"feature = '{feature}'").collect()]
+        k_all, n_y, m_all = [], [], []
+        for i, (y, v) in enumerate(pts):
+            same = sorted(abs(v - w) for j, (z, w) in enumerate(pts) if z == y and j != i)
+            r = same[min(3, len(same)) - 1]
+            k_all.append(min(3, len(same)))
+            n_y.append(len(same) + 1)
+            m_all.append(sum(abs(v - w) < max(r, 1) for _, w in pts))
+        mean = lambda xs: sum(map(psi, xs)) / len(xs)
+        assert math.isclose(got[feature], max(0.0, psi(len(pts)) + mean(k_all) - mean(n_y) - mean(m_all)), abs_tol=1e-6)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
-MAX_BUCKETS = 16384
 
 
 def default_buckets(spark, keyed: bool = False) -> int:
@@ -25,7 +24,7 @@ def default_buckets(spark, keyed: bool = False) -> int:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     except (TypeError, ValueError):
         parts = 200
-    return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, 4 * parts))
+    return max(DEFAULT_BUCKETS, 4 * parts)
 
 
 def count_below(bounds: str, value, n: int) -> Column:

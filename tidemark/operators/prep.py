@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import exact_quantiles, mode_per_key, to_long
 from tidemark.roles import Roles
 
-MAX_CATEGORIES = 1000        # guard for one-hot width (collected category list)
 TEST_FRACTION = 0.2
 SEED = 42
 
@@ -161,8 +160,6 @@ def fit(df: DataFrame, roles: Roles, frac: float = TEST_FRACTION, seed: int = SE
     m.bounds = {r_["column"]: (r_["q1"], r_["q3"], r_["lower"], r_["upper"])
                 for r_ in fit_bounds(di, roles.numeric).collect()}
     cats = fit_categories(di, list(roles.binary) + list(roles.multi)).collect()
-    if len(cats) > MAX_CATEGORIES:
-        raise ValueError(f"{len(cats)} categories exceed the one-hot limit {MAX_CATEGORIES}")
     by_col: dict = {}
     for r_ in cats:
         by_col.setdefault(r_["column"], []).append((r_["code"], r_["value"]))
