@@ -110,30 +110,16 @@ def local_contributions(scaled: DataFrame, nb: NaiveBayes, keep=()) -> DataFrame
             out = pdf[keep].copy()
             out["probability"] = p
             out["base_value"] = pb
-            out["contributions"] = [[{"feature": f, "value": float(xv), "contribution": float(cv)}
-                                     for f, xv, cv in zip(fs, xr, cr)] for xr, cr in zip(x, c)]
+            out["_x"], out["_c"] = list(x), list(c)           # a vector per row
             yield out
     types = dict(scaled.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keep]
-                       + ["probability double", "base_value double", f"contributions {CONTRIB_TYPE}"])
-    return scaled.select(*keep, *[qc(f) for f in fs]).mapInPandas(run, schema)
-
-
-def _nb_delta_expr(nb: NaiveBayes, x: Column, i: Column, bd: float) -> Column:
-    """(jll0 - jll1) of the baseline row with feature ``i`` set to ``x``."""
-    import math
-    fs = nb.features
-    lit_arr = lambda vals: F.array(*[F.lit(float(v)) for v in vals])
-    const = lit_arr([bd - nb_term_at_zero(nb, 0, f) + nb_term_at_zero(nb, 1, f) for f in fs])
-    a0 = lit_arr([-0.5 * math.log(2 * math.pi * nb.vars[(0, f)]) for f in fs])
-    a1 = lit_arr([-0.5 * math.log(2 * math.pi * nb.vars[(1, f)]) for f in fs])
-    m0 = lit_arr([nb.means[(0, f)] for f in fs])
-    m1 = lit_arr([nb.means[(1, f)] for f in fs])
-    v0 = lit_arr([2 * nb.vars[(0, f)] for f in fs])
-    v1 = lit_arr([2 * nb.vars[(1, f)] for f in fs])
-    t0 = a0[i] - (x - m0[i]) * (x - m0[i]) / v0[i]
-    t1 = a1[i] - (x - m1[i]) * (x - m1[i]) / v1[i]
-    return const[i] + t0 - t1
+                       + ["probability double", "base_value double", "_x array<double>", "_c array<double>"])
+    found = scaled.select(*keep, *[qc(f) for f in fs]).mapInPandas(run, schema)
+    names = F.array(*[F.lit(f) for f in fs])
+    parts = F.zip_with(F.arrays_zip(names.alias("feature"), F.col("_x").alias("value")), F.col("_c"), lambda p, c: F.struct(
+        p["feature"].alias("feature"), p["value"].alias("value"), c.alias("contribution")))
+    return found.withColumn("contributions", parts.cast(CONTRIB_TYPE)).drop("_x", "_c")
 
 
 def shapley_sampling(scaled: DataFrame, nb: NaiveBayes, id_col: str, permutations: int = 16,
@@ -249,14 +235,16 @@ def input_hash(cols) -> Column:
 
 
 def score_once(typed: DataFrame, m: prep.PrepModel, nb: NaiveBayes, id_col: str, input_cols) -> DataFrame:
-    """Identical inputs are scored once and joined back."""
+    """Identical inputs are scored once and joined back.
+
+    One grouping gives each input's first row, one join takes the result back;
+    an input with many rows meets its one scored row, so AQE can split it."""
     h = typed.withColumn("_h", input_hash(input_cols))
-    uniq = h.dropDuplicates(["_h"]).select("_h", *input_cols)
-    z = prep.apply_to_new_rows(uniq, m, keep=("_h",))
-    s = batch_score(z, nb, keep=("_h",)).select("_h", "probability")
-    first = h.groupBy("_h").agg(F.min(id_col).alias("_first"))
-    return (h.select(id_col, "_h").join(s, "_h").join(first, "_h")
-            .select(id_col, F.col("_h").alias("input_hash"), "probability",
+    uniq = h.groupBy("_h").agg(F.min(id_col).alias("_first"), *[F.first(c).alias(c) for c in input_cols])
+    z = prep.apply_to_new_rows(uniq, m, keep=("_h", "_first"))
+    s = batch_score(z, nb, keep=("_h", "_first")).select("_h", "_first", "probability")
+    return (h.select(id_col, "_h").join(s, "_h")
+            .select(id_col, F.col("_h").alias("input_hash"), F.col("_first").alias("first_row"), "probability",
                     (F.col(id_col) != F.col("_first")).alias("reused")))
 
 
