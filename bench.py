@@ -17,6 +17,7 @@ HEADLINE = [
     "q8_quality_score", "v2_v7_validation_errors", "v12_duplicate_ids", "p11_apply_to_new_rows",
     "m7_classification_metrics", "m9_roc_auc", "x1_x3_batch_score", "x6_local_contributions",
     "x7_top_contributors", "d1_kpis", "d3_monthly_trend",
+    "f1b_neighbour_information", "x15_same_input_reuse", "st2_stream_over_limit",
 ]
 
 
