@@ -314,6 +314,35 @@ def test_rates_match_a_dense_projected_solution(spark):
     assert all(1 <= r.rate <= 2 for r in held.collect())
 
 
+def test_soft_rates_go_on_until_the_targets_are_met(spark):
+    cells = [([60, 25, 15], 50_000), ([75, 18, 7], 30_000), ([20, 30, 50], 20_000), ([86, 12, 2], 500), ([92, 7, 1], 100),
+             ([96, 3, 1], 100), ([80, 19, 1], 100)]
+    df, weights = spark.createDataFrame(cells, "q array<int>, tokens long"), {"clean": 0.88, "low": 0.10, "toxic": 0.02}
+    rates, report = mixing.fit_rates(df, weights, list(weights))
+    got = {tuple(r.q): r.rate for r in rates.collect()}
+    totals = sum(np.array(q) / 100 * t * got[tuple(q)] for q, t in cells)
+    assert report["met"] and np.allclose(totals, report["totals"]) and min(got.values()) >= 0
+    assert np.allclose(totals / totals.sum(), list(weights.values()), atol=1e-4)
+    # out of reach: ends at the best totals and says so; too few steps fail
+    _, bound = mixing.fit_rates(df, weights, list(weights), max_rate=2.0)
+    assert not bound["met"] and bound["error"] > 0.1
+    with pytest.raises(RuntimeError, match="still move"):
+        mixing.fit_rates(df, weights, list(weights), max_iter=20)
+
+
+def test_more_cells_than_the_driver_takes(spark, monkeypatch):
+    cells = [([90, 10], 500), ([10, 90], 300), ([60, 40], 200)]
+    df, weights = spark.createDataFrame(cells, "q array<int>, tokens long"), {"a": 0.7, "b": 0.3}
+    for options in ({}, {"max_rate": 1.1}):
+        here, report = mixing.fit_rates(df, weights, ["a", "b"], **options)
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "GATHERED", 0)
+            there, same = mixing.fit_rates(df, weights, ["a", "b"], **options)
+        assert same["iterations"] == report["iterations"] and same["met"] == report["met"] == (not options)
+        got = {tuple(r.q): r.rate for r in here.collect()}
+        assert got == pytest.approx({tuple(r.q): r.rate for r in there.collect()})
+
+
 def test_mixing_classifies_and_handles_odd_rows(spark):
     rng = random.Random(8)
     texts = [prose(rng, 40) if i % 3 else "| ### " * 20 for i in range(120)] + [None, "", "  ", "x " * 40_000]

@@ -9,11 +9,13 @@ target weights times the token budget.
 Posteriors are rounded to a grid of ``LEVELS`` steps.  Documents with equal
 posteriors have equal gradients, hence equal rates, so the descent runs over
 the grid cells with their token sums: at most (LEVELS + 1) ** (domains - 1)
-rows, however many documents there are.  Each iteration is one small
-aggregate; only one number per domain reaches the driver.
+rows, however many documents there are.  Soft posteriors need thousands of
+steps, so up to GATHERED cells the driver does them; above, each is one small
+aggregate.  Targets that the rates cannot meet are reported by a warning.
 """
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,10 @@ MAX_LABELLED = 20_000
 TOP_WORDS = 128
 MIN_ROWS = 5
 LEVELS = 100
-#: Iterations at most, relative error that ends them, iterations without progress that end them too.
-MAX_ITER, TOLERANCE, STALL = 60, 1e-4, 25
+#: Iterations after which the fit fails, relative error that ends them, iterations between proofs that no better rates exist.
+MAX_ITER, TOLERANCE, CHECK_EVERY = 200_000, 1e-4, 5
+#: Grid cells that the driver takes at most (all of four domains); more stay distributed.
+GATHERED = 200_000
 #: Words are cut at ASCII white space and used as they stand.
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#$%&*|<>{}\[\]~^=_\\/@]"
@@ -143,6 +147,71 @@ def membership(q: Column, i: int) -> Column:
     return F.element_at(q, i + 1) / F.aggregate(q, F.lit(0), lambda a, x: a + x)
 
 
+class _Gathered:
+    """State of the descent on the driver: at most GATHERED cells, ordered, so that sums do not depend on partitions."""
+
+    def __init__(self, cells: DataFrame, n_domains: int, start: float):
+        rows = sorted(cells.collect(), key=lambda r: r.q)                       # at most GATHERED rows
+        self.spark, self.q = cells.sparkSession, [list(r.q) for r in rows]
+        self.t = np.array([r.t for r in rows], float)
+        self.p = np.array([[r[f"p{i}"] for i in range(n_domains)] for r in rows], float).reshape(len(rows), n_domains)
+        self.tp = self.p * self.t[:, None]
+        self.x = np.full(len(rows), start)
+        self.y = self.x
+
+    def totals(self):
+        return self.x @ self.tp, self.y @ self.tp
+
+    def extremes(self, pull, low, high):
+        g = self.p @ pull
+        return float(g.min()), float((self.t * np.where(g > 0, g * low, g * (high or 0.0))).sum())
+
+    def restart(self):
+        self.y = self.x
+
+    def move(self, slope, ahead, low, high, iteration):
+        z = np.clip(self.y - self.p @ slope, low, high)
+        self.y, self.x = z + ahead * (z - self.x), z
+
+    def rates(self):
+        return self.spark.createDataFrame([(q, float(x)) for q, x in zip(self.q, self.x)], "q array<int>, rate double")
+
+
+class _Distributed:
+    """The same state as a table, for more cells; one number per domain reaches the driver."""
+
+    def __init__(self, cells: DataFrame, n_domains: int, start: float):
+        self.d = range(n_domains)
+        self.state = cells.withColumn("x", F.lit(start)).withColumn("y", F.col("x"))
+
+    def _along(self, v):
+        return sum((F.lit(float(v[i])) * F.col(f"p{i}") for i in self.d), F.lit(0.0))
+
+    def totals(self):
+        r = self.state.agg(*[F.sum(F.col("t") * F.col(f"p{i}") * F.col(c)).alias(f"{c}{i}") for c in "xy" for i in self.d]).first()
+        return np.array([r[f"x{i}"] for i in self.d]), np.array([r[f"y{i}"] for i in self.d])
+
+    def extremes(self, pull, low, high):
+        g = self._along(pull)
+        r = self.state.agg(F.min(g).alias("least"), F.sum(F.col("t") * F.when(g > 0, g * low).otherwise(g * (high or 0.0))).alias("box")).first()
+        return r.least, r.box
+
+    def restart(self):
+        self.state = self.state.withColumn("y", F.col("x"))
+
+    def move(self, slope, ahead, low, high, iteration):
+        moved = F.greatest(F.lit(low), F.col("y") - self._along(slope))
+        if high is not None:
+            moved = F.least(F.lit(high), moved)
+        self.state = (self.state.withColumn("z", moved).withColumn("y", F.col("z") + F.lit(ahead) * (F.col("z") - F.col("x")))
+                      .withColumn("x", F.col("z")).drop("z"))
+        if iteration % CHECK_EVERY == 0:
+            self.state = stored(self.state)
+
+    def rates(self):
+        return self.state.select("q", F.col("x").alias("rate"))
+
+
 def fit_rates(cells: DataFrame, weights: dict[str, float], domains: list[str], budget: float | None = 1.0,
               min_rate: float = 0.0, max_rate: float | None = None, max_iter: int = MAX_ITER,
               tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
@@ -152,52 +221,61 @@ def fit_rates(cells: DataFrame, weights: dict[str, float], domains: list[str], b
     [min_rate, max_rate], from all ones, by projected gradient with momentum
     and restart.  ``budget`` times the present tokens is the total aimed at;
     None takes the smallest total that no domain exceeds already.
+
+    It ends when the totals meet the targets, or when the gradient over the
+    allowed rates proves that they are within ``tolerance`` of the best that the
+    bounds and the posteriors allow (``report["met"]`` tells which).  Otherwise
+    it raises after ``max_iter`` steps.
     """
     d = range(len(domains))
     p = [membership(F.col("q"), i) for i in d]
     cells = stored(cells.select("q", F.col("tokens").cast("double").alias("t"), *[x.alias(f"p{i}") for i, x in enumerate(p)]))
     sums = cells.agg(*[F.sum(F.col("t") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in d for j in d],
-                     *[F.sum(F.col("t") * F.col(f"p{i}")).alias(f"a{i}") for i in d]).first()
+                     *[F.sum(F.col("t") * F.col(f"p{i}")).alias(f"a{i}") for i in d], F.count(F.lit(1)).alias("cells")).first()
     m = np.array([[sums[f"m{i}_{j}"] or 0.0 for j in d] for i in d]).reshape(len(d), len(d))
     now = np.array([sums[f"a{i}"] or 0.0 for i in d])
     share = np.array([float(weights[x]) for x in domains])
     share = share / share.sum() if len(d) else share
     if not len(d) or now.sum() <= 0:
-        return cells.select("q", F.lit(max(1.0, min_rate)).alias("rate")), {"iterations": 0, "totals": now.tolist(), "targets": now.tolist()}
+        return cells.select("q", F.lit(max(1.0, min_rate)).alias("rate")), {
+            "iterations": 0, "error": 0.0, "met": True, "totals": now.tolist(), "targets": now.tolist()}
     if budget is None:
         budget = max(1.0, float((now / np.maximum(share * now.sum(), 1e-12)).max()))
     target = share * budget * now.sum()
     scale = 1 / np.maximum(target, 1e-3 * target.sum())
     step = 1 / max(float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * m * np.sqrt(scale)[None, :]).max()), 1e-12)
-    state = cells.withColumn("x", F.lit(max(1.0, min_rate))).withColumn("y", F.col("x"))
-    momentum, last, error, errors = 1.0, np.inf, np.inf, []
+    low, high = float(min_rate), None if max_rate is None else float(max_rate)
+    state = (_Gathered if sums["cells"] <= GATHERED else _Distributed)(cells, len(d), max(1.0, low))
+    momentum, last = 1.0, np.inf
     for iteration in range(1, max_iter + 1):
-        r = state.agg(*[F.sum(F.col("t") * F.col(f"p{i}") * F.col("y")).alias(f"y{i}") for i in d],
-                      *[F.sum(F.col("t") * F.col(f"p{i}") * F.col("x")).alias(f"x{i}") for i in d]).first()
-        totals = np.array([r[f"x{i}"] for i in d])
-        error = float(np.abs(totals - target).sum() / target.sum())
-        if error < tolerance:
+        totals, ahead_totals = state.totals()
+        miss = totals - target
+        error = float(np.abs(miss).sum() / target.sum())
+        loss = float((scale * miss ** 2).sum() / 2)
+        met = error < tolerance
+        if met:
             break
-        if error > last:
-            momentum, state = 1.0, state.withColumn("y", F.col("x"))
-            r = {**r.asDict(), **{f"y{i}": totals[i] for i in d}}
-        last = error
-        errors.append(error)
-        if iteration > STALL and min(errors[-STALL:]) > 0.99 * min(errors[:-STALL]):
-            break                                                      # the bounds keep it from the target
-        slope = step * scale * (np.array([r[f"y{i}"] for i in d]) - target)
-        moved = F.greatest(F.lit(float(min_rate)), F.col("y") - sum((F.lit(float(slope[i])) * F.col(f"p{i}") for i in d), F.lit(0.0)))
-        if max_rate is not None:
-            moved = F.least(F.lit(float(max_rate)), moved)
+        if iteration % CHECK_EVERY == 0:
+            # no allowed rates lie below loss - gap: the totals of the best ones sum to `most` at most
+            pull = scale * miss
+            least, box = state.extremes(pull, low, high)
+            most = float((target + np.sqrt(2 * loss / scale)).sum())
+            gap = pull @ totals - low * (pull @ now) + max(0.0, most - low * now.sum()) * max(0.0, -least)
+            if high is not None:
+                gap = min(gap, pull @ totals - box)
+            if gap <= tolerance ** 2 * target.sum() / 2:
+                break                                                  # the bounds keep it from the target
+        if loss > last:
+            momentum, ahead_totals = 1.0, totals
+            state.restart()
+        last = loss
         ahead = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
-        state = (state.withColumn("z", moved)
-                 .withColumn("y", F.col("z") + F.lit(float((momentum - 1) / ahead)) * (F.col("z") - F.col("x")))
-                 .withColumn("x", F.col("z")).drop("z"))
+        state.move(step * scale * (ahead_totals - target), float((momentum - 1) / ahead), low, high, iteration)
         momentum = ahead
-        if iteration % 5 == 0:
-            state = stored(state)
-    report = {"iterations": iteration, "error": error, "totals": totals.tolist(), "targets": target.tolist()}
-    return state.select("q", F.col("x").alias("rate")), report
+    else:
+        raise RuntimeError(f"rates still move after {max_iter} steps: totals {totals.tolist()} for targets {target.tolist()}")
+    report = {"iterations": iteration, "error": error, "met": met, "totals": totals.tolist(), "targets": target.tolist()}
+    return state.rates(), report
 
 
 def document_rates(docs: DataFrame, model: Classifier, weights: dict[str, float], id_col: str = "doc_id",
@@ -217,7 +295,9 @@ def mixture_rates(docs: DataFrame, model: Classifier, weights: dict[str, float],
 
 def _with_rates(rows: DataFrame, scored: DataFrame, model: Classifier, weights: dict[str, float], **options) -> DataFrame:
     cells = scored.groupBy(F.col("__q").alias("q")).agg(F.sum("__tokens").alias("tokens"))
-    rates, _ = fit_rates(cells, weights, model.domains, **options)
+    rates, report = fit_rates(cells, weights, model.domains, **options)
+    if not report["met"]:
+        warnings.warn(f"target weights not met: {report}")
     rates = stored(rates.select(F.col("q").alias("__q"), F.col("rate").alias("__rate")))
     return rows.join(F.broadcast(rates), "__q", "left")           # at most one row per grid cell
 
