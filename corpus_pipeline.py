@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import mixing, pieces, secret_scan, simhash_vp, toxicity
 from tidemark.llm.common import named, stored, table
 
-#: Target weights of the quality domains; a document is kept once at least and twice at most.
+#: Target weights of the quality domains; a document is kept once at least, as often as the weights need.
 QUALITY = "CASE quality WHEN 1 THEN 'high' WHEN 0 THEN 'low' END"
 WEIGHTS = {"high": 0.9, "low": 0.1}
-LEAST_RATE, MOST_RATE = 1.0, 2.0
+LEAST_RATE = 1.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     approach the weights; the smallest total that needs no document dropped."""
     labels = table(spark, sf_dir, "labels")
     model = mixing.fit_classifier(docs, labels, F.expr(QUALITY), domains=list(WEIGHTS))
-    mixed = mixing.mixture_rates(docs, model, WEIGHTS, budget=None, min_rate=LEAST_RATE, max_rate=MOST_RATE)
+    mixed = mixing.mixture_rates(docs, model, WEIGHTS, budget=None, min_rate=LEAST_RATE)
     return mixing.emit(mixed, docs.columns)
 
 

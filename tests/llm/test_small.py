@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from tidemark.llm import (hamming_topk, mixing, pieces, pq_dedup, secret_scan, sharding, simhash_vp, substring_dedup,
                           toxicity, url_lists)
@@ -364,6 +365,16 @@ def test_mixing_classifies_and_handles_odd_rows(spark):
     assert {r.doc_id for r in kept.collect()} == set(got) and kept.columns == docs.columns
 
 
+def test_pipeline_meets_its_weights_with_a_low_quality_third(spark, tmp_path):
+    rng = random.Random(10)
+    docs = docs_of(spark, [prose(rng, 40) if i % 3 else "| ### " * 20 for i in range(240)])
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(180)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()
+    high, low = (sum(len(r.text.split()) for r in mixed if (r.doc_id % 3 > 0) == good) for good in (True, False))
+    assert abs(high / (high + low) - corpus_pipeline.WEIGHTS["high"]) < 0.01
+    assert {r.doc_id for r in mixed} == set(range(240))
+
+
 # ---- simhash
 
 def fingerprint_by_hand(text):
