@@ -71,6 +71,17 @@ def test_url_keys_intervals_and_odd_rows(spark):
     assert {r.verdict for r in url_lists.evaluate(df, entries.limit(0)).collect()} == {"none"}
 
 
+def test_urls_of_many_labels_are_looked_up_whole(spark):
+    import datetime as dt
+    host = "a.b.c.d.e.f.g.spam.example.com"
+    rows = [(host, "block"), ("c.d.e.f.g.spam.example.com", "allow"), ("x." + host, "allow"), ("x." + host + "/in", "block")]
+    entries = spark.createDataFrame([(*r, dt.date(2024, 1, 1)) for r in rows], "key string, action string, listed date")
+    hosts = [host, "y." + host, "b.c.d.e.f.g.spam.example.com", "x." + host, "x." + host + "/in/z", ".".join("l" * 117) + "." + host]
+    caps = spark.createDataFrame([(i, f"http://{h}", dt.date(2024, 2, 1)) for i, h in enumerate(hosts)], "page_id long, url string, fetch_date date")
+    got = [(r.verdict, r.matched_key) for r in sorted(url_lists.evaluate(caps, entries).collect())]
+    assert got == [("block", host), ("block", host), ("allow", rows[1][0]), ("allow", rows[2][0]), ("block", rows[3][0]), ("block", host)]
+
+
 # ---- top-k
 
 def test_topk_equals_brute_force_with_copies_and_ties(spark):

@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import named
 
-#: Longest host suffixes that are looked up: whole host, then without its first labels.
-MAX_LABELS = 8
 ACTIONS = ("block", "allow", "remove")
 
 
@@ -36,13 +34,13 @@ def segment_of(url: Column) -> Column:
 
 def keys_of(host: Column, segment: Column) -> Column:
     """Lookup keys with their specificity: ``host/segment`` first, then the
-    host's suffixes down to two labels.  A host without a dot is its own key."""
+    host's suffixes from the whole host down to two labels.  A host without a
+    dot is its own key."""
     labels = F.split(host, "[.]")
     n = F.size(labels)
-    longest = F.least(n, F.lit(MAX_LABELS))
-    suffixes = F.transform(F.sequence(F.least(F.lit(2), longest), longest), lambda k: F.struct(
+    suffixes = F.transform(F.sequence(F.least(F.lit(2), n), n), lambda k: F.struct(
         F.array_join(F.slice(labels, n - k + 1, k), ".").alias("key"), k.cast("int").alias("rank")))
-    path = F.when(segment != "", F.array(F.struct(F.concat(host, F.lit("/"), segment).alias("key"), F.lit(MAX_LABELS + 1).alias("rank"))))
+    path = F.when(segment != "", F.array(F.struct(F.concat(host, F.lit("/"), segment).alias("key"), (n + 1).alias("rank"))))
     return F.when(host == "", F.array().cast("array<struct<key:string,rank:int>>")).otherwise(
         F.concat(suffixes, F.coalesce(path, F.array().cast("array<struct<key:string,rank:int>>"))))
 
