@@ -97,6 +97,19 @@ def test_topk_equals_brute_force_with_copies_and_ties(spark):
         assert sorted(got[q]) == [(n + 1, d, i) for n, (d, i) in enumerate(best)]
 
 
+def test_topk_is_full_for_an_id_with_several_codes(spark):
+    rng = random.Random(4)
+    rows = [(0, c) for c in (0, 1, 2, 4, 8)] + [(i, rng.getrandbits(62)) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = {}
+    for r in hamming_topk.top_k(df, df.where("id = 0 AND code = 0 OR id = 20"), k=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.id))
+    for q, code in (rows[0], rows[24]):
+        best = sorted((bin(code ^ c).count("1"), i) for i, c in dict.fromkeys(rows) if i != q)
+        best = [x for n, x in enumerate(best) if x not in best[:n]][:7]
+        assert sorted(got[q]) == [(n + 1, d, i) for n, (d, i) in enumerate(best)]
+
+
 def test_topk_of_few_null_and_short_vectors(spark):
     nan = float("nan")
     df = spark.createDataFrame([(0, [1.0, -1.0]), (20, None), (40, [nan, None, 2.0]), (60, []), (None, [1.0])], "vec_id long, embedding array<float>")

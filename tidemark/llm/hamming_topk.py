@@ -7,10 +7,10 @@ differ in one bit of it, two bits, and so on.  After radius r every code within
 than r bits, the whole would differ in more), so a query is finished when its
 kth verified distance is within that bound; only unfinished queries go on.
 
-Equal codes collapse to one entry that keeps its k + 1 smallest ids, all that
-any answer can use; equal queries are answered once.  The index of a segment is
+Equal codes collapse to one entry that keeps its smallest ids, k and as many as
+a query's own id has codes, all that any answer can use; equal queries are answered once.  The index of a segment is
 cut by the segment's leading bits into blocks of bounded size; a query visits
-the blocks that its radius reaches, and a block returns its own best k + 1 per
+the blocks that its radius reaches, and a block returns its own best as many per
 query, so candidates never leave a task.
 """
 from __future__ import annotations
@@ -62,9 +62,12 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, block_codes: int = B
     """``codes(id, code)``, ``queries(id, code)`` -> ``(query_id, rank, id, distance)``.
 
     The k nearest other ids of each query by distance, then id; fewer where
-    there are fewer.  The same id with the same code counts once.
+    where there are fewer.  The same id with the same code counts once; an id
+    with several codes has an entry for each.
     """
-    width, reach = BITS // SEGMENTS, k + 1
+    # a query's own id takes one place for each of its codes
+    own = codes.join(queries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count_distinct("code").alias("n"))
+    width, reach = BITS // SEGMENTS, k + (own.agg(F.max("n")).first()[0] or 1)
     index = stored(_smallest_ids(codes, reach))
     n = index.count()
     cut = min(width, max(LEAST_CUT, int(np.ceil(np.log2(max(1, n / block_codes))))))
@@ -127,7 +130,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, block_codes: int = B
         return run
 
     asked = stored(queries.select(F.col("code").alias("query")).distinct())
-    best = None                                                    # (query, id, distance): the best k + 1 so far
+    best = None                                                    # (query, id, distance): the best `reach` so far
     done = []
     closest = Window.partitionBy("query").orderBy("distance", "id")
     for radius in range(width + 1):
