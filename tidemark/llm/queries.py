@@ -6,9 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (hamming_topk, mixing, pieces, pq_dedup, secret_scan, sharding, simhash_vp, substring_dedup,
-                          toxicity, url_lists)
-from tidemark.llm.common import table
+from tidemark.llm import (grammar_runs, hamming_topk, mixing, pieces, pq_dedup, quality_rff, secret_scan, sharding, simhash_vp,
+                          spelling_kd, substring_dedup, toxicity, url_lists)
+from tidemark.llm.common import stored, table
 
 #: Days after which captures and list entries are dated.
 FIRST_DAY = "2024-01-01"
@@ -167,6 +167,47 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` with the contract's periods: where 10 divides
+    h = crc32(doc_id as text), the words from a on repeat the p words from a."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    tenth = docs.select("doc_id", "text", F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("w"),
+                        F.floor(h / 10).cast("long").alias("g"))
+    n = F.size("w").cast("long")
+    a = F.col("g") % F.greatest(n, F.lit(1))
+    tenth = tenth.select("doc_id", "text", "w", a.alias("a"), (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("long").alias("p"))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    turned = F.transform("w", lambda w, i: F.element_at("w", (at(i.cast("long")) + 1).cast("int")))
+    return tenth.select("doc_id", F.when(F.size("w") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grammar_runs.periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    above = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, x: F.when(above(x, b) > 0, x).otherwise(b))   # first of equals
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    out = found.withColumn("best", best)
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_kd.group(spelling_kd.counted_words(table(spark, sf_dir, "documents"), drop_every=31))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(quality_rff.statistics(table(spark, sf_dir, "documents")))
+    model = quality_rff.fit(stats, table(spark, sf_dir, "labels").where(~quality_rff.held_out(F.col("doc_id"))))
+    return quality_rff.score(stats, model).select(
+        F.col("id").alias("doc_id"), quality_rff.held_out(F.col("id")).alias("held_out"), "score",
+        F.when(F.col("score") >= quality_rff.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -174,5 +215,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_topk_search, op3_sentencepiece, op4_secret_scan, op5_toxicity, op6_embedding_near_dedup,
-    op7_substring_dedup, op8_sharding, op9_mixing, op10_simhash_near_dedup, pipeline)}
+    op7_substring_dedup, op8_sharding, op9_mixing, op10_simhash_near_dedup, op11_periodic_runs, op12_spelling_variants,
+    op13_quality_classifier, pipeline)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op2_topk_search": OP2_SQL}
