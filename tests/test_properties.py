@@ -15,7 +15,7 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.concatenate([rng.normal(size=500), np.full(300, 2.5)])   # one hot value
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r["p"]: r["q"] for r in exact_quantiles(to_long(df, ["x"]), probs, buckets=8).collect()}
+    got = {r["p"]: r["q"] for r in exact_quantiles(to_long(df, ["x"]), probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-12)
 
@@ -28,7 +28,7 @@ def test_quantiles_single_and_constant(spark):
 
 def test_ordered_prefix_positions(spark):
     df = spark.createDataFrame([(i % 3, float(i % 7), i) for i in range(200)], "k int, v double, id int")
-    out = ordered_prefix(df, "v", ["id"], key="k", tie="id", buckets=4).collect()
+    out = ordered_prefix(df, "v", ["id"], key="k", tie="id", ranges=4).collect()
     for k in range(3):
         rows = sorted([r for r in out if r["k"] == k], key=lambda r: (r["v"], r["id"]))
         assert [r["_pos"] for r in rows] == list(range(1, len(rows) + 1))
@@ -38,7 +38,7 @@ def test_ordered_prefix_positions(spark):
 def test_kth_smallest(spark):
     df = spark.createDataFrame([(0, (i * 37) % 101, i) for i in range(101)], "k int, h long, id long")
     ks = spark.createDataFrame([(0, 10)], "k int, _k long")
-    r = kth_smallest(df, "k", "h", "id", ks, buckets=5).collect()
+    r = kth_smallest(df, "k", "h", "id", ks).collect()
     assert r[0]["_ch"] == 9
 
 
@@ -157,23 +157,37 @@ def test_split_quota_and_scaler(spark):
     assert all(abs(st[f"m{i}"]) < 1e-9 for i in range(len(m.feature_columns)))
 
 
-def test_count_below_matches_bisect(spark):
-    import bisect
-    from tidemark.functions.stats import count_below
-    bnds = sorted([1.0, 2.0, 2.0, 2.0, 5.0, 7.5, 7.5, 10.0])
-    vals = [-1.0, 1.0, 1.5, 2.0, 2.1, 5.0, 7.5, 9.0, 10.0, 11.0]
-    df = spark.createDataFrame([(v, bnds) for v in vals], "v double, b array<double>")
-    got = [r["n"] for r in df.select(count_below("b", "v", len(bnds)).alias("n")).collect()]
-    assert got == [bisect.bisect_left(bnds, v) for v in vals]
-
-
-def test_exact_quantiles_many_buckets(spark):
-    vals = [float((i * 7919) % 1000) / 7 for i in range(3000)]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    probs = [0.01, 0.33, 0.5, 0.99]
-    got = {r["p"]: r["q"] for r in exact_quantiles(to_long(df, ["x"]), probs, buckets=4096).collect()}
+@pytest.mark.parametrize("accuracy", [40, 200, 20_000])
+def test_exact_quantiles_by_narrow_brackets(spark, accuracy):
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(size=2000), np.full(900, 0.25), rng.exponential(50, 1100), [1e12, -1e12]])
+    df = spark.createDataFrame([(float(v), float(i % 13)) for i, v in enumerate(vals)], "x double, y double")
+    probs = [0.0, 0.01, 0.33, 0.5, 0.75, 0.99, 1.0]
+    got = {(r["column"], r["p"]): r["q"] for r in exact_quantiles(to_long(df, ["x", "y"]), probs, accuracy=accuracy).collect()}
     for p in probs:
-        assert got[p] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
+        assert got[("x", p)] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
+        assert got[("y", p)] == pytest.approx(float(np.percentile(np.arange(len(vals)) % 13.0, p * 100)), abs=1e-9)
+
+
+def test_ordered_prefix_keeps_null_keys_and_a_key_over_all_ranges(spark):
+    rows = [(None, i, i % 5) for i in range(40)] + [("b", i, None) for i in range(3)] + [("a", i, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v int, w int")
+    out = ordered_prefix(df, "v", ["w"], key="k", ranges=7).collect()
+    assert sorted((r.k or "", r._pos) for r in out) == sorted([("", i + 1) for i in range(40)] + [("b", i + 1) for i in range(3)]
+                                                              + [("a", i + 1) for i in range(300)])
+    assert {r.v: r.cum_w for r in out if r.k is None} == {i: sum(j % 5 for j in range(i + 1)) for i in range(40)}
+    two = ordered_prefix(df, "v", [], key=["k", "w"], ranges=5).where("k IS NULL AND w = 2").collect()
+    assert sorted((r.v, r._pos) for r in two) == [(2 + 5 * i, i + 1) for i in range(8)]
+    assert ordered_prefix(df.limit(0), "v", ["w"], key="k").count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 7, 250, 999, 1000])
+def test_kth_smallest_with_ties_and_null_key(spark, k):
+    rows = [(None, (i * 7919) % 91, i) for i in range(1000)] + [("x", i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, h long, id long")
+    ks = spark.createDataFrame([(None, k), ("x", 0)], "k string, _k long")
+    got = kth_smallest(df, "k", "h", "id", ks).collect()
+    assert [(r["k"], r._ch, r._cid) for r in got] == [(None, *sorted((h, i) for c, h, i in rows if c is None)[k - 1])]
 
 
 def test_keyset_pages_walk_the_whole_table(spark):

@@ -1,49 +1,20 @@
 """Distributed statistics used by many operators.
 
 ``exact_quantiles`` gives the same answer as ``percentile`` (linear
-interpolation, numpy's default) without buffering a whole column in one
-task: values are first reduced to (value, count) pairs, cut into buckets by
-approximate boundaries, ranked inside each bucket with a partitioned running
-sum, and the wanted ranks are picked by a join against a tiny target table.
+interpolation, numpy's default) without buffering or sorting a column: one scan
+brackets every wanted rank by a sketch with a proven rank error, a second one
+counts what lies below the bracket and the values inside it, and only those few
+values are ordered.  ``ordered_prefix`` numbers and sums rows in order over range
+partitions; what earlier partitions hold comes from a table with one row per
+partition.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
-
-
-def default_buckets(spark, keyed: bool = False) -> int:
-    """Buckets for ordered work: about 4 per shuffle partition (so a bucket
-    stays near a partition's share of the data), at least 256.  Keyed uses
-    (one boundary set per key) keep the base value."""
-    if keyed:
-        return DEFAULT_BUCKETS
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        parts = 200
-    return max(DEFAULT_BUCKETS, 4 * parts)
-
-
-def count_below(bounds: str, value, n: int) -> Column:
-    """Number of entries of the sorted array column ``bounds`` (length
-    ``n``) that are < ``value``: a binary search in ceil(log2(n+1)) steps,
-    so large boundary arrays stay cheap per row."""
-    import math
-    steps = max(1, math.ceil(math.log2(n + 1)) + 1)
-    v = value if isinstance(value, Column) else F.col(value)
-    arr = F.col(bounds)
-    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        nxt = F.when(arr[mid] < v, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
-            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
-        return F.when(lo < hi, nxt).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+#: Rank error of the quantile sketch: n / SKETCH_ACCURACY.
+SKETCH_ACCURACY = 20_000
 
 
 def to_long(df: DataFrame, columns, key: str = "column", value: str = "value",
@@ -55,55 +26,42 @@ def to_long(df: DataFrame, columns, key: str = "column", value: str = "value",
 
 
 def exact_quantiles(long: DataFrame, probs, key: str = "column", value: str = "value",
-                    buckets: int | None = None) -> DataFrame:
+                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """(key, p, q) for every key and every p in ``probs``; exact, linear.
 
-    ``long`` has one row per observation.  ``buckets`` bounds the size of a
-    window partition to about distinct_values / buckets.
-    """
+    ``long`` has one row per observation and is scanned twice.  The sketch is
+    off by at most n / accuracy ranks, so the bracket of a wanted rank holds
+    about 8 n / accuracy rows; only their distinct values are ordered, one
+    window per (key, p)."""
     probs = [float(p) for p in probs]
-    buckets = buckets or default_buckets(long.sparkSession)
-    counts = long.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    meta = counts.groupBy(key).agg(
-        F.sum("_c").alias("_n"),
-        F.percentile_approx(value, cuts, 10 * buckets).alias("_bnds"))
-    # one row per key: size bounded by the number of keys
-    cb = (counts.join(F.broadcast(meta), key)
-          .withColumn("_b", count_below("_bnds", value, buckets - 1)))
-    per_bucket = cb.groupBy(key, "_b").agg(F.sum("_c").alias("_bc"))
-    offsets = per_bucket.withColumn(
-        "_off", F.coalesce(F.sum("_bc").over(
-            Window.partitionBy(key).orderBy("_b")
-            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = (Window.partitionBy(key, "_b").orderBy(value)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (cb.join(F.broadcast(offsets.select(key, "_b", "_off")), [key, "_b"])
-              .withColumn("_hi", F.col("_off") + F.sum("_c").over(w))
-              .withColumn("_lo", F.col("_hi") - F.col("_c"))
-              .select(key, value, "_lo", "_hi"))
+    off = 4.0 / accuracy
+    ends = [min(1.0, max(0.0, p + side * off)) for p in probs for side in (-1, 1)]
+    meta = long.groupBy(key).agg(F.count(value).alias("_n"), F.percentile_approx(value, ends, accuracy).alias("_e"),
+                                 F.min(value).alias("_min"), F.max(value).alias("_max"))
+    few = F.col("_n") * off < 2                                              # the margin must hold a rank: else all rows
+    targets = F.explode(F.array(*[F.struct(F.lit(p).alias("_p"), F.when(few, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("_lo"),
+                                           F.when(few, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("_hi"))
+                                  for i, p in enumerate(probs)]))
+    # keys x probs rows: one per column and quantile
+    asked = meta.select(key, "_n", targets.alias("_t")).select(key, "_n", "_t.*")
+    hit = long.join(F.broadcast(asked), key).where(F.col(value) <= F.col("_hi"))
+    counts = hit.groupBy(key, "_p", F.when(F.col(value) >= F.col("_lo"), F.col(value)).alias("_v")).agg(
+        F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_c"))            # null: all values below the bracket
+    w = Window.partitionBy(key, "_p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos = F.col("_p") * (F.col("_n") - 1)
-    targets = (meta.select(key, "_n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
-               .withColumn("_pos", pos)
-               .withColumn("_k", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
-               .withColumn("_frac", F.col("_pos") - F.floor("_pos"))
-               .withColumn("_is_lo", F.col("_k") == F.floor("_pos")))
-    # keys x probs x 2 rows: broadcast is bounded
-    hit = ranked.join(F.broadcast(targets),
-                      (ranked[key] == targets[key]) & (ranked["_lo"] <= targets["_k"])
-                      & (targets["_k"] < ranked["_hi"]))
-    res = hit.groupBy(ranked[key].alias(key), F.col("_p")).agg(
-        F.max(F.when(F.col("_is_lo"), F.col(value))).alias("_vlo"),
-        F.max(F.when(~F.col("_is_lo"), F.col(value))).alias("_vhi"),
-        F.first("_frac").alias("_frac"))
-    q = F.col("_vlo") + (F.coalesce(F.col("_vhi"), F.col("_vlo")) - F.col("_vlo")) * F.col("_frac")
+    ranked = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c")).where("_v IS NOT NULL")
+    at = lambda k: (F.col("_from") <= k) & (k < F.col("_to"))
+    res = ranked.groupBy(key, "_p").agg(F.max(F.when(at(F.floor(pos)), F.col("_v"))).alias("_a"),
+                                        F.max(F.when(at(F.ceil(pos)), F.col("_v"))).alias("_b"), F.first(pos).alias("_pos"))
+    q = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a wanted rank lies outside its bracket"))) \
+        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
     return res.select(key, F.col("_p").alias("p"), q.alias("q"))
 
 
 def quantile_row(long: DataFrame, probs, names, key: str = "column", value: str = "value",
-                 buckets: int | None = None) -> DataFrame:
+                 accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Pivot ``exact_quantiles`` to one row per key with columns ``names``."""
-    q = exact_quantiles(long, probs, key, value, buckets)
+    q = exact_quantiles(long, probs, key, value, accuracy)
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(n) for p, n in zip(probs, names)]
     return q.groupBy(key).agg(*aggs)
 
@@ -124,46 +82,57 @@ def r(c, digits: int = 6) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), digits)
 
 
-def kth_smallest(df: DataFrame, key: str, order: str, tie: str, ks: DataFrame,
-                 buckets: int | None = None) -> DataFrame:
+def kth_smallest(df: DataFrame, key: str, order: str, tie: str, ks: DataFrame, cuts: int = 1_000) -> DataFrame:
     """Per ``key``, the (order, tie) pair of the k-th smallest row, where
-    ``ks`` holds (key, _k).  Output (key, _ch, _cid).  Keys with k = 0 get
-    no row.  The rank is found bucket by bucket, so a key holding most rows
-    is still spread over many tasks."""
-    ranked = ordered_prefix(df.select(key, order, tie), order, [], key=key, tie=tie, buckets=buckets)
-    hit = ranked.join(F.broadcast(ks), key).where(F.col("_pos") == F.col("_k"))
-    return hit.select(key, F.col(order).alias("_ch"), F.col(tie).alias("_cid"))
-
-
-def ordered_prefix(df: DataFrame, order: str, sums, key: str | None = None, tie: str | None = None,
-                   buckets: int | None = None) -> DataFrame:
+    ``ks`` holds (key, _k), a row per key.  Output (key, _ch, _cid).  Keys with
+    k = 0 get no row.
+
+    A sketch brackets the rank (about four of ``cuts`` parts of the key's rows),
+    one scan counts the rows below, and only the rows inside are ordered."""
+    rows = df.select(key, order, tie)
+    at = F.col(order).cast("double")                                         # the sketch holds doubles: compare as such
+    meta = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.percentile_approx(order, [i / cuts for i in range(cuts + 1)], 20 * cuts).alias("_e"))
+    share = F.col("_k") * cuts / F.col("_n")
+    part = lambda at: F.least(F.greatest(at.cast("int"), F.lit(0)), F.lit(cuts))
+    wanted = ks.where("_k > 0").select(F.col(key).alias("_key"), "_k")
+    asked = meta.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_key"))).select(
+        "_key", "_k", F.col("_e")[part(F.floor(share) - 2)].alias("_lo"), F.col("_e")[part(F.ceil(share) + 2)].alias("_hi"))
+    hit = rows.join(F.broadcast(asked), F.col(key).eqNullSafe(F.col("_key"))).where(at <= F.col("_hi")).drop("_key")
+    below = hit.groupBy(key).agg(F.count_if(at < F.col("_lo")).alias("_below"))
+    inside = ordered_prefix(hit.where(at >= F.col("_lo")), order, [], key=key, tie=tie)
+    found = inside.join(F.broadcast(below.withColumnRenamed(key, "_key")), F.col(key).eqNullSafe(F.col("_key")))
+    return found.where(F.col("_pos") + F.col("_below") == F.col("_k")).select(key, F.col(order).alias("_ch"), F.col(tie).alias("_cid"))
+
+
+def ordered_prefix(df: DataFrame, order: str, sums, key=None, tie: str | None = None,
+                   ranges: int | None = None) -> DataFrame:
     """Add ``_pos`` (1-based position) and inclusive running sums
-    ``cum_<c>`` over rows ordered by (order, tie) ascending, per ``key``.
-
-    No single-task window: rows are cut into buckets by approximate
-    quantiles of ``order`` (per key), bucket totals give offsets, and the
-    running sum is a window partitioned by (key, bucket)."""
-    k = key or "_key"
-    d = df if key else df.withColumn("_key", F.lit(0))
-    buckets = buckets or default_buckets(df.sparkSession, keyed=key is not None)
-    cuts = [i / buckets for i in range(1, buckets)]
-    meta = d.groupBy(k).agg(F.percentile_approx(order, cuts, 10 * buckets).alias("_bnds"))
-    meta = F.broadcast(meta) if key is None else meta
-    db = (d.join(meta, k)
-          .withColumn("_b", count_below("_bnds", order, buckets - 1)).drop("_bnds"))
-    tot = db.groupBy(k, "_b").agg(F.count(F.lit(1)).alias("_bn"), *[F.sum(c).alias(f"_bs_{c}") for c in sums])
-    wprev = Window.partitionBy(k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(k, "_b", F.coalesce(F.sum("_bn").over(wprev), F.lit(0)).alias("_on"),
-                     *[F.coalesce(F.sum(f"_bs_{c}").over(wprev), F.lit(0)).alias(f"_os_{c}") for c in sums])
-    off = F.broadcast(off) if key is None else off
-    ordc = [order] + ([tie] if tie else [])
-    w = Window.partitionBy(k, "_b").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = (db.join(off, [k, "_b"])
-           .withColumn("_pos", F.col("_on") + F.count(F.lit(1)).over(w)))
+    ``cum_<c>`` over rows ordered by (order, tie) ascending, per ``key``
+    (a column or several; nulls are a key of their own).
+
+    Rows are range-partitioned on (key, order, tie), whatever the size of a
+    key, and stored with their partition's number.  Sums run inside (partition,
+    key); only the first key of a partition can have rows in earlier ones, so
+    what is carried over is at most one row per partition."""
+    from tidemark.session import stored
+    keys = [] if key is None else [key] if isinstance(key, str) else list(key)
+    by = keys + [order] + ([tie] if tie else [])
+    if ranges is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = stored(df.repartitionByRange(ranges, *by).withColumn("_part", F.spark_partition_id()))
+    total = laid.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = total.select(F.col("_part").alias("_at"), *[F.col(c).alias(f"_key_{i}") for i, c in enumerate(keys)],
+                         F.sum("_n").over(before).alias("_before"), *[F.sum(f"_s_{c}").over(before).alias(f"_b_{c}") for c in sums]).where("_before > 0")
+    same = F.col("_part") == F.col("_at")
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_key_{i}"))
+    run = Window.partitionBy("_part", *keys).orderBy(order, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = laid.join(F.broadcast(carry), same, "left").withColumn("_pos", F.coalesce("_before", F.lit(0)) + F.count(F.lit(1)).over(run))
     for c in sums:
-        out = out.withColumn(f"cum_{c}", F.col(f"_os_{c}") + F.sum(c).over(w))
-    drop = ["_b", "_on"] + [f"_os_{c}" for c in sums] + ([] if key else ["_key"])
-    return out.drop(*drop)
+        out = out.withColumn(f"cum_{c}", F.coalesce(f"_b_{c}", F.lit(0)) + F.sum(c).over(run))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_pos", *[f"cum_{c}" for c in sums])
 
 
 def top_k_per_key(df: DataFrame, key: str, order, k: int, salts: int = 16) -> DataFrame:

@@ -96,11 +96,11 @@ def neighbour_information(df: DataFrame, label: str, id_col: str, cats, nums, k:
     one row take no part."""
     d = scaled_values(df, label, id_col, cats, nums)
     size = d.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n_y"))       # features x classes rows
-    d = d.join(F.broadcast(size), ["feature", "y"]).where("n_y > 1").withColumn("_k", F.concat_ws("|", "feature", "y"))
-    placed = ordered_prefix(d, "v", [], key="_k", tie="id")
+    d = d.join(F.broadcast(size), ["feature", "y"]).where("n_y > 1")
+    placed = ordered_prefix(d, "v", [], key=["feature", "y"], tie="id")
     at, home = F.col("_pos") % HALO_ROWS, F.floor(F.col("_pos") / HALO_ROWS)
     halo = F.array_compact(F.array(home, F.when(at < k, home - 1), F.when(at >= HALO_ROWS - k, home + 1)))
-    w = Window.partitionBy("_k", "_slice").orderBy("_pos")
+    w = Window.partitionBy("feature", "y", "_slice").orderBy("_pos")
     gaps = [F.col("v") - F.lag("v", i).over(w) for i in range(1, k + 1)] + [F.lead("v", i).over(w) - F.col("v") for i in range(1, k + 1)]
     near = (placed.withColumn("_home", home).withColumn("_slice", F.explode(halo))
             .withColumn("_gaps", F.array_sort(F.array_compact(F.array(*gaps)))).where("_slice = _home")

@@ -3,7 +3,7 @@
 Gaussian naive Bayes is fitted with one grouped aggregate and applied as a
 pure column expression, so scoring is a projection inside whole-stage
 codegen.  Evaluation (confusion counts, AUC, ROC) works on grouped score
-counts; the ordered running sums use the bucketed prefix in
+counts; the ordered running sums use the range-partitioned prefix of
 ``functions.stats`` instead of a single-task global window.
 """
 from __future__ import annotations
@@ -179,7 +179,7 @@ def threshold_sweep(pred: DataFrame, thresholds, label: str = "label", score: st
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """M6: fold = (position inside its class by hash(id, seed) - 1) % k.
-    The per-class position uses the bucketed prefix (hot classes are split)."""
+    A class is ordered over range partitions (hot classes are split)."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 15),
                16, 10).cast("long")
     d = df.select(id_col, label, h.alias("_h"))

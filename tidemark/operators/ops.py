@@ -65,12 +65,11 @@ def latest_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def progress_history(metrics: DataFrame) -> DataFrame:
-    """Iteration number per (job, metric) in time order, computed with
-    the bucketed prefix (a hot job is split over many tasks)."""
-    d = metrics.select(F.concat_ws("|", F.col("job_id").cast("string"), "metric_name").alias("_k"),
-                       "job_id", "metric_name", "event_id", "metric_value",
+    """Iteration number per (job, metric) in time order, over range
+    partitions (a hot job is split over many tasks)."""
+    d = metrics.select("job_id", "metric_name", "event_id", "metric_value",
                        F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("_t"))
-    p = ordered_prefix(d, "_t", [], key="_k", tie="event_id")
+    p = ordered_prefix(d, "_t", [], key=["job_id", "metric_name"], tie="event_id")
     return p.select("job_id", "metric_name", F.col("_pos").alias("iteration"), "metric_value")
 
 
@@ -197,8 +196,8 @@ def version_string(model_type: Column, dataset_id: Column, ts: Column) -> Column
 def list_versions(versions: DataFrame, status: str | None = "active", sort_by: str = "f1", descending: bool = True,
                   owner_id: int | None = None, dataset_id: int | None = None, model_type: str | None = None) -> DataFrame:
     """Filter by status, owner, dataset and type, then position per model
-    type by any column (numbers, times, metrics), either direction, via the
-    bucketed prefix; nulls come last."""
+    type by any column (numbers, times, metrics), either direction; nulls come
+    last, and a null type is a type of its own."""
     d = versions
     for column, value in (("status", status), ("owner_id", owner_id), ("dataset_id", dataset_id), ("model_type", model_type)):
         if value is not None:

@@ -250,10 +250,12 @@ def score_once(typed: DataFrame, m: prep.PrepModel, nb: NaiveBayes, id_col: str,
 
 def batch_pages(predictions: DataFrame, page_size: int, page: int | None = None) -> DataFrame:
     """Predictions of each batch in creation order with ``rank``, ``page``
-    and ``batch_total``; all pages, or one."""
-    totals = predictions.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_total"))
+    and ``batch_total``; all pages, or one.  Predictions without a batch (single
+    ones) are listed together."""
+    totals = predictions.groupBy(F.col("batch_id").alias("_batch")).agg(F.count(F.lit(1)).alias("batch_total"))
     ranked = ordered_prefix(predictions, "row_no", [], key="batch_id").withColumnRenamed("_pos", "rank")
-    out = ranked.withColumn("page", F.floor((F.col("rank") - 1) / page_size) + 1).join(totals, "batch_id")
+    out = ranked.withColumn("page", F.floor((F.col("rank") - 1) / page_size) + 1).join(
+        totals, F.col("batch_id").eqNullSafe(F.col("_batch"))).drop("_batch")
     return out if page is None else out.where(F.col("page") == page)
 
 
