@@ -21,34 +21,113 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import stored
 
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 16
-#: Word hashes that a worker remembers; words of one flush of rows.
-REMEMBERED, FLUSH = 400_000, 400_000
+#: Rows of one output flush; bytes of text and of words that are held as arrays at once; longest word hashed byte by byte.
+FLUSH, SLICE_BYTES, BLOCK_BYTES, LONG_WORD = 400_000, 4_000_000, 4_000_000, 256
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2 ** 64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
-class Words:
-    """64-bit hashes of words, remembered up to a bound."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+@dataclass
+class Slice:
+    """The words of some consecutive texts: bytes, word starts and ends, the text of each
+    word, the first word of each text (and the end), and 64-bit hashes of the words."""
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> "Slice":
+        """``offsets``: where each text begins in ``data``, and the end."""
+        word = np.zeros(len(data) + 1, bool)
+        word[:-1] = ~_SPACE[data]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1                     # where words begin or stop
+        inside = offsets[(offsets > 0) & (offsets < len(data))]
+        touch = np.unique(inside[word[inside] & word[inside - 1]])           # a text ends and the next begins with a word
+        edge = np.sort(np.concatenate([[0] * bool(word[0]), edge, touch, touch])).astype(np.int64)
+        starts, ends = edge[::2], edge[1::2]
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        return cls(data, starts, ends, doc, np.searchsorted(doc, np.arange(len(offsets))))
+
+    def hashes(self) -> np.ndarray:
+        """From bytes times powers, block by block; long words by a digest."""
+        out = np.zeros(len(self.starts), np.uint64)
+        size = self.ends - self.starts
+        power = _powers(_ODD, LONG_WORD)
+        cut = np.concatenate([[0], np.cumsum(np.minimum(size, LONG_WORD))])
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(cut, cut[i] + BLOCK_BYTES, "right")) - 1)
+            n = np.minimum(size[i:j], LONG_WORD)
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) - np.repeat(begin, n)               # place inside the word
+            value = (self.data[at + np.repeat(self.starts[i:j], n)].astype(np.uint64) + np.uint64(1)) * power[at]
+            out[i:j] = _mixed(np.add.reduceat(value, begin) + n.astype(np.uint64) * np.uint64(_INVERSE))
+            i = j
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            word = self.data[self.starts[i]:self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+    def whole(self, k: int) -> np.ndarray:
+        """True where k consecutive words lie in one text."""
+        return self.doc[k - 1:] == self.doc[:len(self.doc) - k + 1] if len(self.doc) >= k else np.zeros(0, bool)
+
+    def places(self, lists: list, n: int) -> np.ndarray:
+        """Marks over ``n`` words: the positions listed for each text, null for none."""
+        out = np.zeros(n, bool)
+        for first, at in zip(self.first.tolist(), lists):
+            if at is not None and len(at):
+                out[np.asarray(at, np.int64) + first] = True
+        return out
+
+    def kept(self, keep: np.ndarray) -> pa.Array:
+        """Per text the marked words, joined by one space, as binary."""
+        n = (self.ends - self.starts + 1)[keep]                              # a word and the space after it
+        begin = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(begin, n) + np.repeat(self.starts[keep], n)
+        out = np.append(self.data, np.uint8(32))[at]
+        out[begin + n - 1] = 32
+        doc = self.doc[keep]
+        last = np.ones(len(doc), bool)
+        last[:-1] = doc[1:] != doc[:-1]                                      # no space after a text's last word
+        drop = np.ones(len(out), bool)
+        drop[(begin + n - 1)[last]] = False
+        size = np.bincount(doc, n - last, minlength=len(self.first) - 1).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)),
+                                                                   pa.py_buffer(out[drop])]).cast(pa.binary())
+
+
+def _slices(batches) -> Iterator[tuple[pa.RecordBatch, Slice]]:
+    """Rows whose last column holds texts, cut where they exceed SLICE_BYTES, and their words."""
+    for b in batches:
+        text = b.column(b.num_columns - 1)
+        size = np.nan_to_num(pa.compute.binary_length(text).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(total, total[i] + SLICE_BYTES, "right")) - 1)
+            data = np.frombuffer(b"".join(x for x in text.slice(i, j - i).to_pylist() if x), np.uint8)
+            yield b.slice(i, j - i), Slice.of(data, total[i:j + 1] - total[i])
+            i = j
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -63,10 +142,7 @@ def runs_hash(words: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_ODD, len(words)))])
-    h = (prefix[k:] - prefix[:-k]) * _powers(_INVERSE, n)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    return _mixed((prefix[k:] - prefix[:-k]) * _powers(_INVERSE, n))
 
 
 def _sliding(x: np.ndarray, k: int, pick) -> np.ndarray:
@@ -77,22 +153,22 @@ def _sliding(x: np.ndarray, k: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (k - width)], x[k - width:]) if width < k else x
 
 
-def anchors(h: np.ndarray, span: int) -> np.ndarray:
-    """Positions that hold the minimum of some ``span`` neighbours (all of equal minima)."""
-    if len(h) < span:
+def anchors(h: np.ndarray, whole: np.ndarray, span: int) -> np.ndarray:
+    """Positions that hold the minimum of the ``span`` neighbours of some window (all of equal minima);
+    ``whole``: the windows that count."""
+    if not len(whole):
         return np.zeros(0, np.int64)
-    low = _sliding(h, span, np.minimum)
+    low = np.where(whole, _sliding(h, span, np.minimum), np.uint64(0))
     pad = np.zeros(span - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), span, np.maximum) == h)
+    return np.flatnonzero((_sliding(np.concatenate([pad, low, pad]), span, np.maximum) == h) & (h > 0))
 
 
-def candidates(hashes: np.ndarray, unique: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """True for window starts whose own anchor (the minimum) is not among the ``unique`` positions."""
-    n = max(0, len(hashes) - window + 1)
-    if not n or not len(unique):
-        return np.ones(n, bool)
-    h = runs_hash(hashes, anchor)
-    return ~np.isin(_sliding(h, window - anchor + 1, np.minimum), h[unique])
+def candidates(h: np.ndarray, whole: np.ndarray, unique: np.ndarray, span: int) -> np.ndarray:
+    """Starts of the windows whose own anchor (the minimum of h over ``span``) is not marked ``unique``."""
+    if not len(whole):
+        return np.zeros(0, np.int64)
+    alone = np.where(unique[:len(h)], h, np.uint64(2 ** 64 - 1))
+    return np.flatnonzero(whole & (_sliding(alone, span, np.minimum) != _sliding(h, span, np.minimum)))
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -104,35 +180,29 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(steps[:n_words]) > 0
 
 
-def repeats(cover: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal covered stretches as (first word, word after the last)."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-
-
-def _ints(x) -> np.ndarray:
-    return np.array([] if x is None else x, np.int64)
-
-
-def _flushes(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Batches (hash, row, pos) of about FLUSH rows from (row, hashes, positions)."""
-    held, size = [], 0
+def repeats(cover: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Per text the maximal covered stretches as structs (first word, word after the last)."""
+    start = np.zeros(len(cover) + 1, bool)
+    start[first[first < len(cover)]] = True                                  # a stretch ends with its text
+    on = np.concatenate([cover, [False]])
+    was = np.concatenate([[False], cover])
+    begin = np.flatnonzero(on & (~was | start))
+    after = np.flatnonzero(was & (~on | start))
+    doc = np.searchsorted(first, begin, "right") - 1
+    base = first[doc]
+    edges = np.searchsorted(doc, np.arange(len(first)))
+    spans = pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((after - base).astype(np.int32))], names=["first", "after"])
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), spans)
 
-    def batch():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([h for _, h, _ in held]).view(np.int64)),
-             pa.array(np.repeat([r for r, _, _ in held], [len(h) for _, h, _ in held]).astype(np.int64)),
-             pa.array(np.concatenate([p for _, _, p in held]).astype(np.int32))], names=["hash", "row", "pos"])
 
-    for row, h, pos in rows:
-        if len(h):
-            held.append((row, h, pos))
-            size += len(h)
-            if size >= FLUSH:
-                yield batch()
-                held, size = [], 0
-    if held:
-        yield batch()
+def _found(rows: np.ndarray, piece: Slice, h: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches (hash, row, position in the text) of the words at ``at``."""
+    doc = piece.doc[at]
+    pos = at - piece.first[doc]
+    for i in range(0, len(at), FLUSH):
+        part = slice(i, i + FLUSH)
+        yield pa.RecordBatch.from_arrays([pa.array(h[at[part]].view(np.int64)), pa.array(rows[doc[part]]), pa.array(pos[part].astype(np.int32))],
+                                         names=["hash", "row", "pos"])
 
 
 def _once(found: DataFrame, name: str) -> DataFrame:
@@ -149,58 +219,42 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no words.  Ids may be null or repeated: rows are
     told apart by a hash of id and text, and rows equal in both repeat each
-    other's windows, as any copies do.  Only the two columns are read.
+    other's windows, as any copies do.  Only the two columns are read.  A text is held
+    whole in its task, some 40 bytes a word beside it.
     """
     if not 0 < anchor <= window:
         raise ValueError("the anchor must fit into the window")
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).cast("binary").alias("text"))
-    hashes = Words()
     span = window - anchor + 1
 
     def seed(batches):
-        def rows():
-            for b in batches:
-                for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = (t or b"").split()
-                    if len(words) >= window:
-                        h = runs_hash(hashes(words), anchor)
-                        at = anchors(h, span)
-                        yield row, h[at], at
-        yield from _flushes(rows())
+        for b, piece in _slices(batches):
+            h = runs_hash(piece.hashes(), anchor)
+            yield from _found(b.column(0).to_numpy(), piece, h, anchors(h, piece.whole(window), span))
 
     def extend(batches):
-        def rows():
-            for b in batches:
-                for row, t, unique in zip(*(c.to_pylist() for c in b.columns)):
-                    words = (t or b"").split()
-                    if len(words) >= window:
-                        h = hashes(words)
-                        at = np.flatnonzero(candidates(h, _ints(unique), window, anchor))
-                        if len(at):
-                            yield row, runs_hash(h, window)[at], at
-        yield from _flushes(rows())
+        for b, piece in _slices(batches):
+            words = piece.hashes()
+            unique = piece.places(b.column(1).to_pylist(), len(words))
+            at = candidates(runs_hash(words, anchor), piece.whole(window), unique, span)
+            yield from _found(b.column(0).to_numpy(), piece, runs_hash(words, window), at)
 
     def cut(batches):
-        for b in batches:
-            out = []
-            for _, t, unique, once in zip(*(c.to_pylist() for c in b.columns)):
-                words = (t or b"").split()
-                long = len(words) >= window
-                hit = candidates(hashes(words), _ints(unique), window, anchor) if long else np.zeros(0, bool)
-                hit[_ints(once)] = False
-                cover = covered(len(words), np.flatnonzero(hit), window)
-                spans = [{"first": f, "after": a} for f, a in repeats(cover)]
-                kept = [w for w, c in zip(words, cover.tolist()) if not c] if spans else words
-                out.append((len(words), spans, b" ".join(kept)))
+        for b, piece in _slices(batches):
+            n = len(piece.starts)
+            words, hit = piece.hashes(), np.zeros(n, bool)
+            unique = piece.places(b.column(1).to_pylist(), n)
+            hit[candidates(runs_hash(words, anchor), piece.whole(window), unique, span)] = True
+            hit &= ~piece.places(b.column(2).to_pylist(), n)
+            cover = covered(n, np.flatnonzero(hit), window)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r[0] for r in out], pa.int64()),
-                 pa.array([r[1] for r in out], pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))),
-                 pa.array([r[2] for r in out], pa.binary())], names=["id", "n_words", "repeats", "kept"])
+                [b.column(0), pa.array(np.diff(piece.first)), repeats(cover, piece.first), piece.kept(~cover)],
+                names=["id", "n_words", "repeats", "kept"])
 
     lone = _once(texts.select("row", "text").mapInArrow(seed, "hash long, row long, pos int"), "unique")
-    around = texts.join(lone, "row", "left").select("row", "text", "unique")
+    around = texts.join(lone, "row", "left").select("row", "unique", "text")
     single = _once(around.mapInArrow(extend, "hash long, row long, pos int"), "once")
-    both = texts.join(lone.join(single, "row", "full"), "row", "left").select("id", "text", "unique", "once")
+    both = texts.join(lone.join(single, "row", "full"), "row", "left").select("id", "unique", "once", "text")
     return (both.mapInArrow(cut, "id long, n_words long, repeats array<struct<first:int,after:int>>, kept binary")
             .withColumn("kept", F.col("kept").cast("string")))
