@@ -263,14 +263,15 @@ def test_held_out_fold(spark):
 
 # ---- vectors
 
-def test_vector_links_equal_brute_force(spark):
+@pytest.mark.parametrize("probes,sample", [(None, 1000), (64, 1000), (64, 48)])     # exact mode; all lists probed; two levels
+def test_vector_links_equal_brute_force(spark, probes, sample):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
     x = np.concatenate([base, base[:20] + 0.1 * rng.normal(size=(20, 16)), np.repeat(base[:1], 30, 0), base[:5] * 3]).astype(np.float32)
     odd = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v) for i, v in enumerate(odd)]
     df = spark.createDataFrame([(*r, "L") for r in rows], "vec_id long, embedding array<float>, links string")
-    got = {r.vec_id: r for r in pq_dedup.links(df, list_rows=8, cell_rows=16).collect()}
+    got = {r.vec_id: r for r in pq_dedup.links(df, list_rows=8, probes=probes, sample_rows=sample, cell_rows=16).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     cos = u @ u.T
     comp = linked(len(x), lambda a, b: cos[a, b] >= 0.95)
@@ -281,6 +282,30 @@ def test_vector_links_equal_brute_force(spark):
     assert pq_dedup.links(df.limit(0)).count() == 0
 
 
+def test_vector_recall_with_production_probes(spark):
+    """Planted pairs at the threshold among unclustered vectors, where lists help least."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=(600, 32))
+    z -= (z * x[:600]).sum(1, keepdims=True) * x[:600]
+    c = 0.952
+    y = c * x[:600] + np.sqrt(1 - c * c) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    v = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in pq_dedup.links(df, list_rows=48).collect()}
+    cos = v @ v.T >= 0.95
+    assert sum(r.n_links for r in got.values()) / (cos.sum() - len(v)) >= 0.95
+    assert all(r.n_links <= cos[i].sum() - 1 for i, r in got.items())
+    assert np.mean([got[3000 + i].component_id == i for i in range(600)]) >= 0.95
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.99, 0.01]), (8, [0.01, 0.99]), (9, [0.02, 0.99]), (5, [1.0, 0.0])]
+    got = pq_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 2, 5), (5, 2, 5), (5, 2, 5), (7, 2, 5), (8, 2, 5), (9, 2, 5)]
+
+
 # ---- substrings
 
 def test_repeated_words_equal_brute_force(spark):

@@ -5,17 +5,27 @@ coarse centroids (inverted lists); their residuals are coded by one codebook
 per subspace.  Centroids and codebooks are fitted on a bounded sample, every
 point is indexed.
 
-Probes.  Let c be x's own centroid, c' another, and y a point of the list of c'
-within distance r of x.  As y is no nearer to c than to c',
+Lists hold about ``LIST_ROWS`` points whatever their number: beyond what the
+sample can fit in one level, each list is cut again by a second set of centroids
+over the residuals, shared by all lists.
+
+Probes.  A point is compared with the points of its own list and, as a query,
+with those of its next nearest lists, ``PROBES`` in all; a pair is met if either
+of the two probes the other's list, and counted by one of them.  So the work
+grows with the number of points.  Recall is measured against brute force (tests
+and README); every link found is exact.
+
+``probes=None`` is the exact mode: let c be x's own centroid, c' another, and y a point
+of the list of c' within distance r of x.  As y is no nearer to c than to c',
 ``x.(c - c') <= |x - y| |c - c'| <= r |c - c'|``: lists that fail the bound hold
-no partner, all others are probed, the ones of higher number only, so a pair is
-met once.
+no partner, all others are probed, the ones of higher number only.  That loses
+nothing, but without clusters it probes a large part of all lists.
 
 Inside a list the distance of a query to a code is a sum of table lookups
 (asymmetric: the query is not quantised).  A code's distance differs from the
 vector's by at most the vector's own quantisation error, which is kept; pairs
 above ``r + error`` are dropped, the rest get their exact cosine in double
-precision.  So no link is lost, whatever the quality of the fit.
+precision.  So no link inside the probed lists is lost, whatever the quality of the fit.
 
 Cells return, per vector with links, the weighted number of its partners and
 one edge to its local root; pairs never leave a cell.
@@ -31,9 +41,10 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import Cells, UnionFind, bounded_sample, components, stored
 
 MIN_COSINE = 0.95
-SAMPLE_ROWS = 8_192
-LIST_ROWS = 8_192
-MAX_LISTS = 1_024
+#: Points of the sample that fits centroids and codebooks; points a list should hold; sample points per centroid at least.
+SAMPLE_ROWS, LIST_ROWS, FIT_ROWS = 65_536, 256, 16
+#: Lists a point is compared with, its own included.
+PROBES = 8
 SUBSPACES, CODES = 8, 64
 CHUNK = 131_072
 #: Slack of the pruning bounds for rounding.
@@ -56,28 +67,64 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8, unit: bool = False) -> np.nd
 
 @dataclass
 class Quantiser:
-    """Coarse centroids (unit vectors), codebooks over the residuals' subspaces."""
-    centroids: np.ndarray
+    """Centroids (unit vectors), in the two-level form shared second-level ones,
+    and codebooks over the subspaces of what remains."""
+    coarse: np.ndarray
+    fine: np.ndarray | None
     books: list[np.ndarray]
     cuts: list[tuple[int, int]]
     radius: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, lists: int, min_cosine: float) -> "Quantiser":
-        centroids = _kmeans(sample, min(lists, len(sample)), unit=True)
-        residual = sample - centroids[(sample @ centroids.T).argmax(1)]
+    def fit(cls, sample: np.ndarray, lists: int, min_cosine: float, levels: bool = True) -> "Quantiser":
+        most = max(1, len(sample) // FIT_ROWS)
+        coarse = np.unique(_kmeans(sample, min(lists, most), unit=True), axis=0)
+        residual = sample - coarse[(sample @ coarse.T).argmax(1)]
+        fine = np.unique(_kmeans(residual, min(-(-lists // most), most)), axis=0) if levels and lists > most else None
+        quantiser = cls(coarse, fine, [], [], float(np.sqrt(2 - 2 * min_cosine)))
+        residual = sample - quantiser.centre(quantiser.nearest(sample, 1)[:, 0])
         edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
-        cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-        books = [_kmeans(residual[:, a:b], min(CODES, len(sample))) for a, b in cuts]
-        return cls(centroids, books, cuts, float(np.sqrt(2 - 2 * min_cosine)))
+        quantiser.cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        quantiser.books = [_kmeans(residual[:, a:b], min(CODES, len(sample))) for a, b in quantiser.cuts]
+        return quantiser
+
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * (1 if self.fine is None else len(self.fine))
+
+    def centre(self, which: np.ndarray) -> np.ndarray:
+        if self.fine is None:
+            return self.coarse[which]
+        return self.coarse[which // len(self.fine)] + self.fine[which % len(self.fine)]
+
+    def nearest(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` nearest lists of each row, nearest first."""
+        out = []
+        for i in range(0, len(x), 2_048):
+            own = x[i:i + 2_048]
+            far = -own @ self.coarse.T
+            k = min(count, far.shape[1])
+            at = np.argpartition(far, k - 1, axis=1)[:, :k] if k < far.shape[1] else np.tile(np.arange(k), (len(own), 1))
+            far = np.take_along_axis(far, at, 1)
+            if self.fine is not None:
+                rest = own[:, None, :] - self.coarse[at]
+                far = ((rest * rest).sum(2)[:, :, None] - 2 * rest @ self.fine.T + (self.fine ** 2).sum(1)).reshape(len(own), -1)
+                at = (at[:, :, None] * len(self.fine) + np.arange(len(self.fine))).reshape(len(own), -1)
+            order = np.lexsort((at, far), axis=1)[:, :count]
+            out.append(np.take_along_axis(at, order, 1))
+        return np.concatenate(out) if out else np.zeros((0, 1), np.int64)
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centroids.T).argmax(1)
+        return self.nearest(x, 1)[:, 0]
 
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(point, list) of the lists above the own one that can hold a partner."""
-        dots, c = x @ self.centroids.T, self.centroids
-        own = dots.argmax(1)
+    def probes(self, x: np.ndarray, count: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(point, list) of the lists to visit beside the own one."""
+        if count is not None:
+            near = self.nearest(x, count)
+            point, at = np.nonzero(near != self.home(x)[:, None])
+            return point, near[point, at]
+        dots, c = x @ self.coarse.T, self.coarse
+        own = self.home(x)
         apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
         open_ = dots[np.arange(len(x)), own][:, None] - dots <= self.radius * apart[own] + SLACK
         open_ &= np.arange(len(c))[None, :] > own[:, None]
@@ -123,58 +170,62 @@ def points_of(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", min_cosine: float = MIN_COSINE,
-          sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, cell_rows: int = 16_384) -> DataFrame:
+          sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, probes: int | None = PROBES, cell_rows: int = 16_384) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors``.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing, like rows with a null id.  Repeated rows count as copies.
-    Vectors shorter than the longest count as padded with zeros.
+    link with nothing, like rows with a null id.  Repeated rows count as copies;
+    rows that share an id but not the vector are vectors of their own, each with its
+    own links.  Vectors shorter than the longest count as padded with zeros.
     """
     rows = stored(points_of(vectors, id_col, vec_col))
     points = stored(rows.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+        .withColumn("point", F.monotonically_increasing_id()))
     about = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
-    found = _point_links(points, about.n, about.dims, min_cosine, sample_rows, list_rows, cell_rows) if about.n > 1 else None
-    out = points.select("key", "rep", "copies")
-    if found is None:
+    out = points.select("key", "rep", "copies", "point")
+    if about.n < 2:
         out = out.withColumn("links", F.lit(0).cast("long")).withColumn("component", F.col("rep"))
     else:
-        found = stored(found)
-        comp = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        total = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        out = (out.join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-               .select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"),
-                       F.coalesce("component", "rep").alias("component")))
+        found = stored(_point_links(points, about.n, about.dims, min_cosine, sample_rows, list_rows, probes, cell_rows))
+        comp = components(found.where("root <> point").select(F.col("point").alias("a"), F.col("root").alias("b")))
+        total = found.groupBy("point").agg(F.sum("links").alias("links"))
+        out = out.join(total, "point", "left").join(comp.withColumnRenamed("node", "point"), "point", "left")
+        least = out.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+        out = out.join(least, "component", "left").select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"),
+                                                          F.coalesce("least", "rep").alias("component"))
     return (rows.select("vec_id", "key").join(out, "key", "left")
             .select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
                     F.coalesce("component", "vec_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
 
 
-def _point_links(points, n, dims, min_cosine, sample_rows, list_rows, cell_rows):
-    """(rep, links, root) of the points that have partners in a cell."""
+def _point_links(points, n, dims, min_cosine, sample_rows, list_rows, probes, cell_rows):
+    """(point, links, root) of the points that have partners in a cell."""
     sample = bounded_sample(points.select("key", "v"), "key", sample_rows).toArrow()
-    lists = int(np.clip(-(-n // list_rows), min(8, n), MAX_LISTS))
-    quantiser = Quantiser.fit(_unit_rows(sample.column("v").combine_chunks(), dims), lists, min_cosine)
-    model = points.sparkSession.sparkContext.broadcast(quantiser)         # at most MAX_LISTS centroids and a few books
+    quantiser = Quantiser.fit(_unit_rows(sample.column("v").combine_chunks(), dims), max(1, -(-n // list_rows)), min_cosine, probes is not None)
+    model = points.sparkSession.sparkContext.broadcast(quantiser)         # at most sample_rows / FIT_ROWS centroids a level
 
     def count(batches):
-        home, visit = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+        tally: dict[tuple[bool, int], int] = {}
         for b in batches:
             x = _unit_rows(b.column(0), dims)
-            home += np.bincount(model.value.home(x), minlength=lists)
-            visit += np.bincount(model.value.probes(x)[1], minlength=lists)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lists)), pa.array(home), pa.array(visit)], names=["list", "home", "visit"])
+            for visit, lists in ((False, model.value.home(x)), (True, model.value.probes(x, probes)[1])):
+                for at, m in zip(*(v.tolist() for v in np.unique(lists, return_counts=True))):
+                    tally[visit, at] = tally.get((visit, at), 0) + m
+        if tally:
+            yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in tally]), pa.array([k[0] for k in tally]), pa.array(list(tally.values()))],
+                                             names=["list", "visit", "m"])
 
-    counts = (points.select("v").mapInArrow(count, "list long, home long, visit long")
-              .groupBy("list").agg(F.sum("home").alias("home"), F.sum("visit").alias("visit")).collect())   # a row per list
-    cells = Cells({r.list: r.home for r in counts if r.home}, {r.list: r.visit for r in counts if r.visit}, cell_rows)
+    counts = (points.select("v").mapInArrow(count, "list long, visit boolean, m long")
+              .groupBy("list", "visit").agg(F.sum("m").alias("m")).collect())          # two rows per list
+    cells = Cells({r.list: r.m for r in counts if not r.visit}, {r.list: r.m for r in counts if r.visit}, cell_rows)
 
     def deal(batches):
         for b in batches:
             x = _unit_rows(b.column(2), dims)
             salt = b.column(0).to_numpy(zero_copy_only=False) * 2654435761 % (1 << 31)
-            at, probed = model.value.probes(x)
+            at, probed = model.value.probes(x, probes)
             for idx, (i, leaf, p, q, asks) in ((np.arange(len(x)), cells.deal(model.value.home(x), salt, False)),
                                                (at, cells.deal(probed, salt[at], True))):
                 for k in range(0, len(i), 20_000):
@@ -183,26 +234,27 @@ def _point_links(points, n, dims, min_cosine, sample_rows, list_rows, cell_rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(leaf[part]), pa.array(p[part]), pa.array(q[part]), pa.array(asks[part]),
                          b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)],
-                        names=["list", "x", "y", "query", "rep", "copies", "v"])
+                        names=["list", "x", "y", "query", "point", "copies", "v"])
 
     def link(key, t):
         leaf, p, q = (k.as_py() for k in key)
         quant = model.value
-        t = t.sort_by("rep")
+        t = t.sort_by("point")
         x = _unit_rows(t.column("v").combine_chunks(), dims)
-        rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        point, copies = t.column("point").to_numpy(), t.column("copies").to_numpy()
         asks = t.column("query").to_numpy(zero_copy_only=False)
         data, asked = np.flatnonzero(~asks), np.flatnonzero(asks)
         if p == q:
             asked = data
-        codes, error = quant.encode(x[data], quant.centroids[leaf])
+        centre = quant.centre(np.array([leaf]))[0]
+        codes, error = quant.encode(x[data], centre)
         limit = ((quant.radius + SLACK + error) ** 2 + SLACK).astype(np.float32)
         total, sets = np.zeros(len(x), np.int64), UnionFind(len(x))
         step = max(1, CHUNK // max(1, len(data)))
         for i in range(0, len(asked) if len(data) else 0, step):
             own = asked[i:i + step]
             far = np.zeros((len(own), len(data)), np.float32)
-            for table, code in zip(quant.tables(x[own], quant.centroids[leaf]), codes.T):
+            for table, code in zip(quant.tables(x[own], centre), codes.T):
                 far += table[:, code]
             a, b = np.nonzero(far <= limit)
             a, b = own[a], data[b]
@@ -212,14 +264,22 @@ def _point_links(points, n, dims, min_cosine, sample_rows, list_rows, cell_rows)
                 u, v = a[j:j + CHUNK], b[j:j + CHUNK]
                 near = np.einsum("ij,ij->i", x[u], x[v]) >= min_cosine
                 u, v = u[near], v[near]
+                if len(u) and p != q and probes is not None:
+                    # met from both sides: the point of the lower list counts it
+                    from_, at = np.unique(u, return_inverse=True)
+                    lower = quant.home(x[from_])[at]
+                    to, at = np.unique(v, return_inverse=True)
+                    back = (quant.nearest(x[to], probes)[at] == lower[:, None]).any(1)
+                    once = (lower <= leaf) | ~back
+                    u, v = u[once], v[once]
                 if len(u):
                     np.add.at(total, u, copies[v])
                     np.add.at(total, v, copies[u])
                     sets.join(u, v)
         hit = np.flatnonzero(total)
-        return pa.table({"rep": rep[hit], "links": total[hit], "root": rep[sets.up[hit]]},
-                        schema=pa.schema([("rep", "int64"), ("links", "int64"), ("root", "int64")]))
+        return pa.table({"point": point[hit], "links": total[hit], "root": point[sets.up[hit]]},
+                        schema=pa.schema([("point", "int64"), ("links", "int64"), ("root", "int64")]))
 
-    return (points.select("rep", "copies", "v")
-            .mapInArrow(deal, "list long, x long, y long, query boolean, rep long, copies long, v array<double>")
-            .groupBy("list", "x", "y").applyInArrow(link, "rep long, links long, root long"))
+    return (points.select("point", "copies", "v")
+            .mapInArrow(deal, "list long, x long, y long, query boolean, point long, copies long, v array<double>")
+            .groupBy("list", "x", "y").applyInArrow(link, "point long, links long, root long"))
