@@ -111,16 +111,16 @@ def test_iqr_outliers_empty_column(spark):
 
 
 def test_shapley_samples_sum_to_p_minus_base(spark):
-    """X4 on the fixture model: per row the sampled values add up to
-    p(x) - p(baseline) (exact for every permutation)."""
+    """X4 on the fixture model: per row the values add up to p(x) - p(baseline)."""
     from tests.conftest import SF_SMALL
+    from tidemark.operators import explain as E
     from tidemark.operators import score as X
     from tidemark.plans.model_queries import naive_bayes, scaled_split
     m, z = scaled_split(spark, SF_SMALL)
     nb = naive_bayes(spark, SF_SMALL)
     test = z.where(F.col("is_test")).limit(20)
-    s = X.shapley_sampling(test, nb, "customer_id", permutations=4).groupBy("customer_id").agg(
-        F.sum("shapley").alias("s"))
+    s = E.explain_kernel(test, E.nb_predictor(nb), nb.features, keep=("customer_id",)).select(
+        "customer_id", F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["contribution"]).alias("s"))
     e = X.local_contributions(test, nb, keep=("customer_id",)).select("customer_id", "probability", "base_value")
     for r in s.join(e, "customer_id").collect():
         assert r["s"] == pytest.approx(r["probability"] - r["base_value"], abs=1e-9)

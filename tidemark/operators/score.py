@@ -28,35 +28,6 @@ RISK_TEXT = {
 }
 
 
-def _sigmoid_of_diff(d: Column) -> Column:
-    """P(class 1) from d = jll0 - jll1, stable for large |d|."""
-    return F.when(d > 0, F.exp(-d) / (1 + F.exp(-d))).otherwise(1 / (1 + F.exp(d)))
-
-
-def nb_terms(nb: NaiveBayes, c: int, f: str, x: Column) -> Column:
-    v = nb.vars[(c, f)]
-    import math
-    return F.lit(-0.5 * math.log(2 * math.pi * v)) - (x - F.lit(nb.means[(c, f)])) ** 2 / F.lit(2 * v)
-
-
-def nb_term_at_zero(nb: NaiveBayes, c: int, f: str) -> float:
-    import math
-    v = nb.vars[(c, f)]
-    return -0.5 * math.log(2 * math.pi * v) - nb.means[(c, f)] ** 2 / (2 * v)
-
-
-def nb_baseline(nb: NaiveBayes) -> dict:
-    """Joint log-likelihood of the all-zero (training mean) row: a constant,
-    so explanation expressions stay small for the optimizer."""
-    import math
-    return {c: math.log(nb.priors[c]) + sum(nb_term_at_zero(nb, c, f) for f in nb.features) for c in nb.classes}
-
-
-def _sig_float(d: float) -> float:
-    import math
-    return math.exp(-d) / (1 + math.exp(-d)) if d > 0 else 1 / (1 + math.exp(d))
-
-
 def batch_score(scaled: DataFrame, nb: NaiveBayes, keep=(), threshold: float = 0.5) -> DataFrame:
     """X1..X3: probability of churn, clipped to [0, 1], and churn when
     p >= threshold (inclusive)."""
@@ -122,42 +93,6 @@ def local_contributions(scaled: DataFrame, nb: NaiveBayes, keep=()) -> DataFrame
     return found.withColumn("contributions", parts.cast(CONTRIB_TYPE)).drop("_x", "_c")
 
 
-def shapley_sampling(scaled: DataFrame, nb: NaiveBayes, id_col: str, permutations: int = 16,
-                     seed: int = 42) -> DataFrame:
-    """Permutation-sampling Shapley values (Strumbelj-Kononenko) with the
-    all-zero background, ``permutations`` hash-seeded orders per row.  Each
-    permutation's contributions sum exactly to p - base.  Rows are exploded
-    by permutation only; the walk along a permutation is array arithmetic.
-    Output (id, feature, shapley)."""
-    fs = nb.features
-    d = len(fs)
-    base = nb_baseline(nb)
-    # per-feature change of the log-odds difference (jll0 - jll1) when x_f is set
-    delta = [(nb_terms(nb, 0, f, qc(f)) - F.lit(nb_term_at_zero(nb, 0, f)))
-             - (nb_terms(nb, 1, f, qc(f)) - F.lit(nb_term_at_zero(nb, 1, f))) for f in fs]
-    x = scaled.select(id_col, F.lit(base[0] - base[1]).alias("_d0"), F.array(*delta).alias("_delta"))
-    x = x.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = F.transform(
-        F.array_sort(F.array(*[F.struct(F.xxhash64(F.col(id_col), F.col("_perm"), F.lit(seed), F.lit(i)).alias("h"),
-                                        F.lit(i).alias("i")) for i in range(d)])),
-        lambda s: s["i"])
-    x = x.withColumn("_ord", order)
-    # log-odds difference after the first k features of the permutation
-    # slice of length k (k = 0 gives an empty prefix: slice from a padded array)
-    cum = F.transform(F.sequence(F.lit(0), F.lit(d)), lambda k: F.col("_d0") + F.aggregate(
-        F.transform(F.slice(F.concat(F.array(F.lit(-1)), F.col("_ord")), 2, k), lambda i: F.col("_delta")[i]),
-        F.lit(0.0), lambda a, b: a + b))
-    probs = F.transform(cum, lambda z: F.when(z > 0, F.exp(-z) / (1 + F.exp(-z))).otherwise(1 / (1 + F.exp(z))))
-    x = x.withColumn("_p", probs)
-    steps = F.transform(F.sequence(F.lit(1), F.lit(d)),
-                        lambda k: F.struct(F.col("_ord")[k - 1].alias("i"),
-                                           (F.col("_p")[k] - F.col("_p")[k - 1]).alias("c")))
-    e = x.select(id_col, F.explode(steps).alias("s")).select(id_col, F.col("s.i").alias("i"), F.col("s.c").alias("c"))
-    names = F.array(*[F.lit(f) for f in fs])
-    return e.groupBy(id_col, "i").agg(F.avg("c").alias("shapley")).select(
-        id_col, names[F.col("i")].alias("feature"), "shapley")
-
-
 def _mag(s) -> Column:
     """Sort magnitude: |contribution| at 9 decimals, so float noise between
     engines cannot reorder near-equal contributions (ties go by name)."""
@@ -180,26 +115,6 @@ def top_contributors(expl: DataFrame, keep=(), k: int = TOP_CONTRIBUTORS) -> Dat
     return expl.select(*keep, "probability", "base_value", pos.alias("top_positive"), neg.alias("top_negative"))
 
 
-def explanation_valid(top: DataFrame) -> Column:
-    """Some kept contribution above 1e-6 and base + sum within 0.05 of p."""
-    both = F.concat("top_positive", "top_negative")
-    signal = F.exists(both, lambda s: F.abs(s["contribution"]) > SIGNAL_EPS)
-    value = F.col("base_value") + F.aggregate(both, F.lit(0.0), lambda a, s: a + s["contribution"])
-    return signal & (F.abs(value - F.col("probability")) <= SUM_TOLERANCE)
-
-
-def with_fallback(top: DataFrame) -> DataFrame:
-    """X8 + X9: keep a valid explanation, else the empty one (base = value = p)."""
-    ok = explanation_valid(top)
-    empty = F.array().cast("array<struct<feature:string,value:double,contribution:double>>")
-    return top.withColumns({
-        "explanation_valid": ok,
-        "base_value": F.when(ok, F.col("base_value")).otherwise(F.col("probability")),
-        "top_positive": F.when(ok, F.col("top_positive")).otherwise(empty),
-        "top_negative": F.when(ok, F.col("top_negative")).otherwise(empty),
-    })
-
-
 def waterfall(expl: DataFrame, id_col: str) -> DataFrame:
     """Base bar, contributions by |value| descending with running
     totals, final bar.  The running total is a window per row id (d rows
@@ -280,37 +195,3 @@ def export_rows(scored: DataFrame, input_cols, order=None) -> DataFrame:
                                     F.when(F.col("prediction"), "Yes").otherwise("No").alias("Churn_Prediction")]
     cols += [fmt(c) for c in rest]
     return scored.select(*cols)
-
-
-def shapley_sampling_model(df: DataFrame, model, features, id_col: str, permutations: int = 8,
-                           seed: int = 42) -> DataFrame:
-    """The permutation sampler for any MLlib classifier with a
-    probability column (used for the decision tree).  Background is the
-    all-zero row in scaled space.  Each (row, permutation) expands to d+1
-    coalitions (a bounded explode), the model scores them in one
-    ``transform``, and steps are differenced inside (row, permutation)
-    windows of d+1 rows.  Output (id, feature, shapley)."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.sql import Window
-    fs = list(features)
-    d = len(fs)
-    x = df.select(id_col, F.array(*[qc(f) for f in fs]).alias("_x"))
-    x = x.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = F.transform(
-        F.array_sort(F.array(*[F.struct(F.xxhash64(F.col(id_col), F.col("_perm"), F.lit(seed), F.lit(i)).alias("h"),
-                                        F.lit(i).alias("i")) for i in range(d)])),
-        lambda s: s["i"])
-    x = x.withColumn("_ord", order).withColumn(
-        "_pos", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("_ord"), i)))
-    x = x.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    vec = F.transform("_x", lambda v, i: F.when(F.col("_pos")[i] <= F.col("_k"), v).otherwise(F.lit(0.0)))
-    scored = model.transform(x.withColumn("features", array_to_vector(vec)))
-    p = vector_to_array("probability")[1]
-    w = Window.partitionBy(id_col, "_perm").orderBy("_k")
-    steps = (scored.select(id_col, "_perm", "_k", "_ord", p.alias("_p"))
-             .withColumn("_c", F.col("_p") - F.lag("_p").over(w))
-             .where(F.col("_k") > 0)
-             .withColumn("_i", F.col("_ord")[F.col("_k") - 1]))
-    names = F.array(*[F.lit(f) for f in fs])
-    return steps.groupBy(id_col, "_i").agg(F.avg("_c").alias("shapley")).select(
-        id_col, names[F.col("_i")].alias("feature"), "shapley")

@@ -66,6 +66,6 @@ def load_all() -> dict[str, Entry]:
     # importing the plan modules fills REGISTRY
     from tidemark.plans import (  # noqa: F401
         eda_queries, quality_queries, ingest_queries, prep_queries,
-        model_queries, score_queries, ops_queries, feature_queries, stream_queries, io_queries, neighbour_queries,
+        model_queries, score_queries, ops_queries, feature_queries, stream_queries, io_queries, neighbour_queries, explain_queries, search_queries,
     )
     return REGISTRY

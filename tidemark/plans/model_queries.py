@@ -1,5 +1,4 @@
-"""Model training and evaluation queries (NB exact with oracles; MLlib
-models rows-only)."""
+"""Naive Bayes training and evaluation queries, all with oracles."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -164,65 +163,3 @@ def m6(spark, sf_dir):
     from tidemark.sources.fixtures import churn_base
     b = churn_base(spark, sf_dir).select(R.id, F.col("churn").cast("int").alias("label"))
     return M.stratified_folds(b, R.id, "label")
-
-
-# ---- MLlib models (rows-only checks) ----------------------------------------
-
-def _ml_split(spark, sf_dir):
-    from tidemark.operators import mlmodels as ML
-    m, z = scaled_split(spark, sf_dir)
-    a = ML.assemble(z, m.feature_columns)
-    return m, a.where(~F.col("is_test")), a.where(F.col("is_test"))
-
-
-@register("m3_decision_tree")
-def m3(spark, sf_dir):
-    from tidemark.operators import mlmodels as ML
-    m, train, test = _ml_split(spark, sf_dir)
-    model = ML.fit_tree(train)
-    return M.classification_metrics(ML.with_probability(model, test))
-
-
-@register("m11_tree_importance")
-def m11(spark, sf_dir):
-    from tidemark.operators import mlmodels as ML
-    m, train, _ = _ml_split(spark, sf_dir)
-    model = ML.fit_tree(train)
-    rows = ML.importances(model, m.feature_columns)
-    return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(rows)],
-                                 "rank int, feature string, importance double")
-
-
-@register("m4_linear_svm")
-def m4(spark, sf_dir):
-    from tidemark.operators import mlmodels as ML
-    m, train, test = _ml_split(spark, sf_dir)
-    svm, platt = ML.fit_svm(train)
-    p = ML.svm_probability(svm, platt, test)
-    return M.classification_metrics(p)
-
-
-@register("m5_hyperparameter_search")
-def m5(spark, sf_dir):
-    from tidemark.operators import mlmodels as ML
-    m, train, _ = _ml_split(spark, sf_dir)
-    from tidemark.session import cut_lineage
-    folds = M.stratified_folds(train.select(R.id, "label"), R.id, "label")
-    # 30 fits read this frame many times: materialise it once
-    data = cut_lineage(train.join(folds.select(R.id, "fold"), R.id))
-    cvm, grid = ML.search_tree(data)
-    rows = [(int(pm[[p for p in pm if p.name == "maxDepth"][0]]), str(pm[[p for p in pm if p.name == "impurity"][0]]),
-             float(metric)) for pm, metric in zip(grid, cvm.avgMetrics)]
-    return spark.createDataFrame(rows, "max_depth int, impurity string, mean_f1 double")
-
-
-@register("x5_tree_shapley")
-def x5(spark, sf_dir):
-    """Sampled Shapley values of the decision tree for every row of the scoring batch."""
-    from tidemark.operators import mlmodels as ML
-    from tidemark.operators import score as XS
-    from tidemark.plans.score_queries import scaled_scoring_rows
-    m, train, _ = _ml_split(spark, sf_dir)
-    model = ML.fit_tree(train)
-    s = XS.shapley_sampling_model(scaled_scoring_rows(spark, sf_dir), model, m.feature_columns, "row_no")
-    return s.select("row_no", "feature", r("shapley").alias("shapley"))

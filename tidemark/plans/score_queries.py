@@ -111,30 +111,6 @@ def x7(spark, sf_dir):
                                        F.col("c.feature").alias("feature"), r("c.contribution").alias("contribution"))
 
 
-@register("x8_x9_explanation_check", f"""WITH {SCORE_CTES}, {_TOPK},
-_k AS (SELECT row_no, max(probability) AS p, max(base_value) AS b,
-              count_if(rank <= 5 AND direction IS NOT NULL AND abs(contribution) > 1e-6) AS sig,
-              sum(CASE WHEN rank <= 5 AND direction IS NOT NULL THEN contribution ELSE 0 END) AS s,
-              count_if(rank <= 5 AND direction = 'positive') AS np, count_if(rank <= 5 AND direction = 'negative') AS nn
-       FROM _rk JOIN (SELECT DISTINCT row_no, probability, base_value FROM _contrib) USING (row_no) GROUP BY row_no)
-SELECT row_no, sig > 0 AND abs(b + s - p) <= 0.05 AS explanation_valid,
-       round(CASE WHEN sig > 0 AND abs(b + s - p) <= 0.05 THEN b ELSE p END, 6) AS base_value,
-       CAST(CASE WHEN sig > 0 AND abs(b + s - p) <= 0.05 THEN np ELSE 0 END AS INTEGER) AS n_positive,
-       CAST(CASE WHEN sig > 0 AND abs(b + s - p) <= 0.05 THEN nn ELSE 0 END AS INTEGER) AS n_negative
-FROM _k""", ("churn_base", "churn_raw"))
-def x8(spark, sf_dir):
-    t = X.with_fallback(X.top_contributors(explanations(spark, sf_dir), keep=("row_no",)))
-    return t.select("row_no", "explanation_valid", r("base_value").alias("base_value"),
-                    F.size("top_positive").alias("n_positive"), F.size("top_negative").alias("n_negative"))
-
-
-@register("x4_shapley_sampling")
-def x4(spark, sf_dir):
-    """Rows-only: sampled Shapley values of every row of the scoring batch."""
-    s = X.shapley_sampling(scaled_scoring_rows(spark, sf_dir), naive_bayes(spark, sf_dir), "row_no")
-    return s.select("row_no", "feature", r("shapley").alias("shapley"))
-
-
 @register("x10_waterfall", f"""WITH {SCORE_CTES},
 _wo AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY abs(round(contribution, 9)) DESC, feature) AS step FROM _contrib),
 _w AS (SELECT row_no, step, feature AS label,
