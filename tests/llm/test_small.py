@@ -451,6 +451,22 @@ def test_simhash_groups_equal_brute_force(spark):
     assert simhash_vp.near_duplicates(docs.limit(0)).count() == 0 and simhash_vp.near_duplicates(docs.limit(1)).count() == 1
 
 
+def test_unlike_texts_of_one_id_both_stay(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80, 500) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, c), (3, c), (4, None), (5, "")]
+    kept = simhash_vp.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(0)).withColumn("doc", F.lit("x"))).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, a), (1, b), (3, c), (4, "")])
+
+
+def test_many_small_sources_share_the_work(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"), F.lit("t").alias("text"))
+    got = sharding.interleave(df)
+    assert got.select("frac").distinct().count() == 3000
+    rows = got.collect()
+    assert {sum(r.shard == k for r in rows) for k in range(8)} == {375}
+
+
 def test_vantage_tree_misses_no_close_pair():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)

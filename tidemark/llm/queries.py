@@ -80,9 +80,8 @@ daily AS (SELECT key, DATE '{FIRST_DAY}' + CAST(d AS INTEGER) AS since, max(a) A
 spans AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS til FROM daily) WHERE a < 3),
 keys AS (
   SELECT page_id, day, array_to_string(string_split(host, '.')[k:], '.') AS key, len(string_split(host, '.')) - k + 1 AS r
-  FROM (SELECT *, unnest(range(greatest(1, len(string_split(host, '.')) - 7),
-                               greatest(2, len(string_split(host, '.'))))) AS k FROM cap WHERE host <> '')
-  UNION ALL SELECT page_id, day, host || '/' || seg, 9 FROM cap WHERE host <> '' AND seg <> ''),
+  FROM (SELECT *, unnest(range(1, greatest(2, len(string_split(host, '.'))))) AS k FROM cap WHERE host <> '')
+  UNION ALL SELECT page_id, day, host || '/' || seg, len(string_split(host, '.')) + 1 FROM cap WHERE host <> '' AND seg <> ''),
 best AS (SELECT page_id, arg_max(key, r) AS key, arg_max(a, r) AS a, arg_max(since, r) AS since
          FROM keys JOIN spans USING (key) WHERE day >= since AND (til IS NULL OR day < til) GROUP BY page_id)
 SELECT page_id, host, CAST(day AS VARCHAR) AS fetch_date,

@@ -60,8 +60,8 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, source, size, text_crc32, frac, shard, slot)``, one row per row of ``docs``.
 
     Row counts of the shards differ by at most one; slots count from 0 without
-    gaps.  Null sources form a source, null ids and texts are ordinary values;
-    repeated rows are separate rows (which of them comes first does not show).
+    gaps.  Null sources form a source, null ids and texts are ordinary values; the row
+    of a source of one row lies where its hash puts it; repeated rows are separate rows (which of them comes first does not show).
     """
     rows = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
                               byte_size(F.col(text_col)).alias("size"), text_crc(F.col(text_col)).alias("text_crc32"))
@@ -70,7 +70,8 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = rows.count()
     sized = rows.join(per, rows.source.eqNullSafe(per.s)).drop("s")
     by_source = ranked(sized, ["source"], F.col("h"), F.ceil(F.sqrt(F.col("n"))), ["id", "text_crc32", "size"], "rank")
-    spread = stored(by_source.withColumn("frac", (F.col("rank") - 0.5) / F.col("n")).withColumn("all", F.lit(0)))
+    # the hash places a row inside its step of 1 / n, so sources of equal size do not tie
+    spread = stored(by_source.withColumn("frac", (F.col("rank") - 1 + F.col("h")) / F.col("n")).withColumn("all", F.lit(0)))
     slices = math.isqrt(total) + 1
     placed = ranked(spread, ["all"], F.col("frac"), F.lit(slices), ["source", "h", "id", "text_crc32", "size"], "position")
     at = F.col("position") - 1

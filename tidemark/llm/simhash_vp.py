@@ -243,12 +243,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component (the smallest id).
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+             max_bits: int = MAX_BITS, **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicate texts: the one with the
+    smallest id, among equal ids the smallest hash of the text.
 
-    Rows with a null id stay; of rows that repeat a kept id one stays.
+    Groups are formed over texts: rows that share an id but not a similar text both
+    stay.  Of rows equal in id and text one stays.  Rows with a null id stay.
     """
-    found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(named(docs.columns)).union(docs.where("doc_id IS NULL"))
+    text_hash = F.xxhash64(F.col(text_col))
+    own = docs.where(F.col(id_col).isNotNull())
+    keyed = own.select(F.col(id_col).cast("long").alias("doc"), text_hash.alias("th"), F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            fps = [0 if t is None else fingerprint_bytes(t, shingle_words) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc", "th", "fp"])
+
+    fps = stored(keyed.mapInArrow(run, "doc long, th long, fp long"))
+    points = stored(fps.groupBy("fp").agg(F.min(F.struct("doc", "th")).alias("first")))
+    comp = components(near_pairs_edges(points.select("fp", F.col("fp").alias("rep")), max_bits, **options))
+    group = points.join(comp, points.fp == comp.node, "left").select(F.coalesce("component", "fp").alias("group"), "first")
+    kept = group.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.doc").alias("__doc"), F.col("first.th").alias("__th"))
+    one = (own.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__th", text_hash).join(kept, ["__doc", "__th"], "left_semi")
+           .dropDuplicates(["__doc", "__th"]))
+    return one.select(named(docs.columns)).union(docs.where(F.col(id_col).isNull()).select(named(docs.columns)))
