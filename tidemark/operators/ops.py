@@ -89,11 +89,17 @@ def unread_counts(notes: DataFrame) -> DataFrame:
     return notes.groupBy("user_id").agg(F.count_if(~F.col("is_read")).alias("unread_count"))
 
 
-def mark_all_read(notes: DataFrame, user_id) -> DataFrame:
-    """J5 update: conditional rewrite, everything else unchanged."""
-    hit = (F.col("user_id") == F.lit(user_id)) & ~F.col("is_read")
-    return notes.withColumns({"is_read": F.col("is_read") | hit,
-                              "read_at": F.when(hit, F.col("created_at"))})
+def mark_read(notes: DataFrame, asked: DataFrame) -> DataFrame:
+    """J5 update: ``asked(user_id, notification_id)`` marks one notification of a user, or
+    with a null id all of theirs; a notification of another user is left alone.  Adds
+    ``marked`` (newly read); notifications read before stay as they are."""
+    everything = asked.where("notification_id IS NULL").select(F.col("user_id").alias("_u")).distinct().withColumn("_all", F.lit(True))
+    one = asked.where("notification_id IS NOT NULL").select(F.col("user_id").alias("_o"), F.col("notification_id").alias("_n")).distinct().withColumn(
+        "_one", F.lit(True))
+    found = notes.join(everything, F.col("user_id") == F.col("_u"), "left").join(
+        one, (F.col("user_id") == F.col("_o")) & (F.col("notification_id") == F.col("_n")), "left")
+    marked = ~F.col("is_read") & F.coalesce("_all", "_one", F.lit(False))
+    return found.withColumn("marked", marked).withColumn("is_read", F.col("is_read") | F.col("marked")).drop("_u", "_o", "_n", "_all", "_one")
 
 
 def table_counts(spark, sf_dir, tables) -> DataFrame:
@@ -194,9 +200,10 @@ def version_string(model_type: Column, dataset_id: Column, ts: Column) -> Column
 
 
 def list_versions(versions: DataFrame, status: str | None = "active", sort_by: str = "f1", descending: bool = True,
-                  owner_id: int | None = None, dataset_id: int | None = None, model_type: str | None = None) -> DataFrame:
-    """Filter by status, owner, dataset and type, then position per model
-    type by any column (numbers, times, metrics), either direction; nulls come
+                  owner_id: int | None = None, dataset_id: int | None = None, model_type: str | None = None,
+                  key="model_type") -> DataFrame:
+    """Filter by status, owner, dataset and type, then position per ``key``
+    (model type) by any column (numbers, times, metrics), either direction; nulls come
     last, and a null type is a type of its own."""
     d = versions
     for column, value in (("status", status), ("owner_id", owner_id), ("dataset_id", dataset_id), ("model_type", model_type)):
@@ -206,7 +213,7 @@ def list_versions(versions: DataFrame, status: str | None = "active", sort_by: s
     if dict(versions.dtypes)[sort_by].startswith("timestamp"):
         o = F.unix_micros(o.cast("timestamp"))
     d = d.withColumn("_o", F.coalesce((-o if descending else o).cast("double"), F.lit(float("inf"))))
-    p = ordered_prefix(d, "_o", [], key="model_type", tie="version_id")
+    p = ordered_prefix(d, "_o", [], key=key, tie="version_id")
     return p.drop("_o").withColumnRenamed("_pos", "position")
 
 

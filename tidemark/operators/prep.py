@@ -89,7 +89,8 @@ def encode(df: DataFrame, m: PrepModel, strict: bool = False) -> list:
     that are not numbers give 0 (``strict`` leaves them null, P13)."""
     r = m.roles
     out = {}
-    for c in r.binary:
+    have = set(df.columns)                                   # P12: what the rows lack is left to the zeros below
+    for c in (c for c in r.binary if c in have):
         mp = m.binary_maps.get(c)
         if mp is None:
             e = F.col(c).cast("double")
@@ -98,11 +99,9 @@ def encode(df: DataFrame, m: PrepModel, strict: bool = False) -> list:
             for val, code in mp.items():
                 e = F.when(F.col(c) == val, F.lit(float(code))).otherwise(e)
         out[c] = e
-    for c in r.flag:
+    for c in (c for c in (*r.flag, *r.numeric) if c in have):
         out[c] = F.col(c).cast("double")
-    for c in r.numeric:
-        out[c] = F.col(c).cast("double")
-    for c in r.multi:
+    for c in (c for c in r.multi if c in have):
         for val in m.categories.get(c, []):
             out[m.one_hot_name(c, val)] = F.when(F.col(c) == val, 1.0).otherwise(0.0)
     cols = []
@@ -224,8 +223,3 @@ def params_table(m: PrepModel):
                  ("order", c, "position", float(i))]
     return rows
 
-
-def config_complete(params) -> bool:
-    """A fitted config has encodings, scaler and feature order."""
-    stages = {r_[0] for r_ in params}
-    return {"scale", "order"} <= stages and bool(stages & {"binary", "one_hot"})

@@ -120,6 +120,45 @@ def validation_errors(raw: DataFrame, domains: dict, **kw) -> DataFrame:
             .select("row_no", "e.rule_no", "e.column", "e.message"))
 
 
+def scoring_rules(raw: DataFrame, domains: dict, tenure_max: int = TENURE_MAX, charges_max: float = SCORING_CHARGES_MAX) -> list:
+    """The scoring schema's rules, stricter than the upload's: every field is
+    needed, texts must equal an allowed value as they stand (no trimming), the
+    flag is 0 or 1, tenure a whole number in range, both charges numbers from 0 to the maximum."""
+    row, rules = F.col("row_no"), []
+
+    def add(name, cond, message):
+        parts = [F.lit(f"{name} {message}")] if message == "is required" else [F.lit(f"{name} {message}; got '"), F.col(name), F.lit("'")]
+        rules.append(_rule(len(rules) + 1, name, cond, _msg(row, *parts)))
+
+    for name in [*domains, "SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]:
+        if name not in raw.columns:
+            add(name, F.lit(True), "is required")
+            continue
+        v = F.col(name)
+        given = F.trim(F.coalesce(v, F.lit(""))) != ""
+        add(name, ~given, "is required")
+        if name in domains:
+            add(name, given & ~v.isin(domains[name]), f"must be one of: {', '.join(sorted(domains[name]))}")
+        elif name in ("SeniorCitizen", "tenure"):
+            top = 1 if name == "SeniorCitizen" else tenure_max
+            n = _int_value(v)
+            add(name, given & ~v.rlike(INT_TEXT), "must be a whole number")
+            add(name, given & v.rlike(INT_TEXT) & (n.isNull() | (n < 0) | (n > top)), f"must be between 0 and {top}")
+        else:
+            num = is_numeric_text(F.trim(v))
+            x = F.regexp_replace(F.trim(v), "_", "").try_cast("double")
+            add(name, given & ~num, "must be a number")
+            add(name, given & num & ((x < 0) | F.isnan(x)), "must be non-negative")
+            add(name, given & num & (x > charges_max) & ~F.isnan(x), f"exceeds reasonable maximum ({charges_max:,.0f})")
+    return rules
+
+
+def scoring_errors(raw: DataFrame, domains: dict) -> DataFrame:
+    """One row per broken scoring rule."""
+    return (raw.select("row_no", F.explode(F.array_compact(F.array(*scoring_rules(raw, domains)))).alias("e"))
+            .select("row_no", "e.rule_no", "e.column", "e.message"))
+
+
 def first_errors(errors: DataFrame, limit: int = VALIDATION_MESSAGE_LIMIT) -> DataFrame:
     """V8: the messages the reference would report: rows in file order until
     at least ``limit`` messages are collected (the crossing row is kept

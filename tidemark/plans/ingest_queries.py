@@ -7,7 +7,7 @@ from tidemark.functions.stats import r
 from tidemark.operators import validate as v
 from tidemark.operators.quality import NUMERIC_TEXT
 from tidemark.plans.catalog import register
-from tidemark.roles import FIXTURE, TENURE_MAX, VALIDATION_MESSAGE_LIMIT
+from tidemark.roles import CSV_TO_TYPED, FIXTURE, TENURE_MAX, VALIDATION_MESSAGE_LIMIT
 from tidemark.sources.fixtures import RAW_COLUMNS, churn_raw
 
 SCORE_COLS = [c for c in RAW_COLUMNS if c not in ("customerID", "Churn")]
@@ -99,12 +99,65 @@ def v9(spark, sf_dir):
     return v.non_empty(churn_raw(spark, sf_dir))
 
 
-@register("v10_scoring_row_rules", _rules_sql(src="churn_raw", id_col=None, charges_max=1000000.0, cols=SCORE_COLS),
-          ("churn_raw",))
-def v10(spark, sf_dir):
+#: Faults of scoring rows by row number: (modulus, column, value).
+SCORING_FAULTS = [(37, "gender", "female"), (41, "Partner", " Yes"), (43, "PaperlessBilling", ""), (47, "SeniorCitizen", "2"), (53, "tenure", "73"),
+                  (59, "tenure", "12.5"), (61, "MonthlyCharges", "-1"), (67, "MonthlyCharges", "1000000.01"), (71, "TotalCharges", "-0.5"),
+                  (73, "TotalCharges", "n/a"), (79, "PhoneService", "no"), (83, "SeniorCitizen", "x")]
+
+
+def scoring_input(spark, sf_dir):
+    """The scoring columns of the raw rows with a fault for every rule of the scoring schema."""
     raw = churn_raw(spark, sf_dir).select("row_no", *SCORE_COLS)
-    return v.validation_errors(raw, {k: x for k, x in _domains().items() if k in SCORE_COLS},
-                               id_col=None, charges_max=1000000.0)
+    for mod, column, value in SCORING_FAULTS:
+        raw = raw.withColumn(column, F.when(F.col("row_no") % mod == 0, F.lit(value)).otherwise(F.col(column)))
+    return raw
+
+
+def scoring_domains():
+    return {k: x for k, x in _domains().items() if k in SCORE_COLS}
+
+
+def _scoring_ctes() -> str:
+    """CTEs _sin (the faulty rows) and _bad (the broken rules)."""
+    columns = {c: f'"{c}"' for c in SCORE_COLS}
+    for mod, column, value in SCORING_FAULTS:
+        columns[column] = f"CASE WHEN row_no % {mod} = 0 THEN '{value}' ELSE {columns[column]} END"
+    parts, n = [], 0
+
+    def add(name, cond, message):
+        nonlocal n
+        n += 1
+        text = f"'Row ' || row_no || ': {name} {message}'" if message == "is required" else \
+            f"'Row ' || row_no || ': {name} {message}; got ' || chr(39) || \"{name}\" || chr(39)"
+        parts.append(f"SELECT row_no, {n} AS rule_no, '{name}' AS \"column\", {text} AS message FROM _sin WHERE {cond}")
+    for name in [*scoring_domains(), "SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]:
+        c = f'"{name}"'
+        given = f"trim(coalesce({c}, '')) <> ''"
+        add(name, f"NOT ({given})", "is required")
+        if name in scoring_domains():
+            allowed = scoring_domains()[name]
+            listed = ", ".join("'" + a + "'" for a in allowed)
+            add(name, f"{given} AND {c} NOT IN ({listed})", f"must be one of: {', '.join(sorted(allowed))}")
+        elif name in ("SeniorCitizen", "tenure"):
+            top = 1 if name == "SeniorCitizen" else TENURE_MAX
+            whole = f"regexp_matches({c}, '{v.INT_TEXT}')"
+            add(name, f"{given} AND NOT {whole}", "must be a whole number")
+            add(name, f"{given} AND {whole} AND NOT coalesce(TRY_CAST(replace(trim({c}), '_', '') AS BIGINT) BETWEEN 0 AND {top}, false)",
+                f"must be between 0 and {top}")
+        else:
+            num = f"regexp_matches(lower(trim({c})), '{NUMERIC_TEXT}')"
+            x = f"TRY_CAST(replace(trim({c}), '_', '') AS DOUBLE)"
+            add(name, f"{given} AND NOT {num}", "must be a number")
+            add(name, f"{given} AND {num} AND ({x} < 0 OR isnan({x}))", "must be non-negative")
+            add(name, f"{given} AND {num} AND {x} > 1000000 AND NOT isnan({x})", "exceeds reasonable maximum (1,000,000)")
+    faulty = ", ".join(f"{e} AS \"{c}\"" for c, e in columns.items())
+    return f"_sin AS (SELECT row_no, {faulty} FROM churn_raw), _bad AS ({' UNION ALL '.join(parts)})"
+
+
+@register("v10_scoring_row_rules", f"WITH {_scoring_ctes()} SELECT * FROM _bad", ("churn_raw",))
+def v10(spark, sf_dir):
+    """Rows with a fault for every rule, checked by the scoring schema."""
+    return v.scoring_errors(scoring_input(spark, sf_dir), scoring_domains())
 
 
 @register("v11_scoring_missing", " UNION ALL ".join(
@@ -174,7 +227,7 @@ def t4(spark, sf_dir):
 
 
 @register("t5_rename_for_scoring", "SELECT " + ", ".join(
-    f"\"{c}\" AS {__import__('tidemark.roles', fromlist=['x']).CSV_TO_TYPED[c]}" for c in SCORE_COLS) + " FROM churn_raw",
+    f"\"{c}\" AS {CSV_TO_TYPED[c]}" for c in SCORE_COLS) + " FROM churn_raw",
           ("churn_raw",))
 def t5(spark, sf_dir):
     return v.rename_for_scoring(churn_raw(spark, sf_dir), SCORE_COLS)

@@ -131,15 +131,6 @@ def s8(spark, sf_dir):
     return io.reuse_by_hash(up, ds).select("file_name", "sha256", "length", "reuse_dataset_id")
 
 
-@register("s9_model_artifact")
-def s9(spark, sf_dir):
-    """Fitted preprocessing parameters saved as parquet and reloaded."""
-    from tidemark.plans.prep_queries import p10
-    path = scratch(spark, "s9-params")
-    io.save_params(p10(spark, sf_dir), path)
-    return spark.read.parquet(path)
-
-
 @register("s3_dataset_scan", """
 SELECT b.customer_id, CAST(c.c_nationkey AS BIGINT) AS dataset_id, b.churn, b.contract, round(b.total_charges, 6) AS total_charges
 FROM churn_base b JOIN customer c ON c.c_custkey = b.customer_id

@@ -71,6 +71,25 @@ def j5c(spark, sf_dir):
     return O.unread_counts(O.notifications(table(spark, sf_dir, "events")))
 
 
+def _asked(spark, sf_dir):
+    """Who marks what: every third user all notifications, the others one, their newest unread."""
+    notes = O.notifications(table(spark, sf_dir, "events"))
+    everything = notes.where("user_id % 3 = 0").select("user_id", F.lit(None).cast("long").alias("notification_id")).distinct()
+    one = O.newest_unread(notes, 1).where("user_id % 3 <> 0").select("user_id", "notification_id")
+    return notes, everything.unionByName(one)
+
+
+@register("j5_mark_read", """
+WITH n AS (SELECT event_id AS notification_id, user_id, ts AS created_at, event_type IN ('view', 'click') AS is_read FROM events),
+u AS (SELECT user_id, arg_max(notification_id, (created_at, notification_id)) AS newest FROM n WHERE NOT is_read AND user_id % 3 <> 0 GROUP BY user_id),
+m AS (SELECT n.*, NOT is_read AND (n.user_id % 3 = 0 OR coalesce(notification_id = newest, false)) AS marked FROM n LEFT JOIN u USING (user_id))
+SELECT notification_id, user_id, is_read OR marked AS is_read, marked FROM m""")
+def j5_mark(spark, sf_dir):
+    """Mark one, mark all: the notifications afterwards."""
+    notes, asked = _asked(spark, sf_dir)
+    return O.mark_read(notes, asked).select("notification_id", "user_id", "is_read", "marked")
+
+
 @register("j6_table_counts", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES))
 def j6(spark, sf_dir):
@@ -213,20 +232,20 @@ def m16(spark, sf_dir):
 
 
 @register("m16_best_of_dataset", """
-SELECT arg_max(version_id, (f1, -version_id)) AS version_id, max(f1) AS f1 FROM versions WHERE status = 'active' AND dataset_id = 3""",
+SELECT dataset_id, arg_max(version_id, (f1, -version_id)) AS version_id, max(f1) AS f1 FROM versions WHERE status = 'active' GROUP BY dataset_id""",
           ("versions",))
 def m16_all(spark, sf_dir):
-    """The one best version of a filtered list."""
-    return O.best_model(X.versions(spark, sf_dir).where("status = 'active' AND dataset_id = 3"))
+    """The best active version of every dataset."""
+    return O.best_model(X.versions(spark, sf_dir).where("status = 'active'"), "dataset_id")
 
 
 @register("m13_versions_by_training", """
-SELECT version_id, model_type, trained_at, row_number() OVER (PARTITION BY model_type ORDER BY trained_at, version_id) AS position
-FROM versions WHERE dataset_id = 3""", ("versions",))
+SELECT version_id, dataset_id, model_type, trained_at,
+       row_number() OVER (PARTITION BY dataset_id, model_type ORDER BY trained_at, version_id) AS position FROM versions""", ("versions",))
 def m13_by_time(spark, sf_dir):
-    """Versions of one dataset, any status, oldest first."""
-    v = O.list_versions(X.versions(spark, sf_dir), status=None, sort_by="trained_at", descending=False, dataset_id=3)
-    return v.select("version_id", "model_type", "trained_at", "position")
+    """Versions of every dataset, any status, oldest first."""
+    v = O.list_versions(X.versions(spark, sf_dir), status=None, sort_by="trained_at", descending=False, key=["dataset_id", "model_type"])
+    return v.select("version_id", "dataset_id", "model_type", "trained_at", "position")
 
 
 @register("m15_scoreable_requests", """

@@ -117,7 +117,21 @@ def p11(spark, sf_dir):
     return _long(z, "row_no")
 
 
-@register("p13_apply_simple")
+def _strict_sql() -> str:
+    """The scaled scoring frame where what is missing stays null."""
+    enc = []
+    for c in R.binary:
+        enc.append(f"CASE WHEN (SELECT count(DISTINCT {c}) FROM _imp) <= 2 THEN CASE WHEN {c} = (SELECT max({c}) FROM _imp) AND "
+                   f"(SELECT count(DISTINCT {c}) FROM _imp) = 2 THEN 1.0 WHEN {c} = (SELECT min({c}) FROM _imp) THEN 0.0 END END AS {c}")
+    enc += [f"CAST({c} AS DOUBLE) AS {c}" for c in list(R.flag) + list(R.numeric)]
+    enc += [f"CASE WHEN {c} = '{v_}' THEN 1.0 ELSE 0.0 END AS {q(c + '_' + v_)}" for c in R.multi for v_ in CATS[c]]
+    z = ", ".join(f"({q(f)} - (SELECT mean FROM _sc WHERE feature = '{f}')) / (SELECT scale FROM _sc WHERE feature = '{f}') AS {q(f)}" for f in FEATURES)
+    return f"""_senc AS MATERIALIZED (SELECT row_no, {', '.join(enc)} FROM _typed),
+_sz AS MATERIALIZED (SELECT row_no, {z} FROM _senc)"""
+
+
+@register("p13_apply_simple", f"""WITH {prep_ctes()}, _typed AS ({_typed_sql()}), {_strict_sql()}
+{long_of('_sz', 'row_no')}""", ("churn_base", "churn_raw"))
 def p13(spark, sf_dir):
     """Older apply path: no imputation and no unknown handling (nulls stay)."""
     m, _ = fitted(spark, sf_dir)
@@ -125,15 +139,58 @@ def p13(spark, sf_dir):
     return _long(z, "row_no")
 
 
-@register("p10_fitted_params")
+#: Columns that the rows of the P12 query lack.
+LACKING = ("partner", "monthly_charges", "internet_service")
+
+
+@register("p12_align_columns", f"""WITH {prep_ctes()},
+_typed AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS partner, CAST(NULL AS DOUBLE) AS monthly_charges, CAST(NULL AS VARCHAR) AS internet_service)
+           FROM ({_typed_sql()})), {apply_ctes()}
+{long_of('_az', 'row_no')}""", ("churn_base", "churn_raw"))
+def p12(spark, sf_dir):
+    """Rows without three expected columns, with one that nobody expects."""
+    m, _ = fitted(spark, sf_dir)
+    rows = typed_scoring_rows(spark, sf_dir).drop(*LACKING).withColumn("unexpected", F.lit(7))
+    return _long(prep.apply_to_new_rows(rows, m, keep=("row_no",)), "row_no")
+
+
+def _params_sql() -> str:
+    parts = ["SELECT 'impute_median' AS stage, \"column\", 'median' AS key, round(median, 6) AS value FROM _pmed"]
+    parts += [f"SELECT 'clip', \"column\", '{k}', round({k}, 6) FROM _bnd" for k in ("q1", "q3", "lower", "upper")]
+    parts += [f"SELECT 'binary', '{c}', v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) FROM (SELECT DISTINCT {c} AS v FROM _imp) "
+              f"WHERE (SELECT count(DISTINCT {c}) FROM _imp) <= 2" for c in R.binary]
+    parts += [f"SELECT 'one_hot', '{c}', v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) FROM (SELECT DISTINCT {c} AS v FROM _imp)" for c in R.multi]
+    parts += [f"SELECT 'scale', feature, '{k}', round({k}, 4) FROM _sc" for k in ("mean", "scale")]
+    parts += [f"SELECT 'order', '{f}', 'position', {i}.0" for i, f in enumerate(FEATURES)]
+    return f"WITH {prep_ctes()}\n" + " UNION ALL ".join(parts)
+
+
+@register("p10_fitted_params", _params_sql(), ("churn_base",))
 def p10(spark, sf_dir):
     m, _ = fitted(spark, sf_dir)
     rows = prep.params_table(m)
-    return spark.createDataFrame(rows, "stage string, column string, key string, value double")
+    return spark.createDataFrame(rows, "stage string, column string, key string, value double").withColumn(
+        "value", F.when(F.col("stage") == "scale", r("value", 4)).otherwise(r("value")))
 
 
-@register("v13_config_complete")
+@register("v13_config_complete", f"""WITH {prep_ctes()}, _n AS (SELECT count(*) AS n FROM _sc)
+SELECT 'whole' AS artefact, true AS config_complete, '' AS missing, n AS features FROM _n
+UNION ALL SELECT 'no scaler', false, 'scaler', n FROM _n UNION ALL SELECT 'no encodings', false, 'encodings', n FROM _n
+UNION ALL SELECT 'no order', false, 'feature order', 0 UNION ALL SELECT 'one scale lost', false, 'scaler values', n FROM _n""", ("churn_base",))
 def v13(spark, sf_dir):
+    """A saved configuration and four that lost a part, each read back from its files."""
+    from tidemark.operators import artifact as A
+    from tidemark.streaming.streams import scratch
     m, _ = fitted(spark, sf_dir)
-    ok = prep.config_complete(prep.params_table(m))
-    return p10(spark, sf_dir).groupBy("stage").count().withColumn("config_complete", F.lit(ok))
+    whole = scratch(spark, "v13-whole")
+    A.save(spark, whole, m)
+    table = spark.read.schema(A.SCHEMA).parquet(whole)
+    first = m.feature_columns[0]
+    lost = {"no scaler": F.col("stage") != "scale", "no encodings": ~F.col("stage").isin("binary", "one_hot"), "no order": F.col("stage") != "order",
+            "one scale lost": ~((F.col("stage") == "scale") & (F.col("key") == "scale") & (F.col("column") == first))}
+    out = A.missing_parts(table).withColumn("artefact", F.lit("whole"))
+    for name, rule in lost.items():
+        path = scratch(spark, "v13-part")
+        table.where(rule).coalesce(1).write.mode("overwrite").parquet(path)
+        out = out.unionByName(A.missing_parts(spark.read.schema(A.SCHEMA).parquet(path)).withColumn("artefact", F.lit(name)))
+    return out.select("artefact", "config_complete", "missing", "features")

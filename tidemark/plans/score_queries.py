@@ -84,6 +84,22 @@ def x1(spark, sf_dir):
     return p.select("row_no", r("probability").alias("probability"), "prediction")
 
 
+@register("s9_model_artifact", f"""WITH {SCORE_CTES}
+SELECT row_no, round(probability, 6) AS probability, probability >= 0.5 AS prediction FROM _spred""",
+          ("churn_base", "churn_raw"))
+def s9(spark, sf_dir):
+    """Preprocessing and model saved, read back from the files, and the batch scored
+    with what was read: the same probabilities as X1."""
+    from tidemark.operators import artifact as A
+    from tidemark.streaming.streams import scratch
+    m, _ = fitted(spark, sf_dir)
+    path = scratch(spark, "s9-artefact")
+    A.save(spark, path, m, naive_bayes(spark, sf_dir))
+    loaded, nb = A.load(spark, path)
+    z = prep.apply_to_new_rows(typed_scoring_rows(spark, sf_dir), loaded, keep=("row_no",))
+    return X.batch_score(z, nb, keep=("row_no",)).select("row_no", r("probability").alias("probability"), "prediction")
+
+
 @register("x6_local_contributions", f"""WITH {SCORE_CTES}
 SELECT row_no, round(base_value, 6) AS base_value, feature, round(value, 6) AS value,
        round(contribution, 6) AS contribution FROM _contrib""", ("churn_base", "churn_raw"))

@@ -9,7 +9,7 @@ from tidemark.operators import prep
 from tidemark.operators import score as XS
 from tidemark.operators import validate as v
 from tidemark.plans.catalog import register
-from tidemark.plans.ingest_queries import SCORE_COLS, _domains, _rules_sql
+from tidemark.plans.ingest_queries import _scoring_ctes, scoring_domains, scoring_input
 from tidemark.plans.model_queries import naive_bayes
 from tidemark.plans.prep_queries import fitted
 from tidemark.plans.score_queries import SCORE_CTES
@@ -75,7 +75,7 @@ def st5(spark, sf_dir):
 
 
 @register("st1_stream_score", f"""WITH {SCORE_CTES},
-_bad AS ({_rules_sql(src='churn_raw', id_col=None, charges_max=1000000.0, cols=SCORE_COLS)})
+{_scoring_ctes()}
 SELECT row_no, round(probability, 6) AS probability FROM _spred WHERE row_no NOT IN (SELECT row_no FROM _bad)""",
           ("churn_base", "churn_raw"))
 def st1(spark, sf_dir):
@@ -83,15 +83,15 @@ def st1(spark, sf_dir):
     rejected sink, the rest are scored; both sinks from one foreachBatch."""
     m, _ = fitted(spark, sf_dir)
     nb = naive_bayes(spark, sf_dir)
-    raw = X.churn_raw(spark, sf_dir).select("row_no", *SCORE_COLS)
+    raw = scoring_input(spark, sf_dir)
     src = S.scratch(spark, "st1-src")
     S.stage_as_files(raw, src, files=4, order="row_no")
     stream = S.file_stream(spark, src, raw.schema)
     good, bad, ck = S.scratch(spark, "st1-good"), S.scratch(spark, "st1-bad"), S.scratch(spark, "st1-ck")
-    domains = {k: x for k, x in _domains().items() if k in SCORE_COLS}
+    domains = scoring_domains()
 
     def write(batch, batch_id):
-        errs = v.validation_errors(batch, domains, id_col=None, charges_max=1000000.0)
+        errs = v.scoring_errors(batch, domains)
         errs.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
         ok = batch.join(errs.select("row_no").distinct(), "row_no", "left_anti")
         z = prep.apply_to_new_rows(v.typed_projection(ok), m, keep=("row_no",))

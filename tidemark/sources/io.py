@@ -76,11 +76,6 @@ def reuse_by_hash(uploads: DataFrame, datasets: DataFrame) -> DataFrame:
     return uploads.join(newest, "sha256", "left")
 
 
-def save_params(df: DataFrame, path: str) -> None:
-    """Fitted parameters as a parquet table (overwritten atomically per job)."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def dataset_scan(records: DataFrame, datasets: DataFrame, dataset_ids=None) -> DataFrame:
     """S3: rows of datasets whose status is ready (semi join, so a record is
     never duplicated), optionally restricted to some dataset ids, which a
