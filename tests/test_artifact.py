@@ -64,3 +64,25 @@ def test_marking_notifications(spark):
     got = {r.notification_id: (r.is_read, r.marked) for r in O.mark_read(notes, asked).collect()}
     assert got == {1: (True, True), 2: (True, False), 3: (True, True), 4: (True, True), 5: (False, False), 6: (False, False)}
     assert O.mark_read(notes, asked.limit(0)).where("marked").count() == 0
+
+
+def test_thresholds_are_stored_and_used(spark):
+    versions = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "version_id long")
+    asked = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 1.01), (4, None), (9, 0.3)], "version_id long, threshold double")
+    stored = O.set_thresholds(versions, asked)
+    got = {r.version_id: (r.classification_threshold, r.refused is not None) for r in stored.collect()}
+    assert got == {1: (0.0, False), 2: (1.0, False), 3: (0.5, True), 4: (0.5, True), 5: (0.5, False)}
+    assert [r.version_id for r in O.unknown_versions(versions, asked).collect()] == [9]
+    again = O.set_thresholds(stored.drop("refused"), asked.where("version_id = 1").withColumn("threshold", F.lit(-1.0)))
+    assert again.where("version_id = 1").first().classification_threshold == 0.0                     # refused: kept
+    scored = spark.createDataFrame([(1, 0.0), (2, 0.99), (3, 0.5), (7, 0.6), (None, 0.4)], "version_id long, probability double")
+    assert {r.version_id: r.prediction for r in O.decide(scored, stored).collect()} == {1: True, 2: False, 3: True, 7: True, None: False}
+
+
+def test_report_lists(spark):
+    reports = spark.createDataFrame([(1, 7, "2024-01-01"), (2, 7, "2024-01-03"), (3, None, "2024-01-02"), (4, 7, "2024-01-03")],
+                                    "report_id long, owner_id long, generated_at string").withColumn("generated_at", F.col("generated_at").cast("timestamp"))
+    order = lambda df: [r.report_id for r in df.orderBy("position").collect()]
+    assert order(O.list_reports(reports, 7)) == [4, 2, 1] and order(O.list_reports(reports, 7, "Admin")) == [4, 2, 3, 1]
+    assert order(O.list_reports(reports, 8)) == []
+    assert sorted((r.owner_id or 0, r.report_id, r.position) for r in O.list_reports(reports).collect()) == [(0, 3, 1), (7, 1, 3), (7, 2, 2), (7, 4, 1)]

@@ -115,13 +115,15 @@ def table_counts(spark, sf_dir, tables) -> DataFrame:
 
 def text_search(df: DataFrame, cols, term: str, current_col: str, current_value) -> DataFrame:
     """Case-insensitive substring over several columns (nulls never
-    match); the current user sorts first."""
+    match), with ``position``: the current user first, then by that column."""
     t = term.lower()
     cond = None
     for c in cols:
         x = F.coalesce(F.lower(F.col(c)).contains(t), F.lit(False))
         cond = x if cond is None else cond | x
-    return df.where(cond).withColumn("is_current", F.col(current_col) == F.lit(current_value))
+    found = df.where(cond).withColumn("is_current", F.coalesce(F.col(current_col) == F.lit(current_value), F.lit(False)))
+    found = found.withColumn("_later", (~F.col("is_current")).cast("int"))
+    return ordered_prefix(found, "_later", [], tie=current_col).drop("_later").withColumnRenamed("_pos", "position")
 
 
 STATUS_PREFERENCE = {"running": 1, "completed": 2, "failed": 3}
@@ -268,3 +270,45 @@ def comparison_table(versions: DataFrame, search: str | None = None) -> DataFram
 def cascade_delete(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """Children whose parent row was deleted are removed (anti join)."""
     return child.join(parent.select(key), key, "left_anti")
+
+
+DEFAULT_THRESHOLD = 0.5      # fixed value: of a version that has none of its own
+
+
+def set_thresholds(versions: DataFrame, changes: DataFrame) -> DataFrame:
+    """``changes(version_id, threshold)``, one per version, stored with the versions:
+    adds ``classification_threshold`` and ``refused`` (the message, where the value is
+    null or not between 0 and 1; the version then keeps what it had).  Changes of unknown versions are
+    listed by :func:`unknown_versions`."""
+    had = F.col("classification_threshold") if "classification_threshold" in versions.columns else F.lit(DEFAULT_THRESHOLD)
+    new = changes.select(F.col("version_id").alias("_v"), F.col("threshold").cast("double").alias("_t"), F.lit(True).alias("_asked"))
+    ok = F.coalesce(F.col("_t").between(0.0, 1.0) & ~F.isnan("_t"), F.lit(False))
+    return (versions.withColumn("_had", had).join(new, F.col("version_id") == F.col("_v"), "left")
+            .withColumn("classification_threshold", F.when(ok, F.col("_t")).otherwise(F.col("_had")))
+            .withColumn("refused", F.when(F.col("_asked") & ~ok, F.lit("Threshold must be between 0.0 and 1.0"))).drop("_had", "_v", "_t", "_asked"))
+
+
+def unknown_versions(versions: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes that name no version."""
+    return changes.join(versions.select("version_id"), "version_id", "left_anti")
+
+
+def decide(scored: DataFrame, versions: DataFrame) -> DataFrame:
+    """M14 at scoring: ``scored(version_id, probability, ...)`` with the prediction under its
+    version's own threshold (inclusive)."""
+    own = versions.select(F.col("version_id").alias("_v"), "classification_threshold")
+    return (scored.join(own, F.col("version_id") == F.col("_v"), "left").drop("_v")
+            .withColumn("prediction", F.col("probability") >= F.coalesce("classification_threshold", F.lit(DEFAULT_THRESHOLD))))
+
+
+def list_reports(reports: DataFrame, viewer_id=None, role: str | None = None) -> DataFrame:
+    """R2: reports newest first with ``position``: all of them for an Admin, else the
+    viewer's own.  Without a viewer: every owner's own list."""
+    d = reports.withColumn("_newest", -F.unix_micros(F.col("generated_at").cast("timestamp"))).withColumn("_tie", -F.col("report_id"))
+    if role == GUARDED_ROLE:
+        key = None
+    elif viewer_id is not None:
+        d, key = d.where(F.col("owner_id") == viewer_id), None
+    else:
+        key = "owner_id"
+    return ordered_prefix(d, "_newest", [], key=key, tie="_tie").drop("_newest", "_tie").withColumnRenamed("_pos", "position")

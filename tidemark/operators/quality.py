@@ -68,6 +68,13 @@ def invalid_categorical(df: DataFrame, roles: Roles) -> DataFrame:
     return one.select(rows.alias("x")).select("x.*")
 
 
+def invalid_values(df: DataFrame, roles: Roles) -> DataFrame:
+    """Q3 as rows: ``(column, value, rows)`` per value outside its column's domain, however many there are."""
+    cols = [c for c in roles.categorical if c in roles.domains]
+    bad = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(roles.domains[c])), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c in cols]
+    return (df.select(F.explode(F.array_compact(F.array(*bad))).alias("b")).groupBy("b.column", "b.value").agg(F.count(F.lit(1)).alias("rows")))
+
+
 def convertibility(raw: DataFrame, col: str = "TotalCharges", row_col: str = "row_no") -> DataFrame:
     """Q4: raw-string rows whose value is neither blank nor a number."""
     v = F.col(col)

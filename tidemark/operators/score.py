@@ -117,21 +117,20 @@ def top_contributors(expl: DataFrame, keep=(), k: int = TOP_CONTRIBUTORS) -> Dat
 
 def waterfall(expl: DataFrame, id_col: str) -> DataFrame:
     """Base bar, contributions by |value| descending with running
-    totals, final bar.  The running total is a window per row id (d rows
-    per window partition)."""
-    from pyspark.sql import Window
+    totals, final bar.  Running totals are folded inside the row's array: no shuffle."""
     d = expl.select(id_col, "base_value", "probability", by_magnitude(F.col("contributions")).alias("_s"))
-    e = d.select(id_col, "base_value", F.posexplode("_s").alias("pos", "c"))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("base_value") + F.coalesce(F.sum("c.contribution").over(w), F.lit(0.0))
-    bars = e.select(id_col, (F.col("pos") + 1).alias("step"), F.col("c.feature").alias("label"),
-                    start.alias("start"), F.col("c.contribution").alias("_delta"))
-    bars = bars.select(id_col, "step", "label", "start", (F.col("start") + F.col("_delta")).alias("end"))
-    first = d.select(id_col, F.lit(0).alias("step"), F.lit("Base value").alias("label"),
-                     F.lit(0.0).alias("start"), F.col("base_value").alias("end"))
-    last = d.select(id_col, (F.size("_s") + 1).alias("step"), F.lit("Prediction").alias("label"),
-                    F.lit(0.0).alias("start"), F.col("probability").alias("end"))
-    return first.unionByName(bars).unionByName(last)
+    bar = "struct<label:string,start:double,end:double>"
+    none = F.array().cast(f"array<{bar}>")
+
+    def step(acc, c):
+        end = acc["at"] + c["contribution"]
+        return F.struct(end.alias("at"), F.concat(acc["bars"], F.array(F.struct(c["feature"].alias("label"), acc["at"].alias("start"), end.alias("end")))).alias("bars"))
+
+    folded = F.aggregate("_s", F.struct(F.col("base_value").alias("at"), none.alias("bars")), step, lambda a: a["bars"])
+    ends = [F.array(F.struct(F.lit(t).alias("label"), F.lit(0.0).alias("start"), F.col(c).alias("end")))
+            for t, c in (("Base value", "base_value"), ("Prediction", "probability"))]
+    bars = F.concat(ends[0], folded, ends[1])
+    return d.select(id_col, F.posexplode(bars).alias("step", "b")).select(id_col, "step", "b.label", "b.start", "b.end")
 
 
 def risk_band(p: Column) -> Column:

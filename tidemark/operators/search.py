@@ -161,7 +161,8 @@ class TreeFold:
         return (self.tree.probability(x) > 0.5).astype(int)
 
 
-def naive_bayes_evaluator(rows: DataFrame, width: int, folds: int):
+def naive_bayes_folds(rows: DataFrame, width: int, folds: int):
+    """A function of a setting: (tp, fp, fn) of every fold, trained on the others."""
     sums = rows.groupBy("fold", "y").agg(F.count("y").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(width)],
                                          *[F.sum(F.col("x")[i] ** 2).alias(f"q{i}") for i in range(width)]).collect()
     n, total, square = np.zeros((folds, 2)), np.zeros((folds, 2, width)), np.zeros((folds, 2, width))
@@ -169,11 +170,15 @@ def naive_bayes_evaluator(rows: DataFrame, width: int, folds: int):
         n[r.fold, r.y], total[r.fold, r.y], square[r.fold, r.y] = r.n, [r[f"s{i}"] for i in range(width)], [r[f"q{i}"] for i in range(width)]
 
     def evaluate(setting):
-        models = {f: NaiveBayesFold(*(v.sum(0) - v[f] for v in (n, total, square)), setting["var_smoothing"]) for f in range(folds)}
-        return mean_f1(fold_counts(rows, models))
+        return fold_counts(rows, {f: NaiveBayesFold(*(v.sum(0) - v[f] for v in (n, total, square)), setting["var_smoothing"]) for f in range(folds)})
     return evaluate
 
 
+def naive_bayes_evaluator(rows: DataFrame, width: int, folds: int):
+    counts = naive_bayes_folds(rows, width, folds)
+    return lambda setting: mean_f1(counts(setting))
+
+
 def tree_evaluator(rows: DataFrame, folds: int, max_depth: int = 20, **options):
     names = [trees.GINI, trees.ENTROPY]
     keys = {f * 2 + c: names[c] for f in range(folds) for c in (0, 1)}

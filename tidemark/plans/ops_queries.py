@@ -311,3 +311,69 @@ def r2(spark, sf_dir):
     return j.select("user_id", "role",
                     F.when(admin, total).otherwise(F.coalesce("n", F.lit(0))).alias("visible_reports"),
                     F.when(admin, newest).otherwise(F.col("newest")).alias("newest_report_at"))
+
+
+# ---- stored thresholds, report lists
+
+_CHANGES = "SELECT version_id, CASE WHEN version_id % 7 = 0 THEN 1.5 ELSE (version_id % 101) / 100 END AS threshold FROM versions WHERE version_id % 3 = 0"
+_STORED = f"""_chg AS ({_CHANGES}),
+_ver AS (SELECT v.*, CASE WHEN c.threshold BETWEEN 0 AND 1 THEN c.threshold ELSE 0.5 END AS classification_threshold,
+                CASE WHEN c.version_id IS NOT NULL AND NOT c.threshold BETWEEN 0 AND 1 THEN 'Threshold must be between 0.0 and 1.0' END AS refused
+         FROM versions v LEFT JOIN _chg c USING (version_id))"""
+
+
+def stored_versions(spark, sf_dir):
+    """Every third version gets a threshold of its own; some asked values are out of range."""
+    v = X.versions(spark, sf_dir)
+    asked = v.where("version_id % 3 = 0").select("version_id", F.when(F.col("version_id") % 7 == 0, 1.5).otherwise((F.col("version_id") % 101) / 100).alias("threshold"))
+    return O.set_thresholds(v, asked)
+
+
+@register("m14_stored_threshold", f"WITH {_STORED} SELECT version_id, classification_threshold, refused FROM _ver", ("versions",))
+def m14_stored(spark, sf_dir):
+    return stored_versions(spark, sf_dir).select("version_id", "classification_threshold", "refused")
+
+
+@register("m14_decisions_by_version", f"""WITH {_STORED},
+_best AS (SELECT dataset_id, arg_max(version_id, (f1, -version_id)) AS version_id FROM _ver WHERE status = 'active' GROUP BY dataset_id),
+_row AS (SELECT o_orderkey AS row_id, CAST(c_nationkey AS BIGINT) AS dataset_id, (o_orderkey % 1000) / 1000 AS probability
+         FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT r.row_id, b.version_id, r.probability >= coalesce(v.classification_threshold, 0.5) AS prediction
+FROM _row r JOIN _best b USING (dataset_id) JOIN _ver v ON v.version_id = b.version_id""", ("versions",))
+def m14_decisions(spark, sf_dir):
+    """Scored rows decided by the stored threshold of their dataset's best version."""
+    v = stored_versions(spark, sf_dir)
+    best = O.best_model(v.where("status = 'active'"), "dataset_id").select("dataset_id", "version_id")
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("row_id"), F.col("c_nationkey").cast("long").alias("dataset_id"), ((F.col("o_orderkey") % 1000) / 1000).alias("probability"))
+    return O.decide(rows.join(best, "dataset_id"), v).select("row_id", "version_id", "prediction")
+
+
+def reports(spark, sf_dir):
+    """One report per model version, generated when it was trained."""
+    return X.versions(spark, sf_dir).select(F.col("version_id").alias("report_id"), "owner_id", F.col("trained_at").alias("generated_at"))
+
+
+@register("r2_report_rows", """
+SELECT version_id AS report_id, owner_id, trained_at AS generated_at,
+       row_number() OVER (PARTITION BY owner_id ORDER BY trained_at DESC, version_id DESC) AS position FROM versions""", ("versions",))
+def r2_rows(spark, sf_dir):
+    """Every owner's own reports, newest first."""
+    return O.list_reports(reports(spark, sf_dir)).select("report_id", "owner_id", "generated_at", "position")
+
+
+@register("r2_admin_rows", """
+SELECT version_id AS report_id, owner_id, trained_at AS generated_at,
+       row_number() OVER (ORDER BY trained_at DESC, version_id DESC) AS position FROM versions""", ("versions",))
+def r2_admin(spark, sf_dir):
+    """What an Admin sees: all reports, newest first."""
+    return O.list_reports(reports(spark, sf_dir), role="Admin").select("report_id", "owner_id", "generated_at", "position")
+
+
+@register("j7_search_own_first", """
+SELECT user_id, name, user_id = 5 AS is_current, row_number() OVER (ORDER BY user_id <> 5, user_id) AS position FROM users
+WHERE coalesce(contains(lower(name), '005'), false) OR coalesce(contains(lower(team), '005'), false) OR coalesce(contains(lower(role), '005'), false)""",
+          ("users",))
+def j7_own_first(spark, sf_dir):
+    """One term over three columns; the current user comes first."""
+    return O.text_search(X.users(spark, sf_dir), ["name", "team", "role"], "005", "user_id", 5).select("user_id", "name", "is_current", "position")

@@ -55,6 +55,13 @@ def q3(spark, sf_dir):
     return q.invalid_categorical(churn_dirty(spark, sf_dir), FIXTURE)
 
 
+@register("q3_invalid_values", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS rows FROM churn_dirty WHERE {c} IS NOT NULL AND {c} NOT IN ("
+    + ", ".join("'" + x + "'" for x in FIXTURE.domains[c]) + f") GROUP BY {c}" for c in FIXTURE.categorical if c in FIXTURE.domains), ("churn_dirty",))
+def q3_values(spark, sf_dir):
+    return q.invalid_values(churn_dirty(spark, sf_dir), FIXTURE)
+
+
 @register("q4_convertibility", f"""
 SELECT row_no, "TotalCharges" AS value FROM churn_raw
 WHERE "TotalCharges" IS NOT NULL AND trim("TotalCharges") <> ''
