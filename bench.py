@@ -18,7 +18,7 @@ HEADLINE = [
     "m7_classification_metrics", "m9_roc_auc", "x1_x3_batch_score", "x6_local_contributions",
     "x7_top_contributors", "d1_kpis", "d3_monthly_trend",
     "f1b_neighbour_information", "x15_same_input_reuse", "st2_stream_over_limit",
-    "m1_knn", "p9_smote", "x4_shapley_sampling", "x5_tree_shapley", "m5_hyperparameter_search",
+    "x4_shapley_sampling", "x5_tree_shapley",
 ]
 
 
