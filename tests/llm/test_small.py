@@ -231,6 +231,30 @@ def test_random_tokens_are_found_among_ordinary_ones(spark):
     assert secret_scan.discovery_thresholds(docs_of(spark, texts).limit(0)) == {}
 
 
+PLANTED = {"upper hex 40": ("0123456789ABCDEF", 40), "upper hex 64": ("0123456789ABCDEF", 64),
+           "digits and lower 32": (string.digits + string.ascii_lowercase, 32), "base32 40": (string.ascii_uppercase + "234567", 40),
+           "base62 20": (string.digits + string.ascii_letters, 20), "base62 40": (string.digits + string.ascii_letters, 40),
+           "base64 40": (string.ascii_letters + string.digits + "+/", 40), "url base64 32": (string.ascii_letters + string.digits + "-_", 32)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rare_random_tokens_of_every_encoding(spark, seed):
+    """Ten keys of a kind among the given documents and ordinary long tokens: nine or more of each are found, no ordinary one is."""
+    rng = random.Random(seed)
+    keys = [(kind, "".join(rng.choice(letters) for _ in range(n))) for kind, (letters, n) in PLANTED.items() for _ in range(10)]
+    usual = ["550e8400-e29b-41d4-a716-446655440000", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEF0123456789ABCDEF",
+             "00000000000000000000001234567890", "some-hyphenated-words-of-a-long-title", "path/to/some/other/place/of/files",
+             "getUserNameFromDatabaseConnectionPool", "THIS_IS_A_LONG_CONSTANT_NAME_OF_CODE", "invoice20240131customer20240201",
+             "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "A1B1A1B1A1B1A1B1A1B1A1B1A1B1A1B1", "--------------------------------"]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = docs_of(spark, [f"the value {k} is here" for _, k in keys] + [f"see {w} there" for w in usual * 5])
+    docs = given.unionByName(more.select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    found = {r.doc_id for r in secret_scan.with_spans(docs).where(F.exists("secret_spans", lambda x: x["k"] == 3)).select("doc_id").collect()}
+    for kind in PLANTED:
+        assert sum(-1 - i in found for i, (k, _) in enumerate(keys) if k == kind) >= 9, kind
+    assert not {d for d in found if d >= 0 or d < -len(keys)}
+
+
 # ---- toxicity
 
 def test_toxicity_learns_words_and_ignores_identity(spark):

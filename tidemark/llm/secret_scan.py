@@ -2,24 +2,30 @@
 
 Base kinds are found by regular expressions.  The battery looks at every other
 run of 20 or more token characters, infers its encoding (the smallest alphabet
-that holds its symbols) and runs three tests over the symbols' ranks:
-
-* chi-squared uniformity over the alphabet.  Under the null "ordinary token"
-  the statistic is non-central (natural symbol frequencies), so its lower tail
-  gives the evidence for a random string; short strings cannot reach a small
-  p-value, however they look;
-* Wald-Wolfowitz runs around the alphabet's middle and lag-1 serial
-  correlation: sequences with order in them (alphabets, counters, repeats) fail
-  either and get p = 1.
+that holds its symbols) and runs these tests over its symbols:
+
+* chi-squared uniformity over the alphabet, runs around the alphabet's middle,
+  changes of character class (lower, upper, digit, other) and lag-1 serial
+  correlation.  A token that any of them tells from a uniform random string
+  (alphabets, counters, repeats, hyphenated words, UUIDs) gets p = 1;
+* how far the token is from an ordinary one.  What is ordinary is counted over
+  all texts, per encoding (``fit_null``): the symbols' frequencies give the
+  chi-squared statistic's non-centrality, whose lower tail is one p-value; the
+  rate at which mixed words change class gives a binomial bound on the number
+  of changes, the other.  Fisher's method joins the two.  Encodings of a single
+  class have the first only, so short digit strings cannot get a small p-value.
 
 p-values are rounded up to a fixed grid and go through Benjamini-Hochberg
-within length classes, so a corpus full of short ordinary tokens does not
-loosen the test of long ones, nor the other way round.  The rejection
-thresholds (one number per length class) are the only thing gathered from the
-corpus; the second pass is a projection without join or shuffle.
+within encoding and length class, so a corpus full of short ordinary tokens
+does not loosen the test of long ones, nor words that of hexadecimal keys.  One
+row of symbol counts, two numbers per encoding and one threshold per encoding
+and length class are all that is gathered from the corpus; the last pass is a
+projection without join or shuffle.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import named
@@ -55,11 +61,16 @@ ENCODINGS = (
     ("^[0-9A-Za-z_-]*$", _U + _L + _D + "-_"),
     ("", _U + _L + _D + "+/-_="),
 )
-#: Chance that two letters of ordinary text agree; gives the null's non-centrality per symbol.
-COINCIDENCE = 0.0655
-LEAST_EXCESS = 0.5
-#: Two-sided normal bound for the runs and the serial-correlation test.
-GATE_Z = 3.0
+#: Character classes, and what a body's class runs are counted by.
+CLASSES = (_D, _U, _L, "+/-_=")
+CLASS_RUN = "[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+"
+#: Shorter words that mix classes: they tell how often ordinary tokens change class.
+MIXED = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*?(?:[a-z][A-Z0-9+/_=-]|[A-Z][a-z0-9+/_=-]|[0-9][A-Za-z+/_=-]))"
+         r"[A-Za-z0-9+/_=-]{4,19}(?![A-Za-z0-9+/_=-])")
+#: Rate of class changes assumed before any word is seen, as a share of a uniform string's, and the neighbour pairs it counts for.
+PRIOR_CHANGE, PRIOR_PAIRS = 0.5, 50
+#: Two-sided normal bounds against a uniform random string: runs, class changes and serial correlation; chi-squared (upper).
+GATE_Z, GATE_X2 = 3.0, 4.0
 #: Length classes start here; false-discovery rate within each.
 LENGTH_CLASSES = (20, 32, 64)
 FDR = 0.01
@@ -103,21 +114,73 @@ def _agree(token: Column, n: Column) -> Column:
         c == "", 0.0).otherwise(F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0))))
 
 
-def p_bucket(token: Column) -> Column:
+def _body(token: Column) -> Column:
+    return F.regexp_replace(token, "=+$", "")
+
+
+def _encoding(body: Column) -> Column:
+    """Index in ENCODINGS of the smallest alphabet that holds ``body``."""
+    out = F.lit(len(ENCODINGS) - 1)
+    for i in reversed(range(len(ENCODINGS) - 1)):
+        out = F.when(body.rlike(ENCODINGS[i][0]), i).otherwise(out)
+    return out
+
+
+@dataclass(frozen=True)
+class Null:
+    """What ordinary tokens look like, per encoding: chi-squared excess per symbol, rate of class changes."""
+    excess: tuple[float, ...]
+    change: tuple[float, ...]
+
+
+def _uniform_change(letters: str) -> float:
+    """Chance that two random symbols of an alphabet differ in class."""
+    return 1 - sum((sum(c in letters for c in cls) / len(letters)) ** 2 for cls in CLASSES)
+
+
+def fit_null(docs: DataFrame, text_col: str = "text") -> Null:
+    """The null of every encoding from all texts; one row of sums and one row per encoding reach the driver.
+
+    Without texts every symbol counts once and the class changes keep their prior rate.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    symbols = "".join(CLASSES)
+    counts = docs.select(text.alias("t")).agg(*[F.coalesce(F.sum(
+        F.length("t") - F.length(F.replace(F.col("t"), F.lit(c), F.lit("")))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(symbols)]).first()
+    n = {c: counts[f"c{i}"] + 1.0 for i, c in enumerate(symbols)}
+    words = docs.where(text.rlike(MIXED)).select(F.explode(F.regexp_extract_all(text, F.lit(MIXED), F.lit(0))).alias("w"))
+    words = words.select(_body(F.col("w")).alias("w"))
+    seen = {r.e: r for r in words.groupBy(_encoding(F.col("w")).alias("e")).agg(
+        F.sum(F.regexp_count("w", F.lit(CLASS_RUN)) - 1).alias("changes"), F.sum(F.length("w") - 1).alias("pairs")).collect()}
+    excess, change = [], []
+    for i, (_, letters) in enumerate(ENCODINGS):
+        total = sum(n[c] for c in letters)
+        excess.append(max(0.0, len(letters) * sum((n[c] / total) ** 2 for c in letters) - 1))
+        pairs, changes = (seen[i].pairs, seen[i].changes) if i in seen else (0, 0)
+        change.append((changes + PRIOR_CHANGE * _uniform_change(letters) * PRIOR_PAIRS) / (pairs + PRIOR_PAIRS))
+    return Null(tuple(excess), tuple(change))
+
+
+def _per_encoding(values, e: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), e + 1)
+
+
+def p_bucket(token: Column, null: Null) -> Column:
     """Grid bucket of the battery's p-value of one token (0: p is 1)."""
-    body = F.regexp_replace(token, "=+$", "")
-    n = F.length(body).cast("double")
-    alphabet = F.lit(ENCODINGS[-1][1])
-    for pattern, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(body.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-    known = F.struct(body.alias("body"), n.alias("n"), alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"))
+    body = _body(token)
+    known = F.struct(body.alias("body"), F.length(body).cast("double").alias("n"), _encoding(body).alias("e"))
+    mixing = [_uniform_change(letters) for _, letters in ENCODINGS]
 
     def tests(k):
-        x2 = k["size"] / k["n"] * _agree(k["body"], k["n"]) - k["n"]
-        ranks = F.transform(F.filter(F.split(k["body"], ""), lambda c: c != ""),
-                            lambda c: F.instr(k["alphabet"], c).cast("double"))
-        return F.struct(k["n"].alias("n"), k["size"].alias("size"), x2.alias("x2"), ranks.alias("r"),
-                        (F.aggregate(ranks, F.lit(0.0), lambda a, x: a + x) / k["n"]).alias("mean"))
+        size = _per_encoding([float(len(a)) for _, a in ENCODINGS], k["e"])
+        letters = _per_encoding([a for _, a in ENCODINGS], k["e"])
+        ranks = F.transform(F.filter(F.split(k["body"], ""), lambda c: c != ""), lambda c: F.instr(letters, c).cast("double"))
+        return F.struct(
+            k["n"].alias("n"), size.alias("size"), (size / k["n"] * _agree(k["body"], k["n"]) - k["n"]).alias("x2"), ranks.alias("r"),
+            (F.aggregate(ranks, F.lit(0.0), lambda a, x: a + x) / k["n"]).alias("mean"),
+            (F.regexp_count(k["body"], F.lit(CLASS_RUN)) - 1).cast("double").alias("changes"),
+            _per_encoding(mixing, k["e"]).alias("even"), _per_encoding(null.change, k["e"]).alias("usual"),
+            _per_encoding(null.excess, k["e"]).alias("excess"))
 
     def decide(t):
         r, n = t["r"], t["n"]
@@ -133,23 +196,30 @@ def p_bucket(token: Column) -> Column:
         spread = total(F.transform(r, lambda x: (x - t["mean"]) * (x - t["mean"])))
         serial = total(F.zip_with(before, after, lambda x, y: (x - t["mean"]) * (y - t["mean"]))) / spread
         serial_z = (serial + 1 / n) * F.sqrt(n)
-        excess = F.greatest(F.lit(LEAST_EXCESS), t["size"] * COINCIDENCE - 1) * n
         df = t["size"] - 1
-        z = (df + excess - t["x2"]) / F.sqrt(2 * (df + 2 * excess))
-        # upper bound of the normal tail for z >= 0
-        log_p = (-z * z / 2 - 0.5 * F.log(F.lit(6.283185307179586))
-                 + F.log(2 / (z + F.sqrt(z * z + 2.5464790894703255)))) / 2.302585092994046
-        bucket = F.least(F.lit(LAST), F.floor(-log_p * STEPS).cast("int"))
+        mixed = t["even"] > 0
+        change_z = F.when(mixed, (t["changes"] - (n - 1) * t["even"]) / F.sqrt((n - 1) * t["even"] * (1 - t["even"]))).otherwise(0.0)
+        z = (df + t["excess"] * n - t["x2"]) / F.sqrt(2 * (df + 2 * t["excess"] * n))
+        # natural logarithms of upper bounds: the normal tail for z >= 0, the binomial tail (Chernoff)
+        ln_even = F.when(z <= 0, 0.0).otherwise(-z * z / 2 - 0.5 * F.log(F.lit(6.283185307179586))
+                                                + F.log(2 / (z + F.sqrt(z * z + 2.5464790894703255))))
+        share = t["changes"] / (n - 1)
+        ln_change = F.when(~mixed | (share <= t["usual"]), 0.0).otherwise(-(n - 1) * (
+            share * F.log(share / t["usual"])
+            + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - t["usual"]))).otherwise(0.0)))
+        joint = ln_even + ln_change
+        ln_p = F.when(mixed, joint + F.log(1 - joint)).otherwise(ln_even)
+        bucket = F.least(F.lit(LAST), F.floor(-ln_p / 2.302585092994046 * STEPS).cast("int"))
         ordered = (runs_var <= 0) | (spread <= 0)
-        return (F.when(ordered | (z <= 0), 0)
-                .when((F.abs(runs_z) > GATE_Z) | (F.abs(serial_z) > GATE_Z), 0).otherwise(bucket))
+        return (F.when(ordered | ((t["x2"] - df) / F.sqrt(2 * df) > GATE_X2), 0)
+                .when((F.abs(runs_z) > GATE_Z) | (F.abs(serial_z) > GATE_Z) | (F.abs(change_z) > GATE_Z), 0).otherwise(bucket))
 
     # one-element transforms bind intermediate values once
-    return F.when(n < MIN_TOKEN, 0).otherwise(F.element_at(F.transform(F.transform(F.array(known), tests), decide), 1))
+    return F.when(F.length(body) < MIN_TOKEN, 0).otherwise(F.element_at(F.transform(F.transform(F.array(known), tests), decide), 1))
 
 
-def random_candidates(text: Column, base: Column) -> Column:
-    """Tokens that overlap no base span: (s, e, length class, grid bucket)."""
+def random_candidates(text: Column, base: Column, null: Null) -> Column:
+    """Tokens that overlap no base span: (s, e, class, grid bucket); a class is an encoding and a length class."""
     text = F.coalesce(text, F.lit(""))
     none = F.array().cast("array<struct<s:long,k:int,e:long,part:string>>")
     found = F.when(text.rlike(TOKEN), _found(text, TOKEN, 0, MIN_TOKEN, 3)).otherwise(none)
@@ -158,20 +228,22 @@ def random_candidates(text: Column, base: Column) -> Column:
     def row(x):
         length = x["e"] - x["s"]
         cls = sum((F.when(length >= at, 1).otherwise(0) for at in LENGTH_CLASSES[1:]), F.lit(0))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), cls.alias("cls"), p_bucket(x["part"]).alias("bucket"))
+        cls = _encoding(_body(x["part"])) * len(LENGTH_CLASSES) + cls
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), cls.alias("cls"), p_bucket(x["part"], null).alias("bucket"))
 
     return F.transform(free, row)
 
 
-def discovery_thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
-    """Least grid bucket that counts as a discovery, by length class.
+def discovery_thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR, null: Null | None = None) -> dict[int, int]:
+    """Least grid bucket that counts as a discovery, by encoding and length class.
 
     Benjamini-Hochberg over all tokens of the corpus: the largest grid p with
     p <= fdr * (tokens at or below p) / tokens.  Classes without one are absent.
     The histogram has at most classes x grid rows.
     """
+    null = fit_null(docs, text_col) if null is None else null
     c = (docs.select(base_spans(F.col(text_col)).alias("base"), F.col(text_col).alias("t"))
-         .select(F.explode(random_candidates(F.col("t"), F.col("base"))).alias("c"))
+         .select(F.explode(random_candidates(F.col("t"), F.col("base"), null)).alias("c"))
          .groupBy("c.cls", "c.bucket").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("cls")
     c = (c.withColumn("m", F.sum("n").over(w))
@@ -181,14 +253,16 @@ def discovery_thresholds(docs: DataFrame, text_col: str = "text", fdr: float = F
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", thresholds: dict[int, int] | None = None,
-               base_col: str = "secret_base", spans_col: str = "secret_spans") -> DataFrame:
+               null: Null | None = None, base_col: str = "secret_base", spans_col: str = "secret_spans") -> DataFrame:
     """``docs`` plus two columns of spans ``(s, k, e)``: the base kinds' and all.
 
     ``k`` indexes KINDS, positions are code points, ends exclusive, order by
     start then kind.  Null and empty texts have no spans; every row stays, so
     repeated rows and other columns are left as they are.
     """
-    thresholds = discovery_thresholds(docs, text_col) if thresholds is None else thresholds
+    if null is None and thresholds != {}:
+        null = fit_null(docs, text_col)
+    thresholds = discovery_thresholds(docs, text_col, null=null) if thresholds is None else thresholds
     at = F.create_map(*[F.lit(x) for kv in sorted(thresholds.items()) for x in kv]) if thresholds else None
     text = F.col(text_col)
     slim = lambda xs: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
@@ -196,7 +270,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", thresholds: dict[int, in
     base = F.col(base_col)
     if at is None:
         return out.withColumn(spans_col, base)
-    hit = F.filter(random_candidates(text, base), lambda x: x["bucket"] >= F.coalesce(F.try_element_at(at, x["cls"]), F.lit(LAST + 1)))
+    hit = F.filter(random_candidates(text, base, null), lambda x: x["bucket"] >= F.coalesce(F.try_element_at(at, x["cls"]), F.lit(LAST + 1)))
     more = F.transform(hit, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
     return out.withColumn(spans_col, F.array_sort(F.concat(base, more)))
 
