@@ -272,6 +272,56 @@ def cascade_delete(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_anti")
 
 
+def cascade_counts(parent: DataFrame, children: dict, key: str) -> DataFrame:
+    """Rows of each child table that go and stay when ``parent`` rows are deleted: (table_name, deleted, kept).
+
+    Children without a parent (null key) stay."""
+    gone = parent.select(F.col(key).alias("_gone")).where("_gone IS NOT NULL").distinct()
+    out = None
+    for name, child in children.items():
+        n = child.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n")).join(gone, F.col("_key") == F.col("_gone"), "left")
+        counts = n.agg(F.coalesce(F.sum(F.when(F.col("_gone").isNotNull(), F.col("n"))), F.lit(0)).alias("deleted"),
+                       F.coalesce(F.sum(F.when(F.col("_gone").isNull(), F.col("n"))), F.lit(0)).alias("kept"))
+        row = counts.select(F.lit(name).alias("table_name"), "deleted", "kept")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def delete_history(metrics: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The metrics left after the history of the jobs in ``asked(job_id)`` is deleted, and
+    (job_id, deleted_count) for every asked job, 0 where it had none."""
+    asked = asked.select("job_id").where("job_id IS NOT NULL").distinct()
+    counts = metrics.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    deleted = asked.join(counts, "job_id", "left").select("job_id", F.coalesce("_n", F.lit(0)).alias("deleted_count"))
+    return metrics.join(asked, "job_id", "left_anti"), deleted
+
+
+def bulk_clear(spark, paths: dict) -> DataFrame:
+    """Empty the stored tables ``{name: path}``; schemas stay.  Returns (table_name,
+    deleted, remaining), the latter read back after the deletion; a rerun deletes 0."""
+    done = []
+    for name, path in paths.items():
+        had = spark.read.parquet(path)
+        n, schema = had.count(), had.schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        done.append((name, n, spark.read.schema(schema).parquet(path).count()))
+    return spark.createDataFrame(done, "table_name string, deleted long, remaining long")
+
+
+def list_datasets(datasets: DataFrame, owner_id: int | None = None, per_owner: bool = False) -> DataFrame:
+    """Datasets with ``position`` (newest first, unknown dates before all, ties by the
+    larger id) and ``total``: all of them, one owner's, or every owner's own list."""
+    d = datasets if owner_id is None else datasets.where(F.col("owner_id") == owner_id)
+    d = d.withColumn("_newest", -F.unix_micros(F.col("uploaded_at").cast("timestamp"))).withColumn("_tie", -F.col("dataset_id"))
+    key = "owner_id" if per_owner else None
+    out = ordered_prefix(d, "_newest", [], key=key, tie="_tie").drop("_newest", "_tie").withColumnRenamed("_pos", "position")
+    if not per_owner:
+        return out.withColumn("total", datasets.where(F.lit(True) if owner_id is None else F.col("owner_id") == owner_id).select(
+            F.count(F.lit(1))).scalar())
+    totals = datasets.groupBy(F.col("owner_id").alias("_owner")).agg(F.count(F.lit(1)).alias("total"))
+    return out.join(totals, F.col("owner_id").eqNullSafe(F.col("_owner"))).drop("_owner")
+
+
 DEFAULT_THRESHOLD = 0.5      # fixed value: of a version that has none of its own
 
 

@@ -173,6 +173,27 @@ def batch_pages(predictions: DataFrame, page_size: int, page: int | None = None)
     return out if page is None else out.where(F.col("page") == page)
 
 
+MAX_PAGE_SIZE = 100      # fixed value: most predictions on a page
+
+
+def owned_pages(predictions: DataFrame, page_size: int, by_batch: bool = True, page: int | None = None) -> DataFrame:
+    """Every owner's own predictions by ``created_at`` (ties by ``prediction_id``) with ``rank``,
+    ``page``, ``total`` and ``total_pages``; per batch, or without the batch as the owner's history.
+    Null owners and batches are lists of their own.  Filter on the owner and batch for one caller's view."""
+    if not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise ValueError("Page size must be between 1 and 100")
+    if page is not None and page < 1:
+        raise ValueError("Page number must be >= 1")
+    keys = ["owner_id", "batch_id"] if by_batch else ["owner_id"]
+    totals = predictions.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("total"))
+    d = predictions.withColumn("_t", F.unix_micros(F.col("created_at").cast("timestamp")))
+    ranked = ordered_prefix(d, "_t", [], key=keys, tie="prediction_id").drop("_t").withColumnRenamed("_pos", "rank")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = (ranked.withColumn("page", F.floor((F.col("rank") - 1) / page_size) + 1)
+           .join(totals, same).drop(*[f"_{k}" for k in keys]).withColumn("total_pages", F.ceil(F.col("total") / page_size)))
+    return out if page is None else out.where(F.col("page") == page)
+
+
 def export_rows(scored: DataFrame, input_cols, order=None) -> DataFrame:
     """X13 + S6: input fields (standard order, then the probability, then
     the rest sorted), charges and probability with 2 decimals, booleans as

@@ -7,6 +7,9 @@ no shuffle; only duplicate-id detection (V12) aggregates.
 """
 from __future__ import annotations
 
+import base64
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,3 +269,46 @@ def missing_cells(raw: DataFrame, cols) -> DataFrame:
             for c in cols]
     return (raw.select("row_no", F.explode(F.array_compact(F.array(*recs))).alias("e"))
             .select("row_no", "e.column", "e.message"))
+
+
+KEY_BYTES, NONCE_BYTES, LEAST_STORED = 32, 12, 13       # fixed values: AES-256, GCM nonce, least stored length
+
+
+def new_key() -> str:
+    """T4: a random key as base64 text."""
+    return base64.b64encode(os.urandom(KEY_BYTES)).decode()
+
+
+def _key(key: str) -> Column:
+    try:
+        raw = base64.b64decode(key, validate=True)
+    except ValueError as e:
+        raise ValueError(f"Invalid encryption key: {e}") from e
+    if len(raw) != KEY_BYTES:
+        raise ValueError("Invalid encryption key: Encryption key must be 32 bytes (256 bits)")
+    return F.unhex(F.lit(raw.hex()))
+
+
+def encrypt(text: Column, key: str) -> Column:
+    """T4: AES-256-GCM of UTF-8 text as nonce + ciphertext + tag, a new random nonce per row.
+    A null or empty text fails the query.  The key becomes a literal of the plan: keep plans out of logs."""
+    k = _key(key)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit("Cannot encrypt empty string")).cast("binary")).otherwise(
+        F.aes_encrypt(text, k, F.lit("GCM")))
+
+
+def decrypt(stored: Column, key: str) -> Column:
+    """T4: the text of a stored value; null, short or tampered values fail the query."""
+    k = _key(key)
+    return F.when(F.coalesce(F.length(stored), F.lit(0)) < LEAST_STORED, F.raise_error(F.lit("Invalid encrypted data")).cast("string")).otherwise(
+        F.aes_decrypt(stored, k, F.lit("GCM")).cast("string"))
+
+
+def encrypt_optional(text: Column, key: str) -> Column:
+    """T4: as :func:`encrypt`, null for null, empty and blank texts."""
+    return F.when(text.rlike(r"(?U)[^\s]"), encrypt(text, key))
+
+
+def decrypt_optional(stored: Column, key: str) -> Column:
+    """T4: as :func:`decrypt`, null for null and empty values."""
+    return F.when(F.length(stored) > 0, decrypt(stored, key))

@@ -8,6 +8,7 @@ from tidemark.operators import ops as O
 from tidemark.plans.catalog import register
 from tidemark.sources import fixtures as X
 from tidemark.sources.tables import TABLES, table
+from tidemark.streaming.streams import scratch
 
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -169,12 +170,20 @@ def j14(spark, sf_dir):
 
 
 @register("j15_list_datasets", """
-SELECT dataset_id, filename, status, uploaded_at, (SELECT count(*) FROM datasets) AS total FROM datasets""",
+SELECT dataset_id, filename, status, uploaded_at, (SELECT count(*) FROM datasets) AS total,
+       row_number() OVER (ORDER BY uploaded_at DESC, dataset_id DESC) AS position FROM datasets""",
           ("datasets",))
 def j15(spark, sf_dir):
-    d = X.datasets(spark, sf_dir)
-    return d.select("dataset_id", "filename", "status", "uploaded_at",
-                    d.select(F.count(F.lit(1))).scalar().alias("total"))
+    return O.list_datasets(X.datasets(spark, sf_dir)).select("dataset_id", "filename", "status", "uploaded_at", "total", "position")
+
+
+@register("j15_datasets_by_owner", """
+SELECT owner_id, dataset_id, filename, count(*) OVER (PARTITION BY owner_id) AS total,
+       row_number() OVER (PARTITION BY owner_id ORDER BY uploaded_at DESC, dataset_id DESC) AS position FROM datasets""",
+          ("datasets",))
+def j15_owner(spark, sf_dir):
+    """Every owner's own list."""
+    return O.list_datasets(X.datasets(spark, sf_dir), per_owner=True).select("owner_id", "dataset_id", "filename", "total", "position")
 
 
 @register("j16_status_mapping", """
@@ -292,6 +301,48 @@ def s10(spark, sf_dir):
     return O.cascade_delete(d, X.jobs(spark, sf_dir), "dataset_id")
 
 
+_FAILED = "dataset_id IN (SELECT dataset_id FROM datasets WHERE status = 'failed')"
+
+
+@register("s10_cascade_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST(count_if({_FAILED}) AS BIGINT) AS deleted, CAST(count_if(NOT {_FAILED}) AS BIGINT) AS kept FROM {t}"
+    for t in ("jobs", "versions")), ("versions", "datasets"))
+def s10_counts(spark, sf_dir):
+    """Rows of the dependent tables that go with the failed datasets."""
+    d = X.datasets(spark, sf_dir).where(F.col("status") == "failed")
+    return O.cascade_counts(d, {"jobs": X.jobs(spark, sf_dir), "versions": X.versions(spark, sf_dir)}, "dataset_id")
+
+
+@register("s10_history_left", "SELECT event_id, job_id, metric_name FROM metric_events WHERE job_id % 3 <> 0", ("metric_events",))
+def s10_left(spark, sf_dir):
+    """Metrics left after every third job's history was deleted."""
+    m = X.metric_events(spark, sf_dir)
+    return O.delete_history(m, m.select("job_id").where("job_id % 3 = 0"))[0].select("event_id", "job_id", "metric_name")
+
+
+@register("s10_history_deleted", """
+WITH _ask AS (SELECT DISTINCT c_custkey AS job_id FROM customer WHERE c_custkey % 3 = 0)
+SELECT a.job_id, count(m.event_id) AS deleted_count FROM _ask a LEFT JOIN metric_events m USING (job_id) GROUP BY a.job_id""", ("metric_events",))
+def s10_deleted(spark, sf_dir):
+    """How many entries each asked job lost; jobs without history lose none."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")).where("job_id % 3 = 0")
+    return O.delete_history(X.metric_events(spark, sf_dir), asked)[1]
+
+
+@register("s10_bulk_clear", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS deleted, CAST(0 AS BIGINT) AS remaining FROM {f}" for t, f in (
+        ("training_progress", "metric_events"), ("model_versions", "versions"), ("training_jobs", "jobs"), ("notifications", "events"))),
+          ("metric_events", "versions"))
+def s10_clear(spark, sf_dir):
+    """The four training tables written, emptied and counted again."""
+    made = {"training_progress": X.metric_events(spark, sf_dir), "model_versions": X.versions(spark, sf_dir),
+            "training_jobs": X.jobs(spark, sf_dir), "notifications": O.notifications(table(spark, sf_dir, "events"))}
+    paths = {name: scratch(spark, f"s10-{name}") for name in made}
+    for name, df in made.items():
+        df.write.parquet(paths[name])
+    return O.bulk_clear(spark, paths)
+
+
 @register("r2_list_reports", """
 WITH _own AS (SELECT owner_id, count(*) AS n FROM versions GROUP BY owner_id)
 SELECT u.user_id, u.role, CASE WHEN u.role = 'Admin' THEN (SELECT count(*) FROM versions) ELSE coalesce(o.n, 0) END AS visible_reports,

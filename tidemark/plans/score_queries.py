@@ -182,6 +182,39 @@ def x12(spark, sf_dir):
     return X.batch_pages(p.select("batch_id", "row_no", r("probability").alias("probability")), PAGE_SIZE)
 
 
+# owners: one row in 41 belongs to nobody; several rows share a time
+_OWNED = """_owned AS (SELECT s.row_no AS prediction_id, s.probability, nullif(t.contract, '') AS batch_id,
+                   CASE WHEN s.row_no % 41 < 40 THEN s.row_no % 41 END AS owner_id, s.row_no // 500 AS hour
+            FROM _spred s JOIN _typed t USING (row_no))"""
+
+
+def _owned_sql(keys: str) -> str:
+    return f"""WITH {SCORE_CTES}, {_OWNED}
+SELECT owner_id, batch_id, prediction_id, round(probability, 6) AS probability,
+       row_number() OVER w AS rank, (row_number() OVER w - 1) // {PAGE_SIZE} + 1 AS page, count(*) OVER (PARTITION BY {keys}) AS total,
+       (count(*) OVER (PARTITION BY {keys}) - 1) // {PAGE_SIZE} + 1 AS total_pages
+FROM _owned WINDOW w AS (PARTITION BY {keys} ORDER BY hour, prediction_id)"""
+
+
+def owned_predictions(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    n = F.col("row_no")
+    return p.select(n.alias("prediction_id"), r("probability").alias("probability"), F.when(F.col("contract") != "", F.col("contract")).alias("batch_id"),
+                    F.when(n % 41 < 40, n % 41).alias("owner_id"), F.timestamp_seconds(F.floor(n / 500) * 3600).alias("created_at"))
+
+
+@register("x12_owner_batches", _owned_sql("owner_id, batch_id"), ("churn_base", "churn_raw"))
+def x12_batches(spark, sf_dir):
+    """Every owner's pages of every batch."""
+    return X.owned_pages(owned_predictions(spark, sf_dir), PAGE_SIZE).drop("created_at")
+
+
+@register("x12_owner_history", _owned_sql("owner_id"), ("churn_base", "churn_raw"))
+def x12_history(spark, sf_dir):
+    """Every owner's whole history, whatever the batch."""
+    return X.owned_pages(owned_predictions(spark, sf_dir), PAGE_SIZE, by_batch=False).drop("created_at")
+
+
 @register("x13_export_rows", f"""WITH {SCORE_CTES}
 SELECT CAST(t.row_no AS VARCHAR) AS row_no, {', '.join(f"coalesce({export_sql(c)}, '') AS {c}" for c in SCORE_TYPED)},
   printf('%.2f', s.probability) AS "Churn_Probability",

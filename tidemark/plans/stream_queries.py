@@ -47,6 +47,19 @@ def st3(spark, sf_dir):
     return spark.read.parquet(out).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows_kept"))
 
 
+@register("st3_stream_first_rows", """
+SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY user_id""")
+def st3_rows(spark, sf_dir):
+    """The kept rows themselves: each user's earliest event, from keyed state."""
+    src = S.scratch(spark, "st3r-src")
+    ev = X.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    S.stage_in_time_order(ev, src, "ts", files=4)
+    out, ck = S.scratch(spark, "st3r-out"), S.scratch(spark, "st3r-ck")
+    d = S.first_rows_stream(S.file_stream(spark, src, ev.schema), "user_id", "ts", "event_id")
+    S.run_available(d.writeStream.outputMode("append").format("parquet").option("path", out), ck)
+    return spark.read.schema(ev.schema).parquet(out)
+
+
 @register("st4_stream_latest_metric", """
 SELECT job_id, metric_name, arg_max(metric_value, (recorded_at, event_id)) AS metric_value,
        max(recorded_at) AS recorded_at FROM metric_events GROUP BY ALL""", ("metric_events",))

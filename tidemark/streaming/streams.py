@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,51 @@ def dedup_stream(rows: DataFrame, key: str, time_col: str, watermark: str = WATE
     return r.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def _earliest(key: str, time_col: str, tie: str):
+    """Per Arrow batch the earliest row of each key: what a hot key sends to its task."""
+    def reduce(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b]).sort_by([(time_col, "ascending"), (tie, "ascending")])
+            first = t.append_column("__at", pa.array(range(t.num_rows), pa.int64())).group_by(key).aggregate([("__at", "min")])["__at_min"]
+            yield from t.take(first).combine_chunks().to_batches()
+    return reduce
+
+
+def first_rows_stream(rows: DataFrame, key: str, time_col: str, tie: str, horizon: str | None = None) -> DataFrame:
+    """ST3: the earliest row per key, emitted in the micro-batch in which the key first arrives.
+
+    Of a key's rows in that micro-batch the one with the smallest (time, tie) is kept.  The state is one
+    flag per key; with a ``horizon`` (an interval such as ``"1 day"``) it is dropped by a timer once the watermark has
+    passed the kept row by that much, after which the key counts as new; without one the keys are kept for good.  A null key is
+    a key; rows whose time is null come after the others and start no timer.  Restarts resume from the checkpoint."""
+    names, schema = rows.columns, rows.schema
+    d = rows.mapInArrow(_earliest(key, time_col, tie), schema)
+    span = None
+    if horizon is not None:
+        span = int(pd.Timedelta(horizon).total_seconds() * 1000)
+        d = d.withColumn("__time", F.col(time_col).cast("timestamp")).withWatermark("__time", horizon)
+
+    def first(_, chunks, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for c in chunks:
+            if best is not None:
+                c = pd.concat([best, c])
+            best = c.sort_values([time_col, tie], na_position="last").head(1)
+        if state.exists or best is None:
+            return
+        state.update((True,))
+        at = best[time_col].iloc[0]
+        if span is not None and not pd.isna(at):
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(at).timestamp() * 1000) + span, state.getCurrentWatermarkMs() + 1))
+        yield best[names]
+
+    return d.groupBy(key).applyInPandasWithState(
+        first, schema, "seen boolean", "append", "NoTimeout" if horizon is None else "EventTimeTimeout")
+
+
 def latest_metric_stream(metrics: DataFrame) -> DataFrame:
     """ST4: J3 continuously (emit in update mode)."""
     return metrics.groupBy("job_id", "metric_name").agg(
