@@ -417,6 +417,29 @@ def test_more_cells_than_the_driver_takes(spark, monkeypatch):
         assert got == pytest.approx({tuple(r.q): r.rate for r in there.collect()})
 
 
+def test_targets_are_met_for_the_exact_posteriors(spark):
+    """Documents of mixed domains: posteriors recomputed by hand, totals under them (not the grid's) meet the targets."""
+    rng = random.Random(11)
+    texts = [prose(rng, 30 + i % 50, words=25) + (" bad" * (i % 4)) + (" good" * (i % 3)) for i in range(300)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, "ab"[i % 4 > 1] if i % 7 else "c") for i in range(200)], "doc_id long, y string")
+    weights = {"a": 0.48, "b": 0.4, "c": 0.12}
+    model = mixing.fit_classifier(docs, labels, F.col("y"), domains=list(weights))
+    rows = mixing.document_rates(docs, model, weights).collect()
+    seen = {r.doc_id: r["__f"] for r in mixing.features(docs, "text", sorted(model.words)).select("doc_id", "__f").collect()}
+    totals = np.zeros(3)
+    for r in rows:
+        f = seen[r.doc_id]
+        score = model.prior + sum(m[f[k]] for k, m in model.shape.items()) + sum((model.words[w] for w in f.words), np.zeros(3))
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        assert np.allclose(r["__p"], p) and f.tokens == len(texts[r.doc_id].split())
+        assert np.abs(np.array(r["__q"]) / mixing.LEVELS - p).max() <= 1.01 / mixing.LEVELS
+        totals += r["__rate"] * f.tokens * p
+    assert any(0 < r["__p"][2] < 0.005 for r in rows)                   # zero on the grid
+    assert np.allclose(totals / totals.sum(), list(weights.values()), atol=2e-4)
+
+
 def test_mixing_classifies_and_handles_odd_rows(spark):
     rng = random.Random(8)
     texts = [prose(rng, 40) if i % 3 else "| ### " * 20 for i in range(120)] + [None, "", "  ", "x " * 40_000]

@@ -6,10 +6,11 @@ document) are then fitted by projected-gradient least squares, so that the
 expected tokens of each domain, ``sum(rate * tokens * posterior)``, match the
 target weights times the token budget.
 
-Posteriors are rounded to a grid of ``LEVELS`` steps.  Documents with equal
-posteriors have equal gradients, hence equal rates, so the descent runs over
-the grid cells with their token sums: at most (LEVELS + 1) ** (domains - 1)
-rows, however many documents there are.  Soft posteriors need thousands of
+Documents whose posteriors round to the same of ``LEVELS`` steps share a rate,
+so the descent runs over grid cells: at most (LEVELS + 1) ** (domains - 1) rows,
+however many documents there are.  A cell carries its documents' expected
+tokens per domain under their exact posteriors, so the totals that meet the
+targets are exact; only the choice which documents share a rate is rounded.  Soft posteriors need thousands of
 steps, so up to GATHERED cells the driver does them; above, each is one small
 aggregate.  Targets that the rates cannot meet are reported by a warning.
 """
@@ -112,8 +113,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, id_col: s
 
 
 def with_posterior(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``__tokens`` and ``__q array<int>``, the posterior in steps of
-    1 / LEVELS (the last domain takes what rounding leaves)."""
+    """``docs`` plus ``__tokens``, the posterior ``__p array<double>`` and ``__q array<int>``, the
+    same in steps of 1 / LEVELS (the last domain takes what rounding leaves)."""
     d = range(len(model.domains))
     words = sorted(model.words)
     f = F.col("__f")
@@ -138,7 +139,7 @@ def with_posterior(docs: DataFrame, model: Classifier, text_col: str = "text") -
     if table is not None:
         base = F.aggregate(f["words"], base, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
     scored = features(docs, text_col, words).withColumn("__s", base)
-    return (scored.withColumn("__q", once(once(F.col("__s"), posterior), grid))
+    return (scored.withColumn("__p", once(F.col("__s"), posterior)).withColumn("__q", grid(F.col("__p")))
             .withColumn("__tokens", f["tokens"]).drop("__f", "__s"))
 
 
@@ -215,7 +216,8 @@ class _Distributed:
 def fit_rates(cells: DataFrame, weights: dict[str, float], domains: list[str], budget: float | None = 1.0,
               min_rate: float = 0.0, max_rate: float | None = None, max_iter: int = MAX_ITER,
               tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
-    """``cells(q, tokens)`` -> ``(q, rate)`` and a report.
+    """``cells(q, tokens)`` -> ``(q, rate)`` and a report.  A column ``mass array<double>`` holds the
+    cells' expected tokens per domain; without it they follow from q.
 
     Minimises the squared relative errors of the domain totals over rates in
     [min_rate, max_rate], from all ones, by projected gradient with momentum
@@ -229,6 +231,8 @@ def fit_rates(cells: DataFrame, weights: dict[str, float], domains: list[str], b
     """
     d = range(len(domains))
     p = [membership(F.col("q"), i) for i in d]
+    if "mass" in cells.columns:
+        p = [F.when(F.col("tokens") > 0, F.element_at("mass", i + 1) / F.col("tokens")).otherwise(x) for i, x in enumerate(p)]
     cells = stored(cells.select("q", F.col("tokens").cast("double").alias("t"), *[x.alias(f"p{i}") for i, x in enumerate(p)]))
     sums = cells.agg(*[F.sum(F.col("t") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in d for j in d],
                      *[F.sum(F.col("t") * F.col(f"p{i}")).alias(f"a{i}") for i in d], F.count(F.lit(1)).alias("cells")).first()
@@ -280,21 +284,23 @@ def fit_rates(cells: DataFrame, weights: dict[str, float], domains: list[str], b
 
 def document_rates(docs: DataFrame, model: Classifier, weights: dict[str, float], id_col: str = "doc_id",
                    text_col: str = "text", **options) -> DataFrame:
-    """``(id, __tokens, __q, __rate)`` per row of ``docs``, reading the texts once."""
+    """``(id, __tokens, __p, __q, __rate)`` per row of ``docs``, reading the texts once."""
     scored = stored(with_posterior(docs.select(id_col, text_col), model, text_col).drop(text_col))
     return _with_rates(scored, scored, model, weights, **options)
 
 
 def mixture_rates(docs: DataFrame, model: Classifier, weights: dict[str, float], text_col: str = "text",
                   **options) -> DataFrame:
-    """``docs`` plus ``__tokens``, ``__q`` and ``__rate``: two passes over the
+    """``docs`` plus ``__tokens``, ``__p``, ``__q`` and ``__rate``: two passes over the
     texts, neither shuffles them.  Every row stays; repeated rows have equal rates."""
     scored = with_posterior(docs.select(text_col), model, text_col)
     return _with_rates(with_posterior(docs, model, text_col), scored, model, weights, **options)
 
 
 def _with_rates(rows: DataFrame, scored: DataFrame, model: Classifier, weights: dict[str, float], **options) -> DataFrame:
-    cells = scored.groupBy(F.col("__q").alias("q")).agg(F.sum("__tokens").alias("tokens"))
+    # decimal sums do not depend on the order of the rows
+    mass = [F.sum((F.element_at("__p", i + 1) * F.col("__tokens")).cast("decimal(28,9)")).cast("double") for i in range(len(model.domains))]
+    cells = scored.groupBy(F.col("__q").alias("q")).agg(F.sum("__tokens").alias("tokens"), F.array(*mass).cast("array<double>").alias("mass"))
     rates, report = fit_rates(cells, weights, model.domains, **options)
     if not report["met"]:
         warnings.warn(f"target weights not met: {report}")

@@ -157,7 +157,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mixing.fit_classifier(docs, labels, F.expr(DOMAIN), domains=list(TARGETS))
     rated = mixing.document_rates(docs, model, TARGETS)
     return rated.select("doc_id", F.col("__tokens").alias("n_tokens"),
-                        *[mixing.membership(F.col("__q"), i).alias(f"p_{d}") for i, d in enumerate(model.domains)],
+                        *[F.element_at("__p", i + 1).alias(f"p_{d}") for i, d in enumerate(model.domains)],
                         F.col("__rate").alias("rate"))
 
 
