@@ -1,10 +1,20 @@
 """File sources and sinks (S1..S9)."""
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATASET_REUSE_STATUSES = ("processing", "ready")   # fixed value: reusable uploads
+#: Bytes of a file that one row holds while it is hashed.
+PIECE = 8_192
+#: Names that the text reader would unpack.
+PACKED = ("gz", "deflate", "bz2", "lz4", "snappy", "zst")
+_PIECES = "file string, size long, start long, number long, piece binary"
 
 
 def csv_scan(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -58,13 +68,74 @@ def from_payload(df: DataFrame, col: str, ddl: str) -> DataFrame:
     return df.withColumn(col, F.from_json(col, ddl))
 
 
+def _pieces(batches):
+    """Lines (file, size, start, line) as numbered pieces of the files' bytes, each line with its line end."""
+    number = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        whole = pc.binary_join_element_wise(b.column("line"), pa.scalar(b""), pa.scalar(b"\n"))
+        ends, data = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset:whole.offset + b.num_rows + 1], whole.buffers()[2]
+        file, start = pc.dictionary_encode(b.column("file")).indices.to_numpy(), b.column("start").to_numpy()
+        cuts = np.flatnonzero((np.diff(file) != 0) | (np.diff(start) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            at, end = int(ends[lo]), int(ends[hi])
+            while at < end:
+                part = [data[i:min(end, i + PIECE)].to_pybytes() for i in range(at, min(end, at + 1_024 * PIECE), PIECE)]
+                n = len(part)
+                own = [pa.array([b.column(c)[lo].as_py()] * n, t) for c, t in (("file", pa.string()), ("size", pa.int64()), ("start", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(range(number, number + n), pa.int64()), pa.array(part, pa.binary())],
+                                                 names=["file", "size", "start", "number", "piece"])
+                at, number = at + n * PIECE, number + n
+
+
+def _digests(batches):
+    """Ordered pieces to (file, sha256).  The text reader leaves out a byte order mark at the start and does not tell
+    whether the last line had an end: the file's size does."""
+    mark, file, size, told, last, plain, marked = b"\xef\xbb\xbf", None, 0, 0, b"", None, None
+
+    def done():
+        if size - told not in (-1, 0, 2, 3):
+            raise ValueError(f"{told} bytes read of {size} in {file}")
+        h = marked if size - told > 0 else plain
+        if size - told in (0, 3):
+            h.update(last)
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([h.hexdigest()])], names=["file", "sha256"])
+
+    for b in batches:
+        names, sizes, pieces = b.column("file").to_pylist(), b.column("size").to_pylist(), b.column("piece")
+        for i, name in enumerate(names):
+            if name != file:
+                if file is not None:
+                    yield done()
+                file, size, told, last, plain, marked = name, sizes[i], 0, b"", hashlib.sha256(), hashlib.sha256(mark)
+            piece = pieces[i].as_py()
+            for h in (plain, marked):
+                h.update(last)
+                h.update(memoryview(piece)[:-1])
+            told, last = told + len(piece), piece[-1:]
+    if file is not None:
+        yield done()
+
+
 def content_hashes(spark: SparkSession, glob: str) -> DataFrame:
     """SHA-256 of each file's bytes; a later upload with the same hash
-    reuses the newest earlier one."""
-    files = spark.read.format("binaryFile").load(glob)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-                        F.sha2("content", 256).alias("sha256"), F.col("length"),
-                        F.col("modificationTime").alias("uploaded_at"))
+    reuses the newest earlier one.
+
+    Files are read as lines of bytes by as many tasks as they have splits, and hashed piece by piece in order
+    of place: no row holds more than a line, whatever the size of a file.  The hash itself is sequential, so a file's
+    pieces meet in one task, a batch at a time.  Names the reader would unpack (``PACKED``) are read as whole rows."""
+    at = F.col("_metadata.file_path").alias("file")
+    files = spark.read.format("binaryFile").load(glob).select("path", "length", "modificationTime", at)
+    lines = spark.read.option("lineSep", "\n").text(glob).where(~F.col("_metadata.file_path").rlike(rf"\.({'|'.join(PACKED)})$")).select(
+        at, F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    pieces = lines.mapInArrow(_pieces, _PIECES).repartition("file").sortWithinPartitions("file", "start", "number")
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(PACKED)}}}").load(glob)
+    hashes = pieces.mapInArrow(_digests, "file string, sha256 string").unionByName(packed.select(at, F.sha2("content", 256).alias("sha256")))
+    bare = F.sha2(F.when(F.col("length") == 3, F.lit(b"\xef\xbb\xbf")), 256)      # a mark alone has no line
+    return files.join(hashes, "file", "left").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
+                                                     F.coalesce("sha256", bare).alias("sha256"), F.col("length"),
+                                                     F.col("modificationTime").alias("uploaded_at"))
 
 
 def reuse_by_hash(uploads: DataFrame, datasets: DataFrame) -> DataFrame:
