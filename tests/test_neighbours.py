@@ -76,3 +76,32 @@ def test_new_rows_reach_parity_and_lie_between_neighbours(spark):
     assert len(one) == 3 and all(r.neighbour is None and [r["a b"], r.b] == x[0].tolist() for r in one)
     assert N.smote(train.where("label = 0"), ["a b", "b"], "id").count() == 0
     assert N.smote(train.limit(0), ["a b", "b"], "id").count() == 0
+
+
+@pytest.mark.parametrize("metric", [N.EUCLIDEAN, N.MANHATTAN])
+def test_memory_per_batch_does_not_grow_with_the_pivots(metric):
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    x, count = rng.normal(size=(6_000, 3)), 6_000
+    pivots = N.Pivots(rng.normal(size=(count, 3)), metric, np.zeros(count), np.ones(count), np.ones(count, np.int64))
+    tracemalloc.start()
+    part, far = pivots.home(x)
+    pivots.order(x[:pivots.at_once])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * 8 * N.CHUNK                                               # 6,000 x 6,000 doubles are 288 MB each
+    assert peak < 250e6 and np.array_equal(part[:9], N.distances(x[:9], pivots.centres, metric).argmin(1)) and (far >= 0).all()
+
+
+def test_folds_meet_only_the_rows_of_others(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(240, 2)), 1)
+    x[:60] = x[0]                                                                # copies in every fold
+    fold = np.arange(240) % 3
+    rows = spark.createDataFrame([(i, int(fold[i]), float(i % 2), x[i].tolist()) for i in range(240)], "id long, fold long, payload double, x array<double>")
+    found = N.nearest(rows.withColumnRenamed("id", "qid"), rows, 7, N.MANHATTAN, part_rows=30, fold="fold")
+    got = {r.qid: [b.id for b in r.best] for r in found.collect()}
+    for i in range(240):
+        other = np.flatnonzero(fold != fold[i])
+        d = np.round(np.abs(x[other] - x[i]).sum(1), 9)
+        assert got[i] == other[np.lexsort((other, d))[:7]].tolist()

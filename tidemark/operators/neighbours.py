@@ -36,6 +36,8 @@ EUCLIDEAN, MANHATTAN = "euclidean", "manhattan"
 SAMPLE_ROWS, PART_ROWS, CELL_ROWS, CELL_QUERIES = 8_192, 256, 8_192, 8_192
 #: Elements compared at once, slack of the bounds for rounding, digits that decide ties.
 CHUNK, SLACK, DIGITS = 2_000_000, 1e-6, 9
+#: Visits (a query at a partition) of one batch.
+VISITS = 65_536
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -79,9 +81,17 @@ class Pivots:
             c[n > 0] = total[n > 0] / n[n > 0, None]
         return cls(c, metric)
 
+    @property
+    def at_once(self) -> int:
+        """Rows whose distances to all pivots fit into one block of ``CHUNK`` elements."""
+        return max(1, CHUNK // max(1, len(self.centres)))
+
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = distances(x, self.centres, self.metric)
-        return d.argmin(1), d.min(1)
+        part, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for i in range(0, len(x), self.at_once):
+            d = distances(x[i:i + self.at_once], self.centres, self.metric)
+            part[i:i + self.at_once], far[i:i + self.at_once] = d.argmin(1), d.min(1)
+        return part, far
 
     def order(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per query the partitions by lower bound (ties: nearer pivot first), and the bounds."""
@@ -89,7 +99,7 @@ class Pivots:
         low = np.maximum(np.maximum(d - self.outer, self.inner - d), 0)
         if self.metric == EUCLIDEAN:
             own = d.argmin(1)
-            apart = distances(self.centres, self.centres, EUCLIDEAN)[own]
+            apart = distances(self.centres[own], self.centres, EUCLIDEAN)          # rows asked x pivots, not pivots x pivots
             plane = (d * d - (d.min(1) ** 2)[:, None]) / np.maximum(2 * apart, 1e-12)
             low = np.maximum(low, np.where(apart > 1e-9, plane, 0))
         low[:, self.size == 0] = np.inf
@@ -106,15 +116,42 @@ def _upto(n):
     return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
 
 
+_ROWS = "array<struct<id:long,payload:double,fold:long>>"
+
+
 def _vectors(data: DataFrame, k: int) -> DataFrame:
-    """(vec, x, rows array<struct<id, payload>>): distinct vectors with their k smallest ids."""
-    keyed = data.withColumn("vec", F.xxhash64(F.to_json("x")))
-    few = top_k_per_key(keyed.select("x", "vec", "id", "payload"), "x", ["id"], k)
-    return few.groupBy("x").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list(F.struct("id", "payload"))).alias("rows"))
+    """(vec, x, rows array<struct<id, payload, fold>>): distinct vectors with the k smallest ids of every fold."""
+    keyed = data.withColumn("vec", F.xxhash64(F.to_json("x"))).withColumn("_own", F.struct("x", "fold"))
+    few = top_k_per_key(keyed.select("_own", "x", "vec", "id", "payload", "fold"), "_own", ["id"], k)
+    return few.groupBy("x").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list(F.struct("id", "payload", "fold"))).alias("rows"))
+
+
+def _best(qid, q, x, size, ids, load, k: int, metric: str) -> list[tuple]:
+    """Blocks of (qid, d, id, payload): the k nearest of the rows (id, payload) behind vectors ``x``, ``size`` rows each by id."""
+    first = np.cumsum(size) - size
+    lead, parts, step = ids[first], [], max(1, CHUNK // max(len(x), min(k, len(x)) * int(size.max())))
+    for i in range(0, len(q), step):
+        own = q[i:i + step]
+        far = distances(own, x, metric)
+        kth = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        a, b = np.nonzero(far <= kth[:, None] + 1e-5 * (1 + kth[:, None]))      # products round, differences decide
+        d = np.round(pair_distances(own[a], x[b], metric), DIGITS)
+        order = np.lexsort((lead[b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        a, b, d = a[keep], b[keep], d[keep]
+        n = size[b]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b], n)
+        a, d = np.repeat(a, n), np.repeat(d, n)
+        order = np.lexsort((ids[entry], d, a))
+        a, d, entry = a[order], d[order], entry[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        parts.append((qid[i + a[keep]], d[keep], ids[entry[keep]], load[entry[keep]]))
+    return parts
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLIDEAN, sample_rows: int = SAMPLE_ROWS,
-            part_rows: int = PART_ROWS, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES) -> DataFrame:
+            part_rows: int = PART_ROWS, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES, fold: str | None = None) -> DataFrame:
     """``queries(qid long, x array<double>)`` against ``data(id long, x, payload double)`` ->
     ``(qid, x, best array<struct<d, id, payload>>, compared)``: the k nearest rows by
     distance (9 decimals), then id.  One row per query row with distinct qid.
@@ -122,18 +159,22 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
     Fewer than k data rows give shorter lists, no data empty ones.  Rows whose
     vector is null or holds null or non-finite values are no neighbours and, as
     queries, get an empty list.  All vectors have one length.
+
+    With ``fold``, a whole-number column of both tables without nulls, a query meets only data rows of other folds: one
+    search for all folds of a cross validation instead of one a fold.
     """
     if metric not in (EUCLIDEAN, MANHATTAN):
         raise ValueError(f"unknown metric {metric}")
     if k < 1:
         raise ValueError("k must be positive")
     none = F.array().cast("array<struct<d:double,id:long,payload:double>>")
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("x").cast("array<double>").alias("x"))
+    of = lambda other: (F.col(fold) if fold else F.lit(other)).cast("long").alias("fold")
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("x").cast("array<double>").alias("x"), of(-1))
     clean = data.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"),
-                        F.col("payload").cast("double").alias("payload")).where(_finite(F.col("x")))
+                        F.col("payload").cast("double").alias("payload"), of(0)).where(_finite(F.col("x")))
     vectors = stored(_vectors(clean, k))
     about = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("dims")).first()
-    state = stored(asked.select("qid", "x", none.alias("best"), F.lit(0).alias("seen"), F.lit(0).cast("long").alias("compared"),
+    state = stored(asked.select("qid", "x", "fold", none.alias("best"), F.lit(0).alias("seen"), F.lit(0).cast("long").alias("compared"),
                                 _finite(F.col("x")).alias("open")))
     if not about.n:
         return state.select("qid", "x", "best", "compared")
@@ -149,7 +190,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
                 home, far = shared.value.home(_matrix(b.column("x"), dims))
                 yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(far), *b.columns], names=["part", "far", *b.schema.names])
 
-    placed = stored(vectors.mapInArrow(place, "part long, far double, x array<double>, vec long, rows array<struct<id:long,payload:double>>"))
+    placed = stored(vectors.mapInArrow(place, f"part long, far double, x array<double>, vec long, rows {_ROWS}"))
     count = len(pivots.centres)
     pivots.inner, pivots.outer, pivots.size = np.zeros(count), np.zeros(count), np.zeros(count, np.int64)
     for r in placed.groupBy("part").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("far").alias("n")).collect():
@@ -165,14 +206,17 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
         for b in batches:
             x = _matrix(b.column("x"), dims)
             kth, seen = b.column("kth").to_numpy(), b.column("seen").to_numpy()
-            for i in range(0, len(x), 1_024):
-                at, low = p.order(x[i:i + 1_024])
+            for i in range(0, len(x), p.at_once):
+                now = slice(i, i + p.at_once)
+                at, low = p.order(x[now])
                 pos = np.arange(count)[None, :]
-                go = (pos >= seen[i:i + 1_024, None]) & (pos < seen[i:i + 1_024, None] + width) & (low <= kth[i:i + 1_024, None] + SLACK)
+                go = (pos >= seen[now, None]) & (pos < seen[now, None] + width) & (low <= kth[now, None] + SLACK)
                 row, col = np.nonzero(go)
                 part = at[row, col]
-                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(row + i)), b.column("x").take(pa.array(row + i)), pa.array(part),
-                                                  pa.array(p.size[part])], names=["qid", "x", "part", "size"])
+                for j in range(0, len(row), VISITS):
+                    take, own = pa.array(row[j:j + VISITS] + i), part[j:j + VISITS]
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("qid", "x", "fold")], pa.array(own), pa.array(p.size[own])],
+                                                     names=["qid", "x", "fold", "part", "size"])
 
     def search(key, left, right):
         out = pa.schema([("qid", "int64"), ("d", "float64"), ("id", "int64"), ("payload", "float64")])
@@ -180,38 +224,24 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
             return out.empty_table()
         x, q = _matrix(left.column("x"), dims), _matrix(right.column("x"), dims)
         rows = left.column("rows").combine_chunks()
-        first = rows.offsets.to_numpy()[:-1]
         inside = rows.flatten()
-        base = rows.offsets.to_numpy()[0]
-        ids, load = inside.field("id").to_numpy(zero_copy_only=False), inside.field("payload").to_numpy(zero_copy_only=False)
-        size, first = rows.value_lengths().to_numpy(), first - base
-        lead = ids[first]
-        qid, parts = right.column("qid").to_numpy(), []
-        for i in range(0, len(q), max(1, CHUNK // len(x))):
-            own = q[i:i + max(1, CHUNK // len(x))]
-            far = distances(own, x, metric)
-            kth = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            a, b = np.nonzero(far <= kth[:, None] + 1e-5 * (1 + kth[:, None]))      # products round, differences decide
-            d = np.round(pair_distances(own[a], x[b], metric), DIGITS)
-            order = np.lexsort((lead[b], d, a))
-            a, b, d = a[order], b[order], d[order]
-            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-            a, b, d = a[keep], b[keep], d[keep]
-            n = size[b]
-            entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b], n)
-            a, d = np.repeat(a, n), np.repeat(d, n)
-            order = np.lexsort((ids[entry], d, a))
-            a, d, entry = a[order], d[order], entry[order]
-            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-            parts.append((qid[i + a[keep]], d[keep], ids[entry[keep]], load[entry[keep]]))
-        return pa.table([pa.array(np.concatenate(c), from_pandas=True) for c in zip(*parts)], schema=out)
+        held = {n: inside.field(n).to_numpy(zero_copy_only=False) for n in ("id", "payload", "fold")}
+        vector = np.repeat(np.arange(len(x)), rows.value_lengths().to_numpy())
+        qid, fold_of, parts = right.column("qid").to_numpy(), right.column("fold").to_numpy(), []
+        for f in np.unique(fold_of).tolist():
+            may = np.flatnonzero(held["fold"] != f)
+            if len(may):
+                size = np.bincount(vector[may], minlength=len(x))
+                own = fold_of == f
+                parts += _best(qid[own], q[own], x[size > 0], size[size > 0], held["id"][may], held["payload"][may], k, metric)
+        return pa.table([pa.array(np.concatenate(c), from_pandas=True) for c in zip(*parts)], schema=out) if parts else out.empty_table()
 
     width, done = 1, []
     while True:
         kth = F.when(F.size("best") >= k, F.element_at("best", -1)["d"]).otherwise(float("inf"))
-        open_ = state.where("open").select("qid", "x", "seen", kth.alias("kth"))
+        open_ = state.where("open").select("qid", "x", "fold", "seen", kth.alias("kth"))
         step = width
-        visits = stored(open_.mapInArrow(lambda batches: next_parts(batches, step), "qid long, x array<double>, part long, size long"))
+        visits = stored(open_.mapInArrow(lambda batches: next_parts(batches, step), "qid long, x array<double>, fold long, part long, size long"))
         crowd = {r.part: r.n for r in visits.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row per pivot
         if not crowd:
             done.append(state)
@@ -227,12 +257,12 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "qid long, d double, id long, payload double")
         new = found.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "payload"))), 1, k).alias("new"))
         met = visits.groupBy("qid").agg(F.sum("size").alias("met"))
-        was = state.select("qid", "x", "best", "seen", "compared")
+        was = state.select("qid", "x", "fold", "best", "seen", "compared")
         if len(done) or not state.where("NOT open").isEmpty():
             done.append(state.where("NOT open"))
         merged = F.slice(F.array_sort(F.concat("best", F.coalesce("new", none))), 1, k)
         state = stored(was.join(met, "qid").join(new, "qid", "left").select(
-            "qid", "x", merged.alias("best"), (F.col("seen") + width).alias("seen"), (F.col("compared") + F.col("met")).alias("compared"),
+            "qid", "x", "fold", merged.alias("best"), (F.col("seen") + width).alias("seen"), (F.col("compared") + F.col("met")).alias("compared"),
             (F.col("seen") + width < count).alias("open")).unionByName(
                 was.join(met, "qid", "left_anti").join(state.where("NOT open").select("qid"), "qid", "left_anti")
                 .withColumn("open", F.lit(False))))
