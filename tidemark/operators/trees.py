@@ -67,11 +67,30 @@ class Tree:
         return np.divide(self.pos, self.n, out=np.zeros(len(self.n)), where=self.n > 0)
 
     def depths(self) -> np.ndarray:
-        out = np.zeros(len(self.feature), np.int64)
-        for i in range(len(out)):                     # parents come before their children
-            for c in (self.left[i], self.right[i]):
-                if self.feature[i] >= 0:
-                    out[c] = out[i] + 1
+        out, at = np.zeros(len(self.feature), np.int64), np.zeros(1, np.int64)
+        while (at := at[self.feature[at] >= 0]).size:
+            depth = out[at[0]] + 1
+            at = np.concatenate([self.left[at], self.right[at]])
+            out[at] = depth
+        return out
+
+    def leaves(self) -> np.ndarray:
+        """The nodes below the root that are not split."""
+        out, at = [], np.zeros(1, np.int64)
+        while at.size:
+            out.append(at[self.feature[at] < 0])
+            at = at[self.feature[at] >= 0]
+            at = np.concatenate([self.left[at], self.right[at]])
+        return np.concatenate(out)
+
+    def sums(self, of_leaf: np.ndarray) -> np.ndarray:
+        """Per node the sum of ``of_leaf`` over the leaves below it, itself included."""
+        out, levels, at = of_leaf.copy(), [], np.zeros(1, np.int64)
+        while (at := at[self.feature[at] >= 0]).size:
+            levels.append(at)
+            at = np.concatenate([self.left[at], self.right[at]])
+        for at in reversed(levels):
+            out[at] += out[self.left[at]] + out[self.right[at]]
         return out
 
     def truncated(self, max_depth: int = MAX_DEPTH, min_split: int = MIN_SPLIT) -> "Tree":
@@ -79,13 +98,17 @@ class Tree:
         stop = (self.depths() >= max_depth) | (self.n < min_split)
         return Tree(np.where(stop, -1, self.feature), self.threshold, self.left, self.right, self.n, self.pos, self.criterion)
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        """Share of positive training rows in each row's leaf."""
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that each row ends in."""
         node = np.zeros(len(x), np.int64)
         while (at := np.flatnonzero(self.feature[node] >= 0)).size:
             i = node[at]
             node[at] = np.where(x[at, self.feature[i]] <= self.threshold[i], self.left[i], self.right[i])
-        return self.value[node]
+        return node
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Share of positive training rows in each row's leaf."""
+        return self.value[self.leaf(x)]
 
     def reachable(self) -> np.ndarray:
         """Marks the nodes that truncation left below the root."""
@@ -249,7 +272,8 @@ def _level(data, nodes, big, criteria):
     scored = run.withColumn("cost", cost("cum_n", "cum_pos", "all_n", "all_pos", "criterion"))
     best = stored(scored.groupBy("tree", "node").agg(F.min(F.struct("cost", "f", "v", "cum_n", "cum_pos")).alias("s"))
                   .select("tree", "node", "s.f", F.col("s.v").alias("low"), F.col("s.cum_n").alias("n"), F.col("s.cum_pos").alias("pos")))
-    above = counts.join(F.broadcast(best.select("tree", "node", "f", "low")), ["tree", "node", "f"]).where("v > low")
+    rows = _placed(data, nodes, big).select("tree", "node", "x").join(F.broadcast(best.select("tree", "node", "f", "low")), ["tree", "node"])
+    above = rows.select("tree", "node", "low", F.get("x", F.col("f")).alias("v")).where("v > low")       # one value a row
     found = best.join(above.groupBy("tree", "node").agg(F.min("v").alias("high")), ["tree", "node"]).collect()      # a row per big node
     out: dict[int, dict[int, tuple]] = {}
     for r in found:
