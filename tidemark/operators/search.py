@@ -5,9 +5,10 @@ one of the better trials, one of the others; of some draws from the first the on
 with the largest ratio is tried.  Seeded, so the trial table is the same on every run.
 
 What the folds share is computed once: sums per fold for all smoothing values of
-naive Bayes, one full tree per fold and criterion for all depths and split sizes,
-the 50 nearest neighbours per fold and metric for all k and weights, one Fourier map
-per gamma.  A trial is one pass over the stored training rows.
+naive Bayes, one full tree per fold and criterion and the held-out rows below each of its
+nodes for all depths and split sizes, the 50 nearest neighbours outside a row's fold per metric
+for all k and weights, one Fourier map per gamma.  A trial of a tree adds up its leaves; any
+other is one pass over the stored training rows or lists.
 """
 from __future__ import annotations
 
@@ -153,12 +154,30 @@ class NaiveBayesFold:
         return (jll[1] > jll[0]).astype(int)
 
 
-class TreeFold:
-    def __init__(self, tree: trees.Tree):
-        self.tree = tree
+def held_out(rows: DataFrame, grown: dict[tuple[int, int], trees.Tree]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Per (fold, criterion) the held-out rows and positive rows below each node of the tree: one pass."""
+    shared = rows.sparkSession.sparkContext.broadcast(grown)                # the nodes of the trees
 
-    def __call__(self, x):
-        return (self.tree.probability(x) > 0.5).astype(int)
+    def run(batches):
+        for b in batches:
+            y, fold, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)) if b.num_rows else None
+            for (f, c), tree in shared.value.items():
+                own = fold == f
+                if own.any():
+                    node, at = np.unique(tree.leaf(x[own]), return_inverse=True)
+                    n, pos = np.bincount(at), np.bincount(at, weights=y[own] == 1).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), v)) for v in (f, c)] + [pa.array(v) for v in (node, n, pos)],
+                                                     names=["fold", "criterion", "node", "n", "pos"])
+    found = (rows.select("y", "fold", "x").mapInArrow(run, "fold long, criterion long, node long, n long, pos long")
+             .groupBy("fold", "criterion", "node").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas())      # a row per leaf
+    out = {}
+    for (f, c), tree in grown.items():
+        own = found[(found.fold == f) & (found.criterion == c)]
+        if len(own):
+            n, pos = np.zeros(len(tree.n), np.int64), np.zeros(len(tree.n), np.int64)
+            n[own.node], pos[own.node] = own.n, own.pos
+            out[f, c] = tree.sums(n), tree.sums(pos)
+    return out
 
 
 def naive_bayes_folds(rows: DataFrame, width: int, folds: int):
@@ -183,12 +202,18 @@ def tree_evaluator(rows: DataFrame, folds: int, max_depth: int = 20, **options):
     names = [trees.GINI, trees.ENTROPY]
     keys = {f * 2 + c: names[c] for f in range(folds) for c in (0, 1)}
     copies = rows.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in keys]))).where(F.floor(F.col("tree") / 2) != F.col("fold"))
-    grown = trees.grow(copies.select("tree", "y", "x"), keys, max_depth, 2, **options)
+    trained = trees.grow(copies.select("tree", "y", "x"), keys, max_depth, 2, **options)
+    grown = {divmod(t, 2): tree for t, tree in trained.items()}
+    held = held_out(rows, grown)
 
     def evaluate(setting):
-        c = names.index(setting["criterion"])
-        models = {f: TreeFold(grown[f * 2 + c].truncated(setting["max_depth"], setting["min_samples_split"])) for f in range(folds)}
-        return mean_f1(fold_counts(rows, models))
+        c, counts = names.index(setting["criterion"]), {}
+        for f in (f for f in range(folds) if (f, c) in held):
+            tree = grown[f, c].truncated(setting["max_depth"], setting["min_samples_split"])
+            at = tree.leaves()
+            p, (n, pos) = tree.value[at] > 0.5, (v[at] for v in held[f, c])
+            counts[f] = (int(pos[p].sum()), int((n - pos)[p].sum()), int(pos[~p].sum()))
+        return mean_f1(counts)
     return evaluate
 
 
@@ -196,14 +221,10 @@ def knn_evaluator(rows: DataFrame, folds: int, most: int = 50, **options):
     lists: dict[str, DataFrame] = {}
 
     def neighbours_of(metric):
-        parts = None
-        for f in range(folds):
-            data = rows.where(F.col("fold") != f).select("id", "x", F.col("y").cast("double").alias("payload"))
-            own = rows.where(F.col("fold") == f)
-            found = neighbours.nearest(own.select(F.col("id").alias("qid"), "x"), data, most, metric, **options)
-            part = found.join(own.select(F.col("id").alias("qid"), "y", "fold"), "qid").select("y", "fold", "best")
-            parts = part if parts is None else parts.unionByName(part)
-        return stored(parts)
+        data = rows.select("id", "x", F.col("y").cast("double").alias("payload"), "fold")
+        own = rows.select(F.col("id").alias("qid"), "x", "y", "fold")
+        found = neighbours.nearest(own, data, most, metric, fold="fold", **options)
+        return stored(found.select("qid", "best").join(own, "qid").select("y", "fold", "best"))
 
     def evaluate(setting):
         metric = setting["metric"]
