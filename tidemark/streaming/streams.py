@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.session import ensure_checkpoint_dir
 
 WATERMARK = "10 minutes"
+#: Rows that a task collects before it reduces them to the earliest per key, keys it holds at most.
+HELD, KEYS = 200_000, 1_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,7 +48,7 @@ def stage_in_time_order(df: DataFrame, path: str, time_col: str, files: int = 4)
             cond = cond & (t > lo)
         if hi is not None:
             cond = cond & (t <= hi)
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        df.where(cond).repartition(1).write.mode("append").parquet(path)
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
@@ -76,12 +78,25 @@ def dedup_stream(rows: DataFrame, key: str, time_col: str, watermark: str = WATE
 
 
 def _earliest(key: str, time_col: str, tie: str):
-    """Per Arrow batch the earliest row of each key: what a hot key sends to its task."""
+    """Per task the earliest row of each key (of every ``KEYS`` of them): what a hot key sends to its task."""
+    def earliest(t):
+        t = t.sort_by([(time_col, "ascending"), (tie, "ascending")])
+        first = t.append_column("__at", pa.array(range(t.num_rows), pa.int64())).group_by(key).aggregate([("__at", "min")])["__at_min"]
+        return t.take(first).combine_chunks()
+
     def reduce(batches):
+        held, rows, known = [], 0, 0
         for b in batches:
-            t = pa.Table.from_batches([b]).sort_by([(time_col, "ascending"), (tie, "ascending")])
-            first = t.append_column("__at", pa.array(range(t.num_rows), pa.int64())).group_by(key).aggregate([("__at", "min")])["__at_min"]
-            yield from t.take(first).combine_chunks().to_batches()
+            held.append(pa.Table.from_batches([b]))
+            rows += b.num_rows
+            if rows >= max(HELD, 2 * known):
+                held = [earliest(pa.concat_tables(held))]
+                rows = known = held[0].num_rows
+                if known >= KEYS:
+                    yield from held[0].to_batches()
+                    held, rows, known = [], 0, 0
+        if rows:
+            yield from earliest(pa.concat_tables(held)).to_batches()
     return reduce
 
 
@@ -103,18 +118,19 @@ def first_rows_stream(rows: DataFrame, key: str, time_col: str, tie: str, horizo
         if state.hasTimedOut:
             state.remove()
             return
-        best = None
-        for c in chunks:
-            if best is not None:
-                c = pd.concat([best, c])
-            best = c.sort_values([time_col, tie], na_position="last").head(1)
-        if state.exists or best is None:
+        known, best = state.exists, None
+        for c in chunks:                                                     # a row per task that saw the key
+            if not known and len(c):
+                best = c if best is None else pd.concat([best, c])
+                if len(best) > 1:
+                    best = best.sort_values([time_col, tie], na_position="last").head(1)
+        if best is None:
             return
         state.update((True,))
         at = best[time_col].iloc[0]
         if span is not None and not pd.isna(at):
             state.setTimeoutTimestamp(max(int(pd.Timestamp(at).timestamp() * 1000) + span, state.getCurrentWatermarkMs() + 1))
-        yield best[names]
+        yield best if list(best.columns) == names else best[names]
 
     return d.groupBy(key).applyInPandasWithState(
         first, schema, "seen boolean", "append", "NoTimeout" if horizon is None else "EventTimeTimeout")
