@@ -37,3 +37,46 @@ def test_over_limit_stream_equals_batch_for_closed_windows(spark):
             .where(F.col("minute") + F.expr("INTERVAL 1 MINUTE") <= F.lit(end - datetime.timedelta(minutes=10)))
             .select("client", "minute", "requests"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_task_sends_one_row_per_key():
+    """Of many batches a task sends each key's earliest row once, not once a batch."""
+    import pyarrow as pa
+    batches = [pa.RecordBatch.from_pydict({"k": [1, 2, None], "t": [50 - i, i + 5, None], "e": [i, 100 - i, -i]}) for i in range(40)]
+    out = pa.Table.from_batches(list(S._earliest("k", "t", "e")(iter(batches)))).to_pylist()
+    assert sorted(out, key=str) == sorted([{"k": 1, "t": 11, "e": 39}, {"k": 2, "t": 5, "e": 100}, {"k": None, "t": None, "e": -39}], key=str)
+    assert list(S._earliest("k", "t", "e")(iter([]))) == []
+
+
+def test_held_rows_are_bounded(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(S, "HELD", 10)
+    monkeypatch.setattr(S, "KEYS", 20)
+    batches = [pa.RecordBatch.from_pydict({"k": [i * 5 + j for j in range(5)] + [7], "t": [i] * 6, "e": [i] * 6}) for i in range(30)]
+    rows = pa.Table.from_batches(list(S._earliest("k", "t", "e")(iter(batches)))).to_pylist()
+    first = {}
+    for r in sorted(rows, key=lambda r: (r["t"], r["e"])):
+        first.setdefault(r["k"], r["t"])
+    assert first == {k: 0 if k == 7 else k // 5 for k in range(150)}
+
+
+def test_stream_score_runs_the_rules_once_and_fits_from_columns(spark, monkeypatch):
+    from tidemark.operators import prep
+    from tidemark.plans import stream_queries
+    from tidemark.roles import FIXTURE
+    _, enc = prep.fit(X.churn_base(spark, SF_SMALL), FIXTURE)
+    assert enc.inputFiles() and all(f.endswith(".parquet") for f in enc.inputFiles())
+    seen, plain = [], stream_queries.v.scoring_errors
+
+    def counted(batch, domains):
+        hits = batch.sparkSession.sparkContext.accumulator(0)
+        seen.append((hits, batch.count()))
+
+        def passing(batches):
+            for b in batches:
+                hits.add(b.num_rows)
+                yield b
+        return plain(batch.mapInArrow(passing, batch.schema), domains)
+    monkeypatch.setattr(stream_queries.v, "scoring_errors", counted)
+    assert stream_queries.st1(spark, SF_SMALL).count() > 0
+    assert seen and all(hits.value == rows for hits, rows in seen)

@@ -13,6 +13,7 @@ from tidemark.plans.ingest_queries import _scoring_ctes, scoring_domains, scorin
 from tidemark.plans.model_queries import naive_bayes
 from tidemark.plans.prep_queries import fitted
 from tidemark.plans.score_queries import SCORE_CTES
+from tidemark.session import stored
 from tidemark.sources import fixtures as X
 from tidemark.streaming import streams as S
 
@@ -98,14 +99,15 @@ def st1(spark, sf_dir):
     nb = naive_bayes(spark, sf_dir)
     raw = scoring_input(spark, sf_dir)
     src = S.scratch(spark, "st1-src")
-    S.stage_as_files(raw, src, files=4, order="row_no")
+    S.stage_as_files(stored(raw), src, files=4, order="row_no")              # ranges are sampled: not from the source tables again
     stream = S.file_stream(spark, src, raw.schema)
     good, bad, ck = S.scratch(spark, "st1-good"), S.scratch(spark, "st1-bad"), S.scratch(spark, "st1-ck")
     domains = scoring_domains()
 
     def write(batch, batch_id):
-        errs = v.scoring_errors(batch, domains)
-        errs.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        errs = v.scoring_errors(batch, domains).withColumn("_batch", F.lit(batch_id))
+        errs.write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        errs = spark.read.schema(errs.schema).parquet(f"{bad}/batch={batch_id}")         # the rules run once
         ok = batch.join(errs.select("row_no").distinct(), "row_no", "left_anti")
         z = prep.apply_to_new_rows(v.typed_projection(ok), m, keep=("row_no",))
         XS.batch_score(z, nb, keep=("row_no",)).select("row_no", "probability") \
