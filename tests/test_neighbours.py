@@ -105,3 +105,11 @@ def test_folds_meet_only_the_rows_of_others(spark):
         other = np.flatnonzero(fold != fold[i])
         d = np.round(np.abs(x[other] - x[i]).sum(1), 9)
         assert got[i] == other[np.lexsort((other, d))[:7]].tolist()
+
+
+def test_an_id_in_two_folds_is_asked_in_each(spark):
+    rows = spark.createDataFrame([(1, 0, 0.0, [0.0]), (1, 1, 1.0, [5.0]), (2, 0, 0.0, [1.0]), (3, 1, 1.0, [4.0])],
+                                 "id long, fold long, payload double, x array<double>")
+    found = N.nearest(rows.withColumnRenamed("id", "qid"), rows, 1, fold="fold").collect()
+    assert sorted((r.qid, r.fold, r.x[0], [b.id for b in r.best]) for r in found) == [
+        (1, 0, 0.0, [3]), (1, 1, 5.0, [2]), (2, 0, 1.0, [3]), (3, 1, 4.0, [2])]

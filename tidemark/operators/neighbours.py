@@ -161,7 +161,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
     queries, get an empty list.  All vectors have one length.
 
     With ``fold``, a whole-number column of both tables without nulls, a query meets only data rows of other folds: one
-    search for all folds of a cross validation instead of one a fold.
+    search for all folds of a cross validation instead of one a fold.  Its column is returned too, and one row per (qid, fold).
     """
     if metric not in (EUCLIDEAN, MANHATTAN):
         raise ValueError(f"unknown metric {metric}")
@@ -169,6 +169,8 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
         raise ValueError("k must be positive")
     none = F.array().cast("array<struct<d:double,id:long,payload:double>>")
     of = lambda other: (F.col(fold) if fold else F.lit(other)).cast("long").alias("fold")
+    by = ["qid", "fold"]
+    shown = ["qid", "x", *([F.col("fold").alias(fold)] if fold else []), "best", "compared"]
     asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("x").cast("array<double>").alias("x"), of(-1))
     clean = data.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"),
                         F.col("payload").cast("double").alias("payload"), of(0)).where(_finite(F.col("x")))
@@ -177,7 +179,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
     state = stored(asked.select("qid", "x", "fold", none.alias("best"), F.lit(0).alias("seen"), F.lit(0).cast("long").alias("compared"),
                                 _finite(F.col("x")).alias("open")))
     if not about.n:
-        return state.select("qid", "x", "best", "compared")
+        return state.select(*shown)
     dims = about.dims
     drawn = vectors.select("x", "vec").orderBy(F.xxhash64(F.lit(3), "vec"), "vec").limit(sample_rows).toArrow()
     sample = _matrix(drawn.column("x"), dims)
@@ -219,7 +221,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
                                                      names=["qid", "x", "fold", "part", "size"])
 
     def search(key, left, right):
-        out = pa.schema([("qid", "int64"), ("d", "float64"), ("id", "int64"), ("payload", "float64")])
+        out = pa.schema([("qid", "int64"), ("fold", "int64"), ("d", "float64"), ("id", "int64"), ("payload", "float64")])
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         x, q = _matrix(left.column("x"), dims), _matrix(right.column("x"), dims)
@@ -233,7 +235,8 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
             if len(may):
                 size = np.bincount(vector[may], minlength=len(x))
                 own = fold_of == f
-                parts += _best(qid[own], q[own], x[size > 0], size[size > 0], held["id"][may], held["payload"][may], k, metric)
+                found = _best(qid[own], q[own], x[size > 0], size[size > 0], held["id"][may], held["payload"][may], k, metric)
+                parts += [(ids, np.full(len(ids), f), *rest) for ids, *rest in found]
         return pa.table([pa.array(np.concatenate(c), from_pandas=True) for c in zip(*parts)], schema=out) if parts else out.empty_table()
 
     width, done = 1, []
@@ -254,22 +257,22 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
         right = right.withColumn("block", F.explode(_upto(block_of)))
         left = placed.withColumn("group", F.explode(_upto(size_of(F.col("part")))))
         keys = ("part", "block", "group")
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "qid long, d double, id long, payload double")
-        new = found.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "payload"))), 1, k).alias("new"))
-        met = visits.groupBy("qid").agg(F.sum("size").alias("met"))
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "qid long, fold long, d double, id long, payload double")
+        new = found.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "payload"))), 1, k).alias("new"))
+        met = visits.groupBy(*by).agg(F.sum("size").alias("met"))
         was = state.select("qid", "x", "fold", "best", "seen", "compared")
         if len(done) or not state.where("NOT open").isEmpty():
             done.append(state.where("NOT open"))
         merged = F.slice(F.array_sort(F.concat("best", F.coalesce("new", none))), 1, k)
-        state = stored(was.join(met, "qid").join(new, "qid", "left").select(
+        state = stored(was.join(met, by).join(new, by, "left").select(
             "qid", "x", "fold", merged.alias("best"), (F.col("seen") + width).alias("seen"), (F.col("compared") + F.col("met")).alias("compared"),
             (F.col("seen") + width < count).alias("open")).unionByName(
-                was.join(met, "qid", "left_anti").join(state.where("NOT open").select("qid"), "qid", "left_anti")
+                was.join(met, by, "left_anti").join(state.where("NOT open").select(*by), by, "left_anti")
                 .withColumn("open", F.lit(False))))
         width *= 2
-    out = done[0].select("qid", "x", "best", "compared")
+    out = done[0].select(*shown)
     for part in done[1:]:
-        out = out.unionByName(part.select("qid", "x", "best", "compared"))
+        out = out.unionByName(part.select(*shown))
     return out
 
 

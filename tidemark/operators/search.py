@@ -224,7 +224,7 @@ def knn_evaluator(rows: DataFrame, folds: int, most: int = 50, **options):
         data = rows.select("id", "x", F.col("y").cast("double").alias("payload"), "fold")
         own = rows.select(F.col("id").alias("qid"), "x", "y", "fold")
         found = neighbours.nearest(own, data, most, metric, fold="fold", **options)
-        return stored(found.select("qid", "best").join(own, "qid").select("y", "fold", "best"))
+        return stored(found.select("qid", "fold", "best").join(own.drop("x"), ["qid", "fold"]).select("y", "fold", "best"))
 
     def evaluate(setting):
         metric = setting["metric"]
