@@ -526,3 +526,17 @@ def test_vantage_tree_misses_no_close_pair():
     assert all(home[a] == home[b] or (a, home[b]) in meets or (b, home[a]) in meets for a, b in close if a != b)
     found = {(int(a), int(b)) for p in simhash_vp.close_pairs(x, x, 4, x[0], True) for a, b in zip(*p)}
     assert found == {(int(a), int(b)) for a, b in close if a < b}
+
+
+def test_memory_of_a_quantiser_fit_does_not_grow_with_rows_times_lists():
+    import tracemalloc
+    x = np.random.default_rng(4).normal(size=(24_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    quantiser = pq_dedup.Quantiser.fit(x, 1_500, 0.95)
+    lists = quantiser.nearest(x[:3_000], 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6                                                          # 24,000 x 1,500 doubles are 288 MB
+    far = ((x[:50, None] - quantiser.coarse[None]) ** 2).sum(2)
+    assert quantiser.lists > 1_400 and np.array_equal(np.sort(lists[:50], 1), np.sort(np.argsort(far, 1)[:, :8], 1))

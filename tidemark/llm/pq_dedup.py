@@ -47,15 +47,25 @@ SAMPLE_ROWS, LIST_ROWS, FIT_ROWS = 65_536, 256, 16
 PROBES = 8
 SUBSPACES, CODES = 8, 64
 CHUNK = 131_072
+#: Elements of a block of (vector, centre) products: memory of a fit does not grow with vectors times centres.
+BLOCK = 2_097_152
 #: Slack of the pruning bounds for rounding.
 SLACK = 1e-6
 
 
+def _closest(x: np.ndarray, c: np.ndarray, half: np.ndarray | float = 0.0) -> np.ndarray:
+    """Per row of ``x`` the row of ``c`` with the largest product less ``half``, block by block."""
+    out, step = np.zeros(len(x), np.int64), max(1, BLOCK // max(1, len(c)))
+    for i in range(0, len(x), step):
+        out[i:i + step] = (x[i:i + step] @ c.T - half).argmax(1)
+    return out
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, unit: bool = False) -> np.ndarray:
     """Lloyd from evenly spaced rows; empty clusters keep their centre."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        near = _closest(x, c, 0.5 * (c * c).sum(1))
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -79,7 +89,7 @@ class Quantiser:
     def fit(cls, sample: np.ndarray, lists: int, min_cosine: float, levels: bool = True) -> "Quantiser":
         most = max(1, len(sample) // FIT_ROWS)
         coarse = np.unique(_kmeans(sample, min(lists, most), unit=True), axis=0)
-        residual = sample - coarse[(sample @ coarse.T).argmax(1)]
+        residual = sample - coarse[_closest(sample, coarse)]
         fine = np.unique(_kmeans(residual, min(-(-lists // most), most)), axis=0) if levels and lists > most else None
         quantiser = cls(coarse, fine, [], [], float(np.sqrt(2 - 2 * min_cosine)))
         residual = sample - quantiser.centre(quantiser.nearest(sample, 1)[:, 0])
@@ -100,8 +110,10 @@ class Quantiser:
     def nearest(self, x: np.ndarray, count: int) -> np.ndarray:
         """The ``count`` nearest lists of each row, nearest first."""
         out = []
-        for i in range(0, len(x), 2_048):
-            own = x[i:i + 2_048]
+        wide = max(len(self.coarse), 0 if self.fine is None else min(count, len(self.coarse)) * max(len(self.fine), x.shape[1]))
+        step = max(1, min(2_048, BLOCK // wide))
+        for i in range(0, len(x), step):
+            own = x[i:i + step]
             far = -own @ self.coarse.T
             k = min(count, far.shape[1])
             at = np.argpartition(far, k - 1, axis=1)[:, :k] if k < far.shape[1] else np.tile(np.arange(k), (len(own), 1))
@@ -133,8 +145,7 @@ class Quantiser:
     def encode(self, x: np.ndarray, centroid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the distance of each vector to its code."""
         r = x - centroid
-        codes = np.stack([(r[:, a:b] @ book.T - 0.5 * (book * book).sum(1)).argmax(1)
-                          for (a, b), book in zip(self.cuts, self.books)], 1)
+        codes = np.stack([_closest(r[:, a:b], book, 0.5 * (book * book).sum(1)) for (a, b), book in zip(self.cuts, self.books)], 1)
         back = np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], 1)
         return codes, np.linalg.norm(r - back, axis=1)
 
