@@ -113,3 +113,39 @@ def test_an_id_in_two_folds_is_asked_in_each(spark):
     found = N.nearest(rows.withColumnRenamed("id", "qid"), rows, 1, fold="fold").collect()
     assert sorted((r.qid, r.fold, r.x[0], [b.id for b in r.best]) for r in found) == [
         (1, 0, 0.0, [3]), (1, 1, 5.0, [2]), (2, 0, 1.0, [3]), (3, 1, 4.0, [2])]
+
+
+@pytest.mark.parametrize("metric,most", [(N.EUCLIDEAN, 2_000), (N.MANHATTAN, 2_500)])
+def test_columns_of_few_values_leave_few_vectors(spark, metric, most):
+    """Like the fixture: flags, one-hot columns and two measures. Pivots alone met nearly all 12,000 vectors here."""
+    rng = np.random.default_rng(8)
+    n = 12_000
+    x = np.concatenate([rng.integers(0, 2, (n, 5)) * 2.0, np.eye(5)[rng.integers(0, 5, n)] * 2.5, rng.normal(size=(n, 2))], 1)
+    q = x[:40] + np.concatenate([np.zeros((40, 10)), 0.01 * rng.normal(size=(40, 2))], 1)
+    got = {r.qid: r for r in N.nearest(*frames(spark, q, x, np.zeros(n)), 11, metric, part_rows=2_000).collect()}
+    for i, v in enumerate(q):
+        d = np.round(N.pair_distances(np.repeat(v[None], n, 0), x, metric), N.DIGITS)
+        assert [b.id for b in got[i].best] == np.lexsort((np.arange(n), d))[:11].tolist()
+    assert np.mean([r.compared for r in got.values()]) < most
+
+
+def test_carried_distances_and_many_ties():
+    """Leaves against brute force with ties at the kth distance, several rows a vector, and a bound carried from other blocks."""
+    rng = np.random.default_rng(9)
+    x = np.unique(rng.integers(0, 7, (900, 3)).astype(float), axis=0)
+    size = rng.integers(0, 3, len(x))
+    ids = rng.permutation(int(size.sum())).astype(np.int64)
+    vector = np.repeat(np.arange(len(x)), size)
+    ids = ids[np.lexsort((ids, vector))]
+    q = rng.integers(0, 7, (60, 3)) + 0.25
+    for metric in (N.EUCLIDEAN, N.MANHATTAN):
+        d = np.round(np.stack([N.pair_distances(np.repeat(v[None], len(vector), 0), x[vector], metric) for v in q]), N.DIGITS)
+        for kth in (np.full(60, np.inf), np.sort(d, 1)[:, 3]):
+            found, met = N.Leaves(x, metric).nearest(q, kth, size, ids, np.zeros(len(ids)), 9)
+            a, far, near = (np.concatenate(c) for c in zip(*[(f[0], f[1], f[2]) for f in found]))
+            for i in range(60):
+                order = np.lexsort((ids, d[i]))[:9]
+                order = order[d[i][order] <= kth[i]]
+                own = a == i
+                assert near[own][:len(order)].tolist() == ids[order].tolist() and far[own][:len(order)].tolist() == d[i][order].tolist()
+            assert (met <= len(x)).all()

@@ -2,25 +2,24 @@
 between neighbours (P9).
 
 ``nearest`` joins every query with its k nearest data rows without forming all
-pairs.  Equal data vectors collapse to one.  Pivots, fitted on a bounded sample,
-cut the vectors into partitions with an inner and an outer radius; a partition
-cannot hold anything nearer to a query than
+pairs.  Equal data vectors collapse to one.  Cuts of a k-d tree, fitted on a bounded
+sample, deal the vectors to partitions; the box around a partition's vectors
+tells how near to a query anything in it can be.
 
-    d(q, pivot) - outer,  inner - d(q, pivot),
-    (d(q, pivot)^2 - d(q, own pivot)^2) / (2 d(pivot, own pivot))    [euclidean]
-
-A query visits its partitions by this bound, in rounds of 1, 2, 4, ... of them,
+A query visits its partitions by this bound, in rounds of 1, 8, 64, ... of them,
 and is finished when the next bound lies beyond its kth distance: the answer is
 then proven.  Partitions are dealt as blocks of bounded size against bounded
 groups of queries, so neither a crowded partition nor a crowded query meets one
-task.  Each round is a stored table; a lost executor costs one round at most.
+task.  Inside a block the same cuts go on down to leaves of ``LEAF_ROWS`` vectors, and a
+query is compared with the leaves whose box lies within its kth distance so far.
+Each round is a stored table; a lost executor costs one round at most.
 
-How many vectors a query meets depends on the data (``compared`` counts them): with
-clusters few partitions remain, with spread-out vectors in many dimensions the
-bounds exclude little and the search approaches all of them.
+How many vectors a query meets depends on the data (``compared`` counts them): columns of few
+values and clusters leave few leaves, spread-out vectors in many dimensions approach all of them.
 """
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +31,12 @@ from tidemark.session import stored
 
 K = 5
 EUCLIDEAN, MANHATTAN = "euclidean", "manhattan"
-#: Rows that the pivots are fitted on; distinct vectors per pivot; vectors and queries of one cell.
-SAMPLE_ROWS, PART_ROWS, CELL_ROWS, CELL_QUERIES = 8_192, 256, 8_192, 8_192
+#: Rows that the cuts are fitted on; distinct vectors per partition; vectors and queries of one cell; vectors of a leaf.
+SAMPLE_ROWS, PART_ROWS, CELL_ROWS, CELL_QUERIES, LEAF_ROWS = 32_768, 16_384, 32_768, 8_192, 128
 #: Elements compared at once, slack of the bounds for rounding, digits that decide ties.
 CHUNK, SLACK, DIGITS = 2_000_000, 1e-6, 9
-#: Visits (a query at a partition) of one batch.
-VISITS = 65_536
+#: Visits (a query at a partition) of one batch; queries of a cell that are searched together.
+VISITS, ASKED = 65_536, 2_048
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -64,6 +63,7 @@ def _matrix(column, dims: int) -> np.ndarray:
 
 @dataclass
 class Pivots:
+    """Partitions by nearest pivot, bounded by their radii."""
     centres: np.ndarray
     metric: str
     inner: np.ndarray | None = None
@@ -107,6 +107,191 @@ class Pivots:
         return at, np.take_along_axis(low, at, 1)
 
 
+def _cut(x: np.ndarray) -> tuple[int, float] | None:
+    """Column of the largest variance and the value at about its middle (left: at most the value); None for equal rows."""
+    spread = x.max(0) > x.min(0)
+    if not spread.any():
+        return None
+    with np.errstate(over="ignore", invalid="ignore"):
+        f = int(np.where(spread, np.nan_to_num(x.var(0), nan=np.inf), -1).argmax())
+    v = np.sort(x[:, f])
+    at = np.searchsorted(v, v[len(v) // 2])
+    return f, float(v[at - 1] if at else v[0])
+
+
+def box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """Matrix of the least distances from each query to anything inside each box."""
+    out = np.zeros((len(q), len(low)))
+    for a, lo, hi in zip(q.T, low.T, high.T):
+        gap = np.maximum(np.maximum(lo[None, :] - a[:, None], a[:, None] - hi[None, :]), 0)
+        out += gap if metric == MANHATTAN else gap * gap
+    return out if metric == MANHATTAN else np.sqrt(out)
+
+
+@dataclass
+class Boxes:
+    """Partitions by the cuts of a k-d tree (``feature`` -1: ``left`` is the partition), with the boxes around their vectors."""
+    feature: np.ndarray
+    value: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    metric: str
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    size: np.ndarray | None = None
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, count: int, metric: str) -> "Boxes":
+        """At most ``count`` partitions, the largest cut first."""
+        nodes, todo, done = [[-1, 0.0, 0, 0]], [(-len(sample), 0, np.arange(len(sample)))], []
+        while todo and len(todo) + len(done) < count:
+            _, node, own = heapq.heappop(todo)
+            cut = _cut(sample[own]) if len(own) else None
+            if cut is None:
+                done.append(node)
+                continue
+            left = sample[own, cut[0]] <= cut[1]
+            nodes[node] = [*cut, len(nodes), len(nodes) + 1]
+            for part in (own[left], own[~left]):
+                heapq.heappush(todo, (-len(part), len(nodes), part))
+                nodes.append([-1, 0.0, 0, 0])
+        for i, node in enumerate(sorted(done + [node for _, node, _ in todo])):
+            nodes[node][2] = i
+        columns = [*zip(*nodes)]
+        return cls(np.array(columns[0]), np.array(columns[1], float), np.array(columns[2]), np.array(columns[3]), metric)
+
+    @property
+    def count(self) -> int:
+        return int((self.feature < 0).sum())
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        while (at := np.flatnonzero(self.feature[node] >= 0)).size:
+            i = node[at]
+            node[at] = np.where(x[at, self.feature[i]] <= self.value[i], self.left[i], self.right[i])
+        return self.left[node]
+
+    @property
+    def at_once(self) -> int:
+        """Rows whose bounds to all partitions fit into one block of ``CHUNK`` elements."""
+        return max(1, CHUNK // (8 * max(1, len(self.size))))
+
+    def visits(self, q: np.ndarray, kth: np.ndarray, seen: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, partition): the next ``width`` partitions, by bound, of those within each query's kth distance."""
+        low = box_bounds(q, self.low, self.high, self.metric)
+        low[:, self.size == 0] = np.inf
+        open_ = np.isfinite(low) & (low <= (kth + SLACK * (1 + kth))[:, None])
+        if width == 1 and not seen.any():
+            part = low.argmin(1) if len(q) else np.zeros(0, np.int64)
+            row = np.flatnonzero(open_[np.arange(len(q)), part])
+            return row, part[row]
+        row, part = np.nonzero(open_)
+        order = np.lexsort((part, low[row, part], row))
+        row, part = row[order], part[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        now = (rank >= seen[row]) & (rank < seen[row] + width)
+        return row[now], part[now]
+
+
+class Leaves:
+    """The vectors of one block, cut down to leaves with boxes."""
+
+    def __init__(self, x: np.ndarray, metric: str):
+        self.x, self.metric, self.own, todo = x, metric, [], [np.arange(len(x))]
+        while todo:
+            own = todo.pop()
+            cut = _cut(x[own]) if len(own) > LEAF_ROWS else None
+            if cut is None:
+                self.own += [own[i:i + CELL_ROWS] for i in range(0, len(own), CELL_ROWS)]
+                continue
+            left = x[own, cut[0]] <= cut[1]
+            todo += [own[~left], own[left]]
+        self.low, self.high = np.stack([x[own].min(0) for own in self.own]), np.stack([x[own].max(0) for own in self.own])
+
+    def far(self, q: np.ndarray, leaf: int, own: np.ndarray) -> np.ndarray:
+        """Distances from the queries to the vectors ``own`` of a leaf; columns that are constant in the leaf count once."""
+        vary = self.high[leaf] > self.low[leaf]
+        gap = np.abs(q[:, ~vary] - self.low[leaf, ~vary])
+        out = np.repeat((gap if self.metric == MANHATTAN else gap * gap).sum(1)[:, None], len(own), 1)
+        part = np.empty_like(out)
+        for f in np.flatnonzero(vary):
+            np.subtract(q[:, f, None], self.x[own, f][None, :], out=part)
+            (np.abs(part, out=part) if self.metric == MANHATTAN else np.multiply(part, part, out=part))
+            out += part
+        return out if self.metric == MANHATTAN else np.sqrt(out)
+
+    def nearest(self, q: np.ndarray, kth: np.ndarray, size: np.ndarray, ids: np.ndarray, load: np.ndarray, k: int):
+        """Blocks of (query, d, id, payload) and the vectors met per query: the k nearest of the rows (id, payload), ``size``
+        of them a vector, sorted by vector and id, that lie within the queries' kth distances."""
+        own = [o[size[o] > 0] for o in self.own]
+        first = np.cumsum(size) - size
+        lead = ids[np.minimum(first, len(ids) - 1)]
+        met, found = np.zeros(len(q), np.int64), []
+        for i in range(0, len(q), ASKED):
+            found.append((i, self._some(q[i:i + ASKED], kth[i:i + ASKED], own, met[i:i + ASKED], size, first, lead, ids, load, k)))
+        return [(a + i, *rest) for i, (a, *rest) in found], met
+
+    def _some(self, q, kth, own, met, size, first, lead, ids, load, k):
+        bound = box_bounds(q, self.low, self.high, self.metric)
+        bound[:, [not len(o) for o in own]] = np.inf
+        best = np.full((len(q), k), np.inf)
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def limit(rows):
+            least = np.minimum(kth[rows], best[rows, k - 1])
+            return least + SLACK * (1 + least)
+
+        def reduced():
+            """The k vectors by (distance, least id) of every query among the pairs so far."""
+            a, b = (np.concatenate([p[j] for p in pairs]) for j in (0, 1))
+            far = np.concatenate([p[2] for p in pairs])
+            keep = far <= limit(a)
+            a, b, far = a[keep], b[keep], far[keep]
+            d = np.concatenate([np.round(pair_distances(q[a[j:j + VISITS]], self.x[b[j:j + VISITS]], self.metric), DIGITS)
+                                for j in range(0, len(a), VISITS)] or [np.zeros(0)])
+            order = np.lexsort((lead[b], d, a))
+            a, b, d, far = a[order], b[order], d[order], far[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+            return a[keep], b[keep], far[keep], d[keep]
+
+        def meet(rows, leaf):
+            nonlocal pairs
+            here = own[leaf]
+            for j in range(0, len(rows), max(1, CHUNK // (4 * len(here)))):
+                some = rows[j:j + max(1, CHUNK // (4 * len(here)))]
+                far = self.far(q[some], leaf, here)
+                best[some] = np.partition(np.concatenate([best[some], far], 1), k - 1, axis=1)[:, :k]
+                a, b = np.nonzero(far <= limit(some)[:, None])
+                pairs.append((some[a], here[b], far[a, b]))
+                met[some] += len(here)
+                if sum(len(p[0]) for p in pairs) > max(VISITS, 4 * k * len(q)):
+                    pairs = [reduced()[:3]]
+
+        early = np.argsort(bound, axis=1, kind="stable")[:, :2]
+        for turn in early.T:
+            for leaf in np.unique(turn).tolist():
+                rows = np.flatnonzero(turn == leaf)
+                rows = rows[np.isfinite(bound[rows, leaf]) & (bound[rows, leaf] <= limit(rows))]
+                if len(rows):
+                    meet(rows, leaf)
+        np.put_along_axis(bound, early, np.inf, 1)
+        for leaf in np.flatnonzero((bound <= limit(np.arange(len(q)))[:, None]).any(0) & np.isfinite(bound).any(0)).tolist():
+            rows = np.flatnonzero(np.isfinite(bound[:, leaf]) & (bound[:, leaf] <= limit(np.arange(len(q)))))
+            if len(rows):
+                meet(rows, leaf)
+        if not pairs:
+            none = np.zeros(0, np.int64)
+            return none, np.zeros(0), none, np.zeros(0)
+        a, b, _, d = reduced()
+        n = size[b]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b], n)
+        a, d = np.repeat(a, n), np.repeat(d, n)
+        order = np.lexsort((ids[entry], d, a))
+        a, d, entry = a[order], d[order], entry[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return a[keep], d[keep], ids[entry[keep]], load[entry[keep]]
+
+
 def _finite(x):
     return x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
 
@@ -121,33 +306,12 @@ _ROWS = "array<struct<id:long,payload:double,fold:long>>"
 
 def _vectors(data: DataFrame, k: int) -> DataFrame:
     """(vec, x, rows array<struct<id, payload, fold>>): distinct vectors with the k smallest ids of every fold."""
-    keyed = data.withColumn("vec", F.xxhash64(F.to_json("x"))).withColumn("_own", F.struct("x", "fold"))
+    keyed = data.withColumn("vec", F.xxhash64("x")).withColumn("_own", F.struct("vec", "x", "fold"))      # the hash first: sorted by it
     few = top_k_per_key(keyed.select("_own", "x", "vec", "id", "payload", "fold"), "_own", ["id"], k)
     return few.groupBy("x").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list(F.struct("id", "payload", "fold"))).alias("rows"))
 
 
-def _best(qid, q, x, size, ids, load, k: int, metric: str) -> list[tuple]:
-    """Blocks of (qid, d, id, payload): the k nearest of the rows (id, payload) behind vectors ``x``, ``size`` rows each by id."""
-    first = np.cumsum(size) - size
-    lead, parts, step = ids[first], [], max(1, CHUNK // max(len(x), min(k, len(x)) * int(size.max())))
-    for i in range(0, len(q), step):
-        own = q[i:i + step]
-        far = distances(own, x, metric)
-        kth = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-        a, b = np.nonzero(far <= kth[:, None] + 1e-5 * (1 + kth[:, None]))      # products round, differences decide
-        d = np.round(pair_distances(own[a], x[b], metric), DIGITS)
-        order = np.lexsort((lead[b], d, a))
-        a, b, d = a[order], b[order], d[order]
-        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-        a, b, d = a[keep], b[keep], d[keep]
-        n = size[b]
-        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b], n)
-        a, d = np.repeat(a, n), np.repeat(d, n)
-        order = np.lexsort((ids[entry], d, a))
-        a, d, entry = a[order], d[order], entry[order]
-        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-        parts.append((qid[i + a[keep]], d[keep], ids[entry[keep]], load[entry[keep]]))
-    return parts
+_NEAR = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("payload", pa.float64())]))
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLIDEAN, sample_rows: int = SAMPLE_ROWS,
@@ -183,22 +347,41 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
     dims = about.dims
     drawn = vectors.select("x", "vec").orderBy(F.xxhash64(F.lit(3), "vec"), "vec").limit(sample_rows).toArrow()
     sample = _matrix(drawn.column("x"), dims)
-    pivots = Pivots.fit(sample, int(np.clip(-(-about.n // part_rows), 1, len(sample))), metric)
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)             # at most sample_rows vectors
+    boxes = Boxes.fit(sample, int(np.clip(-(-about.n // part_rows), 1, len(sample))), metric)
+    shared = vectors.sparkSession.sparkContext.broadcast(boxes)              # at most a node and a half a sampled vector
+    count = boxes.count
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                home, far = shared.value.home(_matrix(b.column("x"), dims))
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(far), *b.columns], names=["part", "far", *b.schema.names])
-
-    placed = stored(vectors.mapInArrow(place, f"part long, far double, x array<double>, vec long, rows {_ROWS}"))
-    count = len(pivots.centres)
-    pivots.inner, pivots.outer, pivots.size = np.zeros(count), np.zeros(count), np.zeros(count, np.int64)
-    for r in placed.groupBy("part").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("far").alias("n")).collect():
-        pivots.inner[r.part], pivots.outer[r.part], pivots.size[r.part] = r.lo - SLACK, r.hi + SLACK, r.n
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-    blocks = np.maximum(1, -(-pivots.size // cell_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.home(_matrix(b.column("x"), dims))), *b.columns], names=["part", *b.schema.names])
+
+    placed = stored(vectors.mapInArrow(place, f"part long, x array<double>, vec long, rows {_ROWS}"))
+
+    def around(batches):
+        low, high, size = np.full((count, dims), np.inf), np.full((count, dims), -np.inf), np.zeros(count, np.int64)
+        for b in batches:
+            if b.num_rows:
+                part, x = b.column("part").to_numpy(), _matrix(b.column("x"), dims)
+                order = np.argsort(part, kind="stable")
+                own, at = np.unique(part[order], return_index=True)
+                low[own] = np.minimum(low[own], np.minimum.reduceat(x[order], at))
+                high[own] = np.maximum(high[own], np.maximum.reduceat(x[order], at))
+                size += np.bincount(part, minlength=count)
+        own = np.flatnonzero(size)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(low[own]), pa.list_(pa.float64())), pa.array(list(high[own]), pa.list_(pa.float64())),
+                                          pa.array(size[own])], names=["part", "low", "high", "n"])
+
+    def whole(key, t):
+        low, high = _matrix(t.column("low"), dims).min(0), _matrix(t.column("high"), dims).max(0)
+        return pa.table({"part": [key[0].as_py()], "low": [low.tolist()], "high": [high.tolist()], "n": [int(t.column("n").to_numpy().sum())]})
+
+    shape = "part long, low array<double>, high array<double>, n long"
+    boxes.low, boxes.high, boxes.size = np.zeros((count, dims)), np.zeros((count, dims)), np.zeros(count, np.int64)
+    for r in placed.select("part", "x").mapInArrow(around, shape).groupBy("part").applyInArrow(whole, shape).collect():      # a row per partition
+        boxes.low[r.part], boxes.high[r.part], boxes.size[r.part] = r.low, r.high, r.n
+    shared = vectors.sparkSession.sparkContext.broadcast(boxes)
+    blocks = np.maximum(1, -(-boxes.size // cell_rows))
     sizes = F.array(*[F.lit(int(n)) for n in blocks]) if (blocks > 1).any() else None
     of_block = F.pmod("vec", sizes[F.col("part").cast("int")]) if sizes is not None else F.lit(0)
     placed = placed.select("part", of_block.cast("long").alias("block"), "x", "rows")
@@ -210,18 +393,14 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
             kth, seen = b.column("kth").to_numpy(), b.column("seen").to_numpy()
             for i in range(0, len(x), p.at_once):
                 now = slice(i, i + p.at_once)
-                at, low = p.order(x[now])
-                pos = np.arange(count)[None, :]
-                go = (pos >= seen[now, None]) & (pos < seen[now, None] + width) & (low <= kth[now, None] + SLACK)
-                row, col = np.nonzero(go)
-                part = at[row, col]
+                row, part = p.visits(x[now], kth[now], seen[now], width)
                 for j in range(0, len(row), VISITS):
-                    take, own = pa.array(row[j:j + VISITS] + i), part[j:j + VISITS]
-                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("qid", "x", "fold")], pa.array(own), pa.array(p.size[own])],
-                                                     names=["qid", "x", "fold", "part", "size"])
+                    take = pa.array(row[j:j + VISITS] + i)
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("qid", "x", "fold", "kth")], pa.array(part[j:j + VISITS])],
+                                                     names=["qid", "x", "fold", "kth", "part"])
 
     def search(key, left, right):
-        out = pa.schema([("qid", "int64"), ("fold", "int64"), ("d", "float64"), ("id", "int64"), ("payload", "float64")])
+        out = pa.schema([("qid", pa.int64()), ("fold", pa.int64()), ("met", pa.int64()), ("near", _NEAR)])
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         x, q = _matrix(left.column("x"), dims), _matrix(right.column("x"), dims)
@@ -229,23 +408,26 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
         inside = rows.flatten()
         held = {n: inside.field(n).to_numpy(zero_copy_only=False) for n in ("id", "payload", "fold")}
         vector = np.repeat(np.arange(len(x)), rows.value_lengths().to_numpy())
-        qid, fold_of, parts = right.column("qid").to_numpy(), right.column("fold").to_numpy(), []
+        qid, kth, fold_of, leaves, tables = right.column("qid"), right.column("kth").to_numpy(), right.column("fold").to_numpy(), Leaves(x, metric), []
         for f in np.unique(fold_of).tolist():
-            may = np.flatnonzero(held["fold"] != f)
+            own, may = np.flatnonzero(fold_of == f), np.flatnonzero(held["fold"] != f)
+            at, d, ids, load, met = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(len(own), np.int64)
             if len(may):
-                size = np.bincount(vector[may], minlength=len(x))
-                own = fold_of == f
-                found = _best(qid[own], q[own], x[size > 0], size[size > 0], held["id"][may], held["payload"][may], k, metric)
-                parts += [(ids, np.full(len(ids), f), *rest) for ids, *rest in found]
-        return pa.table([pa.array(np.concatenate(c), from_pandas=True) for c in zip(*parts)], schema=out) if parts else out.empty_table()
+                found, met = leaves.nearest(q[own], kth[own], np.bincount(vector[may], minlength=len(x)), held["id"][may], held["payload"][may], k)
+                at, d, ids, load = (np.concatenate(c) for c in zip(*found))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(own)))]).astype(np.int32)
+            near = pa.StructArray.from_arrays([pa.array(d), pa.array(ids, pa.int64()), pa.array(load, pa.float64(), from_pandas=True)], fields=list(_NEAR.value_type))
+            tables.append(pa.table([qid.take(pa.array(own)), pa.array(np.full(len(own), f)), pa.array(met),
+                                    pa.ListArray.from_arrays(pa.array(ends), near, type=_NEAR)], schema=out))
+        return pa.concat_tables(tables)
 
     width, done = 1, []
     while True:
         kth = F.when(F.size("best") >= k, F.element_at("best", -1)["d"]).otherwise(float("inf"))
         open_ = state.where("open").select("qid", "x", "fold", "seen", kth.alias("kth"))
         step = width
-        visits = stored(open_.mapInArrow(lambda batches: next_parts(batches, step), "qid long, x array<double>, fold long, part long, size long"))
-        crowd = {r.part: r.n for r in visits.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row per pivot
+        visits = stored(open_.mapInArrow(lambda batches: next_parts(batches, step), "qid long, x array<double>, fold long, kth double, part long"))
+        crowd = {r.part: r.n for r in visits.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row per partition
         if not crowd:
             done.append(state)
             break
@@ -255,21 +437,20 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
         right = visits.withColumn("group", F.pmod(F.xxhash64("qid"), size_of(F.col("part"))).cast("long"))
         block_of = sizes[F.col("part").cast("int")] if sizes is not None else F.lit(1)
         right = right.withColumn("block", F.explode(_upto(block_of)))
-        left = placed.withColumn("group", F.explode(_upto(size_of(F.col("part")))))
+        left = placed.where(F.col("part").isin(sorted(crowd))).withColumn("group", F.explode(_upto(size_of(F.col("part")))))
         keys = ("part", "block", "group")
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "qid long, fold long, d double, id long, payload double")
-        new = found.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "payload"))), 1, k).alias("new"))
-        met = visits.groupBy(*by).agg(F.sum("size").alias("met"))
-        was = state.select("qid", "x", "fold", "best", "seen", "compared")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+            search, "qid long, fold long, met long, near array<struct<d:double,id:long,payload:double>>")
+        new = found.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("new"), F.sum("met").alias("met"))
         if len(done) or not state.where("NOT open").isEmpty():
             done.append(state.where("NOT open"))
-        merged = F.slice(F.array_sort(F.concat("best", F.coalesce("new", none))), 1, k)
-        state = stored(was.join(met, by).join(new, by, "left").select(
-            "qid", "x", "fold", merged.alias("best"), (F.col("seen") + width).alias("seen"), (F.col("compared") + F.col("met")).alias("compared"),
-            (F.col("seen") + width < count).alias("open")).unionByName(
-                was.join(met, by, "left_anti").join(state.where("NOT open").select(*by), by, "left_anti")
-                .withColumn("open", F.lit(False))))
-        width *= 2
+        merged = F.slice(F.array_sort(F.concat("best", "new")), 1, k)
+        going = state.where("open").select("qid", "x", "fold", "best", "seen", "compared").join(new, by, "left")
+        state = stored(going.select(
+            "qid", "x", "fold", F.when(F.col("new").isNull(), F.col("best")).otherwise(merged).alias("best"), (F.col("seen") + width).alias("seen"),
+            (F.col("compared") + F.coalesce("met", F.lit(0))).alias("compared"),
+            (F.col("new").isNotNull() & (F.col("seen") + width < count)).alias("open")))
+        width *= 8
     out = done[0].select(*shown)
     for part in done[1:]:
         out = out.unionByName(part.select(*shown))
