@@ -171,3 +171,33 @@ def test_tree_trials_read_the_rows_once(spark, monkeypatch):
             p, t = tree.probability(a[own]) > 0.5, b[own] == 1
             counts[f] = ((p & t).sum(), (p & ~t).sum(), (~p & t).sum())
         assert abs(value - H.mean_f1(counts)) < 1e-12
+
+
+def test_neighbour_votes_of_all_settings_in_one_pass(spark, monkeypatch):
+    """Counts of every k and kind of weights equal those of the vote over the sliced lists; trials read no rows."""
+    from tidemark.operators import neighbours as N
+    x, y = rings(120, 5)
+    x = np.round(x, 1)
+    x[:20] = x[0]
+    df = frame(spark, x, y, 3)
+    rows = df.select(F.col("id").cast("long").alias("id"), F.col("label").alias("y"), F.col("fold").cast("long").alias("fold"), F.array("f0", "f1").alias("x"))
+    evaluate = H.knn_evaluator(rows, 3, 12)
+    found = N.nearest(rows.withColumnRenamed("id", "qid"), rows.select("id", "x", "fold", F.col("y").cast("double").alias("payload")), 12, N.MANHATTAN,
+                      fold="fold").join(rows.select(F.col("id").alias("qid"), "y"), "qid").localCheckpoint()
+    wanted = {}
+    for weights in ("uniform", "distance"):
+        for n in (1, 2, 5, 12):
+            got = N.vote(found.withColumn("best", F.slice("best", 1, n)), weights).collect()
+            counts = {f: [sum(r.fold == f and (r.pred, r.y) == c for r in got) for c in ((1, 1), (1, 0), (0, 1))] for f in range(3)}
+            wanted[weights, n] = H.mean_f1(counts)
+    evaluate({"metric": N.MANHATTAN, "weights": "uniform", "n_neighbors": 3})
+    monkeypatch.setattr(N, "nearest", None)
+    monkeypatch.setattr(type(rows), "collect", None)
+    got = {(w, n): evaluate({"metric": N.MANHATTAN, "weights": w, "n_neighbors": n}) for w, n in wanted}
+    assert got == wanted and len(set(wanted.values())) > 4
+
+
+def test_votes_of_short_and_empty_lists():
+    got = H.votes(np.array([0.0, 2.0, 1.0, 3.0]), np.array([1.0, 0.0, 0.0, 1.0]), np.array([2, 0, 2]), 3)
+    assert got["uniform"].tolist() == [[True, False, False], [False] * 3, [False] * 3]
+    assert got["distance"].tolist() == [[True] * 3, [False] * 3, [False] * 3]

@@ -6,9 +6,9 @@ with the largest ratio is tried.  Seeded, so the trial table is the same on ever
 
 What the folds share is computed once: sums per fold for all smoothing values of
 naive Bayes, one full tree per fold and criterion and the held-out rows below each of its
-nodes for all depths and split sizes, the 50 nearest neighbours outside a row's fold per metric
-for all k and weights, one Fourier map per gamma.  A trial of a tree adds up its leaves; any
-other is one pass over the stored training rows or lists.
+nodes for all depths and split sizes, the votes of the 50 nearest neighbours outside a row's fold per
+metric for all k and weights, one Fourier map per gamma.  A trial of a tree adds up its leaves, one of
+neighbours looks its counts up; any other is one pass over the stored training rows.
 """
 from __future__ import annotations
 
@@ -217,24 +217,75 @@ def tree_evaluator(rows: DataFrame, folds: int, max_depth: int = 20, **options):
     return evaluate
 
 
+def votes(d: np.ndarray, payload: np.ndarray, size: np.ndarray, most: int) -> dict[str, np.ndarray]:
+    """Per kind of weights (rows x 0..most-1): whether the first 1..most entries of a row's list vote for class 1, as :func:`neighbours.vote`
+    does with the sliced list.  ``d`` and ``payload`` hold the lists of ``size`` entries one after the other; an empty list votes for nothing."""
+    row = np.repeat(np.arange(len(size)), size)
+    col = np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size)
+    total = lambda v: np.cumsum(_laid(v, row, col, len(size), most), axis=1)  # noqa: E731  one after the other, as aggregate() adds
+    same, ones = d == 0, np.ones(len(d))
+    near = np.divide(1.0, d, out=np.zeros(len(d)), where=~same)
+    some = total(same * ones) > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        uniform = total(payload) / total(ones) > 0.5
+        distance = np.where(some, total(same * payload) / total(same * ones), total(near * payload) / total(near)) > 0.5
+    return {"uniform": uniform, "distance": distance}
+
+
+def _laid(v, row, col, rows: int, width: int) -> np.ndarray:
+    out = np.zeros((rows, width))
+    out[row, col] = v
+    return out
+
+
 def knn_evaluator(rows: DataFrame, folds: int, most: int = 50, **options):
-    lists: dict[str, DataFrame] = {}
+    counts: dict[tuple, dict[int, tuple[int, int, int]]] = {}
 
-    def neighbours_of(metric):
+    def hits(batches):
+        """(qid, fold, hits): for a row with neighbours a byte per setting, 1 where its list votes for class 1."""
+        for b in batches:
+            best = b.column("best")
+            size, near = best.value_lengths().to_numpy(), best.flatten()
+            by = votes(near.field("d").to_numpy(), near.field("payload").to_numpy(zero_copy_only=False), size, most)
+            packed = np.concatenate([by["uniform"], by["distance"]], 1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("fold"), pa.array([p.tobytes() if n else None for p, n in zip(packed, size)], pa.binary())],
+                                             names=["qid", "fold", "hits"])
+
+    def count(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            known = b.column("hits").is_valid().to_numpy(zero_copy_only=False)
+            fold = b.column("fold").to_numpy()
+            for f in np.unique(fold).tolist():
+                own = np.flatnonzero(fold == f)
+                total.setdefault(f, np.zeros((3, 2 * most), np.int64))
+                own = own[known[own]]
+                p = np.frombuffer(b"".join(b.column("hits").take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), 2 * most) == 1
+                t = (b.column("y").to_numpy()[own] == 1)[:, None]
+                total[f] += [(p & t).sum(0), (p & ~t).sum(0), (~p & t).sum(0)]
+        at = np.tile(np.arange(2 * most), len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([*total], np.int64), 2 * most)), pa.array(at)]
+                                         + [pa.array(np.concatenate([v[i] for v in total.values()]) if total else np.zeros(0, np.int64)) for i in range(3)],
+                                         names=["fold", "at", "tp", "fp", "fn"])
+
+    def count_all(metric):
+        """All settings of a metric in one pass over the lists."""
         data = rows.select("id", "x", F.col("y").cast("double").alias("payload"), "fold")
-        own = rows.select(F.col("id").alias("qid"), "x", "y", "fold")
+        own = rows.select(F.col("id").cast("long").alias("qid"), "x", "y", F.col("fold").cast("long").alias("fold"))
         found = neighbours.nearest(own, data, most, metric, fold="fold", **options)
-        return stored(found.select("qid", "fold", "best").join(own.drop("x"), ["qid", "fold"]).select("y", "fold", "best"))
+        voted = found.select("qid", "fold", "best").mapInArrow(hits, "qid long, fold long, hits binary")
+        got = (voted.join(own.drop("x"), ["qid", "fold"]).select("y", "fold", "hits").mapInArrow(count, "fold long, at long, tp long, fp long, fn long")
+               .groupBy("fold", "at").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).collect())      # a row per fold and setting
+        for r in got:
+            weights, n = ("uniform", "distance")[r.at // most], r.at % most + 1
+            counts.setdefault((metric, weights, n), {})[r.fold] = (r.tp, r.fp, r.fn)
+        counts[metric,] = {}
 
     def evaluate(setting):
-        metric = setting["metric"]
-        if metric not in lists:
-            lists[metric] = neighbours_of(metric)
-        near = lists[metric].select("y", "fold", F.slice("best", 1, setting["n_neighbors"]).alias("best"))
-        p, t = F.col("pred") == 1, F.col("y") == 1
-        found = neighbours.vote(near, setting["weights"]).groupBy("fold").agg(
-            F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn")).collect()
-        return mean_f1({r.fold: (r.tp, r.fp, r.fn) for r in found})
+        if (setting["metric"],) not in counts:
+            count_all(setting["metric"])
+        found = counts.get((setting["metric"], setting["weights"], min(setting["n_neighbors"], most)), {})
+        return mean_f1(dict(sorted(found.items())))
     return evaluate
 
 
