@@ -156,3 +156,30 @@ def test_chain_falls_back_in_order(spark):
     values = E.explain_kernel(df, predict, ["a", "b"], keep=("id",)).select("id", F.aggregate(
         "contributions", F.lit(0.0), lambda s, c: s + c["contribution"]).alias("s"), (F.col("probability") - F.col("base_value")).alias("d")).collect()
     assert all(abs(r.s - r.d) < 1e-9 for r in values)
+
+
+def test_a_level_is_one_step_over_all_its_nodes(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = np.concatenate([rng.normal(size=(2000, 2)), rng.integers(0, 2, (2000, 3))], 1), rng.integers(0, 2, 2000)
+    calls, plain = [], T.best_split
+    monkeypatch.setattr(T, "best_split", lambda *a: calls.append(1) or plain(*a))
+    nodes = T.grow_local(x, y, "gini", 12, 2)
+    assert len(nodes) > 300 and len(calls) <= 5 * 12                              # not one per node
+
+
+@pytest.mark.parametrize("bins,sample", [(3, 1000), (40, 1000), (9, 60)])          # coarse, finer, fitted on few of the rows
+def test_splits_inside_bins_are_found(spark, monkeypatch, bins, sample):
+    """Rows that belong to several trees, values that the bins were not fitted on, ties between features and mirrored splits."""
+    monkeypatch.setattr(T, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(T, "TASK_VALUES", 100)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(700, 2)), np.round(rng.normal(size=(700, 1)), 1), rng.integers(0, 2, (700, 2))], 1)
+    x = np.concatenate([x, x[:, :1]], 1)                                           # the last column ties with the first
+    y = ((x[:, 1] > 0.3) ^ (rng.random(700) < 0.3)).astype(int)
+    rows = spark.createDataFrame([([t for t in range(3) if i % 3 != t], int(y[i]), x[i].tolist()) for i in range(700)], "tree array<int>, y int, x array<double>")
+    got = T.grow(rows.repartition(5), {0: "gini", 1: "entropy", 2: "gini"}, 7, 2, 50, bins)
+    for t, criterion in enumerate(("gini", "entropy", "gini")):
+        own = np.arange(700) % 3 != t
+        want = T.Tree.of(T.grow_local(x[own], y[own], criterion, 7, 2), criterion)
+        for name in ("feature", "threshold", "left", "right", "n", "pos"):
+            assert np.array_equal(getattr(got[t], name), getattr(want, name)), name

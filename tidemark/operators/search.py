@@ -201,8 +201,8 @@ def naive_bayes_evaluator(rows: DataFrame, width: int, folds: int):
 def tree_evaluator(rows: DataFrame, folds: int, max_depth: int = 20, **options):
     names = [trees.GINI, trees.ENTROPY]
     keys = {f * 2 + c: names[c] for f in range(folds) for c in (0, 1)}
-    copies = rows.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in keys]))).where(F.floor(F.col("tree") / 2) != F.col("fold"))
-    trained = trees.grow(copies.select("tree", "y", "x"), keys, max_depth, 2, **options)
+    of = F.filter(F.array(*[F.lit(t) for t in keys]), lambda t: F.floor(t / 2) != F.col("fold"))
+    trained = trees.grow(rows.select(of.alias("tree"), "y", "x"), keys, max_depth, 2, **options)
     grown = {divmod(t, 2): tree for t, tree in trained.items()}
     held = held_out(rows, grown)
 

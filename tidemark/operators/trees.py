@@ -1,11 +1,14 @@
 """Exact decision trees (M3, M11) and exact tree explanations.
 
 Growth.  Splits are looked for between all neighbouring values of a feature, not
-between bins.  As long as a node holds more than ``local_rows`` rows its split
-comes from (node, feature, value) counts and their running sums in value order,
-a level of all trees at a time; the rows of a smaller node go to one task, which
-grows the rest of its subtree from sorted columns.  Both follow the same rule, so
-``local_rows`` changes nothing but the cost.
+between bins.  As long as a node holds more than ``local_rows`` rows, a pass counts its
+rows and positives per feature and bin, a level of all trees at a time.  That gives the cost
+of every split between bins, and a lower bound for those inside one: the cost is
+concave in (rows, positives) to the left, so inside a bin it is nowhere below its corners
+(all positives first, all others first).  A second pass orders the values of those bins
+only that may hold the best split.  The rows of a smaller node go to one task, which
+grows the rest of its subtree level by level over all its nodes at once.  Both follow
+the same rule, so ``local_rows`` and ``bins`` change nothing but the cost.
 
 A tree is grown once for many settings: the split of a node does not depend on
 when growth stops, so a smaller depth or a larger minimum split size is a
@@ -20,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.stats import ordered_prefix
+from tidemark.functions.sums import array_sums
 from tidemark.session import stored
 
 MAX_DEPTH, MIN_SPLIT = 10, 2        # fixed values: defaults of the model type
 GINI, ENTROPY = "gini", "entropy"
-LOCAL_ROWS = 50_000
+LOCAL_ROWS = 100_000
+#: Bins of a feature, rows of the sample they are fitted on, values that one task orders in the second pass.
+BINS, SAMPLE_ROWS, TASK_VALUES = 4_096, 65_536, 65_536
 #: Impurities are compared at this many digits, so that equal splits tie in every order of summation.
 DIGITS = 12
 
@@ -57,10 +62,18 @@ class Tree:
     def of(cls, nodes: dict[int, tuple], criterion: str) -> "Tree":
         """From heap-numbered nodes (children of i: 2i+1, 2i+2) -> (feature, threshold, n, pos)."""
         ids = sorted(nodes)
-        place = {i: k for k, i in enumerate(ids)}
-        column = lambda k, t: np.array([nodes[i][k] for i in ids], t)
-        child = lambda side: np.array([place.get(2 * i + side, -1) for i in ids], np.int64)
-        return cls(column(0, np.int64), column(1, float), child(1), child(2), column(2, float), column(3, float), criterion)
+        return cls.of_columns(np.array(ids, np.int64), *(np.array([nodes[i][k] for i in ids], t) for k, t in enumerate((np.int64, float, float, float))), criterion)
+
+    @classmethod
+    def of_columns(cls, ids, feature, threshold, n, pos, criterion: str) -> "Tree":
+        """From columns of heap-numbered nodes, each node once."""
+        order = np.argsort(ids)
+        ids, feature, threshold, n, pos = (c[order] for c in (ids, feature, threshold, n, pos))
+
+        def child(side):
+            at = np.minimum(np.searchsorted(ids, 2 * ids + side), len(ids) - 1)
+            return np.where(ids[at] == 2 * ids + side, at, -1)
+        return cls(feature.astype(np.int64), threshold.astype(float), child(1), child(2), n.astype(float), pos.astype(float), criterion)
 
     @property
     def value(self) -> np.ndarray:
@@ -151,45 +164,85 @@ def best_split(n: np.ndarray, pos: np.ndarray, total_n, total_pos, criterion: st
 
 def grow_local(x: np.ndarray, y: np.ndarray, criterion: str, max_depth: int, min_split: int, root: int = 0) -> dict[int, tuple]:
     """Subtree of heap node ``root`` (whose depth counts) over rows in memory."""
-    nodes, todo = {}, [(root, np.arange(len(x)))]
-    while todo:
-        node, own = todo.pop()
-        n, pos = len(own), int(y[own].sum())
-        nodes[node] = (-1, 0.0, n, pos)
-        if (node + 1).bit_length() - 1 >= max_depth or n < min_split or pos in (0, n):
-            continue
-        part = x[own]
-        order = np.argsort(part, axis=0, kind="stable")
-        value = np.take_along_axis(part, order, 0)
-        seen = np.cumsum(y[own][order], axis=0)[:-1]
-        cost = best_split(np.broadcast_to(np.arange(1, n)[:, None], seen.shape).astype(float), seen.astype(float), n, pos, criterion)
-        cost = np.where(value[1:] > value[:-1], cost, np.inf)
-        at = np.argmin(cost.T)                        # least cost; ties: first feature, then least threshold
-        f, i = divmod(int(at), n - 1)
-        if not np.isfinite(cost[i, f]):
-            continue
-        t = float((value[i, f] + value[i + 1, f]) / 2)
-        if t >= value[i + 1, f]:                      # neighbouring floats
-            t = float(value[i, f])
-        nodes[node] = (f, t, n, pos)
-        left = part[:, f] <= t
-        todo += [(2 * node + 2, own[~left]), (2 * node + 1, own[left])]
-    return nodes
-
-
-def _walk(nodes: dict[int, tuple], x: np.ndarray) -> np.ndarray:
-    """Heap node that each row has reached."""
-    out = np.zeros(len(x), np.int64)
-    open_ = np.ones(len(x), bool)
-    while open_.any():
-        for node in np.unique(out[open_]).tolist():
-            at = np.flatnonzero(open_ & (out == node))
-            f, t = nodes.get(node, (-1, 0.0))[:2]
-            if f < 0:
-                open_[at] = False
+    return {i: v for i, *v in zip(*(c.tolist() for c in grow_columns(x, y, criterion, max_depth, min_split, root)))}
+
+
+def grow_columns(x: np.ndarray, y: np.ndarray, criterion: str, max_depth: int, min_split: int, root: int = 0) -> list[np.ndarray]:
+    """The same as columns (heap node, feature, threshold, n, pos).  A level is one step over all its nodes: columns of two
+    values are counted, the others kept in order of (node, value)."""
+    y = y.astype(np.int64)
+    flags, orders, codes = {}, {}, {}
+    for f in range(x.shape[1] if len(x) else 0):
+        values, code = np.unique(x[:, f], return_inverse=True)
+        if len(values) == 2:
+            flags[f] = (code == 1, values)
+        elif len(values) > 2:
+            codes[f], orders[f] = code, np.argsort(code, kind="stable")
+    out = [(np.array([root]), np.array([-1]), np.zeros(1), np.array([len(x)]), np.array([int(y.sum())]))]
+    heap, n, pos, depth = out[0][0], out[0][3], out[0][4], (root + 1).bit_length() - 1
+    rows = np.arange(len(x))                                                   # of the open nodes, node after node
+    while True:
+        open_ = (n >= min_split) & (pos > 0) & (pos < n) & (depth < max_depth)
+        rows, orders = _of_open(rows, n, open_), {f: _of_open(o, n, open_) for f, o in orders.items()}
+        which = np.flatnonzero(open_)                                          # their places in the last block
+        heap, n, pos = heap[open_], n[open_], pos[open_]
+        if not len(n):
+            return [np.concatenate(c) for c in zip(*out)]
+        start, seg = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        best, feature, cut = np.full(len(n), np.inf), np.full(len(n), -1), np.zeros(len(n))
+        right = np.zeros(len(rows), bool)
+        mine = y[rows]
+        for f in range(x.shape[1]):
+            if f in flags:
+                bit = flags[f][0][rows]
+                left_n, left_pos = n - np.bincount(seg, bit, len(n)).astype(np.int64), pos - np.bincount(seg, bit * mine, len(n)).astype(np.int64)
+                at = np.flatnonzero((left_n > 0) & (left_n < n))
+                cost = best_split(left_n[at].astype(float), left_pos[at].astype(float), n[at], pos[at], criterion)
+                low, high = (np.full(len(at), v) for v in flags[f][1])
+            elif f in orders:
+                own, code = orders[f], codes[f][orders[f]]
+                i = np.flatnonzero((seg[1:] == seg[:-1]) & (code[1:] > code[:-1]))
+                if not len(i):
+                    continue
+                seen = np.cumsum(y[own])
+                of = seg[i]
+                before = seen[start[of]] - y[own[start[of]]]
+                every = best_split((i + 1 - start[of]).astype(float), (seen[i] - before).astype(float), n[of], pos[of], criterion)
+                at, first = np.unique(of, return_index=True)
+                cost = np.minimum.reduceat(every, first)
+                hit = np.flatnonzero(every == cost[np.repeat(np.arange(len(at)), np.diff(np.append(first, len(of))))])
+                i = i[hit[np.unique(of[hit], return_index=True)[1]]]           # ties: least threshold
+                low, high = x[own[i], f], x[own[i + 1], f]
             else:
-                out[at] = np.where(x[at, f] <= t, 2 * node + 1, 2 * node + 2)
-    return out
+                continue
+            t = (low + high) / 2
+            t = np.where(t >= high, low, t)                                    # neighbouring floats
+            better = cost < best[at]                                           # ties: first feature
+            at = at[better]
+            best[at], feature[at], cut[at] = cost[better], f, t[better]
+        split = feature >= 0
+        right = x[rows, np.maximum(feature, 0)[seg]] > cut[seg]
+        out[-1][1][which], out[-1][2][which] = feature, cut
+        right_n, right_pos = np.bincount(seg, right, len(n)).astype(np.int64), np.bincount(seg, right * mine, len(n)).astype(np.int64)
+        side = np.zeros(len(y), bool)
+        side[rows] = right
+        place = 2 * (np.cumsum(split) - 1)                                     # of the left child
+        child = np.where(split, place, -1)
+
+        def dealt(own):
+            to = child[seg] + side[own]
+            keep = split[seg]
+            own, to = own[keep], to[keep]
+            return own[np.argsort(to.astype(np.uint16) if 2 * len(n) < 65_536 else to, kind="stable")]
+
+        rows, orders = dealt(rows), {f: dealt(o) for f, o in orders.items()}
+        pair = lambda a, b: np.stack([a[split], b[split]], 1).ravel()
+        heap, n, pos, depth = pair(2 * heap + 1, 2 * heap + 2), pair(n - right_n, right_n), pair(pos - right_pos, right_pos), depth + 1
+        out.append((heap, np.full(len(heap), -1), np.zeros(len(heap)), n, pos))
+
+
+def _of_open(rows: np.ndarray, n: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    return rows[np.repeat(open_, n)]
 
 
 def _matrix(column) -> np.ndarray:
@@ -198,23 +251,27 @@ def _matrix(column) -> np.ndarray:
 
 
 def grow(rows: DataFrame, criteria: dict[int, str], max_depth: int = MAX_DEPTH, min_split: int = MIN_SPLIT,
-         local_rows: int = LOCAL_ROWS) -> dict[int, Tree]:
-    """``rows(tree int, y int, x array<double>)`` -> one tree per key of ``criteria``.
+         local_rows: int = LOCAL_ROWS, bins: int = BINS) -> dict[int, Tree]:
+    """``rows(tree int, y int, x array<double>)`` -> one tree per key of ``criteria``; ``tree`` may
+    be an array, the trees that a row belongs to, each once.
 
     Rows with a null label are left out, null and not-a-number values count as zero; a tree
     without rows is one leaf of value 0.  Ties go to the first feature, then to
-    the least threshold.  The driver holds the nodes, at most 2 ** (max_depth + 1) a tree.
+    the least threshold.  The driver holds the nodes, at most 2 ** (max_depth + 1) a tree, and per node above
+    ``local_rows`` rows the counts of its bins, some 2 * sqrt(rows) a feature.
     """
     clean = F.transform("x", lambda v: F.nanvl(F.coalesce(v, F.lit(0.0)), F.lit(0.0)))
-    data = stored(rows.where("y IS NOT NULL").select(F.col("tree").cast("int").alias("tree"), F.col("y").cast("int").alias("y"), clean.alias("x")))
+    of = F.col("tree") if dict(rows.dtypes)["tree"].startswith("array") else F.array("tree")
+    data = stored(rows.where("y IS NOT NULL").select(of.cast("array<int>").alias("trees"), F.col("y").cast("int").alias("y"), clean.alias("x")))
     nodes: dict[int, dict[int, tuple]] = {t: {} for t in criteria}
-    sizes = {r.tree: (r.n, r.pos) for r in data.groupBy("tree").agg(F.count("y").alias("n"), F.sum("y").alias("pos")).collect()}
+    sizes = {r.tree: (r.n, r.pos) for r in data.select(F.explode("trees").alias("tree"), "y").groupBy("tree")
+             .agg(F.count("y").alias("n"), F.sum("y").alias("pos")).collect()}
     big = {t: [0] for t in criteria if sizes.get(t, (0, 0))[0] > local_rows}
     for t in criteria:
         nodes[t][0] = (-1, 0.0, *sizes.get(t, (0, 0)))
-    depth = 0
+    depth, grid = 0, _Bins.fit(data, bins) if big and max_depth else None
     while any(big.values()) and depth < max_depth:
-        for t, splits in _level(data, nodes, big, criteria).items():
+        for t, splits in _level(data, nodes, big, criteria, grid).items():
             for node, (f, threshold, n, pos) in splits.items():
                 _, _, all_n, all_pos = nodes[t][node]
                 nodes[t][node] = (f, threshold, all_n, all_pos)
@@ -224,80 +281,248 @@ def grow(rows: DataFrame, criteria: dict[int, str], max_depth: int = MAX_DEPTH,
         big = {t: [i for i, v in own.items() if i >= first and v[2] > local_rows and v[2] >= min_split and 0 < v[3] < v[2]]
                for t, own in nodes.items()}
     small = {t: [i for i, v in own.items() if v[0] < 0 and v[2] <= local_rows and v[2] >= min_split and 0 < v[3] < v[2]] for t, own in nodes.items()}
-    if any(small.values()):
-        for t, node, found in _finish(data, nodes, small, criteria, max_depth, min_split):
-            nodes[t].update(found)
-    return {t: Tree.of(own, criteria[t]) for t, own in nodes.items()}
-
-
-def _placed(data: DataFrame, nodes, wanted) -> DataFrame:
-    """(tree, node, y, x) of the rows in the wanted nodes."""
-    shared = data.sparkSession.sparkContext.broadcast((nodes, {t: set(v) for t, v in wanted.items()}))      # nodes above local_rows rows and their children
-
-    def run(batches):
-        nodes, wanted = shared.value
-        for b in batches:
-            tree = b.column(0).to_numpy()
-            x = _matrix(b.column(2)) if b.num_rows else np.zeros((0, 1))
-            node, keep = np.zeros(len(tree), np.int64), np.zeros(len(tree), bool)
-            for t in np.unique(tree).tolist():
-                own = np.flatnonzero(tree == t)
-                if wanted.get(t):
-                    node[own] = _walk(nodes[t], x[own])
-                    keep[own] = np.isin(node[own], list(wanted[t]))
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(node[keep]), b.column(1).take(at), b.column(2).take(at)],
-                                             names=["tree", "node", "y", "x"])
-    return data.select("tree", "y", "x").mapInArrow(run, "tree int, node long, y int, x array<double>")
+    found = _finish(data, nodes, small, criteria, max_depth, min_split) if any(small.values()) else {}
+    out = {}
+    for t, own in nodes.items():
+        kept = [i for i in own if i not in set(small[t])]
+        columns = [np.array(kept, np.int64), *(np.array([own[i][k] for i in kept], float) for k in range(4))]
+        out[t] = Tree.of_columns(*(np.concatenate([a, b]) for a, b in zip(columns, found.get(t, [np.zeros(0, np.int64)] * 5))), criteria[t])
+    return out
 
 
-def _level(data, nodes, big, criteria):
-    """Best split (feature, threshold, left n, left pos) of every big node."""
-    counts = (_placed(data, nodes, big).select("tree", "node", "y", F.posexplode("x").alias("f", "v"))
-              .groupBy("tree", "node", "f", "v").agg(F.count("y").alias("n"), F.sum("y").alias("pos")))
-    run = ordered_prefix(counts, "v", ["n", "pos"], key=["tree", "node", "f"])
-    totals = [(t, i, float(nodes[t][i][2]), float(nodes[t][i][3]), criteria[t]) for t, own in big.items() for i in own]
-    about = data.sparkSession.createDataFrame(totals, "tree int, node long, all_n double, all_pos double, criterion string")
-    run = run.join(F.broadcast(about), ["tree", "node"]).where("cum_n < all_n")             # a row per node above local_rows
+def _batches(batches, nodes: dict[int, dict[int, tuple]], wanted: dict[int, list[int]]):
+    """Per batch and tree: the tree, the places in the batch of its rows in the wanted nodes, those nodes, the batch's labels and matrix."""
+    ids = {t: np.array(sorted(own), np.int64) for t, own in nodes.items()}
+    walks = {t: Tree.of(own, GINI) for t, own in nodes.items() if wanted.get(t)}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lists = b.column(b.schema.get_field_index("trees"))
+        tree, row = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+        x, y = _matrix(b.column(b.schema.get_field_index("x"))), b.column(b.schema.get_field_index("y")).to_numpy()
+        for t, walk in walks.items():
+            at = row[tree == t]
+            node = ids[t][walk.leaf(x[at])]
+            keep = np.isin(node, wanted[t])
+            yield b, t, at[keep], node[keep], y, x
 
-    @F.pandas_udf("double")
-    def cost(n, pos, all_n, all_pos, criterion):
-        out = np.zeros(len(n))
-        for c in criterion.unique():
-            own = (criterion == c).to_numpy()
-            out[own] = best_split(*(v[own].to_numpy(float) for v in (n, pos, all_n, all_pos)), c)
-        import pandas as pd
-        return pd.Series(out)
-
-    scored = run.withColumn("cost", cost("cum_n", "cum_pos", "all_n", "all_pos", "criterion"))
-    best = stored(scored.groupBy("tree", "node").agg(F.min(F.struct("cost", "f", "v", "cum_n", "cum_pos")).alias("s"))
-                  .select("tree", "node", "s.f", F.col("s.v").alias("low"), F.col("s.cum_n").alias("n"), F.col("s.cum_pos").alias("pos")))
-    rows = _placed(data, nodes, big).select("tree", "node", "x").join(F.broadcast(best.select("tree", "node", "f", "low")), ["tree", "node"])
-    above = rows.select("tree", "node", "low", F.get("x", F.col("f")).alias("v")).where("v > low")       # one value a row
-    found = best.join(above.groupBy("tree", "node").agg(F.min("v").alias("high")), ["tree", "node"]).collect()      # a row per big node
+
+@dataclass
+class _Bins:
+    """Per feature ascending ``edges``: bin i holds the values in (edges[i - 1], edges[i]], the last one what is above all;
+    ``one``: the bins in which all rows have the value of the edge."""
+    edges: list[np.ndarray]
+    one: list[np.ndarray]
+
+    @classmethod
+    def fit(cls, data: DataFrame, bins: int) -> "_Bins":
+        some = data.select("x").orderBy(F.xxhash64(F.lit(5), "x")).limit(SAMPLE_ROWS).toArrow()
+        sample = _matrix(some.column("x"))
+        edges = []
+        for v in sample.T:
+            values = np.unique(v)
+            edges.append(values if len(values) <= bins else np.unique(np.sort(v)[np.linspace(0, len(v) - 1, bins).astype(int)]))
+        grid = cls(edges, [])
+        shared = data.sparkSession.sparkContext.broadcast(grid)                # features x bins values
+
+        def other(batches):
+            out = [np.zeros(len(e) + 1) for e in edges]
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column(0))
+                    for f, e in enumerate(shared.value.edges):
+                        code = np.searchsorted(e, x[:, f])
+                        out[f][code[e[np.minimum(code, len(e) - 1)] != x[:, f]]] = 1
+            return {"other": np.concatenate(out)}
+        found = array_sums(data.select("x"), other)["other"]
+        grid.one = [v == 0 for v in np.split(found, np.cumsum([len(e) + 1 for e in edges])[:-1])]
+        return grid
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, v) for e, v in zip(self.edges, x.T)], 1)
+
+
+@dataclass
+class _Cells:
+    """Where a level counts: per big node and feature the first cell and the power of two of bins that share one."""
+    nodes: dict[int, np.ndarray]
+    first: dict[int, np.ndarray]
+    shift: dict[int, np.ndarray]
+    span: dict[int, tuple[int, int]]
+    total: int
+
+    @classmethod
+    def of(cls, nodes, big, grid: _Bins) -> "_Cells":
+        ids, first, shift, span, total = {}, {}, {}, {}, 0
+        for t, own in big.items():
+            if own:
+                span[t] = (total, total)
+                ids[t] = np.array(sorted(own), np.int64)
+                first[t], shift[t] = (np.zeros((len(own), len(grid.edges)), np.int64) for _ in range(2))
+                for i, node in enumerate(ids[t].tolist()):
+                    most = max(64, 2 * int(nodes[t][node][2] ** 0.5))             # a bin of about sqrt(n) rows bounds the cost well
+                    for f, e in enumerate(grid.edges):
+                        while (len(e) >> shift[t][i, f]) + 1 > most:
+                            shift[t][i, f] += 1
+                        first[t][i, f] = total
+                        total += int(len(e) >> shift[t][i, f]) + 1
+                span[t] = (span[t][0], total)
+        return cls(ids, first, shift, span, total)
+
+    def at(self, t, node: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The cells of rows x features."""
+        i = np.searchsorted(self.nodes[t], node)
+        return self.first[t][i] + (codes >> self.shift[t][i])
+
+
+#: Cells of one block of counts on their way to the driver.
+WIDE = 4_096
+
+
+def _level(data, nodes, big, criteria, grid: _Bins):
+    """Best split (feature, threshold, left n, left pos) of every big node."""
+    spark = data.sparkSession
+    cells = _Cells.of(nodes, big, grid)
+    shared = spark.sparkContext.broadcast((nodes, {t: v for t, v in big.items() if v}, grid, cells))         # nodes above local_rows rows, bins
+
+    def count(batches):
+        nodes, wanted, grid, cells = shared.value
+        n, pos = (np.zeros(-(-cells.total // WIDE) * WIDE) for _ in range(2))
+        last = codes = None
+        for b, t, at, node, y, x in _batches(batches, nodes, wanted):
+            if last is not b:
+                last, codes = b, grid.codes(x)
+            lo, hi = cells.span[t]
+            cell = cells.at(t, node, codes[at])
+            n[lo:hi] += np.bincount(cell.ravel() - lo, minlength=hi - lo)
+            pos[lo:hi] += np.bincount(cell.ravel() - lo, np.repeat(y[at], cell.shape[1]), hi - lo)
+        return {"n": n.reshape(-1, WIDE), "pos": pos.reshape(-1, WIDE)}
+
+    sums = array_sums(data.select("trees", "y", "x"), count)
+    n, pos = (np.atleast_2d(sums[k]).ravel()[:cells.total].astype(np.int64) for k in ("n", "pos"))
+    group = np.full(cells.total, -1, np.int64)
+    before_n, before_pos = np.zeros(cells.total, np.int64), np.zeros(cells.total, np.int64)
+    best: dict[tuple[int, int], tuple] = {}
+    about, groups = {}, []
+    for t, ids in cells.nodes.items():
+        for i, node in enumerate(ids.tolist()):
+            all_n, all_pos = (float(v) for v in nodes[t][node][2:])
+            maybe, least = [], (np.inf,)
+            for f, e in enumerate(grid.edges):
+                a, shift = int(cells.first[t][i, f]), int(cells.shift[t][i, f])
+                width = (len(e) >> shift) + 1
+                own_n, own_pos = n[a:a + width], pos[a:a + width]
+                to_n, to_pos = np.cumsum(own_n), np.cumsum(own_pos)
+                before_n[a:a + width], before_pos[a:a + width] = to_n - own_n, to_pos - own_pos
+                ends = np.flatnonzero((own_n > 0) & (to_n < all_n))                   # splits after a bin
+                cost = best_split(to_n[ends].astype(float), to_pos[ends].astype(float), all_n, all_pos, criteria[t])
+                used = np.flatnonzero(own_n > 0)
+                one = grid.one[f][used] if not shift else np.zeros(len(used), bool)
+                corners = [(to_n - own_n + own_pos, to_pos), (to_n - own_pos, to_pos - own_pos), (to_n - own_n, to_pos - own_pos), (to_n, to_pos)]
+                low = np.min([best_split(u[used].astype(float), v[used].astype(float), all_n, all_pos, criteria[t]) for u, v in corners], axis=0)
+                maybe.append((f, a, shift, used[~one], low[~one]))
+                if len(ends):
+                    least = min(least, (float(cost.min()),))
+                single = np.isin(ends, used[one])
+                if single.any():
+                    j = int(np.argmin(cost[single]))
+                    k = int(ends[single][j])
+                    best[t, node] = min(best.get((t, node), (np.inf,)), (float(cost[single][j]), f, float(e[k]), int(to_n[k]), int(to_pos[k])))
+            for f, a, shift, used, low in maybe:
+                own = a + used[low <= least[0] + 1e-9 * (1 + abs(least[0]))]
+                for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(n[own]) // TASK_VALUES)) + 1) if len(own) else []:
+                    group[part] = len(groups)
+                    groups.append((t, node, f, all_n, all_pos, criteria[t]))
+    if groups:
+        more = spark.sparkContext.broadcast((group, before_n, before_pos, groups))         # cells of the level
+
+        def values(batches):
+            nodes, wanted, grid, cells = shared.value
+            group, last, codes = more.value[0], None, None
+            for b, t, at, node, y, x in _batches(batches, nodes, wanted):
+                if last is not b:
+                    last, codes = b, grid.codes(x)
+                every = cells.at(t, node, codes[at])
+                asked = group[every] >= 0
+                for f in np.flatnonzero(asked.any(0)).tolist():
+                    own = np.flatnonzero(asked[:, f])
+                    cell, v, mine = every[own, f], x[at[own], f], y[at[own]]
+                    order = np.lexsort((v, cell))
+                    cell, v, mine = cell[order], v[order], mine[order]
+                    first = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (v[1:] != v[:-1])))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(group[cell[first]]), pa.array(cell[first]), pa.array(v[first]),
+                         pa.array(np.diff(np.append(first, len(cell)))), pa.array(np.add.reduceat(mine, first).astype(np.int64))],
+                        names=["group", "cell", "v", "n", "pos"])
+
+        def inside(key, table):
+            _, before_n, before_pos, groups = more.value
+            _, _, _, all_n, all_pos, criterion = groups[key[0].as_py()]
+            cell, v, own_n, own_pos = (table.column(c).to_numpy() for c in ("cell", "v", "n", "pos"))
+            order = np.lexsort((v, cell))
+            cell, v, own_n, own_pos = cell[order], v[order], own_n[order], own_pos[order]
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cell))))
+            run = lambda c, base: (c := np.cumsum(c)) - np.append(0, c)[first][of] + base[cell]
+            left_n, left_pos = run(own_n, before_n), run(own_pos, before_pos)
+            cost = best_split(left_n.astype(float), left_pos.astype(float), all_n, all_pos, criterion)
+            last = np.append(v[1:] != v[:-1], True)                                        # of the rows with equal values from several batches
+            last[:-1] |= cell[1:] != cell[:-1]
+            cost = np.where(last & (left_n < all_n), cost, np.inf)
+            i = np.lexsort((v, cost))[0]
+            return pa.table({"group": [key[0].as_py()], "cost": [float(cost[i])], "v": [float(v[i])], "n": [int(left_n[i])], "pos": [int(left_pos[i])]})
+
+        found = (data.select("trees", "y", "x").mapInArrow(values, "group long, cell long, v double, n long, pos long")
+                 .groupBy("group").applyInArrow(inside, "group long, cost double, v double, n long, pos long").collect())       # a row per TASK_VALUES rows
+        for r in found:
+            t, node, f = groups[r.group][:3]
+            if r.cost < np.inf:
+                best[t, node] = min(best.get((t, node), (np.inf,)), (r.cost, f, r.v, r.n, r.pos))
+    best = {k: v for k, v in best.items() if len(v) > 1}
+
+    def above(batches):
+        nodes, wanted, _, _ = shared.value
+        out: dict[tuple[int, int], float] = {}
+        for _, t, at, node, _, x in _batches(batches, nodes, wanted):
+            for i in np.unique(node).tolist():
+                if (t, i) in best:
+                    _, f, low = best[t, i][:3]
+                    v = x[at[node == i], f]
+                    v = v[v > low]
+                    if len(v):
+                        out[t, i] = min(out.get((t, i), np.inf), float(v.min()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int32()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()))],
+                                             names=["tree", "node", "v"])
+
+    found = data.select("trees", "y", "x").mapInArrow(above, "tree int, node long, v double").groupBy("tree", "node").agg(F.min("v").alias("high")).collect()
     out: dict[int, dict[int, tuple]] = {}
-    for r in found:
-        t = (r.low + r.high) / 2
-        out.setdefault(r.tree, {})[r.node] = (r.f, r.low if t >= r.high else t, r.n, r.pos)
+    for r in found:                                                                        # a row per big node
+        _, f, low, left_n, left_pos = best[r.tree, r.node]
+        t = (low + r.high) / 2
+        out.setdefault(r.tree, {})[r.node] = (f, low if t >= r.high else t, left_n, left_pos)
     return out
 
 
-def _finish(data, nodes, small, criteria, max_depth, min_split):
-    """The subtrees below the small nodes, each grown in one task."""
-    schema = "tree int, root long, node long, f int, t double, n long, pos long"
+def _finish(data, nodes, small, criteria, max_depth, min_split) -> dict[int, list[np.ndarray]]:
+    """Per tree the columns (node, feature, threshold, n, pos) of the subtrees below the small nodes, each grown in one task."""
+    shared = data.sparkSession.sparkContext.broadcast((nodes, {t: v for t, v in small.items() if v}))       # nodes above local_rows rows and their children
+
+    def place(batches):
+        for b, t, at, node, _, _ in _batches(batches, *shared.value):
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(node), b.column(1).take(take), b.column(2).take(take)],
+                                             names=["tree", "node", "y", "x"])
 
     def run(key, table):
         tree, root = (k.as_py() for k in key)
-        x = _matrix(table.column("x"))
-        found = grow_local(x, table.column("y").to_numpy().astype(np.int64), criteria[tree], max_depth, min_split, root)
-        rows = [(tree, root, i, *v) for i, v in found.items()]
-        return pa.table([pa.array(c) for c in zip(*rows)], names=["tree", "root", "node", "f", "t", "n", "pos"]).cast(
-            pa.schema([("tree", "int32"), ("root", "int64"), ("node", "int64"), ("f", "int32"), ("t", "float64"), ("n", "int64"), ("pos", "int64")]))
-
-    out: dict[tuple, dict] = {}
-    for r in _placed(data, nodes, small).groupBy("tree", "node").applyInArrow(run, schema).collect():       # the nodes of the trees
-        out.setdefault((r.tree, r.root), {})[r.node] = (r.f, r.t, r.n, r.pos)
-    return [(t, root, found) for (t, root), found in out.items()]
+        found = grow_columns(_matrix(table.column("x")), table.column("y").to_numpy().astype(np.int64), criteria[tree], max_depth, min_split, root)
+        return pa.table([pa.array(np.full(len(found[0]), tree, np.int32)), *(pa.array(c) for c in found)], names=["tree", "node", "f", "t", "n", "pos"])
+
+    placed = data.select("trees", "y", "x").mapInArrow(place, "tree int, node long, y int, x array<double>")
+    got = placed.groupBy("tree", "node").applyInArrow(run, "tree int, node long, f long, t double, n long, pos long").toArrow()       # the nodes of the trees
+    tree, columns = got.column("tree").to_numpy(), [got.column(c).to_numpy() for c in ("node", "f", "t", "n", "pos")]
+    return {t: [c[tree == t] for c in columns] for t in np.unique(tree).tolist()}
 
 
 def fit_tree(train: DataFrame, features, label: str = "label", max_depth: int = MAX_DEPTH, min_split: int = MIN_SPLIT,
