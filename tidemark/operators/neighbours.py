@@ -36,7 +36,7 @@ SAMPLE_ROWS, PART_ROWS, CELL_ROWS, CELL_QUERIES, LEAF_ROWS = 32_768, 16_384, 32_
 #: Elements compared at once, slack of the bounds for rounding, digits that decide ties.
 CHUNK, SLACK, DIGITS = 2_000_000, 1e-6, 9
 #: Visits (a query at a partition) of one batch; queries of a cell that are searched together.
-VISITS, ASKED = 65_536, 2_048
+VISITS, ASKED = 65_536, 1_024
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -197,15 +197,10 @@ class Leaves:
     """The vectors of one block, cut down to leaves with boxes."""
 
     def __init__(self, x: np.ndarray, metric: str):
-        self.x, self.metric, self.own, todo = x, metric, [], [np.arange(len(x))]
-        while todo:
-            own = todo.pop()
-            cut = _cut(x[own]) if len(own) > LEAF_ROWS else None
-            if cut is None:
-                self.own += [own[i:i + CELL_ROWS] for i in range(0, len(own), CELL_ROWS)]
-                continue
-            left = x[own, cut[0]] <= cut[1]
-            todo += [own[~left], own[left]]
+        self.x, self.metric, self.cuts = x, metric, Boxes.fit(x, max(1, -(-3 * len(x) // (2 * LEAF_ROWS))), metric)
+        home = self.cuts.home(x)
+        order, leaves = np.argsort(home, kind="stable"), np.arange(self.cuts.count)
+        self.own = np.split(order, np.searchsorted(home[order], leaves[1:]))               # no leaf is empty
         self.low, self.high = np.stack([x[own].min(0) for own in self.own]), np.stack([x[own].max(0) for own in self.own])
 
     def far(self, q: np.ndarray, leaf: int, own: np.ndarray) -> np.ndarray:
@@ -226,26 +221,26 @@ class Leaves:
         own = [o[size[o] > 0] for o in self.own]
         first = np.cumsum(size) - size
         lead = ids[np.minimum(first, len(ids) - 1)]
-        met, found = np.zeros(len(q), np.int64), []
+        met, found, order = np.zeros(len(q), np.int64), [], np.argsort(self.cuts.home(q), kind="stable")      # queries side by side ask the same leaves
         for i in range(0, len(q), ASKED):
-            found.append((i, self._some(q[i:i + ASKED], kth[i:i + ASKED], own, met[i:i + ASKED], size, first, lead, ids, load, k)))
-        return [(a + i, *rest) for i, (a, *rest) in found], met
+            at = order[i:i + ASKED]
+            some = np.zeros(len(at), np.int64)
+            a, *rest = self._some(q[at], kth[at], own, some, size, first, lead, ids, load, k)
+            met[at] = some
+            found.append((at[a], *rest))
+        return found, met
 
     def _some(self, q, kth, own, met, size, first, lead, ids, load, k):
-        bound = box_bounds(q, self.low, self.high, self.metric)
-        bound[:, [not len(o) for o in own]] = np.inf
         best = np.full((len(q), k), np.inf)
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def limit(rows):
-            least = np.minimum(kth[rows], best[rows, k - 1])
-            return least + SLACK * (1 + least)
+        limit, held = kth + SLACK * (1 + kth), 0
 
         def reduced():
             """The k vectors by (distance, least id) of every query among the pairs so far."""
             a, b = (np.concatenate([p[j] for p in pairs]) for j in (0, 1))
             far = np.concatenate([p[2] for p in pairs])
-            keep = far <= limit(a)
+            keep = far <= limit[a]
             a, b, far = a[keep], b[keep], far[keep]
             d = np.concatenate([np.round(pair_distances(q[a[j:j + VISITS]], self.x[b[j:j + VISITS]], self.metric), DIGITS)
                                 for j in range(0, len(a), VISITS)] or [np.zeros(0)])
@@ -255,30 +250,46 @@ class Leaves:
             return a[keep], b[keep], far[keep], d[keep]
 
         def meet(rows, leaf):
-            nonlocal pairs
+            nonlocal pairs, held
             here = own[leaf]
             for j in range(0, len(rows), max(1, CHUNK // (4 * len(here)))):
                 some = rows[j:j + max(1, CHUNK // (4 * len(here)))]
                 far = self.far(q[some], leaf, here)
                 best[some] = np.partition(np.concatenate([best[some], far], 1), k - 1, axis=1)[:, :k]
-                a, b = np.nonzero(far <= limit(some)[:, None])
+                least = np.minimum(kth[some], best[some, k - 1])
+                limit[some] = least = least + SLACK * (1 + least)
+                a, b = np.nonzero(far <= least[:, None])
                 pairs.append((some[a], here[b], far[a, b]))
                 met[some] += len(here)
-                if sum(len(p[0]) for p in pairs) > max(VISITS, 4 * k * len(q)):
+                held += len(a)
+                if held > max(VISITS, 4 * k * len(q)):
                     pairs = [reduced()[:3]]
+                    held = len(pairs[0][0])
+
+        def turn(leaf_of, bound_of):
+            """Every query at one leaf of its own."""
+            for leaf in np.unique(leaf_of).tolist():
+                rows = np.flatnonzero(leaf_of == leaf)
+                rows = rows[np.isfinite(bound_of[rows]) & (bound_of[rows] <= limit[rows])]
+                if len(rows) and len(own[leaf]):
+                    meet(rows, leaf)
 
-        early = np.argsort(bound, axis=1, kind="stable")[:, :2]
-        for turn in early.T:
-            for leaf in np.unique(turn).tolist():
-                rows = np.flatnonzero(turn == leaf)
-                rows = rows[np.isfinite(bound[rows, leaf]) & (bound[rows, leaf] <= limit(rows))]
+        home, everyone = self.cuts.home(q), np.arange(len(q))
+        gap = np.maximum(np.maximum(self.low[home] - q, q - self.high[home]), 0)
+        turn(home, gap.sum(1) if self.metric == MANHATTAN else np.sqrt((gap * gap).sum(1)))
+        gap = np.maximum(np.maximum(self.low - q.max(0), q.min(0) - self.high), 0)             # from the box around the queries
+        apart = gap.sum(1) if self.metric == MANHATTAN else np.sqrt((gap * gap).sum(1))
+        may = np.flatnonzero((apart <= limit.max()) & [len(o) > 0 for o in own])
+        if len(may):
+            bound = box_bounds(q, self.low[may], self.high[may], self.metric)
+            bound[home[:, None] == may[None, :]] = np.inf
+            second = bound.argmin(1)
+            turn(may[second], bound[everyone, second])
+            bound[everyone, second] = np.inf
+            for i, leaf in enumerate(may.tolist()):
+                rows = np.flatnonzero(np.isfinite(bound[:, i]) & (bound[:, i] <= limit))
                 if len(rows):
                     meet(rows, leaf)
-        np.put_along_axis(bound, early, np.inf, 1)
-        for leaf in np.flatnonzero((bound <= limit(np.arange(len(q)))[:, None]).any(0) & np.isfinite(bound).any(0)).tolist():
-            rows = np.flatnonzero(np.isfinite(bound[:, leaf]) & (bound[:, leaf] <= limit(np.arange(len(q)))))
-            if len(rows):
-                meet(rows, leaf)
         if not pairs:
             none = np.zeros(0, np.int64)
             return none, np.zeros(0), none, np.zeros(0)
@@ -415,6 +426,8 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, metric: str = EUCLI
             if len(may):
                 found, met = leaves.nearest(q[own], kth[own], np.bincount(vector[may], minlength=len(x)), held["id"][may], held["payload"][may], k)
                 at, d, ids, load = (np.concatenate(c) for c in zip(*found))
+                order = np.argsort(at, kind="stable")                              # query after query, each by distance
+                at, d, ids, load = at[order], d[order], ids[order], load[order]
             ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(own)))]).astype(np.int32)
             near = pa.StructArray.from_arrays([pa.array(d), pa.array(ids, pa.int64()), pa.array(load, pa.float64(), from_pandas=True)], fields=list(_NEAR.value_type))
             tables.append(pa.table([qid.take(pa.array(own)), pa.array(np.full(len(own), f)), pa.array(met),
